@@ -41,16 +41,20 @@ def _test_profile(
     sessions: DataFrame,
     pageviews: DataFrame,
     launch_page: str,
+    variants: tuple[str, ...],
     utm_source: str,
     utm_campaign: str,
     end: TimeBound,
 ) -> DataFrame:
     """Per test session (cohort sessions with a pageview after the launch id):
-    first post-launch pageview id, its URL, and the session's total pageviews.
+    first post-launch pageview id, its URL when it is a variant, and the
+    session's total pageviews.
     """
     after_launch = F.col(PAGEVIEW_ID) > launch_pageview_id(pageviews, launch_page)
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    profile = landing_profile(pageviews, after_launch).filter(F.col("first_pageview_id").isNotNull())
+    profile = landing_profile(pageviews, after_launch, variants).filter(
+        F.col("first_pageview_id").isNotNull()
+    )
     # semi join: only the cohort's ids are needed; both sides hold one row per session
     return profile.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
 
@@ -68,9 +72,9 @@ def test_first_pageviews(
 
     Out: website_session_id, min_pageview_id.
     """
-    return _test_profile(sessions, pageviews, launch_page, utm_source, utm_campaign, end).select(
-        SESSION_ID, F.col("first_pageview_id").alias("min_pageview_id")
-    )
+    return _test_profile(
+        sessions, pageviews, launch_page, (), utm_source, utm_campaign, end
+    ).select(SESSION_ID, F.col("first_pageview_id").alias("min_pageview_id"))
 
 
 def _test_landings(
@@ -82,8 +86,8 @@ def _test_landings(
     utm_campaign: str,
     end: TimeBound,
 ) -> DataFrame:
-    profile = _test_profile(sessions, pageviews, launch_page, utm_source, utm_campaign, end)
-    return profile.filter(F.col("landing_page").isin(*variants))
+    profile = _test_profile(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
+    return profile.filter(F.col("landing_page").isNotNull())
 
 
 def test_landing_pages(
@@ -180,6 +184,27 @@ def bounce_rate_by_landing_page(
     )
 
 
+def _trend_cohort(sessions, utm_source, utm_campaign, start, end) -> DataFrame:
+    # start <= created_at <= end (the end day keeps only its midnight instant)
+    return session_cohort(
+        sessions,
+        utm_source=utm_source,
+        utm_campaign=utm_campaign,
+        start=start,
+        end=end,
+        end_inclusive=True,
+    ).select(SESSION_ID)
+
+
+def _with_pageview_stats(cohort: DataFrame, per_session: DataFrame) -> DataFrame:
+    """Attach one-row-per-session pageview stats; sessions without pageviews
+    keep NULL stats and a count of 0."""
+    joined = cohort.join(per_session, SESSION_ID, "left")
+    return joined.withColumn(
+        "count_pageviews", F.coalesce(F.col("count_pageviews"), F.lit(0).cast("long"))
+    )
+
+
 def session_first_pv_and_count(
     sessions: DataFrame,
     pageviews: DataFrame,
@@ -188,41 +213,21 @@ def session_first_pv_and_count(
     utm_campaign: str = "nonbrand",
     start: TimeBound = "2012-06-01",
     end: TimeBound = "2012-08-31",
-    with_landing: bool = False,
 ) -> DataFrame:
     """First pageview id and pageview count of every cohort session
     (``start <= created_at <= end``); sessions without pageviews stay, with
     NULL id and count 0.
 
-    Out: website_session_id, first_pageview_id, count_pageviews
-    (+ landing_page, session_created_at with ``with_landing``).
+    Out: website_session_id, first_pageview_id, count_pageviews.
     """
-    cohort = session_cohort(
-        sessions,
-        utm_source=utm_source,
-        utm_campaign=utm_campaign,
-        start=start,
-        end=end,
-        end_inclusive=True,
-    ).select(SESSION_ID)
-    first = F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID))
     per_session = pageviews.groupBy(SESSION_ID).agg(
         F.min(PAGEVIEW_ID).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_pageviews"),
-        first.alias("first_pv"),
     )
-    joined = cohort.join(per_session, SESSION_ID, "left")
-    cols = [
-        F.col(SESSION_ID),
-        F.col("first_pageview_id"),
-        F.coalesce(F.col("count_pageviews"), F.lit(0).cast("long")).alias("count_pageviews"),
-    ]
-    if with_landing:
-        cols += [
-            F.col("first_pv.pageview_url").alias("landing_page"),
-            F.col("first_pv.created_at").alias("session_created_at"),
-        ]
-    return joined.select(*cols)
+    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
+    return _with_pageview_stats(cohort, per_session).select(
+        SESSION_ID, "first_pageview_id", "count_pageviews"
+    )
 
 
 def session_landing_details(
@@ -236,17 +241,23 @@ def session_landing_details(
 ) -> DataFrame:
     """Cohort sessions with first pageview, count, landing URL and its time.
 
+    The landing URL may be any page, so it is taken with ``min_by`` over
+    (url, time) ordered by pageview id.
     Out: website_session_id, first_pageview_id, count_pageviews, landing_page,
     session_created_at.
     """
-    return session_first_pv_and_count(
-        sessions,
-        pageviews,
-        utm_source=utm_source,
-        utm_campaign=utm_campaign,
-        start=start,
-        end=end,
-        with_landing=True,
+    per_session = pageviews.groupBy(SESSION_ID).agg(
+        F.min(PAGEVIEW_ID).alias("first_pageview_id"),
+        F.count(PAGEVIEW_ID).alias("count_pageviews"),
+        F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv"),
+    )
+    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
+    return _with_pageview_stats(cohort, per_session).select(
+        SESSION_ID,
+        "first_pageview_id",
+        "count_pageviews",
+        F.col("first_pv.pageview_url").alias("landing_page"),
+        F.col("first_pv.created_at").alias("session_created_at"),
     )
 
 
@@ -264,19 +275,34 @@ def weekly_bounce_trend(
     """Weekly (YEARWEEK of the landing time) bounce rate and sessions per
     landing page; sessions without pageviews form a NULL week.
 
+    Only "landed on page p" for the two pages is needed, so the per-session
+    step keeps fixed-width buffers (hash aggregation): the first pageview's
+    time via ``min_by(created_at, id)`` and the first id on each page.
     Out: week_start_date, bounce_rate, home_sessions, lander_sessions
     (+ year_week, total_sessions, bounced_sessions with ``include_counts``).
     """
-    details = session_landing_details(
-        sessions, pageviews, utm_source=utm_source, utm_campaign=utm_campaign, start=start, end=end
+    per_session = pageviews.groupBy(SESSION_ID).agg(
+        F.min(PAGEVIEW_ID).alias("first_pageview_id"),
+        F.count(PAGEVIEW_ID).alias("count_pageviews"),
+        F.min_by(F.col("created_at"), F.col(PAGEVIEW_ID)).alias("session_created_at"),
+        *[
+            F.min(F.when(F.col("pageview_url") == F.lit(p), F.col(PAGEVIEW_ID))).alias(f"_first_{i}")
+            for i, p in enumerate(pages)
+        ],
     )
+    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
+    details = _with_pageview_stats(cohort, per_session)
     bounced = F.col("count_pageviews") == F.lit(1)
+
+    def landed_on(i: int):
+        return F.col(f"_first_{i}") == F.col("first_pageview_id")
+
     weekly = details.groupBy(yearweek_sunday("session_created_at").alias("year_week")).agg(
         F.min(F.to_date("session_created_at")).alias("week_start_date"),
         key_count().alias("total_sessions"),
         key_count_when(bounced).alias("bounced_sessions"),
-        key_count_when(F.col("landing_page") == F.lit(pages[0])).alias("home_sessions"),
-        key_count_when(F.col("landing_page") == F.lit(pages[1])).alias("lander_sessions"),
+        key_count_when(landed_on(0)).alias("home_sessions"),
+        key_count_when(landed_on(1)).alias("lander_sessions"),
     )
     cols = ["week_start_date"]
     if include_counts:

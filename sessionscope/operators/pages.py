@@ -3,17 +3,20 @@
 The landing page of a session is the URL of its smallest pageview id among the
 pageviews in the analysis window; a bounce is a session with exactly one
 pageview *in total* (all its pageviews count, also those outside the window).
-Both come from one per-session aggregation over pageviews:
-
-    min_by(url, CASE WHEN in_window THEN id END)   landing page
-    min(CASE WHEN in_window THEN id END)           first pageview id in window
-    count(id)                                      pageviews of the session
-
-``min_by`` ignores rows whose ordering value is NULL, so the window only
-restricts which pageview can be the landing page.  This replaces
-"MIN(id) per session, join back to pageviews for the URL, join to pageviews
-again to count" with a single shuffle whose partial aggregate runs map-side,
-so a session with a huge number of pageviews never reaches a task as raw rows.
+Both come from one per-session aggregation over pageviews, not from
+"MIN(id) per session, join back for the URL, join again to count":
+
+    wid = CASE WHEN in_window THEN id END
+    min(wid)                                   first pageview id in the window
+    min(CASE WHEN url = p THEN wid END)        first id on candidate page p
+    count(id)                                  pageviews of the session
+
+and the landing page is the candidate p whose first id equals min(wid) (ids
+are unique).  All buffers are fixed-width longs, so Spark plans a hash
+aggregate with a map-side partial step: no sort, and a session with a huge
+number of pageviews never reaches a task as raw rows.  When the landing URL
+itself is the output (any URL), ``min_by(url, id)`` is used instead; its
+string buffer makes Spark sort-aggregate, still one shuffle and spill-safe.
 """
 
 from __future__ import annotations
@@ -26,17 +29,40 @@ from sessionscope.functions.timebuckets import TimeBound, time_window
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
-def landing_profile(pageviews: DataFrame, in_window: Column) -> DataFrame:
-    """One row per session with pageviews: landing page and first id within
-    ``in_window``, plus the session's total pageview count.
+def landing_profile(
+    pageviews: DataFrame, in_window: Column, candidates: tuple[str, ...]
+) -> DataFrame:
+    """One row per session with pageviews: first pageview id within
+    ``in_window``, the landing page if it is one of ``candidates`` (else
+    NULL), and the session's total pageview count.
 
     Out: website_session_id, first_pageview_id, landing_page, count_of_pages_viewed.
     """
-    windowed_id = F.when(in_window, F.col(PAGEVIEW_ID))
-    return pageviews.groupBy(SESSION_ID).agg(
-        F.min(windowed_id).alias("first_pageview_id"),
-        F.min_by(F.col("pageview_url"), windowed_id).alias("landing_page"),
+    # the window predicate (it may hold a scalar subquery) is evaluated once per row
+    rows = pageviews.select(
+        SESSION_ID,
+        PAGEVIEW_ID,
+        "pageview_url",
+        F.when(in_window, F.col(PAGEVIEW_ID)).alias("_wid"),
+    )
+    firsts = [
+        F.min(F.when(F.col("pageview_url") == F.lit(p), F.col("_wid"))).alias(f"_first_{i}")
+        for i, p in enumerate(candidates)
+    ]
+    profile = rows.groupBy(SESSION_ID).agg(
+        F.min("_wid").alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"),
+        *firsts,
+    )
+    landing = F.lit(None).cast("string")
+    for i, p in enumerate(candidates):
+        hit = F.col(f"_first_{i}") == F.col("first_pageview_id")
+        landing = F.when(hit, F.lit(p)) if i == 0 else landing.when(hit, F.lit(p))
+    return profile.select(
+        SESSION_ID,
+        "first_pageview_id",
+        landing.alias("landing_page"),
+        "count_of_pages_viewed",
     )
 
 
@@ -83,10 +109,8 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
 
 
 def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
-    profile = landing_profile(pageviews, time_window("created_at", end=end))
-    return profile.filter(
-        F.col("first_pageview_id").isNotNull() & (F.col("landing_page") == F.lit(landing_page))
-    )
+    profile = landing_profile(pageviews, time_window("created_at", end=end), (landing_page,))
+    return profile.filter(F.col("landing_page").isNotNull())
 
 
 def sessions_with_landing_page(
