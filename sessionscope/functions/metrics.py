@@ -24,17 +24,22 @@ def _col(c: str | Column) -> Column:
 
 def ratio(numerator: str | Column, denominator: str | Column) -> Column:
     """numerator / denominator as DOUBLE; NULL when the denominator is 0 or NULL."""
+    if isinstance(numerator, str) and isinstance(denominator, str):
+        return F.expr(f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))")
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
 
 def key_count(key: str | Column = SESSION_ID) -> Column:
     """Number of distinct (non-NULL) values of a unique key."""
-    return F.count(_col(key))
+    return F.count(key)
 
 
-def key_count_when(cond: Column, key: str | Column = SESSION_ID) -> Column:
-    """Distinct count of a unique key among rows where ``cond`` holds."""
-    return F.count(F.when(cond, _col(key)))
+def key_count_when(cond: str | Column, key: str = SESSION_ID) -> Column:
+    """Distinct count of a unique key among rows where ``cond`` holds
+    (``cond`` as a Column or as SQL text)."""
+    if isinstance(cond, str):
+        return F.expr(f"count(CASE WHEN {cond} THEN {key} END)")
+    return F.count(F.when(cond, F.col(key)))
 
 
 def flag(cond: Column) -> Column:
@@ -63,4 +68,6 @@ def with_order_counts(sessions: DataFrame, orders: DataFrame) -> DataFrame:
 
 def order_total(n_orders: str | Column = "n_orders") -> Column:
     """Distinct orders over the grouped sessions (orders belong to one session)."""
-    return F.coalesce(F.sum(_col(n_orders)), F.lit(0).cast("long"))
+    if isinstance(n_orders, str):
+        return F.expr(f"coalesce(sum({n_orders}), CAST(0 AS BIGINT))")
+    return F.coalesce(F.sum(n_orders), F.lit(0).cast("long"))

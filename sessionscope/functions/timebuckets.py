@@ -22,6 +22,14 @@ from pyspark.sql import functions as F
 TimeBound = str | _dt.datetime | _dt.date | None
 
 
+# Helpers return ``F.expr`` over SQL text when given column names: one JVM
+# call per expression instead of one per operator node, same Catalyst tree.
+
+
+def _sql(c: str | Column) -> str | None:
+    return c if isinstance(c, str) else None
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -32,12 +40,17 @@ def _int_div(numerator: Column, divisor: int) -> Column:
 
 
 def week_sunday0(ts: str | Column) -> Column:
+    if (name := _sql(ts)) is not None:
+        return F.expr(f"CAST(floor((dayofyear({name}) + 7 - dayofweek({name})) / 7) AS INT)")
     t = _col(ts)
     # dayofweek: Sunday = 1 … Saturday = 7
     return _int_div(F.dayofyear(t) + F.lit(7) - F.dayofweek(t), 7)
 
 
 def yearweek_sunday(ts: str | Column) -> Column:
+    if (name := _sql(ts)) is not None:
+        sunday = f"date_sub(to_date({name}), dayofweek({name}) - 1)"
+        return F.expr(f"CAST(year({sunday}) * 100 + floor((dayofyear({sunday}) + 6) / 7) AS INT)")
     t = _col(ts)
     week_sunday = F.date_sub(F.to_date(t), F.dayofweek(t) - F.lit(1))
     return (F.year(week_sunday) * F.lit(100) + _int_div(F.dayofyear(week_sunday) + F.lit(6), 7)).cast(
@@ -49,19 +62,42 @@ def weekday_mon0(ts: str | Column) -> Column:
     return F.weekday(_col(ts))
 
 
+def _ts_text(bound: TimeBound) -> str:
+    if isinstance(bound, _dt.datetime):
+        return bound.isoformat(sep=" ")
+    if isinstance(bound, _dt.date):
+        return bound.isoformat()
+    return str(bound)
+
+
+def ts_literal_sql(bound: TimeBound) -> str:
+    text = _ts_text(bound).replace("'", "")
+    return f"CAST('{text}' AS TIMESTAMP_NTZ)"
+
+
 def ts_literal(bound: TimeBound) -> Column:
     """A TIMESTAMP_NTZ literal, independent of the session time zone.
 
     A date or 'YYYY-MM-DD' string means midnight, as a date string compared to
     a datetime does in the scripts.
     """
-    if isinstance(bound, _dt.datetime):
-        text = bound.isoformat(sep=" ")
-    elif isinstance(bound, _dt.date):
-        text = bound.isoformat()
-    else:
-        text = str(bound)
-    return F.lit(text).cast("timestamp_ntz")
+    return F.lit(_ts_text(bound)).cast("timestamp_ntz")
+
+
+def time_window_sql(
+    ts: str,
+    start: TimeBound = None,
+    end: TimeBound = None,
+    *,
+    start_exclusive: bool = False,
+    end_inclusive: bool = False,
+) -> str:
+    parts = []
+    if start is not None:
+        parts.append(f"{ts} {'>' if start_exclusive else '>='} {ts_literal_sql(start)}")
+    if end is not None:
+        parts.append(f"{ts} {'<=' if end_inclusive else '<'} {ts_literal_sql(end)}")
+    return " AND ".join(parts) or "TRUE"
 
 
 def time_window(
@@ -79,6 +115,12 @@ def time_window(
     which keep only the first instant (midnight) of the end day.  The literals
     are constant-folded and pushed into the Parquet scan.
     """
+    if (name := _sql(ts)) is not None:
+        return F.expr(
+            time_window_sql(
+                name, start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
+            )
+        )
     t = _col(ts)
     pred = F.lit(True)
     if start is not None:

@@ -13,7 +13,7 @@ from sessionscope.functions.metrics import (
     with_order_counts,
 )
 from sessionscope.functions.timebuckets import TimeBound, time_window, yearweek_sunday
-from sessionscope.operators.common import session_cohort
+from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
 
 # Fixed values of the channel rules (search-engine referers, campaign names,
@@ -42,7 +42,7 @@ def weekly_sources(
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end)
     per_source = [
-        key_count_when(F.col("utm_source") == F.lit(s)).alias(f"{s}_sessions") for s in sources
+        key_count_when(f"utm_source = {sql_string(s)}").alias(f"{s}_sessions") for s in sources
     ]
     return (
         cohort.groupBy(yearweek_sunday("created_at").alias("yrwk"))
@@ -69,13 +69,13 @@ def source_mobile_share(
     Out: utm_source, sessions, mobile_sessions, pct_mobile.
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end).filter(
-        F.col("utm_source").isin(*sources)
+        f"utm_source IN ({', '.join(sql_string(s) for s in sources)})"
     )
     return (
         cohort.groupBy("utm_source")
         .agg(
             key_count().alias("sessions"),
-            key_count_when(F.col("device_type") == F.lit(device)).alias("mobile_sessions"),
+            key_count_when(f"device_type = {sql_string(device)}").alias("mobile_sessions"),
         )
         .select(
             "utm_source", "sessions", "mobile_sessions",
@@ -127,7 +127,7 @@ def weekly_source_device_ratio(
 
     def count_of(source: str, device: str) -> Column:
         return key_count_when(
-            (F.col("utm_source") == F.lit(source)) & (F.col("device_type") == F.lit(device))
+            f"utm_source = {sql_string(source)} AND device_type = {sql_string(device)}"
         )
 
     weekly = cohort.groupBy(yearweek_sunday("created_at").alias("year_week")).agg(
@@ -151,12 +151,14 @@ def weekly_source_device_ratio(
 
 def channel_group(organic_referers: tuple[str, ...] = ORGANIC_REFERERS) -> Column:
     """Channel class of a session; first matching rule wins, no match is NULL."""
-    no_utm = F.col("utm_source").isNull()
-    return (
-        F.when(no_utm & F.col("http_referer").isin(*organic_referers), F.lit(ORGANIC_SEARCH))
-        .when(F.col("utm_campaign") == F.lit(NONBRAND), F.lit(PAID_NONBRAND))
-        .when(F.col("utm_campaign") == F.lit(BRAND), F.lit(PAID_BRAND))
-        .when(no_utm & F.col("http_referer").isNull(), F.lit(DIRECT_TYPE_IN))
+    referers = ", ".join(sql_string(r) for r in organic_referers)
+    return F.expr(
+        "CASE"
+        f" WHEN utm_source IS NULL AND http_referer IN ({referers}) THEN {sql_string(ORGANIC_SEARCH)}"
+        f" WHEN utm_campaign = {sql_string(NONBRAND)} THEN {sql_string(PAID_NONBRAND)}"
+        f" WHEN utm_campaign = {sql_string(BRAND)} THEN {sql_string(PAID_BRAND)}"
+        f" WHEN utm_source IS NULL AND http_referer IS NULL THEN {sql_string(DIRECT_TYPE_IN)}"
+        " END"
     )
 
 
@@ -187,14 +189,16 @@ def monthly_channel_mix(
     direct_pct_of_nonbrand, organic, organic_pct_of_nonbrand.
     """
     classified = classify_channel(sessions, organic_referers=organic_referers, end=end)
-    group = F.col("channel_group")
+    def in_group(label: str) -> Column:
+        return key_count_when(f"channel_group = {sql_string(label)}")
+
     monthly = classified.groupBy(
         F.year("created_at").alias("yr"), F.month("created_at").alias("mo")
     ).agg(
-        key_count_when(group == F.lit(PAID_NONBRAND)).alias("nonbrand"),
-        key_count_when(group == F.lit(PAID_BRAND)).alias("brand"),
-        key_count_when(group == F.lit(DIRECT_TYPE_IN)).alias("direct"),
-        key_count_when(group == F.lit(ORGANIC_SEARCH)).alias("organic"),
+        in_group(PAID_NONBRAND).alias("nonbrand"),
+        in_group(PAID_BRAND).alias("brand"),
+        in_group(DIRECT_TYPE_IN).alias("direct"),
+        in_group(ORGANIC_SEARCH).alias("organic"),
     )
     return monthly.orderBy("yr", "mo").select(
         "yr",

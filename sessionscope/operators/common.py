@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.timebuckets import TimeBound, time_window
+from sessionscope.functions.timebuckets import TimeBound, time_window_sql
 
 
-def campaign_filter(utm_source: str | None = None, utm_campaign: str | None = None) -> Column:
-    """``utm_source = s AND utm_campaign = c`` (a None argument is not tested)."""
-    pred = F.lit(True)
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def campaign_filter_sql(utm_source: str | None = None, utm_campaign: str | None = None) -> str:
+    parts = []
     if utm_source is not None:
-        pred = pred & (F.col("utm_source") == F.lit(utm_source))
+        parts.append(f"utm_source = {sql_string(utm_source)}")
     if utm_campaign is not None:
-        pred = pred & (F.col("utm_campaign") == F.lit(utm_campaign))
-    return pred
+        parts.append(f"utm_campaign = {sql_string(utm_campaign)}")
+    return " AND ".join(parts) or "TRUE"
+
+
+def campaign_filter(utm_source: str | None = None, utm_campaign: str | None = None) -> Column:
+    """``utm_source = s AND utm_campaign = c`` (a None argument is not tested)."""
+    return F.expr(campaign_filter_sql(utm_source, utm_campaign))
 
 
 def session_cohort(
@@ -29,13 +37,7 @@ def session_cohort(
     end_inclusive: bool = False,
 ) -> DataFrame:
     """Sessions of one campaign created inside a time window."""
-    return sessions.filter(
-        campaign_filter(utm_source, utm_campaign)
-        & time_window(
-            "created_at",
-            start,
-            end,
-            start_exclusive=start_exclusive,
-            end_inclusive=end_inclusive,
-        )
+    window = time_window_sql(
+        "created_at", start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
     )
+    return sessions.filter(f"{campaign_filter_sql(utm_source, utm_campaign)} AND {window}")

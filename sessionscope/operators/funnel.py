@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import flag, key_count, key_count_when, ratio
+from sessionscope.functions.metrics import key_count, key_count_when, ratio
 from sessionscope.functions.timebuckets import TimeBound
-from sessionscope.operators.common import session_cohort
+from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.plans.joins import left_join_fanout
 from sessionscope.sources.schemas import SESSION_ID
 
@@ -72,8 +72,11 @@ def funnel_pageview_flags(
         SESSION_ID, "pageview_url", F.col("created_at").alias("pageview_created_at")
     )
     rows = left_join_fanout(cohort, pvs, SESSION_ID)
-    flags = [flag(F.col("pageview_url") == F.lit(s.url)).alias(s.page_flag) for s in steps]
-    return rows.select(SESSION_ID, "pageview_url", "pageview_created_at", *flags).orderBy(
+    flags = [
+        f"CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END AS {s.page_flag}"
+        for s in steps
+    ]
+    return rows.selectExpr(SESSION_ID, "pageview_url", "pageview_created_at", *flags).orderBy(
         SESSION_ID, "pageview_created_at"
     )
 
@@ -96,11 +99,16 @@ def session_funnel_flags(
     """
     cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
     reached = pageviews.groupBy(SESSION_ID).agg(
-        *[F.max(flag(F.col("pageview_url") == F.lit(s.url))).alias(s.made_it) for s in steps]
+        *[
+            F.expr(f"max(CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END)").alias(
+                s.made_it
+            )
+            for s in steps
+        ]
     )
     joined = cohort.join(reached, SESSION_ID, "left")
-    return joined.select(
-        SESSION_ID, *[F.coalesce(F.col(s.made_it), F.lit(0)).alias(s.made_it) for s in steps]
+    return joined.selectExpr(
+        SESSION_ID, *[f"coalesce({s.made_it}, 0) AS {s.made_it}" for s in steps]
     )
 
 
@@ -124,7 +132,7 @@ def funnel_counts(
     )
     return flags.agg(
         key_count().alias("sessions"),
-        *[key_count_when(F.col(s.made_it) == F.lit(1)).alias(s.reached) for s in steps],
+        *[key_count_when(f"{s.made_it} = 1").alias(s.reached) for s in steps],
     )
 
 

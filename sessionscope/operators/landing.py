@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, key_count_when, ratio
 from sessionscope.functions.timebuckets import TimeBound, yearweek_sunday
-from sessionscope.operators.common import session_cohort
+from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.operators.pages import landing_profile
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
@@ -24,9 +24,7 @@ def page_launch(pageviews: DataFrame, *, page: str = NEW_LANDER) -> DataFrame:
 
     Out: first_created_at, first_pageview_id (NULLs when never seen).
     """
-    return pageviews.filter(
-        (F.col("pageview_url") == F.lit(page)) & F.col("created_at").isNotNull()
-    ).agg(
+    return pageviews.filter(f"pageview_url = {sql_string(page)} AND created_at IS NOT NULL").agg(
         F.min("created_at").alias("first_created_at"),
         F.min(PAGEVIEW_ID).alias("first_pageview_id"),
     )
@@ -53,7 +51,7 @@ def _test_profile(
     after_launch = F.col(PAGEVIEW_ID) > launch_pageview_id(pageviews, launch_page)
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
     profile = landing_profile(pageviews, after_launch, variants).filter(
-        F.col("first_pageview_id").isNotNull()
+        "first_pageview_id IS NOT NULL"
     )
     # semi join: only the cohort's ids are needed; both sides hold one row per session
     return profile.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
@@ -87,7 +85,7 @@ def _test_landings(
     end: TimeBound,
 ) -> DataFrame:
     profile = _test_profile(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
-    return profile.filter(F.col("landing_page").isNotNull())
+    return profile.filter("landing_page IS NOT NULL")
 
 
 def test_landing_pages(
@@ -125,7 +123,7 @@ def test_bounced_sessions(
     """
     return (
         _test_landings(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
-        .filter(F.col("count_of_pages_viewed") == F.lit(1))
+        .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
 
@@ -145,12 +143,10 @@ def test_bounce_markers(
     Out: landing_page, website_session_id, bounced_website_session_id.
     """
     landed = _test_landings(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
-    return landed.select(
+    return landed.selectExpr(
         "landing_page",
         SESSION_ID,
-        F.when(F.col("count_of_pages_viewed") == F.lit(1), F.col(SESSION_ID)).alias(
-            "bounced_website_session_id"
-        ),
+        f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
     ).orderBy(SESSION_ID)
 
 
@@ -173,7 +169,7 @@ def bounce_rate_by_landing_page(
         landed.groupBy("landing_page")
         .agg(
             key_count().alias("sessions"),
-            key_count_when(F.col("count_of_pages_viewed") == F.lit(1)).alias("bounced_sessions"),
+            key_count_when("count_of_pages_viewed = 1").alias("bounced_sessions"),
         )
         .select(
             "landing_page",
@@ -200,9 +196,7 @@ def _with_pageview_stats(cohort: DataFrame, per_session: DataFrame) -> DataFrame
     """Attach one-row-per-session pageview stats; sessions without pageviews
     keep NULL stats and a count of 0."""
     joined = cohort.join(per_session, SESSION_ID, "left")
-    return joined.withColumn(
-        "count_pageviews", F.coalesce(F.col("count_pageviews"), F.lit(0).cast("long"))
-    )
+    return joined.withColumn("count_pageviews", F.expr("coalesce(count_pageviews, CAST(0 AS BIGINT))"))
 
 
 def session_first_pv_and_count(
@@ -286,23 +280,20 @@ def weekly_bounce_trend(
         F.count(PAGEVIEW_ID).alias("count_pageviews"),
         F.min_by(F.col("created_at"), F.col(PAGEVIEW_ID)).alias("session_created_at"),
         *[
-            F.min(F.when(F.col("pageview_url") == F.lit(p), F.col(PAGEVIEW_ID))).alias(f"_first_{i}")
+            F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {PAGEVIEW_ID} END)").alias(
+                f"_first_{i}"
+            )
             for i, p in enumerate(pages)
         ],
     )
     cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
     details = _with_pageview_stats(cohort, per_session)
-    bounced = F.col("count_pageviews") == F.lit(1)
-
-    def landed_on(i: int):
-        return F.col(f"_first_{i}") == F.col("first_pageview_id")
-
     weekly = details.groupBy(yearweek_sunday("session_created_at").alias("year_week")).agg(
         F.min(F.to_date("session_created_at")).alias("week_start_date"),
         key_count().alias("total_sessions"),
-        key_count_when(bounced).alias("bounced_sessions"),
-        key_count_when(landed_on(0)).alias("home_sessions"),
-        key_count_when(landed_on(1)).alias("lander_sessions"),
+        key_count_when("count_pageviews = 1").alias("bounced_sessions"),
+        key_count_when("_first_0 = first_pageview_id").alias("home_sessions"),
+        key_count_when("_first_1 = first_pageview_id").alias("lander_sessions"),
     )
     cols = ["week_start_date"]
     if include_counts:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, key_count_when, ratio
 from sessionscope.functions.timebuckets import TimeBound, time_window
+from sessionscope.operators.common import sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
@@ -46,7 +47,7 @@ def landing_profile(
         F.when(in_window, F.col(PAGEVIEW_ID)).alias("_wid"),
     )
     firsts = [
-        F.min(F.when(F.col("pageview_url") == F.lit(p), F.col("_wid"))).alias(f"_first_{i}")
+        F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN _wid END)").alias(f"_first_{i}")
         for i, p in enumerate(candidates)
     ]
     profile = rows.groupBy(SESSION_ID).agg(
@@ -54,14 +55,14 @@ def landing_profile(
         F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"),
         *firsts,
     )
-    landing = F.lit(None).cast("string")
-    for i, p in enumerate(candidates):
-        hit = F.col(f"_first_{i}") == F.col("first_pageview_id")
-        landing = F.when(hit, F.lit(p)) if i == 0 else landing.when(hit, F.lit(p))
-    return profile.select(
+    branches = " ".join(
+        f"WHEN _first_{i} = first_pageview_id THEN {sql_string(p)}" for i, p in enumerate(candidates)
+    )
+    landing = f"CASE {branches} END" if candidates else "CAST(NULL AS STRING)"
+    return profile.selectExpr(
         SESSION_ID,
         "first_pageview_id",
-        landing.alias("landing_page"),
+        f"{landing} AS landing_page",
         "count_of_pages_viewed",
     )
 
@@ -110,7 +111,7 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
 
 def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
     profile = landing_profile(pageviews, time_window("created_at", end=end), (landing_page,))
-    return profile.filter(F.col("landing_page").isNotNull())
+    return profile.filter("landing_page IS NOT NULL")
 
 
 def sessions_with_landing_page(
@@ -132,7 +133,7 @@ def bounced_sessions(
     """
     return (
         _landed_sessions(pageviews, end, landing_page)
-        .filter(F.col("count_of_pages_viewed") == F.lit(1))
+        .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
 
@@ -145,11 +146,9 @@ def bounce_markers(
     Out: website_session_id, bounced_website_session_id (ordered by session).
     """
     landed = _landed_sessions(pageviews, end, landing_page)
-    return landed.select(
+    return landed.selectExpr(
         SESSION_ID,
-        F.when(F.col("count_of_pages_viewed") == F.lit(1), F.col(SESSION_ID)).alias(
-            "bounced_website_session_id"
-        ),
+        f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
     ).orderBy(SESSION_ID)
 
 
@@ -163,7 +162,7 @@ def bounce_rate(
     landed = _landed_sessions(pageviews, end, landing_page)
     return landed.agg(
         key_count().alias("sessions"),
-        key_count_when(F.col("count_of_pages_viewed") == F.lit(1)).alias("bounced_sessions"),
+        key_count_when("count_of_pages_viewed = 1").alias("bounced_sessions"),
     ).select(
         "sessions", "bounced_sessions", ratio("bounced_sessions", "sessions").alias("bounce_rate")
     )

@@ -55,7 +55,7 @@ def hourly_weekday_profile(
         .agg(key_count().alias("website_sessions"))
     )
     per_day = [
-        F.avg(F.when(F.col("wkday") == F.lit(k), F.col("website_sessions"))).alias(name)
+        F.expr(f"avg(CASE WHEN wkday = {k} THEN website_sessions END)").alias(name)
         for k, name in enumerate(WEEKDAY_COLUMNS)
     ]
     return (

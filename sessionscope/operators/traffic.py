@@ -17,7 +17,7 @@ from sessionscope.functions.metrics import (
     with_order_counts,
 )
 from sessionscope.functions.timebuckets import TimeBound, time_window, week_sunday0
-from sessionscope.operators.common import session_cohort
+from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
 
 
@@ -54,7 +54,9 @@ def conversion_rate(
     return totals.select(
         "total_sessions",
         "total_orders",
-        F.round(ratio(F.col("total_orders") * F.lit(100), "total_sessions"), 2).alias("conversion_rate"),
+        F.expr(
+            "round(try_divide(CAST(total_orders * 100 AS DOUBLE), CAST(total_sessions AS DOUBLE)), 2)"
+        ).alias("conversion_rate"),
     )
 
 
@@ -129,7 +131,7 @@ def weekly_sessions_by_device(
         start_exclusive=True,
     )
     per_device = [
-        key_count_when(F.col("device_type") == F.lit(d)).alias(f"{d}_sessions") for d in devices
+        key_count_when(f"device_type = {sql_string(d)}").alias(f"{d}_sessions") for d in devices
     ]
     return (
         cohort.groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"))

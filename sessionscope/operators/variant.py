@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, order_total, orders_per_session, ratio
 from sessionscope.functions.timebuckets import TimeBound, time_window
+from sessionscope.operators.common import sql_string
 from sessionscope.plans.joins import left_join_fanout
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
 
@@ -15,7 +16,7 @@ OLD_BILLING, NEW_BILLING = "/billing", "/billing-2"
 
 def variant_launch(pageviews: DataFrame, *, page: str = NEW_BILLING) -> DataFrame:
     """First pageview id of the new variant.  Out: first_pv_id."""
-    return pageviews.filter(F.col("pageview_url") == F.lit(page)).agg(
+    return pageviews.filter(f"pageview_url = {sql_string(page)}").agg(
         F.min(PAGEVIEW_ID).alias("first_pv_id")
     )
 
@@ -25,11 +26,10 @@ def _variant_views(
 ) -> DataFrame:
     """Variant pageviews from the launch id on (inclusive) and before ``end``."""
     launch_id = variant_launch(pageviews, page=launch_page).scalar()
+    in_variants = F.expr(f"pageview_url IN ({', '.join(sql_string(v) for v in variants)})")
     return pageviews.filter(
-        (F.col(PAGEVIEW_ID) >= launch_id)
-        & time_window("created_at", end=end)
-        & F.col("pageview_url").isin(*variants)
-    ).select(SESSION_ID, F.col("pageview_url").alias("billing_version_seen"))
+        (F.col(PAGEVIEW_ID) >= launch_id) & time_window("created_at", end=end) & in_variants
+    ).selectExpr(SESSION_ID, "pageview_url AS billing_version_seen")
 
 
 def variant_sessions_orders(

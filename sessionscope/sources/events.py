@@ -15,7 +15,7 @@ the join key every operator uses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
@@ -56,69 +56,68 @@ ORDER_EVENT_TYPE = "purchase"
 # ---------------------------------------------------------------------------
 
 
-def _pick(values: list[str | None], index: Column) -> Column:
-    """Element ``index`` (0-based) of a literal list, as one codegen'd expression."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), index + F.lit(1))
+def _sql_str(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
 
 
-def session_id_expr(user_id: Column, ts: Column) -> Column:
-    return user_id * F.lit(SESSION_ID_STRIDE) + F.dayofyear(ts)
+def _pick_sql(values: list[str | None], index_sql: str) -> str:
+    """Element ``index`` (0-based) of a literal list, as one SQL expression."""
+    items = ", ".join(f"CAST({_sql_str(v)} AS STRING)" for v in values)
+    return f"element_at(array({items}), ({index_sql}) + 1)"
 
 
-def _page_key(props: Column) -> Column:
-    return F.get_json_object(props, "$.k").try_cast("int")
+# The expressions are written as SQL text: one JVM call builds each of them,
+# and Catalyst sees exactly the same expression trees as with Column methods.
+SESSION_ID_SQL = f"user_id * {SESSION_ID_STRIDE} + dayofyear(ts)"
 
 
-def pageview_url_expr(event_type: Column, ts: Column, props: Column) -> Column:
-    k = _page_key(props)
-    expr = None
+def _page_url_sql() -> str:
+    key = "try_cast(get_json_object(props, '$.k') AS INT)"
+    branches = []
     for etype, k_test, switch, then_url, else_url in PAGE_RULES:
         if k_test is None:
-            url = F.lit(then_url)
+            url = _sql_str(then_url)
         else:
-            op, bound = k_test.split()
-            test = (k >= F.lit(int(bound))) if op == ">=" else (k < F.lit(int(bound)))
+            test = f"{key} {k_test}"
             if switch is not None:
-                test = (ts >= F.lit(switch).cast("timestamp_ntz")) & test
-            # coalesce: a NULL test (NULL k) takes the "otherwise" url
-            url = F.when(F.coalesce(test, F.lit(False)), F.lit(then_url)).otherwise(F.lit(else_url))
-        cond = event_type == F.lit(etype)
-        expr = F.when(cond, url) if expr is None else expr.when(cond, url)
-    return expr
+                test = f"ts >= CAST('{switch}' AS TIMESTAMP_NTZ) AND {test}"
+            # a NULL test (NULL k) takes the "otherwise" url
+            url = f"CASE WHEN coalesce({test}, false) THEN {_sql_str(then_url)} ELSE {_sql_str(else_url)} END"
+        branches.append(f"WHEN event_type = {_sql_str(etype)} THEN {url}")
+    return "CASE " + " ".join(branches) + " END"
 
 
 def sessions_from_events(events: DataFrame) -> DataFrame:
-    sid = session_id_expr(F.col("user_id"), F.col("ts")).alias(SESSION_ID)
-    per_session = events.groupBy(sid).agg(F.min("ts").alias("created_at"))
-    user = F.expr(f"{SESSION_ID} div {SESSION_ID_STRIDE}")  # exact integer division
-    doy = F.col(SESSION_ID) % F.lit(SESSION_ID_STRIDE)
-    bucket = ((user * F.lit(7) + doy) % F.lit(10)).cast("int")
-    device_bucket = (user + doy) % F.lit(3)
-    return per_session.select(
-        F.col(SESSION_ID),
-        F.col("created_at"),
-        _pick(UTM_SOURCE_BY_BUCKET, bucket).alias("utm_source"),
-        _pick(UTM_CAMPAIGN_BY_BUCKET, bucket).alias("utm_campaign"),
-        F.when(device_bucket == F.lit(0), F.lit(MOBILE_DEVICE))
-        .otherwise(F.lit(DESKTOP_DEVICE))
-        .alias("device_type"),
-        _pick(HTTP_REFERER_BY_BUCKET, bucket).alias("http_referer"),
+    per_session = events.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(
+        F.min("ts").alias("created_at")
+    )
+    user = f"({SESSION_ID} div {SESSION_ID_STRIDE})"  # exact integer division
+    doy = f"({SESSION_ID} % {SESSION_ID_STRIDE})"
+    bucket = f"CAST(({user} * 7 + {doy}) % 10 AS INT)"
+    return per_session.selectExpr(
+        SESSION_ID,
+        "created_at",
+        f"{_pick_sql(UTM_SOURCE_BY_BUCKET, bucket)} AS utm_source",
+        f"{_pick_sql(UTM_CAMPAIGN_BY_BUCKET, bucket)} AS utm_campaign",
+        f"CASE WHEN ({user} + {doy}) % 3 = 0 THEN {_sql_str(MOBILE_DEVICE)} "
+        f"ELSE {_sql_str(DESKTOP_DEVICE)} END AS device_type",
+        f"{_pick_sql(HTTP_REFERER_BY_BUCKET, bucket)} AS http_referer",
     )
 
 
 def pageviews_from_events(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("event_id").alias(PAGEVIEW_ID),
-        F.col("ts").alias("created_at"),
-        session_id_expr(F.col("user_id"), F.col("ts")).alias(SESSION_ID),
-        pageview_url_expr(F.col("event_type"), F.col("ts"), F.col("props")).alias("pageview_url"),
+    return events.selectExpr(
+        f"event_id AS {PAGEVIEW_ID}",
+        "ts AS created_at",
+        f"{SESSION_ID_SQL} AS {SESSION_ID}",
+        f"{_page_url_sql()} AS pageview_url",
     )
 
 
 def orders_from_events(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_type") == F.lit(ORDER_EVENT_TYPE)).select(
-        F.col("event_id").alias(ORDER_ID),
-        F.col("ts").alias("created_at"),
-        session_id_expr(F.col("user_id"), F.col("ts")).alias(SESSION_ID),
-        F.col("value").alias("price_usd"),
+    return events.filter(f"event_type = {_sql_str(ORDER_EVENT_TYPE)}").selectExpr(
+        f"event_id AS {ORDER_ID}",
+        "ts AS created_at",
+        f"{SESSION_ID_SQL} AS {SESSION_ID}",
+        "value AS price_usd",
     )

@@ -44,6 +44,18 @@ ORDERS_SCHEMA = T.StructType(
     ]
 )
 
+# The driver's event stream table, from which the fixture tables are derived.
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType(), True),
+        T.StructField("ts", T.TimestampNTZType(), True),
+        T.StructField("user_id", T.LongType(), True),
+        T.StructField("event_type", T.StringType(), True),
+        T.StructField("value", T.DoubleType(), True),
+        T.StructField("props", T.StringType(), True),
+    ]
+)
+
 SCHEMAS = {
     "website_sessions": SESSIONS_SCHEMA,
     "website_pageviews": PAGEVIEWS_SCHEMA,

@@ -14,6 +14,7 @@ from sessionscope.sources.events import (
     sessions_from_events,
 )
 from sessionscope.sources.schemas import (
+    EVENTS_SCHEMA,
     ORDER_ID,
     PAGEVIEW_ID,
     REQUIRED_COLUMNS,
@@ -32,7 +33,8 @@ class ShopTables:
     @classmethod
     def from_events(cls, spark: SparkSession, data_dir: str) -> "ShopTables":
         """Derive the tables from ``<data_dir>/events.parquet`` (lazy)."""
-        events = spark.read.parquet(os.path.join(data_dir, "events.parquet"))
+        # declared schema: no footer pass to infer it
+        events = spark.read.schema(EVENTS_SCHEMA).parquet(os.path.join(data_dir, "events.parquet"))
         return cls.from_events_frame(events)
 
     @classmethod
