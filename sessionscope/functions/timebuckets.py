@@ -100,6 +100,48 @@ def time_window_sql(
     return " AND ".join(parts) or "TRUE"
 
 
+PARTITION_DATE = "created_date"
+
+
+def partition_window_sql(start: TimeBound = None, end: TimeBound = None) -> str:
+    """Day-partition predicate implied by a ``created_at`` window.
+
+    ``created_date`` is the calendar day of ``created_at`` in the partitioned
+    layout; the predicate keeps every day that can hold a row of the window
+    (a superset), so Spark prunes whole directories without changing results.
+    """
+    parts = []
+    if start is not None:
+        parts.append(f"{PARTITION_DATE} >= to_date({ts_literal_sql(start)})")
+    if end is not None:
+        parts.append(f"{PARTITION_DATE} <= to_date({ts_literal_sql(end)})")
+    return " AND ".join(parts) or "TRUE"
+
+
+def within(
+    df,
+    start: TimeBound = None,
+    end: TimeBound = None,
+    *,
+    start_exclusive: bool = False,
+    end_inclusive: bool = False,
+    extra_sql: str | None = None,
+):
+    """``df`` filtered to ``created_at`` in the window (and ``extra_sql``).
+
+    When the table is stored partitioned by day (a ``created_date`` column),
+    the implied partition predicate is added so the scan skips whole days.
+    """
+    pred = time_window_sql(
+        "created_at", start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
+    )
+    if extra_sql:
+        pred = f"({extra_sql}) AND {pred}"
+    if (start is not None or end is not None) and PARTITION_DATE in df.columns:
+        pred = f"{pred} AND {partition_window_sql(start, end)}"
+    return df.filter(pred)
+
+
 def time_window(
     ts: str | Column,
     start: TimeBound = None,

@@ -12,7 +12,7 @@ from sessionscope.functions.metrics import (
     ratio,
     with_order_counts,
 )
-from sessionscope.functions.timebuckets import TimeBound, time_window, yearweek_sunday
+from sessionscope.functions.timebuckets import TimeBound, within, yearweek_sunday
 from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
 
@@ -172,7 +172,7 @@ def classify_channel(
 
     Out: website_session_id, created_at, channel_group.
     """
-    return sessions.filter(time_window("created_at", end=end)).select(
+    return within(sessions, end=end).select(
         SESSION_ID, "created_at", channel_group(organic_referers).alias("channel_group")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.timebuckets import TimeBound, time_window_sql
+from sessionscope.functions.timebuckets import TimeBound, within
 
 
 def sql_string(value: str) -> str:
@@ -37,7 +37,11 @@ def session_cohort(
     end_inclusive: bool = False,
 ) -> DataFrame:
     """Sessions of one campaign created inside a time window."""
-    window = time_window_sql(
-        "created_at", start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
+    return within(
+        sessions,
+        start,
+        end,
+        start_exclusive=start_exclusive,
+        end_inclusive=end_inclusive,
+        extra_sql=campaign_filter_sql(utm_source, utm_campaign),
     )
-    return sessions.filter(f"{campaign_filter_sql(utm_source, utm_campaign)} AND {window}")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, key_count_when, ratio
-from sessionscope.functions.timebuckets import TimeBound, time_window
+from sessionscope.functions.timebuckets import TimeBound, time_window, within
 from sessionscope.operators.common import sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
@@ -70,7 +70,7 @@ def landing_profile(
 def top_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-09") -> DataFrame:
     """Pageviews per URL, most viewed first.  Out: pageview_url, pvs."""
     return (
-        pageviews.filter(time_window("created_at", end=end))
+        within(pageviews, end=end)
         .groupBy("pageview_url")
         .agg(key_count(PAGEVIEW_ID).alias("pvs"))
         .orderBy(F.desc("pvs"))
@@ -86,7 +86,7 @@ def first_pageview_per_session(
     the bounce-rate variant).
     """
     return (
-        pageviews.filter(time_window("created_at", end=end))
+        within(pageviews, end=end)
         .groupBy(SESSION_ID)
         .agg(F.min(PAGEVIEW_ID).alias(id_alias))
     )
@@ -98,7 +98,7 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
     Out: landing_page_url, sessions_hitting_page.
     """
     landing = (
-        pageviews.filter(time_window("created_at", end=end))
+        within(pageviews, end=end)
         .groupBy(SESSION_ID)
         .agg(F.min_by(F.col("pageview_url"), F.col(PAGEVIEW_ID)).alias("landing_page_url"))
     )

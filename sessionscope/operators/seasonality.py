@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, order_total, with_order_counts
-from sessionscope.functions.timebuckets import TimeBound, time_window, week_sunday0, weekday_mon0
+from sessionscope.functions.timebuckets import TimeBound, week_sunday0, weekday_mon0, within
 from sessionscope.sources.schemas import SESSION_ID
 
 # Fixed output names, Monday = 0 … Sunday = 6.
@@ -20,7 +20,7 @@ def weekly_sessions_orders(
 
     Out: yr, wk, week_start, sessions, orders.
     """
-    cohort = sessions.filter(time_window("created_at", end=end)).select(SESSION_ID, "created_at")
+    cohort = within(sessions, end=end).select(SESSION_ID, "created_at")
     return (
         with_order_counts(cohort, orders)
         .groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"))
@@ -46,7 +46,7 @@ def hourly_weekday_profile(
     Out: hr, avg_sessions (1 decimal), mon, tues, wed, thurs, fri, sat, sun.
     """
     cells = (
-        sessions.filter(time_window("created_at", start, end, end_inclusive=True))
+        within(sessions, start, end, end_inclusive=True)
         .groupBy(
             F.to_date("created_at").alias("created_date"),
             weekday_mon0("created_at").alias("wkday"),

@@ -16,7 +16,7 @@ from sessionscope.functions.metrics import (
     ratio,
     with_order_counts,
 )
-from sessionscope.functions.timebuckets import TimeBound, time_window, week_sunday0
+from sessionscope.functions.timebuckets import TimeBound, week_sunday0, within
 from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
 
@@ -28,7 +28,7 @@ def top_traffic_sources(sessions: DataFrame, *, end: TimeBound = "2012-04-12") -
     Out: utm_source, utm_campaign, http_referer, number_of_sessions.
     """
     return (
-        sessions.filter(time_window("created_at", end=end))
+        within(sessions, end=end)
         .groupBy("utm_source", "utm_campaign", "http_referer")
         .agg(key_count().alias("number_of_sessions"))
         .orderBy(F.desc("number_of_sessions"))

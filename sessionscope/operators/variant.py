@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, order_total, orders_per_session, ratio
-from sessionscope.functions.timebuckets import TimeBound, time_window
+from sessionscope.functions.timebuckets import TimeBound, within
 from sessionscope.operators.common import sql_string
 from sessionscope.plans.joins import left_join_fanout
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
@@ -26,10 +26,12 @@ def _variant_views(
 ) -> DataFrame:
     """Variant pageviews from the launch id on (inclusive) and before ``end``."""
     launch_id = variant_launch(pageviews, page=launch_page).scalar()
-    in_variants = F.expr(f"pageview_url IN ({', '.join(sql_string(v) for v in variants)})")
-    return pageviews.filter(
-        (F.col(PAGEVIEW_ID) >= launch_id) & time_window("created_at", end=end) & in_variants
-    ).selectExpr(SESSION_ID, "pageview_url AS billing_version_seen")
+    in_variants = f"pageview_url IN ({', '.join(sql_string(v) for v in variants)})"
+    return (
+        within(pageviews, end=end, extra_sql=in_variants)
+        .filter(F.col(PAGEVIEW_ID) >= launch_id)
+        .selectExpr(SESSION_ID, "pageview_url AS billing_version_seen")
+    )
 
 
 def variant_sessions_orders(

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sessionscope.functions.timebuckets import PARTITION_DATE
 
 from sessionscope.sources.events import (
     orders_from_events,
@@ -64,13 +67,19 @@ class ShopTables:
 
     @classmethod
     def from_directory(cls, spark: SparkSession, root: str) -> "ShopTables":
-        """Read tables written by :meth:`write`."""
-        return cls.from_parquet(
-            spark,
-            os.path.join(root, "website_sessions"),
-            os.path.join(root, "website_pageviews"),
-            os.path.join(root, "shop_orders"),
-        )
+        """Read tables written by :meth:`write` (day-partitioned layout).
+
+        The ``created_date`` partition column is kept: the operators' time
+        windows add the implied day predicate, so scans prune directories.
+        """
+
+        def read(name: str) -> DataFrame:
+            schema = T.StructType(SCHEMAS[name].fields + [T.StructField(PARTITION_DATE, T.DateType())])
+            return spark.read.schema(schema).parquet(os.path.join(root, name))
+
+        tables = cls(read("website_sessions"), read("website_pageviews"), read("shop_orders"))
+        tables.check_columns()
+        return tables
 
     # -- sink --------------------------------------------------------------
     def write(self, root: str, mode: str = "errorifexists") -> None:
@@ -82,11 +91,11 @@ class ShopTables:
         """
         for name, df in self.named().items():
             (
-                df.withColumn("created_date", F.to_date("created_at"))
-                .repartition("created_date")
+                df.withColumn(PARTITION_DATE, F.to_date("created_at"))
+                .repartition(PARTITION_DATE)
                 .sortWithinPartitions(SESSION_ID)
                 .write.mode(mode)
-                .partitionBy("created_date")
+                .partitionBy(PARTITION_DATE)
                 .parquet(os.path.join(root, name))
             )
 
