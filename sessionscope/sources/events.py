@@ -87,14 +87,12 @@ def _page_url_sql() -> str:
     return "CASE " + " ".join(branches) + " END"
 
 
-def sessions_from_events(events: DataFrame) -> DataFrame:
-    per_session = events.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(
-        F.min("ts").alias("created_at")
-    )
+def session_attributes_sql() -> list[str]:
+    """Projection from (website_session_id, created_at) to the session row."""
     user = f"({SESSION_ID} div {SESSION_ID_STRIDE})"  # exact integer division
     doy = f"({SESSION_ID} % {SESSION_ID_STRIDE})"
     bucket = f"CAST(({user} * 7 + {doy}) % 10 AS INT)"
-    return per_session.selectExpr(
+    return [
         SESSION_ID,
         "created_at",
         f"{_pick_sql(UTM_SOURCE_BY_BUCKET, bucket)} AS utm_source",
@@ -102,7 +100,14 @@ def sessions_from_events(events: DataFrame) -> DataFrame:
         f"CASE WHEN ({user} + {doy}) % 3 = 0 THEN {_sql_str(MOBILE_DEVICE)} "
         f"ELSE {_sql_str(DESKTOP_DEVICE)} END AS device_type",
         f"{_pick_sql(HTTP_REFERER_BY_BUCKET, bucket)} AS http_referer",
+    ]
+
+
+def sessions_from_events(events: DataFrame) -> DataFrame:
+    per_session = events.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(
+        F.min("ts").alias("created_at")
     )
+    return per_session.selectExpr(*session_attributes_sql())
 
 
 def pageviews_from_events(events: DataFrame) -> DataFrame:
