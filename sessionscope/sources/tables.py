@@ -99,6 +99,22 @@ class ShopTables:
                 .parquet(os.path.join(root, name))
             )
 
+    def materialize(self, spark: SparkSession, name: str = "shop_tables") -> "ShopTables":
+        """Write the tables once under the shared checkpoint folder and read
+        them back in the day-partitioned layout.
+
+        Cuts the lineage back to the source (a lost executor recomputes from
+        the written files, not from the raw events) and lets every later
+        operator prune day partitions.  The folder is the one the cluster
+        names in ``spark.checkpoint.dir``; a machine-local fallback is only
+        set when none is configured (tests).
+        """
+        from sessionscope.session import ensure_checkpoint_dir
+
+        root = os.path.join(ensure_checkpoint_dir(spark), name)
+        self.write(root, mode="overwrite")
+        return ShopTables.from_directory(spark, root)
+
     def named(self) -> dict[str, DataFrame]:
         return {
             "website_sessions": self.sessions,

@@ -61,3 +61,9 @@ def test_write_and_read_back(spark, tmp_path):
     assert back.sessions.count() == 397
     assert back.pageviews.count() == 1000
     assert back.orders.count() == 202
+
+
+def test_materialize_in_checkpoint_folder(spark):
+    t = ShopTables.from_events(spark, DATA_SMALL).materialize(spark, name="test_materialize")
+    assert t.sessions.count() == 397
+    assert "created_date" in t.pageviews.columns
