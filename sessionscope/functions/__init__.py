@@ -9,11 +9,13 @@ from sessionscope.functions.metrics import (
     ratio,
     with_order_counts,
 )
+from sessionscope.functions.sql_functions import register_sql_functions
 from sessionscope.functions.timebuckets import (
     time_window,
     ts_literal,
     week_sunday0,
     weekday_mon0,
+    within,
     yearweek_sunday,
 )
 
@@ -24,8 +26,10 @@ __all__ = [
     "order_total",
     "orders_per_session",
     "ratio",
+    "register_sql_functions",
     "time_window",
     "ts_literal",
+    "within",
     "week_sunday0",
     "weekday_mon0",
     "with_order_counts",
