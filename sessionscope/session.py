@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if fallback is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder on shared storage; "
+            "a machine-local folder does not survive the loss of an executor"
+        )
     target = fallback or tempfile.mkdtemp(prefix="sessionscope-ckpt-")
     os.makedirs(target, exist_ok=True)
     spark.sparkContext.setCheckpointDir(target)
