@@ -33,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _s(fn, **kw) -> Query:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.from_events(spark, data_dir)
+        t = ShopTables.for_session(spark, data_dir)
         return fn(t.sessions, **kw)
 
     return run
@@ -41,7 +41,7 @@ def _s(fn, **kw) -> Query:
 
 def _so(fn, **kw) -> Query:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.from_events(spark, data_dir)
+        t = ShopTables.for_session(spark, data_dir)
         return fn(t.sessions, t.orders, **kw)
 
     return run
@@ -49,7 +49,7 @@ def _so(fn, **kw) -> Query:
 
 def _sp(fn, **kw) -> Query:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.from_events(spark, data_dir)
+        t = ShopTables.for_session(spark, data_dir)
         return fn(t.sessions, t.pageviews, **kw)
 
     return run
@@ -57,7 +57,7 @@ def _sp(fn, **kw) -> Query:
 
 def _p(fn, **kw) -> Query:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.from_events(spark, data_dir)
+        t = ShopTables.for_session(spark, data_dir)
         return fn(t.pageviews, **kw)
 
     return run
@@ -65,7 +65,7 @@ def _p(fn, **kw) -> Query:
 
 def _po(fn, **kw) -> Query:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.from_events(spark, data_dir)
+        t = ShopTables.for_session(spark, data_dir)
         return fn(t.pageviews, t.orders, **kw)
 
     return run

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionscope.functions.timebuckets import PARTITION_DATE
-
 from sessionscope.sources.events import (
     orders_from_events,
     pageviews_from_events,
@@ -26,11 +26,51 @@ from sessionscope.sources.schemas import (
 )
 
 
-@dataclass(frozen=True)
+# derived-table handles per Spark session (see ShopTables.for_session)
+_HANDLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
 class ShopTables:
-    sessions: DataFrame
-    pageviews: DataFrame
-    orders: DataFrame
+    """``sessions``, ``pageviews`` and ``orders`` DataFrames.
+
+    Either given directly, or derived on first access from an events frame
+    (each derived table is built only when an operator asks for it).
+    """
+
+    _NAMES = ("sessions", "pageviews", "orders")
+
+    def __init__(
+        self,
+        sessions: DataFrame | None = None,
+        pageviews: DataFrame | None = None,
+        orders: DataFrame | None = None,
+        *,
+        derive: dict[str, Callable[[], DataFrame]] | None = None,
+    ) -> None:
+        self._frames = {"sessions": sessions, "pageviews": pageviews, "orders": orders}
+        self._derive = derive or {}
+
+    def _get(self, name: str) -> DataFrame:
+        if self._frames[name] is None:
+            if name not in self._derive:
+                raise ValueError(f"no {name} table")
+            self._frames[name] = self._derive[name]()
+        return self._frames[name]
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self._get("sessions")
+
+    @property
+    def pageviews(self) -> DataFrame:
+        return self._get("pageviews")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._get("orders")
+
+    def __repr__(self) -> str:
+        return f"ShopTables({', '.join(n for n in self._NAMES)})"
 
     # -- loaders ---------------------------------------------------------
     @classmethod
@@ -43,11 +83,33 @@ class ShopTables:
     @classmethod
     def from_events_frame(cls, events: DataFrame) -> "ShopTables":
         return cls(
-            sessions=sessions_from_events(events),
-            pageviews=pageviews_from_events(events),
-            orders=orders_from_events(events),
+            derive={
+                "sessions": lambda: sessions_from_events(events),
+                "pageviews": lambda: pageviews_from_events(events),
+                "orders": lambda: orders_from_events(events),
+            }
         )
 
+    @classmethod
+    def for_session(cls, spark: SparkSession, data_dir: str) -> "ShopTables":
+        """``from_events`` handles reused per Spark session and events file.
+
+        Only plan objects are reused (nothing is cached in memory); a changed
+        file (size or modification time) gets fresh handles.
+        """
+        path = os.path.join(data_dir, "events.parquet")
+        try:
+            st = os.stat(path)
+            stamp = (st.st_size, st.st_mtime_ns)
+        except OSError:  # remote storage: no reuse
+            return cls.from_events(spark, data_dir)
+        per_session = _HANDLES.setdefault(spark, {})
+        key = (os.path.abspath(data_dir), stamp)
+        if key not in per_session:
+            per_session.clear()
+            per_session[key] = cls.from_events(spark, data_dir)
+        return per_session[key]
+
     @classmethod
     def from_parquet(
         cls,
