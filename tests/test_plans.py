@@ -18,6 +18,8 @@ def test_no_python_no_cartesian_no_expand(spark, name):
     assert not s["python"], name
     assert not s["cartesian"], name
     assert not s["expand"], name
+    # whole tables: no row cap anywhere in a registered query
+    assert "Limit" not in s["text"].split("\n\n(")[0], name
 
 
 @pytest.mark.parametrize(
