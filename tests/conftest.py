@@ -15,7 +15,13 @@ DATA_ORACLE = "/root/testdata/sf0.01"
 def spark(tmp_path_factory):
     from sessionscope.session import build_session, ensure_checkpoint_dir
 
-    session = build_session("local[*]", app_name="sessionscope-tests", shuffle_partitions=8)
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    session = build_session(
+        "local[*]",
+        app_name="sessionscope-tests",
+        shuffle_partitions=8,
+        extra_conf={"spark.sql.warehouse.dir": warehouse},
+    )
     # tests only: a local checkpoint folder when the session names none
     ensure_checkpoint_dir(session, str(tmp_path_factory.mktemp("ckpt")))
     yield session

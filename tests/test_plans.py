@@ -51,3 +51,31 @@ def test_filters_and_columns_pushed_to_parquet(spark, tmp_path):
     # the sessions scan reads only the columns the operator uses
     assert any("http_referer" not in rs and "device_type" in rs for rs in s["read_schemas"])
     assert "PartitionFilters: [isnotnull(created_date" in s["text"]
+
+
+def test_bucketed_tables_co_locate_per_session_work(spark):
+    from tests.conftest import DATA_ORACLE
+    from tests.helpers import rows
+
+    derived = ShopTables.from_events(spark, DATA_ORACLE)
+    derived.save_as_tables("shop_bucketed", buckets=8, mode="overwrite")
+    t = ShopTables.from_tables(spark, "shop_bucketed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cases = [
+            (ops.funnel_counts, (t.sessions, t.pageviews), (derived.sessions, derived.pageviews),
+             dict(start="2024-01-05", end="2024-01-25")),
+            (ops.conversion_by_device, (t.sessions, t.orders), (derived.sessions, derived.orders),
+             dict(end="2024-01-20")),
+            (ops.bounce_rate_by_landing_page, (t.sessions, t.pageviews), (derived.sessions, derived.pageviews),
+             dict(end="2024-01-28")),
+        ]
+        for op, bucketed_args, derived_args, kw in cases:
+            df = op(*bucketed_args, **kw)
+            tree = plan_summary(df)["text"].split("\n\n(")[0]
+            # only the final small aggregation shuffles; the per-session
+            # aggregation and the session join read the bucketing
+            assert tree.count("Exchange") == 1, op.__name__
+            assert rows(df) == rows(op(*derived_args, **kw)), op.__name__
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
