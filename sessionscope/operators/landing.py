@@ -7,12 +7,14 @@ result is not copied by hand.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, key_count_when, ratio
 from sessionscope.functions.timebuckets import TimeBound, yearweek_sunday
-from sessionscope.operators.common import session_cohort, sql_string
+from sessionscope.operators.common import session_cohort, session_pageviews, sql_string
 from sessionscope.operators.pages import landing_profile
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
@@ -43,6 +45,7 @@ def _test_profile(
     utm_source: str,
     utm_campaign: str,
     end: TimeBound,
+    horizon: timedelta | None = None,
 ) -> DataFrame:
     """Per test session (cohort sessions with a pageview after the launch id):
     first post-launch pageview id, its URL when it is a variant, and the
@@ -50,7 +53,8 @@ def _test_profile(
     """
     after_launch = F.col(PAGEVIEW_ID) > launch_pageview_id(pageviews, launch_page)
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    profile = landing_profile(pageviews, after_launch, variants).filter(
+    counted = session_pageviews(pageviews, end=end, horizon=horizon)
+    profile = landing_profile(counted, after_launch, variants).filter(
         "first_pageview_id IS NOT NULL"
     )
     # semi join: only the cohort's ids are needed; both sides hold one row per session
@@ -65,13 +69,14 @@ def test_first_pageviews(
     utm_source: str = "gsearch",
     utm_campaign: str = "nonbrand",
     end: TimeBound = "2012-07-28",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """First pageview id after the launch, per cohort session.
 
     Out: website_session_id, min_pageview_id.
     """
     return _test_profile(
-        sessions, pageviews, launch_page, (), utm_source, utm_campaign, end
+        sessions, pageviews, launch_page, (), utm_source, utm_campaign, end, pageview_horizon
     ).select(SESSION_ID, F.col("first_pageview_id").alias("min_pageview_id"))
 
 
@@ -83,8 +88,11 @@ def _test_landings(
     utm_source: str,
     utm_campaign: str,
     end: TimeBound,
+    horizon: timedelta | None = None,
 ) -> DataFrame:
-    profile = _test_profile(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
+    profile = _test_profile(
+        sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, horizon
+    )
     return profile.filter("landing_page IS NOT NULL")
 
 
@@ -97,13 +105,14 @@ def test_landing_pages(
     utm_source: str = "gsearch",
     utm_campaign: str = "nonbrand",
     end: TimeBound = "2012-07-28",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Test sessions that landed on one of the variants.
 
     Out: website_session_id, landing_page.
     """
     return _test_landings(
-        sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end
+        sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
     ).select(SESSION_ID, "landing_page")
 
 
@@ -116,13 +125,16 @@ def test_bounced_sessions(
     utm_source: str = "gsearch",
     utm_campaign: str = "nonbrand",
     end: TimeBound = "2012-07-28",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Test sessions with one pageview in total.
 
     Out: website_session_id, landing_page, count_of_pages_viewed.
     """
     return (
-        _test_landings(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
+        _test_landings(
+            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
+        )
         .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
@@ -137,12 +149,15 @@ def test_bounce_markers(
     utm_source: str = "gsearch",
     utm_campaign: str = "nonbrand",
     end: TimeBound = "2012-07-28",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Every test session with its id again when it bounced, else NULL.
 
     Out: landing_page, website_session_id, bounced_website_session_id.
     """
-    landed = _test_landings(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
+    landed = _test_landings(
+            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
+        )
     return landed.selectExpr(
         "landing_page",
         SESSION_ID,
@@ -159,12 +174,15 @@ def bounce_rate_by_landing_page(
     utm_source: str = "gsearch",
     utm_campaign: str = "nonbrand",
     end: TimeBound = "2012-07-28",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Sessions, bounced sessions and bounce rate per landing variant.
 
     Out: landing_page, sessions, bounced_sessions, bounce_rate.
     """
-    landed = _test_landings(sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end)
+    landed = _test_landings(
+            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
+        )
     return (
         landed.groupBy("landing_page")
         .agg(
@@ -207,6 +225,7 @@ def session_first_pv_and_count(
     utm_campaign: str = "nonbrand",
     start: TimeBound = "2012-06-01",
     end: TimeBound = "2012-08-31",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """First pageview id and pageview count of every cohort session
     (``start <= created_at <= end``); sessions without pageviews stay, with
@@ -214,7 +233,8 @@ def session_first_pv_and_count(
 
     Out: website_session_id, first_pageview_id, count_pageviews.
     """
-    per_session = pageviews.groupBy(SESSION_ID).agg(
+    counted = session_pageviews(pageviews, start, end, pageview_horizon)
+    per_session = counted.groupBy(SESSION_ID).agg(
         F.min(PAGEVIEW_ID).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_pageviews"),
     )
@@ -232,6 +252,7 @@ def session_landing_details(
     utm_campaign: str = "nonbrand",
     start: TimeBound = "2012-06-01",
     end: TimeBound = "2012-08-31",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Cohort sessions with first pageview, count, landing URL and its time.
 
@@ -240,7 +261,8 @@ def session_landing_details(
     Out: website_session_id, first_pageview_id, count_pageviews, landing_page,
     session_created_at.
     """
-    per_session = pageviews.groupBy(SESSION_ID).agg(
+    counted = session_pageviews(pageviews, start, end, pageview_horizon)
+    per_session = counted.groupBy(SESSION_ID).agg(
         F.min(PAGEVIEW_ID).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_pageviews"),
         F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv"),
@@ -265,6 +287,7 @@ def weekly_bounce_trend(
     end: TimeBound = "2012-08-31",
     pages: tuple[str, str] = (HOME_PAGE, NEW_LANDER),
     include_counts: bool = False,
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Weekly (YEARWEEK of the landing time) bounce rate and sessions per
     landing page; sessions without pageviews form a NULL week.
@@ -275,7 +298,8 @@ def weekly_bounce_trend(
     Out: week_start_date, bounce_rate, home_sessions, lander_sessions
     (+ year_week, total_sessions, bounced_sessions with ``include_counts``).
     """
-    per_session = pageviews.groupBy(SESSION_ID).agg(
+    counted = session_pageviews(pageviews, start, end, pageview_horizon)
+    per_session = counted.groupBy(SESSION_ID).agg(
         F.min(PAGEVIEW_ID).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_pageviews"),
         F.min_by(F.col("created_at"), F.col(PAGEVIEW_ID)).alias("session_created_at"),

@@ -21,12 +21,14 @@ string buffer makes Spark sort-aggregate, still one shuffle and spill-safe.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import key_count, key_count_when, ratio
 from sessionscope.functions.timebuckets import TimeBound, time_window, within
-from sessionscope.operators.common import sql_string
+from sessionscope.operators.common import session_pageviews, sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
@@ -109,43 +111,58 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
     )
 
 
-def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
-    profile = landing_profile(pageviews, time_window("created_at", end=end), (landing_page,))
+def _landed_sessions(
+    pageviews: DataFrame, end: TimeBound, landing_page: str, horizon: timedelta | None = None
+) -> DataFrame:
+    counted = session_pageviews(pageviews, end=end, horizon=horizon)
+    profile = landing_profile(counted, time_window("created_at", end=end), (landing_page,))
     return profile.filter("landing_page IS NOT NULL")
 
 
 def sessions_with_landing_page(
-    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
+    pageviews: DataFrame,
+    *,
+    end: TimeBound = "2012-06-14",
+    landing_page: str = "/home",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Sessions whose first pageview before ``end`` is ``landing_page``.
 
     Out: website_session_id, landing_page.
     """
-    return _landed_sessions(pageviews, end, landing_page).select(SESSION_ID, "landing_page")
+    return _landed_sessions(pageviews, end, landing_page, pageview_horizon).select(SESSION_ID, "landing_page")
 
 
 def bounced_sessions(
-    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
+    pageviews: DataFrame,
+    *,
+    end: TimeBound = "2012-06-14",
+    landing_page: str = "/home",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Landed sessions with exactly one pageview in total.
 
     Out: website_session_id, landing_page, count_of_pages_viewed.
     """
     return (
-        _landed_sessions(pageviews, end, landing_page)
+        _landed_sessions(pageviews, end, landing_page, pageview_horizon)
         .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
 
 
 def bounce_markers(
-    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
+    pageviews: DataFrame,
+    *,
+    end: TimeBound = "2012-06-14",
+    landing_page: str = "/home",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Every landed session with its id again when it bounced, else NULL.
 
     Out: website_session_id, bounced_website_session_id (ordered by session).
     """
-    landed = _landed_sessions(pageviews, end, landing_page)
+    landed = _landed_sessions(pageviews, end, landing_page, pageview_horizon)
     return landed.selectExpr(
         SESSION_ID,
         f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
@@ -153,13 +170,17 @@ def bounce_markers(
 
 
 def bounce_rate(
-    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
+    pageviews: DataFrame,
+    *,
+    end: TimeBound = "2012-06-14",
+    landing_page: str = "/home",
+    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """One row: landed sessions, bounced sessions, bounced / landed.
 
     Out: sessions, bounced_sessions, bounce_rate.
     """
-    landed = _landed_sessions(pageviews, end, landing_page)
+    landed = _landed_sessions(pageviews, end, landing_page, pageview_horizon)
     return landed.agg(
         key_count().alias("sessions"),
         key_count_when("count_of_pages_viewed = 1").alias("bounced_sessions"),
