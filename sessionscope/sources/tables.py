@@ -149,13 +149,15 @@ class ShopTables:
 
         Day partitions let the time windows of every operator prune whole
         directories; within a day, rows are clustered by session id so the
-        per-session aggregations combine well map-side.
+        per-session aggregations combine well map-side.  Range partitioning
+        on (day, session) splits a large (or hot) day over several tasks and
+        files instead of sending a whole day to one task.
         """
         for name, df in self.named().items():
             (
                 df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-                .repartition(PARTITION_DATE)
-                .sortWithinPartitions(SESSION_ID)
+                .repartitionByRange(PARTITION_DATE, SESSION_ID)
+                .sortWithinPartitions(PARTITION_DATE, SESSION_ID)
                 .write.mode(mode)
                 .partitionBy(PARTITION_DATE)
                 .parquet(os.path.join(root, name))
@@ -169,15 +171,18 @@ class ShopTables:
 
         Every per-session aggregation and every session-keyed join then reads
         an existing hash partitioning: Spark plans them without an Exchange,
-        and the three tables are co-located bucket by bucket.  Rows are
-        repartitioned by bucket key first, so each bucket is one file per day.
+        and the three tables are co-located bucket by bucket.  Rows are first
+        hash-partitioned by (day, bucket id), so each (day, bucket) is written
+        by one task as one file, and no task holds a bucket's whole history.
         """
         spark = self.sessions.sparkSession
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        # the bucket id Spark assigns: pmod(murmur3 hash(key), buckets)
+        bucket_id = F.expr(f"pmod(hash({SESSION_ID}), {int(buckets)})")
         for name, df in self.named().items():
             (
                 df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-                .repartition(buckets, SESSION_ID)
+                .repartition(PARTITION_DATE, bucket_id)
                 .write.mode(mode)
                 .partitionBy(PARTITION_DATE)
                 .bucketBy(buckets, SESSION_ID)
