@@ -30,45 +30,41 @@ PAID = {"utm_source": "gsearch", "utm_campaign": "nonbrand"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Which tables an operator takes, in order: s = sessions, p = pageviews, o = orders.
+_TABLES = {"s": "sessions", "p": "pageviews", "o": "orders"}
 
-def _s(fn, **kw) -> Query:
-    def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.for_session(spark, data_dir)
-        return fn(t.sessions, **kw)
 
-    return run
+class Spec:
+    """An operator with its fixture parameters; runs on any ``ShopTables``."""
 
+    def __init__(self, fn, tables: str, **params) -> None:
+        self.fn, self.tables, self.params = fn, tables, params
 
-def _so(fn, **kw) -> Query:
-    def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.for_session(spark, data_dir)
-        return fn(t.sessions, t.orders, **kw)
+    def on(self, shop: ShopTables) -> DataFrame:
+        return self.fn(*[getattr(shop, _TABLES[t]) for t in self.tables], **self.params)
 
-    return run
+    def __call__(self, spark: SparkSession, data_dir: str) -> DataFrame:
+        return self.on(ShopTables.for_session(spark, data_dir))
 
 
-def _sp(fn, **kw) -> Query:
-    def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.for_session(spark, data_dir)
-        return fn(t.sessions, t.pageviews, **kw)
+def _s(fn, **kw) -> Spec:
+    return Spec(fn, "s", **kw)
 
-    return run
 
+def _so(fn, **kw) -> Spec:
+    return Spec(fn, "so", **kw)
 
-def _p(fn, **kw) -> Query:
-    def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.for_session(spark, data_dir)
-        return fn(t.pageviews, **kw)
 
-    return run
+def _sp(fn, **kw) -> Spec:
+    return Spec(fn, "sp", **kw)
 
 
-def _po(fn, **kw) -> Query:
-    def run(spark: SparkSession, data_dir: str) -> DataFrame:
-        t = ShopTables.for_session(spark, data_dir)
-        return fn(t.pageviews, t.orders, **kw)
+def _p(fn, **kw) -> Spec:
+    return Spec(fn, "p", **kw)
 
-    return run
+
+def _po(fn, **kw) -> Spec:
+    return Spec(fn, "po", **kw)
 
 
 _LANDING_TEST = dict(PAID, end=END_0128)
@@ -76,7 +72,7 @@ _LANDING_TREND = dict(PAID, start=W16_START, end=W16_END)
 _FUNNEL = dict(PAID, start=FUNNEL_START, end=FUNNEL_END)
 _VARIANT = dict(end=END_0128)
 
-QUERIES: dict[str, Query] = {
+QUERIES: dict[str, Spec] = {
     # traffic
     "top_traffic_sources": _s(ops.top_traffic_sources, end=END_0120),
     "conversion_rate": _so(ops.conversion_rate, **PAID, end=END_0120),
