@@ -191,13 +191,31 @@ class ShopTables:
             )
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, database: str) -> "ShopTables":
-        """Catalog tables written by :meth:`save_as_tables`."""
-        tables = cls(
-            spark.table(f"{database}.website_sessions"),
-            spark.table(f"{database}.website_pageviews"),
-            spark.table(f"{database}.shop_orders"),
-        )
+    def from_tables(
+        cls, spark: SparkSession, database: str, *, bucketed_reads: bool = True
+    ) -> "ShopTables":
+        """Catalog tables written by :meth:`save_as_tables`.
+
+        With ``bucketed_reads`` Spark uses the bucketing (no shuffle for
+        per-session work), but it reads each bucket in one task, so a bucket
+        that holds a hot session is one large task.  ``bucketed_reads=False``
+        reads the same files as a plain day-partitioned table: the per-session
+        steps then shuffle map-side partial aggregates, which spreads a hot
+        session over all map tasks.
+        """
+
+        def read(name: str) -> DataFrame:
+            table = spark.table(f"{database}.{name}")
+            if bucketed_reads:
+                return table
+            location = (
+                spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}")
+                .filter("col_name = 'Location'")
+                .first()["data_type"]
+            )
+            return spark.read.schema(table.schema).parquet(location)
+
+        tables = cls(read("website_sessions"), read("website_pageviews"), read("shop_orders"))
         tables.check_columns()
         return tables
 
@@ -224,9 +242,12 @@ class ShopTables:
             "shop_orders": self.orders,
         }
 
-    def register_views(self) -> None:
-        """Expose the tables to ``spark.sql`` under their reference names."""
-        for name, df in self.named().items():
+    def register_views(self, orders_name: str = "shop_orders") -> None:
+        """Expose the tables to ``spark.sql`` as ``website_sessions``,
+        ``website_pageviews`` and ``orders_name`` (``"orders"`` lets SQL
+        written for the original tables run unchanged)."""
+        views = {"website_sessions": self.sessions, "website_pageviews": self.pageviews, orders_name: self.orders}
+        for name, df in views.items():
             df.createOrReplaceTempView(name)
 
     # -- checks ----------------------------------------------------------

@@ -79,6 +79,11 @@ def test_bucketed_tables_co_locate_per_session_work(spark):
             # aggregation and the session join read the bucketing
             assert tree.count("Exchange") == 1, op.__name__
             assert rows(df) == rows(op(*derived_args, **kw)), op.__name__
+        # opting out of bucketed reads gives the shuffle (skew-spreading) plan, same rows
+        plain = ShopTables.from_tables(spark, "shop_bucketed", bucketed_reads=False)
+        df = ops.funnel_counts(plain.sessions, plain.pageviews, start="2024-01-05", end="2024-01-25")
+        assert plan_summary(df)["text"].split("\n\n(")[0].count("Exchange") > 1
+        assert rows(df) == rows(ops.funnel_counts(t.sessions, t.pageviews, start="2024-01-05", end="2024-01-25"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
