@@ -21,6 +21,9 @@ _BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # compiled whole-stage code is cached per generated source; a session
+    # running dozens of distinct operators needs more than the default 100
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 

@@ -61,12 +61,14 @@ def _sql_str(v: str | None) -> str:
 
 
 def _pick_sql(values: list[str | None], index_sql: str) -> str:
-    """Entry ``index`` (0-based) of a literal list as a CASE lookup; NULL for
-    an index outside the list (never an error, also under ANSI mode)."""
-    branches = " ".join(
-        f"WHEN {i} THEN {_sql_str(v)}" for i, v in enumerate(values) if v is not None
+    """Entry ``index`` (0-based) of a literal list: one array lookup (compact
+    when Catalyst pushes a filter on it into the scan); NULL for an index
+    outside the list, never an error, also under ANSI mode."""
+    items = ", ".join(f"CAST({_sql_str(v)} AS STRING)" for v in values)
+    return (
+        f"CASE WHEN ({index_sql}) BETWEEN 0 AND {len(values) - 1} "
+        f"THEN element_at(array({items}), ({index_sql}) + 1) END"
     )
-    return f"CAST(CASE {index_sql} {branches} END AS STRING)"
 
 
 # The expressions are written as SQL text: one JVM call builds each of them,
