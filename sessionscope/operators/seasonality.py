@@ -1,4 +1,4 @@
-"""Business patterns: weekly volume and the hour × weekday profile."""
+"""Seasonality: weekly volume and the hour × weekday profile."""
 
 from __future__ import annotations
 
