@@ -67,3 +67,19 @@ def test_materialize_in_checkpoint_folder(spark):
     t = ShopTables.from_events(spark, DATA_SMALL).materialize(spark, name="test_materialize")
     assert t.sessions.count() == 397
     assert "created_date" in t.pageviews.columns
+
+
+def test_validate_keys_detects_violations(spark):
+    from tests.helpers import shop
+
+    dup = shop(
+        spark,
+        sessions=[(1, "2024-01-01 00:00:00", None, None, "desktop", None)] * 2,
+        pageviews=[(5, "2024-01-01 00:00:00", 1, "/home"), (5, "2024-01-01 00:01:00", 1, "/home")],
+        orders=[(9, "2024-01-01 00:02:00", 1)],
+    )
+    assert dup.validate_keys() == {
+        "sessions.website_session_id": False,
+        "pageviews.website_pageview_id": False,
+        "orders.order_id": True,
+    }
