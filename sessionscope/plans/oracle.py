@@ -63,9 +63,14 @@ shop_orders AS (
 )"""
 
 
-def _q(body: str, *ctes: str) -> str:
-    extra = "".join(",\n" + c.strip() for c in ctes)
-    return "WITH" + _BASE_CTES + extra + "\n" + body.strip()
+def _q(body: str, *ctes: str) -> tuple[str, tuple[str, ...]]:
+    return body, ctes
+
+
+def _compose(body: str, ctes: tuple[str, ...], with_base: bool) -> str:
+    parts = ([_BASE_CTES.strip()] if with_base else []) + [c.strip() for c in ctes]
+    head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
+    return head + body.strip()
 
 
 def _ts(text: str) -> str:
@@ -228,7 +233,7 @@ def _group_count(group: str) -> str:
     return f"COUNT(DISTINCT CASE WHEN channel_group = '{group}' THEN website_session_id END)"
 
 
-ORACLE_SQL: dict[str, str] = {
+_QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     # ---------------------------------------------------------------- traffic
     "top_traffic_sources": _q(f"""
 SELECT utm_source, utm_campaign, http_referer,
@@ -546,3 +551,14 @@ FROM ({_BILLING_ROWS}
 ) AS billing_sessions_w_orders
 GROUP BY billing_version_seen"""),
 }
+
+
+# DuckDB SQL over the events table (the shop tables derived as CTEs).
+ORACLE_SQL: dict[str, str] = {k: _compose(b, c, True) for k, (b, c) in _QUERIES.items()}
+
+
+def oracle_on_shop_tables(name: str) -> str:
+    """The same query over tables named website_sessions, website_pageviews
+    and shop_orders (e.g. hand-made or random fixtures registered in DuckDB)."""
+    body, ctes = _QUERIES[name]
+    return _compose(body, ctes, False)
