@@ -38,7 +38,8 @@ URLS = [
 BOUNDS = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 5, 20, 22, 25, 28, 29, 31)]
 
 
-def random_shop_rows(seed: int, n_sessions: int = 400):
+def random_shop_rows(seed: int, n_sessions: int = 400, hot_share: float = 0.0):
+    """``hot_share`` > 0 gives one session that share of all pageviews and orders."""
     rng = np.random.default_rng(seed)
     start = dt.datetime(2023, 12, 30)
     sessions, raw_pvs, orders = [], [], []
@@ -56,6 +57,14 @@ def random_shop_rows(seed: int, n_sessions: int = 400):
             raw_pvs.append((t + lag, sid, URLS[rng.integers(len(URLS))]))
         for _ in range(int(rng.choice([0, 0, 0, 1, 2]))):
             orders.append((t + dt.timedelta(minutes=int(rng.integers(0, 90))), sid))
+    if hot_share > 0:
+        hot_sid, hot_t = sessions[0][0], sessions[0][1]
+        n_hot = int(len(raw_pvs) * hot_share / (1 - hot_share))
+        for _ in range(n_hot):
+            lag = dt.timedelta(minutes=int(rng.integers(0, 36 * 60)))
+            raw_pvs.append((hot_t + lag, hot_sid, URLS[rng.integers(len(URLS))]))
+        for _ in range(int(len(orders) * hot_share / (1 - hot_share))):
+            orders.append((hot_t + dt.timedelta(minutes=int(rng.integers(0, 90))), hot_sid))
     raw_pvs.sort(key=lambda r: r[0])  # pageview ids rise with time
     pageviews = [(1 + k, t, sid, url) for k, (t, sid, url) in enumerate(raw_pvs)]
     orders = [(500_000 + k, t, sid, 10.0) for k, (t, sid) in enumerate(orders)]
@@ -83,9 +92,9 @@ def _multiset(tbl, cols):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in tbl.to_pylist()), key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_all_queries_on_random_tables(spark, seed):
-    s_rows, p_rows, o_rows = random_shop_rows(seed)
+@pytest.mark.parametrize("seed,hot_share", [(1, 0.0), (2, 0.0), (3, 0.0), (4, 1 / 3)])
+def test_all_queries_on_random_tables(spark, seed, hot_share):
+    s_rows, p_rows, o_rows = random_shop_rows(seed, hot_share=hot_share)
     shop = ShopTables(
         spark.createDataFrame(s_rows, SESSIONS_SCHEMA),
         spark.createDataFrame(p_rows, PAGEVIEWS_SCHEMA),
