@@ -328,3 +328,8 @@ def weekly_bounce_trend(
         "lander_sessions",
     ]
     return weekly.orderBy("year_week").select(*cols)
+
+
+# the landing-test operators are named after the analysis, not pytest tests
+for _op in (test_first_pageviews, test_landing_pages, test_bounced_sessions, test_bounce_markers):
+    _op.__test__ = False
