@@ -15,3 +15,15 @@ def test_run_writes_parquet(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.columns == ["yrwk", "week_start_date", "total_nonbrand_sessions", "gsearch_sessions", "bsearch_sessions"]
     assert got.count() > 0
+
+
+def test_run_on_saved_tables(spark, tmp_path):
+    from sessionscope.sources.tables import ShopTables
+
+    ShopTables.from_events(spark, DATA_SMALL).save_as_tables("cli_shop", buckets=4, mode="overwrite")
+    out = str(tmp_path / "out_tables")
+    assert main(["run", "funnel_counts", "--tables", "cli_shop", "--out", out]) == 0
+    via_tables = spark.read.parquet(out).collect()
+    direct = main(["run", "funnel_counts", "--data", DATA_SMALL, "--out", str(tmp_path / "out_events")])
+    assert direct == 0
+    assert via_tables == spark.read.parquet(str(tmp_path / "out_events")).collect()
