@@ -14,4 +14,6 @@ Layout
 from sessionscope.session import build_session, ensure_checkpoint_dir
 from sessionscope.sources.tables import ShopTables
 
+__version__ = "0.1.0"
+
 __all__ = ["ShopTables", "build_session", "ensure_checkpoint_dir"]
