@@ -83,3 +83,26 @@ def test_validate_keys_detects_violations(spark):
         "pageviews.website_pageview_id": False,
         "orders.order_id": True,
     }
+
+
+@pytest.mark.parametrize("fmt,options", [("orc", {}), ("csv", {"header": "true"}), ("json", {})])
+def test_load_other_formats(spark, tmp_path, fmt, options):
+    from sessionscope import operators as ops
+    from tests.helpers import rows
+
+    t = ShopTables.from_events(spark, DATA_SMALL)
+    paths = {}
+    for name, df in t.named().items():
+        paths[name] = str(tmp_path / fmt / name)
+        writer = df.write.format(fmt)
+        for k, v in options.items():
+            writer = writer.option(k, v)
+        writer.save(paths[name])
+    back = ShopTables.load(spark, paths, format=fmt, options=options)
+    kw = dict(start="2024-01-05", end="2024-01-25")
+    assert rows(ops.funnel_counts(back.sessions, back.pageviews, **kw)) == rows(
+        ops.funnel_counts(t.sessions, t.pageviews, **kw)
+    )
+    assert rows(ops.conversion_by_device(back.sessions, back.orders, end="2024-01-20")) == rows(
+        ops.conversion_by_device(t.sessions, t.orders, end="2024-01-20")
+    )
