@@ -131,6 +131,8 @@ def within(
 
     When the table is stored partitioned by day (a ``created_date`` column),
     the implied partition predicate is added so the scan skips whole days.
+    ``created_date`` is reserved for ``to_date(created_at)``, as every layout
+    written by this library defines it.
     """
     pred = time_window_sql(
         "created_at", start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
