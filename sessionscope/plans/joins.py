@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 
 def left_join_fanout(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left ⟕ right`` on ``key`` for a ``left`` with one row per key.
+    """``left ⟕ right`` on ``key`` (any number of rows per key on either side).
 
     Output columns: ``key``, the other ``left`` columns, then the ``right``
     columns (NULL for left rows without a partner), as ``DataFrame.join`` with
