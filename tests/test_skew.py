@@ -101,3 +101,14 @@ def test_bounce_rate_by_landing_page_matches_brute_force(spark, skewed):
         GROUP BY lp.landing_page
     """))
     assert got == want
+
+
+def test_left_join_fanout_with_many_left_rows_per_key(skewed):
+    left = skewed.pageviews.filter("pageview_url IN ('/billing', '/billing-2')").select(
+        SESSION_ID, "pageview_url"
+    )
+    right = skewed.orders.select(SESSION_ID, "order_id")
+    a = left_join_fanout(left, right, SESSION_ID)
+    b = left.join(right, SESSION_ID, "left").select(*a.columns)
+    assert a.count() == b.count()
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
