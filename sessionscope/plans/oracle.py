@@ -1,8 +1,10 @@
 """DuckDB twins of the registered queries (the correctness oracle).
 
-Written independently of the DataFrame operators, in the shape of the original
-scripts: ``COUNT(DISTINCT …)``, joins back to pageviews for URLs, HAVING for
-bounces, scalar subqueries for launch ids.  Only ``events`` is registered in
+Written independently of the DataFrame operators, in DuckDB's own idioms:
+``count(DISTINCT …) FILTER (WHERE …)`` for conditional counts, ``arg_min``
+for the URL and time of a session's first pageview, one table of per-session
+pageview facts joined to each cohort, ``IN`` semi-joins and scalar
+subqueries for launch ids.  Only ``events`` is registered in
 DuckDB, so every query starts with CTEs that derive ``website_sessions``,
 ``website_pageviews`` and ``shop_orders`` by the fixture rules.  Types are cast
 to match Spark (calendar parts INTEGER, counts BIGINT, ratios DOUBLE).
@@ -93,87 +95,8 @@ def _div(num: str, den: str) -> str:
 
 
 _PAID = "utm_source = 'gsearch' AND utm_campaign = 'nonbrand'"
-_PAID_WS = "ws.utm_source = 'gsearch' AND ws.utm_campaign = 'nonbrand'"
-
-# --- website: bounce chain (first pageview before the cutoff, landing /home) --
-_FIRST_PAGEVIEWS = f"""
-first_pageviews AS (
-    SELECT website_session_id, MIN(website_pageview_id) AS min_pageview_id
-    FROM website_pageviews
-    WHERE created_at < {_ts('2024-01-22')}
-    GROUP BY website_session_id
-)"""
-_HOME_LANDING = """
-sessions_w_home_landing_page AS (
-    SELECT first_pageviews.website_session_id, website_pageviews.pageview_url AS landing_page
-    FROM first_pageviews
-    LEFT JOIN website_pageviews
-      ON website_pageviews.website_pageview_id = first_pageviews.min_pageview_id
-    WHERE website_pageviews.pageview_url = '/home'
-)"""
-_BOUNCED = """
-bounced_sessions AS (
-    SELECT s.website_session_id, s.landing_page,
-           COUNT(wp.website_pageview_id) AS count_of_pages_viewed
-    FROM sessions_w_home_landing_page s
-    LEFT JOIN website_pageviews wp ON wp.website_session_id = s.website_session_id
-    GROUP BY s.website_session_id, s.landing_page
-    HAVING COUNT(wp.website_pageview_id) = 1
-)"""
-
-# --- website: landing-page test ----------------------------------------------
-_FIRST_TEST_PV = f"""
-first_test_pageviews AS (
-    SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pageview_id
-    FROM website_pageviews AS wp
-    INNER JOIN website_sessions AS ws ON ws.website_session_id = wp.website_session_id
-    WHERE ws.created_at < {_ts('2024-01-28')}
-      AND wp.website_pageview_id > (
-            SELECT MIN(website_pageview_id) FROM website_pageviews
-            WHERE pageview_url = '/lander-1' AND created_at IS NOT NULL)
-      AND {_PAID_WS}
-    GROUP BY wp.website_session_id
-)"""
-_TEST_LANDING = """
-nonbrand_test_sessions_w_landing_page AS (
-    SELECT ftp.website_session_id, wp.pageview_url AS landing_page
-    FROM first_test_pageviews AS ftp
-    LEFT JOIN website_pageviews AS wp ON wp.website_pageview_id = ftp.min_pageview_id
-    WHERE wp.pageview_url IN ('/home', '/lander-1')
-)"""
-_TEST_BOUNCED = """
-nonbrand_test_bounced_sessions AS (
-    SELECT nlp.website_session_id, nlp.landing_page,
-           COUNT(wp.website_pageview_id) AS count_of_pages_viewed
-    FROM nonbrand_test_sessions_w_landing_page AS nlp
-    LEFT JOIN website_pageviews AS wp ON wp.website_session_id = nlp.website_session_id
-    GROUP BY nlp.website_session_id, nlp.landing_page
-    HAVING COUNT(wp.website_pageview_id) = 1
-)"""
-
-# --- website: landing trend ------------------------------------------------------
-_MIN_PV_COUNT = f"""
-sessions_w_min_pv_id_and_view_count AS (
-    SELECT ws.website_session_id,
-           MIN(wp.website_pageview_id) AS first_pageview_id,
-           COUNT(wp.website_pageview_id) AS count_pageviews
-    FROM website_sessions ws
-    LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-    WHERE ws.created_at >= {_ts('2024-01-02')}
-      AND ws.created_at <= {_ts('2024-01-29')}
-      AND {_PAID_WS}
-    GROUP BY ws.website_session_id
-)"""
-_LANDER_CREATED = """
-sessions_w_counts_lander_and_created_at AS (
-    SELECT sc.website_session_id, sc.first_pageview_id, sc.count_pageviews,
-           wp.pageview_url AS landing_page, wp.created_at AS session_created_at
-    FROM sessions_w_min_pv_id_and_view_count sc
-    LEFT JOIN website_pageviews wp ON sc.first_pageview_id = wp.website_pageview_id
-)"""
-
-# --- funnel ---------------------------------------------------------------------------
-_FUNNEL_STEPS = [
+_BILLING_PAGES = "('/billing', '/billing-2')"
+_STEPS = [  # url, page flag, session flag, reached count, rate over the previous step
     ("/products", "products_page", "product_made_it", "to_products", "lander_click_rt"),
     ("/the-original-mr-fuzzy", "mrfuzzy_page", "mrfuzzy_made_it", "to_mrfuzzy", "products_to_mrfuzzy"),
     ("/cart", "cart_page", "cart_made_it", "to_cart", "mrfuzzy_to_cart"),
@@ -181,375 +104,442 @@ _FUNNEL_STEPS = [
     ("/billing", "billing_page", "billing_made_it", "to_billing", "shipping_to_billing"),
     ("/thank-you-for-your-order", "thankyou_page", "thankyou_made_it", "to_thankyou", "billing_to_thankyou"),
 ]
-_FLAG_COLS = ",\n       ".join(
-    f"CASE WHEN wp.pageview_url = '{url}' THEN 1 ELSE 0 END AS {page}"
-    for url, page, *_ in _FUNNEL_STEPS
-)
-_FUNNEL_FROM = f"""
-FROM website_sessions ws
-LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-WHERE {_PAID_WS}
-  AND ws.created_at > {_ts('2024-01-05')}
-  AND ws.created_at < {_ts('2024-01-25')}"""
-_MADE_IT = f"""
-session_level_made_it_flags AS (
+
+
+def _share(part: str, whole: str) -> str:
+    return _div(part, whole)
+
+
+# Per-session pageview facts over all pageviews: count, first id, and the URL
+# and time at the first id (arg_min), computed once and joined to cohorts.
+_PV_FACTS = """
+pv_facts AS (
     SELECT website_session_id,
-           {", ".join(f"MAX({page}) AS {made}" for _, page, made, *_ in _FUNNEL_STEPS)}
-    FROM (
-        SELECT ws.website_session_id, wp.pageview_url,
-               {_FLAG_COLS}
-        {_FUNNEL_FROM}
-    ) AS pageview_level
+           count(*) AS n_views,
+           min(website_pageview_id) AS first_id,
+           arg_min(pageview_url, website_pageview_id) AS first_url,
+           arg_min(created_at, website_pageview_id) AS first_at
+    FROM website_pageviews
     GROUP BY website_session_id
 )"""
 
+# bounce chain: landing page among pageviews before the cutoff
+_HOME_LANDED = f"""
+early_entry AS (
+    SELECT website_session_id, arg_min(pageview_url, website_pageview_id) AS entry_url
+    FROM website_pageviews
+    WHERE created_at < {_ts('2024-01-22')}
+    GROUP BY website_session_id
+),
+home_landed AS (
+    SELECT e.website_session_id, e.entry_url AS landing_page, f.n_views
+    FROM early_entry e JOIN pv_facts f USING (website_session_id)
+    WHERE e.entry_url = '/home'
+)"""
 
-def _reached(made: str) -> str:
-    return f"COUNT(DISTINCT CASE WHEN {made} = 1 THEN website_session_id ELSE NULL END)"
+# landing test: first pageview after the launch id, cohort by session filters
+_TEST_LANDED = f"""
+lander_start AS (
+    SELECT min(website_pageview_id) AS launch_id
+    FROM website_pageviews
+    WHERE pageview_url = '/lander-1' AND created_at IS NOT NULL
+),
+test_cohort AS (
+    SELECT website_session_id FROM website_sessions
+    WHERE {_PAID} AND created_at < {_ts('2024-01-28')}
+),
+post_launch AS (
+    SELECT website_session_id,
+           min(website_pageview_id) AS min_pageview_id,
+           arg_min(pageview_url, website_pageview_id) AS landing_page
+    FROM website_pageviews
+    WHERE website_pageview_id > (SELECT launch_id FROM lander_start)
+      AND website_session_id IN (SELECT website_session_id FROM test_cohort)
+    GROUP BY website_session_id
+),
+test_landed AS (
+    SELECT a.website_session_id, a.landing_page, f.n_views
+    FROM post_launch a JOIN pv_facts f USING (website_session_id)
+    WHERE a.landing_page IN ('/home', '/lander-1')
+)"""
 
+# landing trend: cohort sessions (closed window) with their pageview facts
+_TREND = f"""
+trend_cohort AS (
+    SELECT website_session_id FROM website_sessions
+    WHERE {_PAID}
+      AND created_at BETWEEN {_ts('2024-01-02')} AND {_ts('2024-01-29')}
+),
+trend AS (
+    SELECT c.website_session_id,
+           f.first_id AS first_pageview_id,
+           coalesce(f.n_views, 0) AS count_pageviews,
+           f.first_url AS landing_page,
+           f.first_at AS session_created_at
+    FROM trend_cohort c LEFT JOIN pv_facts f USING (website_session_id)
+)"""
+
+# funnel: cohort sessions (open window) and every pageview of theirs
+_FUNNEL_COHORT = f"""
+funnel_cohort AS (
+    SELECT website_session_id FROM website_sessions
+    WHERE {_PAID}
+      AND created_at > {_ts('2024-01-05')} AND created_at < {_ts('2024-01-25')}
+)"""
+_REACH = _FUNNEL_COHORT + ",\nreach AS (\n    SELECT c.website_session_id,\n" + ",\n".join(
+    f"           coalesce(CAST(bool_or(p.pageview_url = '{url}') AS INTEGER), 0) AS {made}"
+    for url, _, made, _, _ in _STEPS
+) + """
+    FROM funnel_cohort c LEFT JOIN website_pageviews p USING (website_session_id)
+    GROUP BY c.website_session_id
+)"""
 
-# --- variant test -------------------------------------------------------------
-_BILLING_ROWS = f"""
-SELECT wp.website_session_id, wp.pageview_url AS billing_version_seen, o.order_id
-FROM website_pageviews wp
-LEFT JOIN shop_orders o ON o.website_session_id = wp.website_session_id
-WHERE wp.website_pageview_id >= (
-        SELECT MIN(website_pageview_id) FROM website_pageviews WHERE pageview_url = '/billing-2')
-  AND wp.created_at < {_ts('2024-01-28')}
-  AND wp.pageview_url IN ('/billing', '/billing-2')"""
+# billing test: billing pageviews from the new page's first id on
+_BILLING = f"""
+billing_start AS (
+    SELECT min(website_pageview_id) AS launch_id
+    FROM website_pageviews WHERE pageview_url = '/billing-2'
+),
+billing_views AS (
+    SELECT website_session_id, pageview_url AS billing_version_seen
+    FROM website_pageviews
+    WHERE website_pageview_id >= (SELECT launch_id FROM billing_start)
+      AND created_at < {_ts('2024-01-28')}
+      AND pageview_url IN {_BILLING_PAGES}
+)"""
 
-_CHANNEL_CASE = """
-CASE
-    WHEN utm_source IS NULL
-         AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com')
-    THEN 'organic_search'
-    WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
-    WHEN utm_campaign = 'brand' THEN 'paid_brand'
-    WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
-END"""
+_CHANNEL = """CASE
+        WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com')
+            THEN 'organic_search'
+        WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
+        WHEN utm_campaign = 'brand' THEN 'paid_brand'
+        WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
+    END"""
 
 
-def _group_count(group: str) -> str:
-    return f"COUNT(DISTINCT CASE WHEN channel_group = '{group}' THEN website_session_id END)"
+def _n_if(cond: str, key: str = "website_session_id") -> str:
+    return f"count(DISTINCT {key}) FILTER (WHERE {cond})"
 
 
 _QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     # ---------------------------------------------------------------- traffic
     "top_traffic_sources": _q(f"""
 SELECT utm_source, utm_campaign, http_referer,
-       COUNT(DISTINCT website_session_id) AS number_of_sessions
+       count(DISTINCT website_session_id) AS number_of_sessions
 FROM website_sessions
 WHERE created_at < {_ts('2024-01-20')}
-GROUP BY utm_source, utm_campaign, http_referer
+GROUP BY ALL
 ORDER BY number_of_sessions DESC"""),
-    "conversion_rate": _q(f"""
-SELECT COUNT(DISTINCT ws.website_session_id) AS total_sessions,
-       COUNT(DISTINCT o.order_id) AS total_orders,
-       ROUND({_div("COUNT(DISTINCT o.order_id) * 100", "COUNT(DISTINCT ws.website_session_id)")}, 2)
-         AS conversion_rate
-FROM website_sessions ws
-LEFT JOIN shop_orders o ON ws.website_session_id = o.website_session_id
-WHERE {_PAID_WS} AND ws.created_at < {_ts('2024-01-20')}"""),
+    "conversion_rate": _q(
+        f"""
+SELECT (SELECT count(*) FROM paid_cohort) AS total_sessions,
+       count(DISTINCT order_id) AS total_orders,
+       round({_div("count(DISTINCT order_id) * 100", "(SELECT count(*) FROM paid_cohort)")}, 2) AS conversion_rate
+FROM shop_orders
+WHERE website_session_id IN (SELECT website_session_id FROM paid_cohort)""",
+        f"""
+paid_cohort AS (
+    SELECT DISTINCT website_session_id FROM website_sessions
+    WHERE {_PAID} AND created_at < {_ts('2024-01-20')}
+)""",
+    ),
     "weekly_session_trend": _q(f"""
-SELECT MIN(CAST(created_at AS DATE)) AS week_started_at,
-       COUNT(DISTINCT website_session_id) AS sessions
+SELECT min(CAST(created_at AS DATE)) AS week_started_at,
+       count(DISTINCT website_session_id) AS sessions
 FROM website_sessions
-WHERE created_at < {_ts('2024-01-31')} AND {_PAID}
+WHERE {_PAID} AND created_at < {_ts('2024-01-31')}
 GROUP BY year(created_at), {_week0('created_at')}
 ORDER BY week_started_at"""),
     "conversion_by_device": _q(f"""
-SELECT ws.device_type,
-       COUNT(DISTINCT ws.website_session_id) AS sessions,
-       COUNT(DISTINCT o.order_id) AS orders,
-       {_div("COUNT(DISTINCT o.order_id)", "COUNT(DISTINCT ws.website_session_id)")}
-         AS session_to_order_cvr
-FROM website_sessions ws
-LEFT JOIN shop_orders o ON ws.website_session_id = o.website_session_id
-WHERE ws.created_at < {_ts('2024-01-20')} AND {_PAID_WS}
-GROUP BY ws.device_type"""),
+SELECT s.device_type,
+       count(DISTINCT s.website_session_id) AS sessions,
+       count(DISTINCT o.order_id) AS orders,
+       {_share("count(DISTINCT o.order_id)", "count(DISTINCT s.website_session_id)")} AS session_to_order_cvr
+FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
+WHERE s.{_PAID.replace(" AND ", " AND s.")} AND s.created_at < {_ts('2024-01-20')}
+GROUP BY s.device_type"""),
     "weekly_sessions_by_device": _q(f"""
 SELECT CAST(year(created_at) AS INTEGER) AS yr,
        {_week0('created_at')} AS wk,
-       MIN(CAST(created_at AS DATE)) AS week_start_date,
-       COUNT(DISTINCT CASE WHEN device_type = 'desktop' THEN website_session_id END) AS desktop_sessions,
-       COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_session_id END) AS mobile_sessions,
-       COUNT(DISTINCT website_session_id) AS total_sessions
+       min(CAST(created_at AS DATE)) AS week_start_date,
+       {_n_if("device_type = 'desktop'")} AS desktop_sessions,
+       {_n_if("device_type = 'mobile'")} AS mobile_sessions,
+       count(DISTINCT website_session_id) AS total_sessions
 FROM website_sessions
-WHERE created_at < {_ts('2024-01-29')} AND created_at > {_ts('2024-01-03')} AND {_PAID}
-GROUP BY 1, 2
+WHERE {_PAID} AND created_at > {_ts('2024-01-03')} AND created_at < {_ts('2024-01-29')}
+GROUP BY ALL
 ORDER BY yr, wk"""),
     # ------------------------------------------------------------ seasonality
     "weekly_sessions_orders": _q(f"""
-SELECT CAST(year(ws.created_at) AS INTEGER) AS yr,
-       {_week0('ws.created_at')} AS wk,
-       MIN(CAST(ws.created_at AS DATE)) AS week_start,
-       COUNT(DISTINCT ws.website_session_id) AS sessions,
-       COUNT(DISTINCT o.order_id) AS orders
-FROM website_sessions ws
-LEFT JOIN shop_orders o ON ws.website_session_id = o.website_session_id
-WHERE ws.created_at < {_ts('2024-01-31')}
-GROUP BY 1, 2
-ORDER BY 1, 2"""),
-    "hourly_weekday_profile": _q(f"""
+SELECT CAST(year(s.created_at) AS INTEGER) AS yr,
+       {_week0('s.created_at')} AS wk,
+       min(CAST(s.created_at AS DATE)) AS week_start,
+       count(DISTINCT s.website_session_id) AS sessions,
+       count(DISTINCT o.order_id) AS orders
+FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
+WHERE s.created_at < {_ts('2024-01-31')}
+GROUP BY ALL
+ORDER BY yr, wk"""),
+    "hourly_weekday_profile": _q(
+        """
 SELECT hr,
-       ROUND(AVG(website_sessions), 1) AS avg_sessions,
-       AVG(CASE WHEN wkday = 0 THEN website_sessions ELSE NULL END) AS mon,
-       AVG(CASE WHEN wkday = 1 THEN website_sessions ELSE NULL END) AS tues,
-       AVG(CASE WHEN wkday = 2 THEN website_sessions ELSE NULL END) AS wed,
-       AVG(CASE WHEN wkday = 3 THEN website_sessions ELSE NULL END) AS thurs,
-       AVG(CASE WHEN wkday = 4 THEN website_sessions ELSE NULL END) AS fri,
-       AVG(CASE WHEN wkday = 5 THEN website_sessions ELSE NULL END) AS sat,
-       AVG(CASE WHEN wkday = 6 THEN website_sessions ELSE NULL END) AS sun
-FROM (
-    SELECT CAST(created_at AS DATE) AS created_date,
+       round(avg(n), 1) AS avg_sessions,
+""" + ",\n".join(
+            f"       avg(n) FILTER (WHERE wkday = {k}) AS {name}"
+            for k, name in enumerate(["mon", "tues", "wed", "thurs", "fri", "sat", "sun"])
+        ) + """
+FROM cells
+GROUP BY hr
+ORDER BY hr""",
+        f"""
+cells AS (
+    SELECT CAST(created_at AS DATE) AS d,
            CAST(isodow(created_at) - 1 AS INTEGER) AS wkday,
            CAST(hour(created_at) AS INTEGER) AS hr,
-           COUNT(DISTINCT website_session_id) AS website_sessions
+           count(DISTINCT website_session_id) AS n
     FROM website_sessions
     WHERE created_at BETWEEN {_ts('2024-01-05')} AND {_ts('2024-01-25')}
-    GROUP BY 1, 2, 3
-) AS daily_hourly_sessions
-GROUP BY hr
-ORDER BY hr"""),
+    GROUP BY ALL
+)""",
+    ),
     # -------------------------------------------------------- channel portfolio
     "weekly_sources": _q(f"""
 SELECT {_yearweek('created_at')} AS yrwk,
-       MIN(CAST(created_at AS DATE)) AS week_start_date,
-       COUNT(DISTINCT website_session_id) AS total_nonbrand_sessions,
-       COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' THEN website_session_id ELSE NULL END) AS gsearch_sessions,
-       COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' THEN website_session_id ELSE NULL END) AS bsearch_sessions
+       min(CAST(created_at AS DATE)) AS week_start_date,
+       count(DISTINCT website_session_id) AS total_nonbrand_sessions,
+       {_n_if("utm_source = 'gsearch'")} AS gsearch_sessions,
+       {_n_if("utm_source = 'bsearch'")} AS bsearch_sessions
 FROM website_sessions
-WHERE created_at >= {_ts('2024-01-01')} AND created_at < {_ts('2024-01-31')}
-  AND utm_campaign = 'nonbrand'
-GROUP BY 1
+WHERE utm_campaign = 'nonbrand'
+  AND created_at >= {_ts('2024-01-01')} AND created_at < {_ts('2024-01-31')}
+GROUP BY ALL
 ORDER BY yrwk"""),
     "source_mobile_share": _q(f"""
 SELECT utm_source,
-       COUNT(DISTINCT website_session_id) AS sessions,
-       COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_session_id END) AS mobile_sessions,
-       {_div("COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_session_id END)",
-             "COUNT(DISTINCT website_session_id)")} AS pct_mobile
+       count(DISTINCT website_session_id) AS sessions,
+       {_n_if("device_type = 'mobile'")} AS mobile_sessions,
+       {_share(_n_if("device_type = 'mobile'"), "count(DISTINCT website_session_id)")} AS pct_mobile
 FROM website_sessions
-WHERE created_at >= {_ts('2024-01-05')} AND created_at < {_ts('2024-01-25')}
-  AND utm_campaign = 'nonbrand' AND utm_source IN ('gsearch', 'bsearch')
+WHERE utm_campaign = 'nonbrand' AND utm_source IN ('gsearch', 'bsearch')
+  AND created_at >= {_ts('2024-01-05')} AND created_at < {_ts('2024-01-25')}
 GROUP BY utm_source"""),
     "conversion_by_device_source": _q(f"""
-SELECT ws.device_type, ws.utm_source,
-       COUNT(DISTINCT ws.website_session_id) AS sessions,
-       COUNT(DISTINCT o.order_id) AS orders,
-       {_div("COUNT(DISTINCT o.order_id)", "COUNT(DISTINCT ws.website_session_id)")} AS conv_rate
-FROM website_sessions ws
-LEFT JOIN shop_orders o ON o.website_session_id = ws.website_session_id
-WHERE ws.created_at >= {_ts('2024-01-05')} AND ws.created_at < {_ts('2024-01-25')}
-  AND ws.utm_campaign = 'nonbrand'
-GROUP BY ws.device_type, ws.utm_source"""),
-    "weekly_source_device_ratio": _q(f"""
-SELECT {_yearweek('created_at')} AS year_week,
-       MIN(CAST(created_at AS DATE)) AS week_start_date,
-       COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' AND device_type = 'desktop' THEN website_session_id END) AS g_dtop_sessions,
-       COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' AND device_type = 'desktop' THEN website_session_id END) AS b_dtop_sessions,
-       {_div("COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' AND device_type = 'desktop' THEN website_session_id END)",
-             "COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' AND device_type = 'desktop' THEN website_session_id END)")} AS b_pct_of_g_dtop,
-       COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' AND device_type = 'mobile' THEN website_session_id END) AS g_mob_sessions,
-       COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' AND device_type = 'mobile' THEN website_session_id END) AS b_mob_sessions,
-       {_div("COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' AND device_type = 'mobile' THEN website_session_id END)",
-             "COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' AND device_type = 'mobile' THEN website_session_id END)")} AS b_pct_of_g_mob
-FROM website_sessions
-WHERE created_at >= {_ts('2024-01-01')} AND created_at < {_ts('2024-01-31')}
-  AND utm_campaign = 'nonbrand'
-GROUP BY 1
-ORDER BY week_start_date"""),
+SELECT s.device_type, s.utm_source,
+       count(DISTINCT s.website_session_id) AS sessions,
+       count(DISTINCT o.order_id) AS orders,
+       {_share("count(DISTINCT o.order_id)", "count(DISTINCT s.website_session_id)")} AS conv_rate
+FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
+WHERE s.utm_campaign = 'nonbrand'
+  AND s.created_at >= {_ts('2024-01-05')} AND s.created_at < {_ts('2024-01-25')}
+GROUP BY ALL"""),
+    "weekly_source_device_ratio": _q(
+        """
+SELECT year_week, week_start_date, g_dtop_sessions, b_dtop_sessions,
+       """ + _share("b_dtop_sessions", "g_dtop_sessions") + """ AS b_pct_of_g_dtop,
+       g_mob_sessions, b_mob_sessions,
+       """ + _share("b_mob_sessions", "g_mob_sessions") + """ AS b_pct_of_g_mob
+FROM weekly
+ORDER BY week_start_date""",
+        f"""
+weekly AS (
+    SELECT {_yearweek('created_at')} AS year_week,
+           min(CAST(created_at AS DATE)) AS week_start_date,
+           {_n_if("utm_source = 'gsearch' AND device_type = 'desktop'")} AS g_dtop_sessions,
+           {_n_if("utm_source = 'bsearch' AND device_type = 'desktop'")} AS b_dtop_sessions,
+           {_n_if("utm_source = 'gsearch' AND device_type = 'mobile'")} AS g_mob_sessions,
+           {_n_if("utm_source = 'bsearch' AND device_type = 'mobile'")} AS b_mob_sessions
+    FROM website_sessions
+    WHERE utm_campaign = 'nonbrand'
+      AND created_at >= {_ts('2024-01-01')} AND created_at < {_ts('2024-01-31')}
+    GROUP BY 1
+)""",
+    ),
     "classify_channel": _q(f"""
-SELECT website_session_id, created_at, {_CHANNEL_CASE} AS channel_group
+SELECT website_session_id, created_at, {_CHANNEL} AS channel_group
 FROM website_sessions"""),
-    "monthly_channel_mix": _q(f"""
-SELECT CAST(year(created_at) AS INTEGER) AS yr,
-       CAST(month(created_at) AS INTEGER) AS mo,
-       {_group_count('paid_nonbrand')} AS nonbrand,
-       {_group_count('paid_brand')} AS brand,
-       {_div(_group_count('paid_brand'), _group_count('paid_nonbrand'))} AS brand_pct_of_nonbrand,
-       {_group_count('direct_type_in')} AS direct,
-       {_div(_group_count('direct_type_in'), _group_count('paid_nonbrand'))} AS direct_pct_of_nonbrand,
-       {_group_count('organic_search')} AS organic,
-       {_div(_group_count('organic_search'), _group_count('paid_nonbrand'))} AS organic_pct_of_nonbrand
-FROM (
-    SELECT website_session_id, created_at, {_CHANNEL_CASE} AS channel_group
+    "monthly_channel_mix": _q(
+        """
+SELECT yr, mo, nonbrand, brand, """ + _share("brand", "nonbrand") + """ AS brand_pct_of_nonbrand,
+       direct, """ + _share("direct", "nonbrand") + """ AS direct_pct_of_nonbrand,
+       organic, """ + _share("organic", "nonbrand") + """ AS organic_pct_of_nonbrand
+FROM monthly
+ORDER BY yr, mo""",
+        f"""
+grouped AS (
+    SELECT website_session_id, created_at, {_CHANNEL} AS grp
     FROM website_sessions
     WHERE created_at < {_ts('2024-01-31')}
-) AS channel_classified
-GROUP BY 1, 2
-ORDER BY 1, 2"""),
+),
+monthly AS (
+    SELECT CAST(year(created_at) AS INTEGER) AS yr,
+           CAST(month(created_at) AS INTEGER) AS mo,
+           {_n_if("grp = 'paid_nonbrand'")} AS nonbrand,
+           {_n_if("grp = 'paid_brand'")} AS brand,
+           {_n_if("grp = 'direct_type_in'")} AS direct,
+           {_n_if("grp = 'organic_search'")} AS organic
+    FROM grouped
+    GROUP BY 1, 2
+)""",
+    ),
     # ------------------------------------------------------- pages and bounce
     "top_pages": _q(f"""
-SELECT pageview_url, COUNT(DISTINCT website_pageview_id) AS pvs
+SELECT pageview_url, count(DISTINCT website_pageview_id) AS pvs
 FROM website_pageviews
 WHERE created_at < {_ts('2024-01-22')}
 GROUP BY pageview_url
 ORDER BY pvs DESC"""),
     "first_pageview_per_session": _q(f"""
-SELECT website_session_id, MIN(website_pageview_id) AS first_pv
+SELECT website_session_id, min(website_pageview_id) AS first_pv
 FROM website_pageviews
 WHERE created_at < {_ts('2024-01-20')}
 GROUP BY website_session_id"""),
-    "top_entry_pages": _q(
-        """
-SELECT wp.pageview_url AS landing_page_url,
-       COUNT(DISTINCT fps.website_session_id) AS sessions_hitting_page
-FROM first_pv_per_session AS fps
-LEFT JOIN website_pageviews AS wp ON fps.first_pv = wp.website_pageview_id
-GROUP BY wp.pageview_url
-ORDER BY sessions_hitting_page DESC""",
-        f"""
-first_pv_per_session AS (
-    SELECT website_session_id, MIN(website_pageview_id) AS first_pv
+    "top_entry_pages": _q(f"""
+SELECT landing_page_url, count(*) AS sessions_hitting_page
+FROM (
+    SELECT website_session_id, arg_min(pageview_url, website_pageview_id) AS landing_page_url
     FROM website_pageviews
     WHERE created_at < {_ts('2024-01-20')}
     GROUP BY website_session_id
-)""",
-    ),
+)
+GROUP BY landing_page_url
+ORDER BY sessions_hitting_page DESC"""),
     "sessions_with_landing_page": _q(
-        "SELECT website_session_id, landing_page FROM sessions_w_home_landing_page",
-        _FIRST_PAGEVIEWS,
-        _HOME_LANDING,
+        "SELECT website_session_id, landing_page FROM home_landed", _PV_FACTS, _HOME_LANDED
     ),
     "bounced_sessions": _q(
-        "SELECT website_session_id, landing_page, count_of_pages_viewed FROM bounced_sessions",
-        _FIRST_PAGEVIEWS,
-        _HOME_LANDING,
-        _BOUNCED,
+        "SELECT website_session_id, landing_page, n_views AS count_of_pages_viewed FROM home_landed WHERE n_views = 1",
+        _PV_FACTS,
+        _HOME_LANDED,
     ),
     "bounce_markers": _q(
         """
-SELECT s.website_session_id, b.website_session_id AS bounced_website_session_id
-FROM sessions_w_home_landing_page s
-LEFT JOIN bounced_sessions b ON s.website_session_id = b.website_session_id
-ORDER BY s.website_session_id""",
-        _FIRST_PAGEVIEWS,
-        _HOME_LANDING,
-        _BOUNCED,
+SELECT website_session_id,
+       CASE WHEN n_views = 1 THEN website_session_id END AS bounced_website_session_id
+FROM home_landed
+ORDER BY website_session_id""",
+        _PV_FACTS,
+        _HOME_LANDED,
     ),
     "bounce_rate": _q(
-        f"""
-SELECT COUNT(DISTINCT s.website_session_id) AS sessions,
-       COUNT(DISTINCT b.website_session_id) AS bounced_sessions,
-       {_div("COUNT(DISTINCT b.website_session_id)", "COUNT(DISTINCT s.website_session_id)")} AS bounce_rate
-FROM sessions_w_home_landing_page s
-LEFT JOIN bounced_sessions b ON s.website_session_id = b.website_session_id""",
-        _FIRST_PAGEVIEWS,
-        _HOME_LANDING,
-        _BOUNCED,
+        """
+SELECT count(*) AS sessions,
+       count(*) FILTER (WHERE n_views = 1) AS bounced_sessions,
+       """ + _share("count(*) FILTER (WHERE n_views = 1)", "count(*)") + """ AS bounce_rate
+FROM home_landed""",
+        _PV_FACTS,
+        _HOME_LANDED,
     ),
     # ------------------------------------------------- landing-page test / trend
     "page_launch": _q("""
-SELECT MIN(created_at) AS first_created_at, MIN(website_pageview_id) AS first_pageview_id
+SELECT min(created_at) AS first_created_at, min(website_pageview_id) AS first_pageview_id
 FROM website_pageviews
 WHERE pageview_url = '/lander-1' AND created_at IS NOT NULL"""),
     "test_first_pageviews": _q(
-        "SELECT website_session_id, min_pageview_id FROM first_test_pageviews", _FIRST_TEST_PV
+        "SELECT website_session_id, min_pageview_id FROM post_launch", _PV_FACTS, _TEST_LANDED
     ),
     "test_landing_pages": _q(
-        "SELECT website_session_id, landing_page FROM nonbrand_test_sessions_w_landing_page",
-        _FIRST_TEST_PV,
-        _TEST_LANDING,
+        "SELECT website_session_id, landing_page FROM test_landed", _PV_FACTS, _TEST_LANDED
     ),
     "test_bounced_sessions": _q(
-        "SELECT website_session_id, landing_page, count_of_pages_viewed FROM nonbrand_test_bounced_sessions",
-        _FIRST_TEST_PV,
-        _TEST_LANDING,
-        _TEST_BOUNCED,
+        "SELECT website_session_id, landing_page, n_views AS count_of_pages_viewed FROM test_landed WHERE n_views = 1",
+        _PV_FACTS,
+        _TEST_LANDED,
     ),
     "test_bounce_markers": _q(
         """
-SELECT nlp.landing_page, nlp.website_session_id,
-       nb.website_session_id AS bounced_website_session_id
-FROM nonbrand_test_sessions_w_landing_page AS nlp
-LEFT JOIN nonbrand_test_bounced_sessions AS nb ON nlp.website_session_id = nb.website_session_id
-ORDER BY nlp.website_session_id""",
-        _FIRST_TEST_PV,
-        _TEST_LANDING,
-        _TEST_BOUNCED,
+SELECT landing_page, website_session_id,
+       CASE WHEN n_views = 1 THEN website_session_id END AS bounced_website_session_id
+FROM test_landed
+ORDER BY website_session_id""",
+        _PV_FACTS,
+        _TEST_LANDED,
     ),
     "bounce_rate_by_landing_page": _q(
-        f"""
-SELECT nlp.landing_page,
-       COUNT(DISTINCT nlp.website_session_id) AS sessions,
-       COUNT(DISTINCT nb.website_session_id) AS bounced_sessions,
-       {_div("COUNT(DISTINCT nb.website_session_id)", "COUNT(DISTINCT nlp.website_session_id)")} AS bounce_rate
-FROM nonbrand_test_sessions_w_landing_page AS nlp
-LEFT JOIN nonbrand_test_bounced_sessions AS nb ON nlp.website_session_id = nb.website_session_id
-GROUP BY nlp.landing_page""",
-        _FIRST_TEST_PV,
-        _TEST_LANDING,
-        _TEST_BOUNCED,
+        """
+SELECT landing_page,
+       count(*) AS sessions,
+       count(*) FILTER (WHERE n_views = 1) AS bounced_sessions,
+       """ + _share("count(*) FILTER (WHERE n_views = 1)", "count(*)") + """ AS bounce_rate
+FROM test_landed
+GROUP BY landing_page""",
+        _PV_FACTS,
+        _TEST_LANDED,
     ),
     "session_first_pv_and_count": _q(
-        "SELECT website_session_id, first_pageview_id, count_pageviews FROM sessions_w_min_pv_id_and_view_count",
-        _MIN_PV_COUNT,
+        "SELECT website_session_id, first_pageview_id, count_pageviews FROM trend", _PV_FACTS, _TREND
     ),
     "session_landing_details": _q(
         """
 SELECT website_session_id, first_pageview_id, count_pageviews, landing_page, session_created_at
-FROM sessions_w_counts_lander_and_created_at""",
-        _MIN_PV_COUNT,
-        _LANDER_CREATED,
+FROM trend""",
+        _PV_FACTS,
+        _TREND,
     ),
     "weekly_bounce_trend": _q(
         f"""
-SELECT MIN(CAST(session_created_at AS DATE)) AS week_start_date,
-       {_div("COUNT(DISTINCT CASE WHEN count_pageviews = 1 THEN website_session_id ELSE NULL END)",
-             "COUNT(DISTINCT website_session_id)")} AS bounce_rate,
-       COUNT(DISTINCT CASE WHEN landing_page = '/home' THEN website_session_id ELSE NULL END) AS home_sessions,
-       COUNT(DISTINCT CASE WHEN landing_page = '/lander-1' THEN website_session_id ELSE NULL END) AS lander_sessions
-FROM sessions_w_counts_lander_and_created_at
+SELECT min(CAST(session_created_at AS DATE)) AS week_start_date,
+       {_share("count(*) FILTER (WHERE count_pageviews = 1)", "count(*)")} AS bounce_rate,
+       count(*) FILTER (WHERE landing_page = '/home') AS home_sessions,
+       count(*) FILTER (WHERE landing_page = '/lander-1') AS lander_sessions
+FROM trend
 GROUP BY {_yearweek('session_created_at')}
 ORDER BY {_yearweek('session_created_at')}""",
-        _MIN_PV_COUNT,
-        _LANDER_CREATED,
+        _PV_FACTS,
+        _TREND,
     ),
     # ------------------------------------------------------------------ funnel
-    "funnel_pageview_flags": _q(f"""
-SELECT ws.website_session_id, wp.pageview_url, wp.created_at AS pageview_created_at,
-       {_FLAG_COLS}
-{_FUNNEL_FROM}
-ORDER BY ws.website_session_id, wp.created_at"""),
+    "funnel_pageview_flags": _q(
+        "SELECT c.website_session_id, p.pageview_url, p.created_at AS pageview_created_at,\n"
+        + ",\n".join(
+            f"       coalesce(CAST(p.pageview_url = '{url}' AS INTEGER), 0) AS {page}"
+            for url, page, _, _, _ in _STEPS
+        )
+        + """
+FROM funnel_cohort c LEFT JOIN website_pageviews p USING (website_session_id)
+ORDER BY c.website_session_id, p.created_at""",
+        _FUNNEL_COHORT,
+    ),
     "session_funnel_flags": _q(
-        f"""
-SELECT website_session_id, {", ".join(made for _, _, made, *_ in _FUNNEL_STEPS)}
-FROM session_level_made_it_flags""",
-        _MADE_IT,
+        "SELECT website_session_id, " + ", ".join(made for _, _, made, _, _ in _STEPS) + " FROM reach",
+        _REACH,
     ),
     "funnel_counts": _q(
-        f"""
-SELECT COUNT(DISTINCT website_session_id) AS sessions,
-       {", ".join(f"{_reached(made)} AS {to}" for _, _, made, to, _ in _FUNNEL_STEPS)}
-FROM session_level_made_it_flags""",
-        _MADE_IT,
+        "SELECT count(*) AS sessions,\n"
+        + ",\n".join(f"       count(*) FILTER (WHERE {made} = 1) AS {to}" for _, _, made, to, _ in _STEPS)
+        + "\nFROM reach",
+        _REACH,
     ),
     "funnel_rates": _q(
         "SELECT "
         + ",\n       ".join(
-            f"{_div(_reached(made), _reached(prev) if prev else 'COUNT(DISTINCT website_session_id)')} AS {rate}"
-            for (_, _, made, _, rate), prev in zip(
-                _FUNNEL_STEPS, [None] + [s[2] for s in _FUNNEL_STEPS[:-1]]
-            )
+            _share(f"count(*) FILTER (WHERE {made} = 1)", f"count(*) FILTER (WHERE {prev} = 1)" if prev else "count(*)")
+            + f" AS {rate}"
+            for (_, _, made, _, rate), prev in zip(_STEPS, [None] + [st[2] for st in _STEPS[:-1]])
         )
-        + "\nFROM session_level_made_it_flags",
-        _MADE_IT,
+        + "\nFROM reach",
+        _REACH,
     ),
-    # ------------------------------------------------------------ variant test
+    # ------------------------------------------------------------ billing test
     "variant_launch": _q("""
-SELECT MIN(website_pageviews.website_pageview_id) AS first_pv_id
+SELECT min(website_pageview_id) AS first_pv_id
 FROM website_pageviews
 WHERE pageview_url = '/billing-2'"""),
-    "variant_sessions_orders": _q(_BILLING_ROWS),
-    "variant_conversion": _q(f"""
-SELECT billing_version_seen,
-       COUNT(DISTINCT website_session_id) AS sessions,
-       COUNT(DISTINCT order_id) AS orders,
-       {_div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_session_id)")} AS billing_to_order_rt
-FROM ({_BILLING_ROWS}
-) AS billing_sessions_w_orders
-GROUP BY billing_version_seen"""),
+    "variant_sessions_orders": _q(
+        """
+SELECT v.website_session_id, v.billing_version_seen, o.order_id
+FROM billing_views v LEFT JOIN shop_orders o USING (website_session_id)""",
+        _BILLING,
+    ),
+    "variant_conversion": _q(
+        """
+SELECT v.billing_version_seen,
+       count(DISTINCT v.website_session_id) AS sessions,
+       count(DISTINCT o.order_id) AS orders,
+       """ + _share("count(DISTINCT o.order_id)", "count(DISTINCT v.website_session_id)") + """ AS billing_to_order_rt
+FROM billing_views v LEFT JOIN shop_orders o USING (website_session_id)
+GROUP BY v.billing_version_seen""",
+        _BILLING,
+    ),
 }
 
 
