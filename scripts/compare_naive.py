@@ -1,6 +1,10 @@
-"""Time operators against a literal Spark SQL rendering of the original
-statements (COUNT(DISTINCT …) over joins, join-backs for URLs), on the same
-registered views.  Same results are asserted; times are medians of warm runs.
+"""Time operators against naive DataFrame formulations of the same analyses.
+
+The naive forms are the textbook plans: ``count_distinct`` on every measure
+(Spark expands one row copy per distinct expression), joins before
+aggregation (session × orders fan-out), and the first pageview found by a
+min-id join back to the pageviews.  Equal results are asserted; times are
+medians of warm runs.
 
 Usage: python scripts/compare_naive.py [data_dir] [cpus] [runs]
 """
@@ -15,120 +19,131 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from sessionscope import operators as ops  # noqa: E402
-from sessionscope.functions.sql_functions import register_sql_functions  # noqa: E402
+from sessionscope.functions.timebuckets import week_sunday0  # noqa: E402
+from sessionscope.operators.channel import channel_group  # noqa: E402
 from sessionscope.session import build_session  # noqa: E402
 from sessionscope.sources.tables import ShopTables  # noqa: E402
 
-PAID = "utm_source = 'gsearch' AND utm_campaign = 'nonbrand'"
-
-NAIVE = {
-    "conversion_by_device": (
-        lambda t: ops.conversion_by_device(t.sessions, t.orders, end="2024-01-20"),
-        f"""SELECT ws.device_type, COUNT(DISTINCT ws.website_session_id) AS sessions,
-                   COUNT(DISTINCT o.order_id) AS orders,
-                   COUNT(DISTINCT o.order_id) / COUNT(DISTINCT ws.website_session_id) AS session_to_order_cvr
-            FROM website_sessions ws LEFT JOIN shop_orders o ON ws.website_session_id = o.website_session_id
-            WHERE ws.created_at < '2024-01-20' AND ws.{PAID.replace(' AND ', ' AND ws.')}
-            GROUP BY ws.device_type""",
-    ),
-    "weekly_sessions_by_device": (
-        lambda t: ops.weekly_sessions_by_device(t.sessions, start="2024-01-03", end="2024-01-29"),
-        f"""SELECT YEAR(created_at) AS yr, WEEK(created_at) AS wk, MIN(DATE(created_at)) AS week_start_date,
-                   COUNT(DISTINCT CASE WHEN device_type = 'desktop' THEN website_session_id END) AS desktop_sessions,
-                   COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_session_id END) AS mobile_sessions,
-                   COUNT(DISTINCT website_session_id) AS total_sessions
-            FROM website_sessions
-            WHERE created_at < '2024-01-29' AND created_at > '2024-01-03' AND {PAID}
-            GROUP BY YEAR(created_at), WEEK(created_at) ORDER BY yr, wk""",
-    ),
-    "monthly_channel_mix": (
-        lambda t: ops.monthly_channel_mix(t.sessions, end="2024-01-31"),
-        """SELECT YEAR(created_at) AS yr, MONTH(created_at) AS mo,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'paid_nonbrand' THEN website_session_id END) AS nonbrand,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'paid_brand' THEN website_session_id END) AS brand,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'paid_brand' THEN website_session_id END) * 1.0
-                    / NULLIF(COUNT(DISTINCT CASE WHEN channel_group = 'paid_nonbrand' THEN website_session_id END), 0) AS brand_pct_of_nonbrand,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'direct_type_in' THEN website_session_id END) AS direct,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'direct_type_in' THEN website_session_id END) * 1.0
-                    / NULLIF(COUNT(DISTINCT CASE WHEN channel_group = 'paid_nonbrand' THEN website_session_id END), 0) AS direct_pct_of_nonbrand,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'organic_search' THEN website_session_id END) AS organic,
-                  COUNT(DISTINCT CASE WHEN channel_group = 'organic_search' THEN website_session_id END) * 1.0
-                    / NULLIF(COUNT(DISTINCT CASE WHEN channel_group = 'paid_nonbrand' THEN website_session_id END), 0) AS organic_pct_of_nonbrand
-           FROM (SELECT website_session_id, created_at,
-                        CASE WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com') THEN 'organic_search'
-                             WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
-                             WHEN utm_campaign = 'brand' THEN 'paid_brand'
-                             WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in' END AS channel_group
-                 FROM website_sessions WHERE created_at < '2024-01-31') AS channel_classified
-           GROUP BY YEAR(created_at), MONTH(created_at) ORDER BY YEAR(created_at), MONTH(created_at)""",
-    ),
-    "bounce_rate_by_landing_page": (
-        lambda t: ops.bounce_rate_by_landing_page(t.sessions, t.pageviews, end="2024-01-28"),
-        f"""WITH first_test_pageviews AS (
-                SELECT wp.website_session_id, MIN(wp.website_pageview_id) AS min_pageview_id
-                FROM website_pageviews wp INNER JOIN website_sessions ws ON ws.website_session_id = wp.website_session_id
-                WHERE ws.created_at < '2024-01-28'
-                  AND wp.website_pageview_id > (SELECT MIN(website_pageview_id) FROM website_pageviews
-                                                WHERE pageview_url = '/lander-1' AND created_at IS NOT NULL)
-                  AND ws.{PAID.replace(' AND ', ' AND ws.')}
-                GROUP BY wp.website_session_id),
-            nlp AS (SELECT ftp.website_session_id, wp.pageview_url AS landing_page
-                    FROM first_test_pageviews ftp LEFT JOIN website_pageviews wp ON wp.website_pageview_id = ftp.min_pageview_id
-                    WHERE wp.pageview_url IN ('/home', '/lander-1')),
-            nb AS (SELECT nlp.website_session_id, nlp.landing_page, COUNT(wp.website_pageview_id) AS count_of_pages_viewed
-                   FROM nlp LEFT JOIN website_pageviews wp ON wp.website_session_id = nlp.website_session_id
-                   GROUP BY nlp.website_session_id, nlp.landing_page HAVING COUNT(wp.website_pageview_id) = 1)
-            SELECT nlp.landing_page, COUNT(DISTINCT nlp.website_session_id) AS sessions,
-                   COUNT(DISTINCT nb.website_session_id) AS bounced_sessions,
-                   COUNT(DISTINCT nb.website_session_id) * 1.0 / COUNT(DISTINCT nlp.website_session_id) AS bounce_rate
-            FROM nlp LEFT JOIN nb ON nlp.website_session_id = nb.website_session_id
-            GROUP BY nlp.landing_page""",
-    ),
-    "funnel_counts": (
-        lambda t: ops.funnel_counts(t.sessions, t.pageviews, start="2024-01-05", end="2024-01-25"),
-        f"""WITH flags AS (
-                SELECT website_session_id,
-                       MAX(products_page) AS product_made_it, MAX(mrfuzzy_page) AS mrfuzzy_made_it,
-                       MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
-                       MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
-                FROM (SELECT ws.website_session_id, wp.pageview_url,
-                             CASE WHEN wp.pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
-                             CASE WHEN wp.pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
-                             CASE WHEN wp.pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
-                             CASE WHEN wp.pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
-                             CASE WHEN wp.pageview_url = '/billing' THEN 1 ELSE 0 END AS billing_page,
-                             CASE WHEN wp.pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
-                      FROM website_sessions ws LEFT JOIN website_pageviews wp ON ws.website_session_id = wp.website_session_id
-                      WHERE ws.{PAID.replace(' AND ', ' AND ws.')} AND ws.created_at > '2024-01-05' AND ws.created_at < '2024-01-25') AS pageview_level
-                GROUP BY website_session_id)
-            SELECT COUNT(DISTINCT website_session_id) AS sessions,
-                   COUNT(DISTINCT CASE WHEN product_made_it = 1 THEN website_session_id END) AS to_products,
-                   COUNT(DISTINCT CASE WHEN mrfuzzy_made_it = 1 THEN website_session_id END) AS to_mrfuzzy,
-                   COUNT(DISTINCT CASE WHEN cart_made_it = 1 THEN website_session_id END) AS to_cart,
-                   COUNT(DISTINCT CASE WHEN shipping_made_it = 1 THEN website_session_id END) AS to_shipping,
-                   COUNT(DISTINCT CASE WHEN billing_made_it = 1 THEN website_session_id END) AS to_billing,
-                   COUNT(DISTINCT CASE WHEN thankyou_made_it = 1 THEN website_session_id END) AS to_thankyou
-            FROM flags""",
-    ),
-    "variant_conversion": (
-        lambda t: ops.variant_conversion(t.pageviews, t.orders, end="2024-01-28"),
-        """SELECT billing_version_seen, COUNT(DISTINCT website_session_id) AS sessions,
-                  COUNT(DISTINCT order_id) AS orders,
-                  COUNT(DISTINCT order_id) * 1.0 / COUNT(DISTINCT website_session_id) AS billing_to_order_rt
-           FROM (SELECT wp.website_session_id, wp.pageview_url AS billing_version_seen, o.order_id
-                 FROM website_pageviews wp LEFT JOIN shop_orders o ON o.website_session_id = wp.website_session_id
-                 WHERE wp.website_pageview_id >= (SELECT MIN(website_pageview_id) FROM website_pageviews
-                                                  WHERE pageview_url = '/billing-2')
-                   AND wp.created_at < '2024-01-28' AND wp.pageview_url IN ('/billing', '/billing-2')) AS b
-           GROUP BY billing_version_seen""",
-    ),
+SID, PID = "website_session_id", "website_pageview_id"
+def paid():
+    return (F.col("utm_source") == "gsearch") & (F.col("utm_campaign") == "nonbrand")
+
+
+def ts(text):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def ratio(a, b):
+    return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+
+
+def cd_when(cond, key=SID):
+    return F.count_distinct(F.when(cond, F.col(key)))
+
+
+def naive_conversion_by_device(t):
+    cohort = t.sessions.filter(paid() & (F.col("created_at") < ts("2024-01-20")))
+    return (
+        cohort.join(t.orders.select(SID, "order_id"), SID, "left")
+        .groupBy("device_type")
+        .agg(F.count_distinct(SID).alias("sessions"), F.count_distinct("order_id").alias("orders"))
+        .withColumn("session_to_order_cvr", ratio("orders", "sessions"))
+    )
+
+
+def naive_weekly_sessions_by_device(t):
+    c = t.sessions.filter(paid() & (F.col("created_at") > ts("2024-01-03")) & (F.col("created_at") < ts("2024-01-29")))
+    return c.groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk")).agg(
+        F.min(F.to_date("created_at")).alias("week_start_date"),
+        cd_when(F.col("device_type") == "desktop").alias("desktop_sessions"),
+        cd_when(F.col("device_type") == "mobile").alias("mobile_sessions"),
+        F.count_distinct(SID).alias("total_sessions"),
+    )
+
+
+def naive_monthly_channel_mix(t):
+    c = t.sessions.filter(F.col("created_at") < ts("2024-01-31")).withColumn("g", channel_group())
+    m = c.groupBy(F.year("created_at").alias("yr"), F.month("created_at").alias("mo")).agg(
+        *[cd_when(F.col("g") == lbl).alias(name) for lbl, name in [
+            ("paid_nonbrand", "nonbrand"), ("paid_brand", "brand"),
+            ("direct_type_in", "direct"), ("organic_search", "organic")]]
+    )
+    return m.select(
+        "yr", "mo", "nonbrand", "brand", ratio("brand", "nonbrand").alias("brand_pct_of_nonbrand"),
+        "direct", ratio("direct", "nonbrand").alias("direct_pct_of_nonbrand"),
+        "organic", ratio("organic", "nonbrand").alias("organic_pct_of_nonbrand"),
+    )
+
+
+def naive_bounce_rate_by_landing_page(t):
+    pv = t.pageviews
+    launch = pv.filter(F.col("pageview_url") == "/lander-1").agg(F.min(PID)).scalar()
+    cohort = t.sessions.filter(paid() & (F.col("created_at") < ts("2024-01-28"))).select(SID)
+    first = pv.filter(F.col(PID) > launch).join(cohort, SID).groupBy(SID).agg(F.min(PID).alias("m"))
+    landed = (
+        first.join(pv.select(F.col(PID).alias("m"), F.col("pageview_url").alias("landing_page")), "m")
+        .filter(F.col("landing_page").isin("/home", "/lander-1"))
+        .select(SID, "landing_page")
+    )
+    bounced = landed.join(pv.select(SID, PID), SID).groupBy(SID).agg(F.count(PID).alias("n")).filter("n = 1")
+    joined = landed.join(bounced.select(F.col(SID).alias("b")), F.col(SID) == F.col("b"), "left")
+    return (
+        joined.groupBy("landing_page")
+        .agg(F.count_distinct(SID).alias("sessions"), F.count_distinct("b").alias("bounced_sessions"))
+        .withColumn("bounce_rate", ratio("bounced_sessions", "sessions"))
+    )
+
+
+def naive_funnel_counts(t):
+    cohort = t.sessions.filter(
+        paid() & (F.col("created_at") > ts("2024-01-05")) & (F.col("created_at") < ts("2024-01-25"))
+    ).select(SID)
+    rows = cohort.join(t.pageviews.select(SID, "pageview_url"), SID, "left")
+    steps = [s.url for s in ops.DEFAULT_STEPS]
+    flags = rows.groupBy(SID).agg(
+        *[F.max(F.when(F.col("pageview_url") == u, 1).otherwise(0)).alias(f"f{i}") for i, u in enumerate(steps)]
+    )
+    return flags.agg(
+        F.count_distinct(SID).alias("sessions"),
+        *[cd_when(F.col(f"f{i}") == 1).alias(s.reached) for i, s in enumerate(ops.DEFAULT_STEPS)],
+    )
+
+
+def naive_variant_conversion(t):
+    pv = t.pageviews
+    launch = pv.filter(F.col("pageview_url") == "/billing-2").agg(F.min(PID)).scalar()
+    views = pv.filter(
+        (F.col(PID) >= launch) & (F.col("created_at") < ts("2024-01-28"))
+        & F.col("pageview_url").isin("/billing", "/billing-2")
+    ).select(SID, F.col("pageview_url").alias("billing_version_seen"))
+    return (
+        views.join(t.orders.select(SID, "order_id"), SID, "left")
+        .groupBy("billing_version_seen")
+        .agg(F.count_distinct(SID).alias("sessions"), F.count_distinct("order_id").alias("orders"))
+        .withColumn("billing_to_order_rt", ratio("orders", "sessions"))
+    )
+
+
+CASES = {
+    "conversion_by_device": (lambda t: ops.conversion_by_device(t.sessions, t.orders, end="2024-01-20"),
+                             naive_conversion_by_device),
+    "weekly_sessions_by_device": (lambda t: ops.weekly_sessions_by_device(t.sessions, start="2024-01-03", end="2024-01-29"),
+                                  naive_weekly_sessions_by_device),
+    "monthly_channel_mix": (lambda t: ops.monthly_channel_mix(t.sessions, end="2024-01-31"), naive_monthly_channel_mix),
+    "bounce_rate_by_landing_page": (lambda t: ops.bounce_rate_by_landing_page(t.sessions, t.pageviews, end="2024-01-28"),
+                                    naive_bounce_rate_by_landing_page),
+    "funnel_counts": (lambda t: ops.funnel_counts(t.sessions, t.pageviews, start="2024-01-05", end="2024-01-25"),
+                      naive_funnel_counts),
+    "variant_conversion": (lambda t: ops.variant_conversion(t.pageviews, t.orders, end="2024-01-28"),
+                           naive_variant_conversion),
 }
 
 
 def _rows(df):
-    return sorted((tuple(round(float(v), 9) if isinstance(v, float) or hasattr(v, "as_tuple") else v for v in r)
-                   for r in df.collect()), key=repr)
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
 
 
 def main() -> None:
@@ -136,28 +151,21 @@ def main() -> None:
     cpus = int(sys.argv[2]) if len(sys.argv) > 2 else 4
     runs = int(sys.argv[3]) if len(sys.argv) > 3 else 5
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
-    register_sql_functions(spark)
-    out = {}
-    for name, (op, sql) in NAIVE.items():
-        def ours():
-            return op(ShopTables.from_events(spark, data_dir))
-
-        def naive():
-            ShopTables.from_events(spark, data_dir).register_views()
-            return spark.sql(sql)
+    for name, (ours, naive) in CASES.items():
+        def build(fn):
+            return fn(ShopTables.from_events(spark, data_dir))
 
-        assert _rows(ours()) == _rows(naive()), name
+        assert _rows(build(ours)) == _rows(build(naive)), name
         times = {}
-        for label, build in (("sessionscope", ours), ("naive_sql", naive)):
+        for label, fn in (("sessionscope", ours), ("naive", naive)):
             for _ in range(2):
-                build().write.format("noop").mode("overwrite").save()
-            ts = []
+                build(fn).write.format("noop").mode("overwrite").save()
+            ts_ = []
             for _ in range(runs):
                 t0 = time.perf_counter()
-                build().write.format("noop").mode("overwrite").save()
-                ts.append(time.perf_counter() - t0)
-            times[label] = round(statistics.median(ts), 3)
-        out[name] = times
+                build(fn).write.format("noop").mode("overwrite").save()
+                ts_.append(time.perf_counter() - t0)
+            times[label] = round(statistics.median(ts_), 3)
         print(json.dumps({name: times}), flush=True)
     spark.stop()
 
