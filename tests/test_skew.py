@@ -45,17 +45,15 @@ def test_funnel_counts_match_brute_force(spark, skewed):
     skewed.register_views()
     kw = dict(start="2024-01-01", end="2024-01-31")
     got = rows(ops.funnel_counts(skewed.sessions, skewed.pageviews, **kw))
-    want = rows(spark.sql("""
-        SELECT COUNT(DISTINCT s.website_session_id) AS sessions,
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/products' THEN s.website_session_id END),
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/the-original-mr-fuzzy' THEN s.website_session_id END),
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/cart' THEN s.website_session_id END),
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/shipping' THEN s.website_session_id END),
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/billing' THEN s.website_session_id END),
-               COUNT(DISTINCT CASE WHEN p.pageview_url = '/thank-you-for-your-order' THEN s.website_session_id END)
-        FROM website_sessions s LEFT JOIN website_pageviews p ON s.website_session_id = p.website_session_id
+    seen = ", ".join(
+        f"COUNT(DISTINCT s.website_session_id) FILTER (WHERE p.pageview_url = '{st.url}')" for st in ops.DEFAULT_STEPS
+    )
+    want = rows(spark.sql(f"""
+        SELECT COUNT(DISTINCT s.website_session_id), {seen}
+        FROM website_sessions s LEFT JOIN website_pageviews p USING (website_session_id)
         WHERE s.utm_source = 'gsearch' AND s.utm_campaign = 'nonbrand'
-          AND s.created_at > TIMESTAMP_NTZ '2024-01-01 00:00:00' AND s.created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'
+          AND s.created_at > TIMESTAMP_NTZ '2024-01-01 00:00:00'
+          AND s.created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'
     """))
     assert got == want
 
@@ -64,15 +62,15 @@ def test_variant_conversion_matches_brute_force(spark, skewed):
     skewed.register_views()
     got = rows(ops.variant_conversion(skewed.pageviews, skewed.orders, end="2024-01-28"))
     want = rows(spark.sql("""
-        SELECT billing_version_seen, COUNT(DISTINCT website_session_id), COUNT(DISTINCT order_id),
-               COUNT(DISTINCT order_id) / COUNT(DISTINCT website_session_id)
-        FROM (SELECT p.website_session_id, p.pageview_url AS billing_version_seen, o.order_id
-              FROM website_pageviews p LEFT JOIN shop_orders o ON o.website_session_id = p.website_session_id
-              WHERE p.website_pageview_id >= (SELECT MIN(website_pageview_id) FROM website_pageviews
-                                               WHERE pageview_url = '/billing-2')
-                AND p.created_at < TIMESTAMP_NTZ '2024-01-28 00:00:00'
-                AND p.pageview_url IN ('/billing', '/billing-2'))
-        GROUP BY billing_version_seen
+        WITH start AS (SELECT MIN(website_pageview_id) AS id FROM website_pageviews WHERE pageview_url = '/billing-2'),
+             seen AS (SELECT DISTINCT website_session_id, pageview_url AS v FROM website_pageviews
+                      WHERE website_pageview_id >= (SELECT id FROM start)
+                        AND created_at < TIMESTAMP_NTZ '2024-01-28 00:00:00'
+                        AND pageview_url IN ('/billing', '/billing-2'))
+        SELECT v, COUNT(DISTINCT seen.website_session_id), COUNT(DISTINCT o.order_id),
+               COUNT(DISTINCT o.order_id) / COUNT(DISTINCT seen.website_session_id)
+        FROM seen LEFT JOIN shop_orders o USING (website_session_id)
+        GROUP BY v
     """))
     assert got == want
 
@@ -81,24 +79,20 @@ def test_bounce_rate_by_landing_page_matches_brute_force(spark, skewed):
     skewed.register_views()
     got = rows(ops.bounce_rate_by_landing_page(skewed.sessions, skewed.pageviews, end="2024-01-28"))
     want = rows(spark.sql("""
-        WITH ftp AS (
-            SELECT p.website_session_id, MIN(p.website_pageview_id) AS m
-            FROM website_pageviews p JOIN website_sessions s ON s.website_session_id = p.website_session_id
-            WHERE s.created_at < TIMESTAMP_NTZ '2024-01-28 00:00:00' AND s.utm_source = 'gsearch'
-              AND s.utm_campaign = 'nonbrand'
-              AND p.website_pageview_id > (SELECT MIN(website_pageview_id) FROM website_pageviews
-                                           WHERE pageview_url = '/lander-1')
-            GROUP BY p.website_session_id),
-        lp AS (SELECT f.website_session_id, p.pageview_url AS landing_page FROM ftp f
-               JOIN website_pageviews p ON p.website_pageview_id = f.m
-               WHERE p.pageview_url IN ('/home', '/lander-1')),
-        b AS (SELECT lp.website_session_id FROM lp JOIN website_pageviews p
-              ON p.website_session_id = lp.website_session_id
-              GROUP BY lp.website_session_id HAVING COUNT(*) = 1)
-        SELECT lp.landing_page, COUNT(DISTINCT lp.website_session_id), COUNT(DISTINCT b.website_session_id),
-               COUNT(DISTINCT b.website_session_id) / COUNT(DISTINCT lp.website_session_id)
-        FROM lp LEFT JOIN b ON lp.website_session_id = b.website_session_id
-        GROUP BY lp.landing_page
+        WITH start AS (SELECT MIN(website_pageview_id) AS id FROM website_pageviews WHERE pageview_url = '/lander-1'),
+             cohort AS (SELECT website_session_id FROM website_sessions
+                        WHERE created_at < TIMESTAMP_NTZ '2024-01-28 00:00:00'
+                          AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'),
+             entry AS (SELECT website_session_id, MIN_BY(pageview_url, website_pageview_id) AS lp
+                       FROM website_pageviews
+                       WHERE website_pageview_id > (SELECT id FROM start)
+                         AND website_session_id IN (SELECT website_session_id FROM cohort)
+                       GROUP BY website_session_id),
+             views AS (SELECT website_session_id, COUNT(*) AS n FROM website_pageviews GROUP BY website_session_id)
+        SELECT lp, COUNT(*), COUNT(*) FILTER (WHERE n = 1), COUNT(*) FILTER (WHERE n = 1) / COUNT(*)
+        FROM entry JOIN views USING (website_session_id)
+        WHERE lp IN ('/home', '/lander-1')
+        GROUP BY lp
     """))
     assert got == want
 
