@@ -33,8 +33,13 @@ def page_launch(pageviews: DataFrame, *, page: str = NEW_LANDER) -> DataFrame:
 
 
 def launch_pageview_id(pageviews: DataFrame, page: str = NEW_LANDER) -> Column:
-    """Scalar-subquery column: the first pageview id of ``page``."""
-    return page_launch(pageviews, page=page).select("first_pageview_id").scalar()
+    """Scalar-subquery column: the first pageview id of ``page`` (the
+    ``first_pageview_id`` of :func:`page_launch`)."""
+    return (
+        pageviews.filter(f"pageview_url = {sql_string(page)} AND created_at IS NOT NULL")
+        .agg(F.min(PAGEVIEW_ID))
+        .scalar()
+    )
 
 
 def _test_profile(
