@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from sessionscope.plans.registry import QUERIES
 from tests.conftest import DATA_ORACLE
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+ORACLE = {k: v for k, v in entry_mod.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
