@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import chunk_dedup, packing, token_files
+from sessionscope.llm import chunk_dedup, ngram_join, packing, quality_cnn, token_files
 from sessionscope.llm.common import shared_dir, table
 from sessionscope.llm.tokenization import vocabulary_path
 
@@ -16,6 +16,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(
         table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), capacity=2048
@@ -23,6 +27,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_id_digests(packed)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_cnn.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality_cnn.score_quality(docs, model)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary_path("byte_bpe_50k.json"))
@@ -31,6 +41,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_token_files": op10_token_files,
 }
