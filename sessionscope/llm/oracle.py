@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# the control conversation of op9, its text doubled as a SQL literal
+_CONTROL = r"\### Assistant: </turn> ok"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id,
@@ -12,4 +15,64 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_exact_topk": """
+        WITH vectors AS (
+            SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score,
+                   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op5_warc": """
+        WITH captures AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS payload_digest,
+                   strlen(coalesce(html, ''))::BIGINT AS payload_bytes, coalesce(url, '') AS u,
+                   strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+            FROM pages
+        ), keyed AS (
+            SELECT *,
+                   CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first,
+                   CASE WHEN contains(u, '://')
+                        THEN concat(array_to_string(list_reverse(string_split(lower(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1)), '.')), ','),
+                                    ')', regexp_extract(u, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1))
+                        ELSE '' END AS url_key
+            FROM captures
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to,
+               url_key, captured,
+               row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
+        FROM keyed
+    """,
+    "op9_chat_formatting": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{_CONTROL}'
+            UNION ALL SELECT -7, 1, 'assistant', '{_CONTROL}'
+        ), written AS (
+            SELECT *,
+                   replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '<\\/turn>'), '### ', '\\### '), ':', '\\:') AS role_out,
+                   replace(replace(replace(text, '\\', '\\\\'), '</turn>', '<\\/turn>'), '### ', '\\### ') AS text_out
+            FROM turns
+        ), joined AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS plain,
+                   coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learned,
+                   sum(length(role_out) + length(text_out) + length('### : </turn>') + 1)::BIGINT AS formatted_chars
+            FROM written GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(plain) AS turns_sha256, length(learned) AS loss_chars,
+               sha256(learned) AS loss_sha256, formatted_chars
+        FROM joined
+    """,
 }

@@ -1,4 +1,4 @@
-"""The registered queries ``opN_<name>``, each over its whole table, and ``pipeline``."""
+"""The registered queries ``opN_<name>``, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import chunk_dedup, ngram_join, packing, quality_cnn, token_files
+from sessionscope.llm import (
+    chunk_dedup,
+    ngram_join,
+    packing,
+    quality_cnn,
+    reply_trees,
+    sp_transducer,
+    threshold_topk,
+    token_files,
+    url_trust,
+    warc_index,
+)
 from sessionscope.llm.common import shared_dir, table
 from sessionscope.llm.tokenization import vocabulary_path
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+# a conversation whose texts hold the template's own control strings
+CONTROL_CONVERSATION, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_trust.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -20,6 +46,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.top_k_inner_product(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024
+    )
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    warc_index.write_archives(table(spark, sf_dir, "pages"), folder)
+    index = warc_index.merged_index(warc_index.read_archives(spark, folder))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position"
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(
         table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), capacity=2048
@@ -27,12 +68,42 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_id_digests(packed)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_transducer.round_trips(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_cnn.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality_cnn.score_quality(docs, model)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(CONTROL_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    chats = reply_trees.format_chats(reply_trees.linear_replies(turns.unionByName(control)))
+    read = chats.select(
+        "conv_id",
+        reply_trees.parsed_turns(F.col("formatted")).alias("turns"),
+        reply_trees.learned_text(F.col("formatted"), F.col("loss")).alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    plain = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(plain, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary_path("byte_bpe_50k.json"))
@@ -40,9 +111,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_warc": op5_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_token_files": op10_token_files,
 }
