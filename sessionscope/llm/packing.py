@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.llm.common import cut, per_process, text_or_empty
-from sessionscope.llm.tokenization import TextEncoder, as_uint32
+from sessionscope.llm.tokenization import TextEncoder, as_uint32, by_size
 
 _PIECES = "id long, piece int, start long, length int, width int, ids binary, task long, nth long"
 
@@ -124,11 +124,11 @@ def token_pieces(
         width, task = encoder.width, TaskContext.get().partitionId()
         end, size, seen = np.array([end_id], f"<u{width}").tobytes(), capacity * width, {}
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
+            docs = iter(batch.column(0).to_pylist())
+            for texts in by_size(t.as_py() for t in batch.column(1)):
                 rows = []
-                part = batch.slice(first, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text) + end
+                for ids in encoder.encode(texts):
+                    doc, ids = next(docs), ids + end
                     for piece, at in enumerate(range(0, len(ids), size)):
                         own = ids[at : at + size]
                         length = len(own) // width

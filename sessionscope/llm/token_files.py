@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionscope.llm.common import mounted_path, per_process, text_or_empty
-from sessionscope.llm.tokenization import TextEncoder, as_uint32
+from sessionscope.llm.tokenization import TextEncoder, as_uint32, by_size
 
 NULL_ID = -(2**63)
 _MANIFEST = "part long, n_docs long, n_tokens long, width int"
@@ -81,11 +81,11 @@ def write_token_files(
             if not files:
                 files = {kind: open(name, "wb") for kind, name in names.items()}
             lengths = []
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py())
-                files["ids"].write(ids)
-                files["ids"].write(end)
-                lengths.append(len(ids) // encoder.width + 1)
+            for texts in by_size(t.as_py() for t in batch.column(1)):
+                for ids in encoder.encode(texts):
+                    files["ids"].write(ids)
+                    files["ids"].write(end)
+                    lengths.append(len(ids) // encoder.width + 1)
             files["lengths"].write(np.array(lengths, "<i8").tobytes())
             files["docs"].write(np.array(batch.column(0).to_pylist(), "<i8").tobytes())
             n_docs += len(lengths)

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 # Python counts these as white space, the library does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_WITH_SPACE = re.compile(r"\s*\S+|\s+").findall
+# a word with the space before it, or white space as the library's byte-level pattern cuts it
+_WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
 _LONG = 64
 
 
@@ -60,43 +62,87 @@ def _cuts_at(config: dict) -> str | None:
 class TextEncoder:
     """Ids of texts as little-endian unsigned integers, ``width`` bytes each.
 
-    ``width`` is 2 for vocabularies of at most 65,536 ids, else 4.  At most
-    ``max_entries`` pieces are remembered; then the memory starts afresh.
+    ``width`` is 2 for vocabularies of at most 65,536 ids, else 4.  About
+    ``max_entries`` parts are remembered, and as many older ones; a part that was
+    not met since the last change of generations is forgotten.
     """
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 700_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         # strings of special tokens inside a text are ordinary text
         self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self._cut = _cuts_at(json.load(f))
+            cut = _cuts_at(json.load(f))
+        self._split = {"attached": _WITH_SPACE, "dropped": str.split}.get(cut)
+        # a separator that is one token of its own, and the sign in it that other parts lack
+        self._separator, self._sign = {"attached": ("\n", "\n"), "dropped": (" | ", "|")}.get(cut, ("", ""))
+        mark = self._ids([self._sign])[0] if self._sign else []
+        self._mark = mark[0] if len(mark) == 1 else None
         self.width = id_width(self._tokenizer.get_vocab_size())
         self._kind = f"<u{self.width}"
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._max = max_entries
 
-    def _raw(self, parts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, self._kind).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if self._cut is None or _SEPARATORS.search(text):
-            return self._raw([text])[0]
-        parts = text.split() if self._cut == "dropped" else _WITH_SPACE(text)
-        known = self._known
-        if missing := set(parts).difference(known):
-            if len(known) + len(missing) > self._max:
-                known.clear()
-                missing = set(parts)
-            missing = list(missing)
-            fresh = dict(zip(missing, self._raw(missing), strict=True))
-            short = {k: v for k, v in fresh.items() if len(k) <= _LONG}
-            known.update(short)
-            if len(short) < len(fresh) or len(known) > self._max:
-                return b"".join([fresh[p] if p in fresh else known[p] for p in parts])
-        return b"".join([known[p] for p in parts])
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x, self._kind).tobytes() for x in self._ids(parts)]
+
+    def _fresh(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts: those without the separator's sign in one call, joined by it."""
+        plain = [p for p in parts if self._sign not in p and not p.isspace()]
+        other = [p for p in parts if self._sign in p or p.isspace()]
+        if self._mark is None or len(plain) < 2:
+            other, plain = list(parts), []
+        found = dict(zip(other, self._each(other), strict=True)) if other else {}
+        if plain:
+            ids = np.array(self._ids([self._separator.join(plain)])[0], self._kind)
+            ends = np.flatnonzero(ids == self._mark)
+            if len(ends) != len(plain) - 1:
+                raise AssertionError("a part holds the separator's token")
+            raw, step = ids.tobytes(), self.width
+            starts = [0, *((ends + 1) * step).tolist()]
+            stops = [*(ends * step).tolist(), len(raw)]
+            found.update(zip(plain, [raw[i:j] for i, j in zip(starts, stops, strict=True)], strict=True))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text."""
+        split = self._split
+        cut = [None if split is None or _SEPARATORS.search(t) else split(t) for t in texts]
+        known, missing = self._known, set().union(*(x for x in cut if x is not None))
+        if len(known) > self._max:
+            self._older, self._known = known, {}
+            known = self._known
+        missing.difference_update(known)
+        again = [p for p in missing if p in self._older]
+        known.update((p, self._older[p]) for p in again)
+        missing.difference_update(again)
+        fresh = self._fresh(missing) if missing else {}
+        long = [p for p in fresh if len(p) > _LONG]
+        known.update(fresh)
+        out = [b"".join([known[p] for p in x]) if x is not None else self._each([t])[0] for x, t in zip(cut, texts, strict=True)]
+        for p in long:
+            del known[p]
+        return out
+
+
+def by_size(texts: Iterable[str], characters: int = 1 << 19) -> Iterator[list[str]]:
+    """Texts in lists of about so many characters."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def id_width(vocabulary_size: int) -> int:
