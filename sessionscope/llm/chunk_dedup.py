@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.llm.common import cut, text_or_empty
+from sessionscope.llm.common import cut, text_or_empty, unused
 
 # shortest and longest chunk; the end of a line or sentence cuts between them
 CHUNK = r"(?s).{512,4094}?(?:\n|[.!?]\s)|.{1,4096}"
@@ -101,10 +101,10 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Every distinct text keeps exactly one row, also where rows repeat whole.
     """
+    sha, kept_id, kept_sha = (unused(docs, x) for x in ("_sha", "_kept_id", "_kept_sha"))
     kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(text_or_empty(text_col), 256)
-    rows = docs.withColumn("_sha", sha).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi"
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    rows = docs.withColumn(sha, F.sha2(text_or_empty(text_col), 256)).join(
+        kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi"
     )
-    return rows.dropDuplicates([id_col, "_sha"]).select(*docs.columns)
+    return rows.dropDuplicates([id_col, sha]).select(*docs.columns)

@@ -55,6 +55,14 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def runs(
     batches: Iterable[pa.RecordBatch], key: list[str]
 ) -> Iterator[tuple[tuple, pa.Table]]:

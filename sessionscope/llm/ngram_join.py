@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.llm.common import components, cut, runs, text_or_empty
+from sessionscope.llm.common import components, cut, runs, text_or_empty, unused
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -315,5 +315,6 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeat the smallest id of their class, all stay if their texts differ.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

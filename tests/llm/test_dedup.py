@@ -1,0 +1,156 @@
+"""Exact duplicates and near duplicates against brute force."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionscope.llm import chunk_dedup, ngram_join
+from sessionscope.llm.common import components
+from tests.llm import edge
+
+
+def exact_brute(rows):
+    by_text = defaultdict(list)
+    for i, (doc, text) in enumerate(rows):
+        by_text[text or ""].append((doc if doc is not None else -(10**9), i, doc))
+    out = []
+    for text, members in by_text.items():
+        last = max(members)
+        for m in members:
+            out.append((m[2], last[2], len(members), hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("modulus", [None, 3])
+def test_exact_duplicates_and_clashing_identifiers(spark, modulus):
+    """With three identifiers only, nearly all clash; the contents beside the lists settle them."""
+    ident = F.xxhash64 if modulus is None else lambda c: F.pmod(F.xxhash64(c), F.lit(modulus))
+    rows = [*edge.ROWS, (20, edge.LONG[:-1] + "?"), (21, edge.LONG)]
+    got = chunk_dedup.exact_duplicates(edge.docs(spark, rows), identifier=ident).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == exact_brute(rows)
+    kept = defaultdict(int)
+    for r in got:
+        kept[r.text_sha256] += r.kept
+        assert not r.kept or r.doc_id == r.keep_id
+    assert set(kept.values()) == {1}
+
+
+def test_drop_keeps_one_row_of_each_text_and_all_columns(spark):
+    docs = edge.docs(spark)
+    out = chunk_dedup.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    texts = [r.text or "" for r in out.collect()]
+    assert sorted(texts) == sorted({t or "" for _, t in edge.ROWS})
+    assert {r._sha for r in out.collect()} == {"clash"}
+
+
+def test_chunks_give_the_text_back(spark):
+    texts = [t or "" for _, t in edge.ROWS] + ["x" * 10_000, "ab. " * 3000, "\n" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(F.array_join(chunk_dedup.chunks_of(F.col("text")), "").alias("t")).collect()
+    assert [r.t for r in got] == texts
+
+
+def test_empty_tables(spark):
+    docs = edge.docs(spark, [])
+    assert chunk_dedup.exact_duplicates(docs).count() == 0
+    assert ngram_join.near_duplicates(docs).count() == 0
+    assert ngram_join.keep_one_of_each(docs).columns == docs.columns
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_brute(rows, threshold=0.8):
+    sets = [grams(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if either and sets[i] and sets[j] and len(sets[i] & sets[j]) / either >= threshold - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    members = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        members[top(i)].append(doc)
+    big = 10**18
+    return sorted(
+        ((doc, min((d for d in members[top(i)] if d is not None), default=None), links[i], len(members[top(i)])) for i, (doc, _) in enumerate(rows)),
+        key=lambda r: (r[0] if r[0] is not None else big, r),
+    )
+
+
+def near_got(df):
+    big = 10**18
+    return sorted(
+        ((r.doc_id, r.class_id, r.n_links, r.class_size) for r in df.collect()),
+        key=lambda r: (r[0] if r[0] is not None else big, r),
+    )
+
+
+def test_near_duplicates_edge_cases(spark):
+    assert near_got(ngram_join.near_duplicates(edge.docs(spark))) == near_brute(edge.ROWS)
+
+
+def test_near_duplicates_hot_group_in_blocks(spark):
+    """A chained group of hundreds of edited copies, cut into many small blocks."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"u{i}_{k}" for k in range(40)) + " released under the license of all of us") for i in range(50)]
+    got = ngram_join.near_duplicates(edge.docs(spark, rows), block_docs=40)
+    want = near_brute(rows)
+    found = near_got(got)
+    assert [x[:2] for x in found] == [x[:2] for x in want]
+    assert found == want
+
+
+def test_keep_one_of_each(spark):
+    out = ngram_join.keep_one_of_each(edge.docs(spark))
+    ids = [r.doc_id for r in out.collect()]
+    want = {x[1] for x in near_brute([x for x in edge.ROWS if x[0] is not None])}
+    assert {i for i in ids if i is not None} == want
+    assert None in ids
+
+
+def test_forest_depth_shortens_until_the_recall_is_met():
+    depth = ngram_join.forest_depth(0.8, 48, 16, 0.998)
+    assert 1 - (1 - 0.8**depth) ** 48 >= 0.998 > 1 - (1 - 0.8 ** (depth + 1)) ** 48
+
+
+def test_components(spark):
+    r = random.Random(2)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)]
+    pairs += [(500, k) for k in range(501, 560)] + [(7, 7)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    parent = {}
+
+    def top(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        if a != b:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert got == {i: top(i) for i in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,0 +1,104 @@
+"""Rules and trust propagation against brute force."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from sessionscope.llm import url_trust
+from sessionscope.llm.queries import URL_RULES
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0] or [len(rest)])
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    end = min([i for i in (path.find(c) for c in "?#") if i >= 0] or [len(path)])
+    return host, path[:end]
+
+
+def rule_of(host, path):
+    fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def pages(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for clash in ("host", "path", "rule", "src", "rank", "kind"):
+        df = df.withColumn(clash, F.lit("clash"))
+    return df
+
+
+def brute(rows, damping=0.85, rounds=20, threshold=1.0):
+    import re
+
+    hosts, links, count = {}, {}, {}
+    for _, url, html in rows:
+        host, path = split(url)
+        if not host:
+            continue
+        n = count.setdefault(host, [0, 0, 0])
+        n[0] += 1
+        verdict = rule_of(host, path)[1]
+        n[1] += verdict == "allow"
+        n[2] += verdict == "block"
+        for target in re.findall(r"""href\s*=\s*["']?(?:[a-z]+:)?//([^/?#"'\s>]+)""", html or "", re.I):
+            target = target.lower()
+            if target != host:
+                links[host, target] = links.get((host, target), 0) + 1
+    for kind, place, edges in (("trust", 1, links), ("distrust", 2, {(b, a): n for (a, b), n in links.items()})):
+        seeds = {h: n[0] for h, n in count.items() if n[place] * 2 > n[0]}
+        total = sum(seeds.values())
+        start = {h: (1 - damping) * n / total for h, n in seeds.items()}
+        out = {}
+        for (a, _), n in edges.items():
+            out[a] = out.get(a, 0) + n
+        rank = dict(start)
+        for _ in range(rounds):
+            new = dict(start)
+            for (a, b), n in edges.items():
+                if a in rank:
+                    new[b] = new.get(b, 0) + damping * rank[a] * n / out[a]
+            rank = new
+        hosts[kind] = rank
+    result = []
+    for page, url, _ in rows:
+        host, path = split(url)
+        rule, verdict = rule_of(host, path)
+        trust, distrust = hosts["trust"].get(host, 0.0), hosts["distrust"].get(host, 0.0)
+        result.append((page, host, path, rule, verdict or ("block" if distrust > threshold * trust else "allow"), round(trust, 9), round(distrust, 9)))
+    return sorted(result, key=repr)
+
+
+URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en", "http://example.com/en/", "http://a.example.com/en/z", "http://x.net/es/", "http://x.net", "http://x.net?/es/", "http://net/fr/a", "http://notnet/fr/a", "a://b://c.com/", "http://ÄÖ.com/É", "http://com:80/", "x://y.net/fr/://z.com/"]
+
+
+def got(df):
+    return sorted(((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in df.collect()), key=repr)
+
+
+def test_rules_and_parts(spark):
+    rows = [(i, u, None) for i, u in enumerate(URLS)] + [(4, URLS[4], ""), (None, "http://q.net/es/1", None)]
+    assert got(url_trust.filter_urls(pages(spark, rows), URL_RULES)) == brute(rows)
+
+
+def test_propagation(spark):
+    r = random.Random(11)
+    names = [f"good{i}.com" for i in range(4)] + [f"bad{i}.net" for i in range(4)] + [f"h{i}.org" for i in range(14)]
+    rows = []
+    for i in range(160):
+        host = r.choice(names)
+        path = "/es/x" if host.endswith("net") and r.random() < 0.9 else "/p"
+        to = [r.choice(names) for _ in range(r.randrange(4))]
+        html = "".join(f'<a HREF="https://{t.upper()}/q?x=1">l</a><a href="/own">o</a>' for t in to)
+        rows.append((i, f"http://{host}{path}", html))
+    found = got(url_trust.filter_urls(pages(spark, rows), URL_RULES, tolerance=0.0))
+    want = brute(rows)
+    assert found == want
+    assert {x[4] for x in want if x[1].endswith(".org")} == {"allow", "block"}
+
+
+def test_empty(spark):
+    assert url_trust.filter_urls(pages(spark, []), URL_RULES).count() == 0
