@@ -34,13 +34,15 @@ def main(argv: list[str] | None = None) -> int:
     for cmd in ("run", "explain"):
         p = sub.add_parser(cmd)
         p.add_argument("name", choices=sorted(QUERIES))
-        p.add_argument("--data", default="/root/testdata/sf0.01")
+        p.add_argument("--data", help="folder that holds events.parquet")
         p.add_argument("--tables", default=None, help="catalog database saved by save_as_tables")
         if cmd == "run":
             p.add_argument("--out", required=True)
             p.add_argument("--format", default="parquet")
             p.add_argument("--mode", default="errorifexists")
     args = parser.parse_args(argv)
+    if args.cmd != "list" and not (args.data or args.tables):
+        parser.error("name the input: --data or --tables")
 
     if args.cmd == "list":
         print("\n".join(QUERIES))

@@ -1,9 +1,8 @@
 """Column-level helpers: calendar buckets, time windows, ratios, key counts."""
 
 from sessionscope.functions.metrics import (
+    distinct_counts,
     flag,
-    key_count,
-    key_count_when,
     order_total,
     orders_per_session,
     ratio,
@@ -20,9 +19,8 @@ from sessionscope.functions.timebuckets import (
 )
 
 __all__ = [
+    "distinct_counts",
     "flag",
-    "key_count",
-    "key_count_when",
     "order_total",
     "orders_per_session",
     "ratio",

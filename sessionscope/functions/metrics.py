@@ -1,13 +1,10 @@
 """Aggregate helpers shared by the operators.
 
-Distinct counts of a key.  ``COUNT(DISTINCT key)`` over a table where ``key``
-is unique equals ``COUNT(key)``; with a condition it equals
-``COUNT(CASE WHEN cond THEN key END)``.  Plain counts are combinable, so Spark
-aggregates them map-side (partial ``HashAggregate``) and shuffles one row per
-group and task instead of one row per key - no ``Expand``, no second
-aggregation level, no hot-key task.  Joins that would repeat a key (session ×
-orders) are avoided by pre-aggregating the many side per session first
-(``orders_per_session``).
+Distinct counts of a key run in two levels: one row per (group, key), then a
+count of these rows.  Both levels combine map-side, a hot key or group reaches
+its task as one row per input task, and no ``Expand`` is needed.  Where the rows
+are hash-partitioned by the key already, the first level adds no shuffle.
+Repeated rows of a key count once, as ``COUNT(DISTINCT key)`` says.
 """
 
 from __future__ import annotations
@@ -29,17 +26,36 @@ def ratio(numerator: str | Column, denominator: str | Column) -> Column:
     return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
 
-def key_count(key: str | Column = SESSION_ID) -> Column:
-    """Number of distinct (non-NULL) values of a unique key."""
-    return F.count(key)
+def distinct_counts(
+    df: DataFrame,
+    groups: list[Column],
+    *,
+    total: str | None = None,
+    when: dict[str, str] | None = None,
+    first: dict[str, Column] | None = None,
+    key: str = SESSION_ID,
+) -> DataFrame:
+    """Per group: distinct ``key`` values, and those with a row where a condition holds.
 
-
-def key_count_when(cond: str | Column, key: str = SESSION_ID) -> Column:
-    """Distinct count of a unique key among rows where ``cond`` holds
-    (``cond`` as a Column or as SQL text)."""
-    if isinstance(cond, str):
-        return F.expr(f"count(CASE WHEN {cond} THEN {key} END)")
-    return F.count(F.when(cond, F.col(key)))
+    Out: the groups, the minima named in ``first``, ``total``, one column for each
+    condition (SQL text) of ``when``.
+    """
+    when, first = when or {}, first or {}
+    rows = df.select(
+        *groups,
+        F.col(key).alias("_key"),
+        *[e.alias(f"_first_{n}") for n, e in first.items()],
+        *[F.expr(f"CASE WHEN {c} THEN 1 END").alias(f"_when_{n}") for n, c in when.items()],
+    )
+    names = rows.columns[: len(groups)]
+    merged = [F.min(f"_first_{n}").alias(f"_first_{n}") for n in first]
+    merged += [F.max(f"_when_{n}").alias(f"_when_{n}") for n in when]
+    keyed = rows.groupBy(*names, "_key").agg(*merged) if merged else rows.distinct()
+    return keyed.groupBy(*names).agg(
+        *[F.min(f"_first_{n}").alias(n) for n in first],
+        *([F.count("_key").alias(total)] if total else []),
+        *[F.expr(f"count(CASE WHEN _when_{n} = 1 THEN _key END)").alias(n) for n in when],
+    )
 
 
 def flag(cond: Column) -> Column:
@@ -47,27 +63,20 @@ def flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
-def orders_per_session(orders: DataFrame) -> DataFrame:
-    """One row per session with its number of orders (``n_orders``).
+def orders_per_session(orders: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Distinct orders (``n_orders``) of each of the given sessions that has any.
 
-    The partial count runs map-side, so a session with very many orders never
-    reaches one task as raw rows.
+    Orders of other sessions are left out before the first shuffle.
     """
-    return orders.groupBy(SESSION_ID).agg(F.count(ORDER_ID).alias("n_orders"))
+    own = orders.select(SESSION_ID, ORDER_ID).join(sessions.select(SESSION_ID), SESSION_ID, "left_semi")
+    return own.distinct().groupBy(SESSION_ID).agg(F.count(ORDER_ID).alias("n_orders"))
 
 
 def with_order_counts(sessions: DataFrame, orders: DataFrame) -> DataFrame:
-    """Sessions with ``n_orders`` attached (NULL when the session has none).
-
-    Both sides hold one row per session, so the join has no fan-out and no
-    skew; AQE turns it into a broadcast join at runtime when either side
-    turns out small.
-    """
-    return sessions.join(orders_per_session(orders), SESSION_ID, "left")
+    """Sessions with ``n_orders`` attached (NULL when the session has none)."""
+    return sessions.join(orders_per_session(orders, sessions), SESSION_ID, "left")
 
 
-def order_total(n_orders: str | Column = "n_orders") -> Column:
-    """Distinct orders over the grouped sessions (orders belong to one session)."""
-    if isinstance(n_orders, str):
-        return F.expr(f"coalesce(sum({n_orders}), CAST(0 AS BIGINT))")
-    return F.coalesce(F.sum(n_orders), F.lit(0).cast("long"))
+def order_total(n_orders: str = "n_orders") -> Column:
+    """Distinct orders over the grouped sessions (an order belongs to one session)."""
+    return F.expr(f"coalesce(sum({n_orders}), CAST(0 AS BIGINT))")

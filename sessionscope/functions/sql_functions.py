@@ -18,9 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_WEEK_BODY = "CAST(floor((dayofyear(d) + 7 - dayofweek(d)) / 7) AS INT)"
-_SUNDAY = "date_sub(to_date(d), dayofweek(d) - 1)"
-_YEARWEEK_BODY = f"CAST(year({_SUNDAY}) * 100 + floor((dayofyear({_SUNDAY}) + 6) / 7) AS INT)"
+from sessionscope.functions.timebuckets import WEEK_SQL, YEARWEEK_SQL
 
 
 def _mode0(body: str) -> str:
@@ -28,8 +26,8 @@ def _mode0(body: str) -> str:
 
 
 SQL_FUNCTIONS = {
-    "week": f"(d TIMESTAMP_NTZ, mode INT DEFAULT 0) RETURNS INT RETURN {_mode0(_WEEK_BODY)}",
-    "yearweek": f"(d TIMESTAMP_NTZ, mode INT DEFAULT 0) RETURNS INT RETURN {_mode0(_YEARWEEK_BODY)}",
+    "week": f"(d TIMESTAMP_NTZ, mode INT DEFAULT 0) RETURNS INT RETURN {_mode0(WEEK_SQL.format(d='d'))}",
+    "yearweek": f"(d TIMESTAMP_NTZ, mode INT DEFAULT 0) RETURNS INT RETURN {_mode0(YEARWEEK_SQL.format(d='d'))}",
 }
 
 

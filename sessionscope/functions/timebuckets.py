@@ -19,43 +19,27 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TimeBound = str | _dt.datetime | _dt.date | None
-
-
-# Helpers return ``F.expr`` over SQL text when given column names: one JVM
-# call per expression instead of one per operator node, same Catalyst tree.
-
+from sessionscope.sources.events import sessions_within
 
-def _sql(c: str | Column) -> str | None:
-    return c if isinstance(c, str) else None
+TimeBound = str | _dt.datetime | _dt.date | None
 
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _int_div(numerator: Column, divisor: int) -> Column:
-    # operands are small positive ints (day numbers), so floor of the double is exact
-    return F.floor(numerator / F.lit(divisor)).cast("int")
+# The week formulas, once; ``{d}`` is the day's SQL.  dayofweek: Sunday = 1 … Saturday = 7
+WEEK_SQL = "CAST(floor((dayofyear({d}) + 7 - dayofweek({d})) / 7) AS INT)"
+_SUNDAY_SQL = "date_sub(to_date({d}), dayofweek({d}) - 1)"
+YEARWEEK_SQL = f"CAST(year({_SUNDAY_SQL}) * 100 + floor((dayofyear({_SUNDAY_SQL}) + 6) / 7) AS INT)"
 
 
-def week_sunday0(ts: str | Column) -> Column:
-    if (name := _sql(ts)) is not None:
-        return F.expr(f"CAST(floor((dayofyear({name}) + 7 - dayofweek({name})) / 7) AS INT)")
-    t = _col(ts)
-    # dayofweek: Sunday = 1 … Saturday = 7
-    return _int_div(F.dayofyear(t) + F.lit(7) - F.dayofweek(t), 7)
+def week_sunday0(ts: str) -> Column:
+    return F.expr(WEEK_SQL.format(d=ts))
 
 
-def yearweek_sunday(ts: str | Column) -> Column:
-    if (name := _sql(ts)) is not None:
-        sunday = f"date_sub(to_date({name}), dayofweek({name}) - 1)"
-        return F.expr(f"CAST(year({sunday}) * 100 + floor((dayofyear({sunday}) + 6) / 7) AS INT)")
-    t = _col(ts)
-    week_sunday = F.date_sub(F.to_date(t), F.dayofweek(t) - F.lit(1))
-    return (F.year(week_sunday) * F.lit(100) + _int_div(F.dayofyear(week_sunday) + F.lit(6), 7)).cast(
-        "int"
-    )
+def yearweek_sunday(ts: str) -> Column:
+    return F.expr(YEARWEEK_SQL.format(d=ts))
 
 
 def weekday_mon0(ts: str | Column) -> Column:
@@ -101,14 +85,27 @@ def time_window_sql(
 
 
 PARTITION_DATE = "created_date"
+_DAY_OF = "sessionscope.day_of"
+
+
+def mark_day_partition(df):
+    """Say that ``created_date`` of ``df`` is the calendar day of ``created_at``.
+
+    Only tables that this library wrote are marked; a column that merely has the
+    name is never used to prune.
+    """
+    return df.withMetadata(PARTITION_DATE, {_DAY_OF: "created_at"})
+
+
+def _day_partitioned(df) -> bool:
+    return any(f.name == PARTITION_DATE and f.metadata.get(_DAY_OF) == "created_at" for f in df.schema.fields)
 
 
 def partition_window_sql(start: TimeBound = None, end: TimeBound = None) -> str:
     """Day-partition predicate implied by a ``created_at`` window.
 
-    ``created_date`` is the calendar day of ``created_at`` in the partitioned
-    layout; the predicate keeps every day that can hold a row of the window
-    (a superset), so Spark prunes whole directories without changing results.
+    It keeps every day that can hold a row of the window (a superset), so Spark
+    prunes whole directories without changing results.
     """
     parts = []
     if start is not None:
@@ -129,18 +126,23 @@ def within(
 ):
     """``df`` filtered to ``created_at`` in the window (and ``extra_sql``).
 
-    When the table is stored partitioned by day (a ``created_date`` column),
-    the implied partition predicate is added so the scan skips whole days.
-    ``created_date`` is reserved for ``to_date(created_at)``, as every layout
-    written by this library defines it.
+    On a table marked as day-partitioned the implied partition predicate is added,
+    so the scan skips whole days; sessions derived from events take the bounds
+    into the scan of the events.
     """
     pred = time_window_sql(
         "created_at", start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
     )
     if extra_sql:
         pred = f"({extra_sql}) AND {pred}"
-    if (start is not None or end is not None) and PARTITION_DATE in df.columns:
-        pred = f"{pred} AND {partition_window_sql(start, end)}"
+    if start is not None or end is not None:
+        df = sessions_within(
+            df,
+            None if start is None else f"ts >= CAST(to_date({ts_literal_sql(start)}) AS TIMESTAMP_NTZ)",
+            None if end is None else f"ts {'<=' if end_inclusive else '<'} {ts_literal_sql(end)}",
+        )
+        if _day_partitioned(df):
+            pred = f"{pred} AND {partition_window_sql(start, end)}"
     return df.filter(pred)
 
 
@@ -159,10 +161,10 @@ def time_window(
     which keep only the first instant (midnight) of the end day.  The literals
     are constant-folded and pushed into the Parquet scan.
     """
-    if (name := _sql(ts)) is not None:
+    if isinstance(ts, str):
         return F.expr(
             time_window_sql(
-                name, start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
+                ts, start, end, start_exclusive=start_exclusive, end_inclusive=end_inclusive
             )
         )
     t = _col(ts)

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import (
-    key_count,
-    key_count_when,
-    order_total,
-    ratio,
-    with_order_counts,
-)
+from sessionscope.functions.metrics import distinct_counts, order_total, ratio, with_order_counts
 from sessionscope.functions.timebuckets import TimeBound, within, yearweek_sunday
 from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
@@ -41,18 +35,13 @@ def weekly_sources(
     Out: yrwk, week_start_date, total_<campaign>_sessions, <source>_sessions…
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end)
-    per_source = [
-        key_count_when(f"utm_source = {sql_string(s)}").alias(f"{s}_sessions") for s in sources
-    ]
-    return (
-        cohort.groupBy(yearweek_sunday("created_at").alias("yrwk"))
-        .agg(
-            F.min(F.to_date("created_at")).alias("week_start_date"),
-            key_count().alias(f"total_{utm_campaign}_sessions"),
-            *per_source,
-        )
-        .orderBy("yrwk")
-    )
+    return distinct_counts(
+        cohort,
+        [yearweek_sunday("created_at").alias("yrwk")],
+        total=f"total_{utm_campaign}_sessions",
+        when={f"{s}_sessions": f"utm_source = {sql_string(s)}" for s in sources},
+        first={"week_start_date": F.to_date("created_at")},
+    ).orderBy("yrwk")
 
 
 def source_mobile_share(
@@ -71,16 +60,14 @@ def source_mobile_share(
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end).filter(
         f"utm_source IN ({', '.join(sql_string(s) for s in sources)})"
     )
-    return (
-        cohort.groupBy("utm_source")
-        .agg(
-            key_count().alias("sessions"),
-            key_count_when(f"device_type = {sql_string(device)}").alias("mobile_sessions"),
-        )
-        .select(
-            "utm_source", "sessions", "mobile_sessions",
-            ratio("mobile_sessions", "sessions").alias("pct_mobile"),
-        )
+    counts = distinct_counts(
+        cohort,
+        [F.col("utm_source")],
+        total="sessions",
+        when={"mobile_sessions": f"device_type = {sql_string(device)}"},
+    )
+    return counts.select(
+        "utm_source", "sessions", "mobile_sessions", ratio("mobile_sessions", "sessions").alias("pct_mobile")
     )
 
 
@@ -98,9 +85,9 @@ def conversion_by_device_source(
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end)
     return (
-        with_order_counts(cohort.select(SESSION_ID, "device_type", "utm_source"), orders)
+        with_order_counts(cohort.select(SESSION_ID, "device_type", "utm_source").distinct(), orders)
         .groupBy("device_type", "utm_source")
-        .agg(key_count().alias("sessions"), order_total().alias("orders"))
+        .agg(F.count(SESSION_ID).alias("sessions"), order_total().alias("orders"))
         .select(
             "device_type", "utm_source", "sessions", "orders",
             ratio("orders", "sessions").alias("conv_rate"),
@@ -125,17 +112,19 @@ def weekly_source_device_ratio(
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end)
 
-    def count_of(source: str, device: str) -> Column:
-        return key_count_when(
-            f"utm_source = {sql_string(source)} AND device_type = {sql_string(device)}"
-        )
-
-    weekly = cohort.groupBy(yearweek_sunday("created_at").alias("year_week")).agg(
-        F.min(F.to_date("created_at")).alias("week_start_date"),
-        count_of(base_source, "desktop").alias("g_dtop_sessions"),
-        count_of(other_source, "desktop").alias("b_dtop_sessions"),
-        count_of(base_source, "mobile").alias("g_mob_sessions"),
-        count_of(other_source, "mobile").alias("b_mob_sessions"),
+    def is_of(source: str, device: str) -> str:
+        return f"utm_source = {sql_string(source)} AND device_type = {sql_string(device)}"
+
+    weekly = distinct_counts(
+        cohort,
+        [yearweek_sunday("created_at").alias("year_week")],
+        when={
+            "g_dtop_sessions": is_of(base_source, "desktop"),
+            "b_dtop_sessions": is_of(other_source, "desktop"),
+            "g_mob_sessions": is_of(base_source, "mobile"),
+            "b_mob_sessions": is_of(other_source, "mobile"),
+        },
+        first={"week_start_date": F.to_date("created_at")},
     )
     return weekly.orderBy("week_start_date").select(
         "year_week",
@@ -189,16 +178,11 @@ def monthly_channel_mix(
     direct_pct_of_nonbrand, organic, organic_pct_of_nonbrand.
     """
     classified = classify_channel(sessions, organic_referers=organic_referers, end=end)
-    def in_group(label: str) -> Column:
-        return key_count_when(f"channel_group = {sql_string(label)}")
-
-    monthly = classified.groupBy(
-        F.year("created_at").alias("yr"), F.month("created_at").alias("mo")
-    ).agg(
-        in_group(PAID_NONBRAND).alias("nonbrand"),
-        in_group(PAID_BRAND).alias("brand"),
-        in_group(DIRECT_TYPE_IN).alias("direct"),
-        in_group(ORGANIC_SEARCH).alias("organic"),
+    groups = {"nonbrand": PAID_NONBRAND, "brand": PAID_BRAND, "direct": DIRECT_TYPE_IN, "organic": ORGANIC_SEARCH}
+    monthly = distinct_counts(
+        classified,
+        [F.year("created_at").alias("yr"), F.month("created_at").alias("mo")],
+        when={name: f"channel_group = {sql_string(label)}" for name, label in groups.items()},
     )
     return monthly.orderBy("yr", "mo").select(
         "yr",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.timebuckets import TimeBound, within
+from sessionscope.sources.schemas import SESSION_ID
 
 
 def sql_string(value: str) -> str:
@@ -28,33 +27,14 @@ def campaign_filter(utm_source: str | None = None, utm_campaign: str | None = No
     return F.expr(campaign_filter_sql(utm_source, utm_campaign))
 
 
-def _as_datetime(bound: TimeBound) -> _dt.datetime:
-    if isinstance(bound, _dt.datetime):
-        return bound
-    if isinstance(bound, _dt.date):
-        return _dt.datetime(bound.year, bound.month, bound.day)
-    return _dt.datetime.fromisoformat(str(bound))
-
-
-def session_pageviews(
-    pageviews: DataFrame,
-    start: TimeBound = None,
-    end: TimeBound = None,
-    horizon: _dt.timedelta | None = None,
-) -> DataFrame:
-    """The pageviews that can belong to sessions created in [start, end].
+def cohort_pageviews(pageviews: DataFrame, cohort: DataFrame) -> DataFrame:
+    """All pageviews of the cohort's sessions, whenever they happened.
 
-    Without ``horizon`` that is every pageview: a session's pageviews count
-    whenever they happened, so the exact answer reads the whole table.  With
-    ``horizon`` (an upper bound on session length, e.g. one day), only
-    pageviews in ``[start, end + horizon]`` are read, which lets day-partitioned
-    tables prune whole days.  Results are the same whenever no session lasts
-    longer than ``horizon``.
+    A semi join below the grouping by session: with a cohort of a size that Spark
+    broadcasts it filters the scan's rows in place; for a larger one Spark adds a
+    bloom filter of the cohort below the shuffle (``session._BASE_CONF``).
     """
-    if horizon is None:
-        return pageviews
-    upper = None if end is None else _as_datetime(end) + horizon
-    return within(pageviews, start, upper, end_inclusive=True)
+    return pageviews.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
 
 
 def session_cohort(

@@ -8,16 +8,15 @@ exceed 1.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import key_count, key_count_when, ratio
+from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound
-from sessionscope.operators.common import session_cohort, session_pageviews, sql_string
-from sessionscope.plans.joins import left_join_fanout
-from sessionscope.sources.schemas import SESSION_ID
+from sessionscope.operators.common import cohort_pageviews, session_cohort, sql_string
+from sessionscope.plans.joins import salted_left_join
+from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
 @dataclass(frozen=True)
@@ -61,7 +60,6 @@ def funnel_pageview_flags(
     start: TimeBound = "2012-08-05",
     end: TimeBound = "2012-09-05",
     steps: tuple[FunnelStep, ...] = DEFAULT_STEPS,
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Every pageview of the cohort sessions with one 0/1 flag per step;
     a cohort session without pageviews appears once with NULL page and 0 flags.
@@ -70,10 +68,10 @@ def funnel_pageview_flags(
     ordered by session and pageview time.
     """
     cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
-    pvs = session_pageviews(pageviews, start, end, pageview_horizon).select(
-        SESSION_ID, "pageview_url", F.col("created_at").alias("pageview_created_at")
+    pvs = pageviews.select(
+        SESSION_ID, PAGEVIEW_ID, "pageview_url", F.col("created_at").alias("pageview_created_at")
     )
-    rows = left_join_fanout(cohort, pvs, SESSION_ID)
+    rows = salted_left_join(cohort, pvs, SESSION_ID, row_id=PAGEVIEW_ID)
     flags = [
         f"CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END AS {s.page_flag}"
         for s in steps
@@ -92,17 +90,15 @@ def session_funnel_flags(
     start: TimeBound = "2012-08-05",
     end: TimeBound = "2012-09-05",
     steps: tuple[FunnelStep, ...] = DEFAULT_STEPS,
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Per cohort session, 1 when it saw each step's page, else 0.
 
-    The flags are max-aggregated per session over pageviews (map-side partial
-    aggregation), then attached to the cohort by a one-row-per-session join.
+    The flags are max-aggregated per session over the cohort's pageviews (map-side
+    partial aggregation), then attached to the cohort, one row per session.
     Out: website_session_id, <made_it>…
     """
-    cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
-    counted = session_pageviews(pageviews, start, end, pageview_horizon)
-    reached = counted.groupBy(SESSION_ID).agg(
+    cohort = _cohort(sessions, utm_source, utm_campaign, start, end).distinct()
+    reached = cohort_pageviews(pageviews, cohort).groupBy(SESSION_ID).agg(
         *[
             F.expr(f"max(CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END)").alias(
                 s.made_it
@@ -125,7 +121,6 @@ def funnel_counts(
     start: TimeBound = "2012-08-05",
     end: TimeBound = "2012-09-05",
     steps: tuple[FunnelStep, ...] = DEFAULT_STEPS,
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """One row: cohort sessions and how many reached each step.
 
@@ -133,11 +128,11 @@ def funnel_counts(
     """
     flags = session_funnel_flags(
         sessions, pageviews, utm_source=utm_source, utm_campaign=utm_campaign,
-        start=start, end=end, steps=steps, pageview_horizon=pageview_horizon,
+        start=start, end=end, steps=steps,
     )
     return flags.agg(
-        key_count().alias("sessions"),
-        *[key_count_when(f"{s.made_it} = 1").alias(s.reached) for s in steps],
+        F.count(SESSION_ID).alias("sessions"),
+        *[F.count_if(F.col(s.made_it) == 1).alias(s.reached) for s in steps],
     )
 
 
@@ -150,7 +145,6 @@ def funnel_rates(
     start: TimeBound = "2012-08-05",
     end: TimeBound = "2012-09-05",
     steps: tuple[FunnelStep, ...] = DEFAULT_STEPS,
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """One row of step-to-step rates (NULL where the previous step is 0).
 
@@ -158,7 +152,7 @@ def funnel_rates(
     """
     counts = funnel_counts(
         sessions, pageviews, utm_source=utm_source, utm_campaign=utm_campaign,
-        start=start, end=end, steps=steps, pageview_horizon=pageview_horizon,
+        start=start, end=end, steps=steps,
     )
     previous = ["sessions"] + [s.reached for s in steps[:-1]]
     return counts.select(*[ratio(s.reached, p).alias(s.rate) for s, p in zip(steps, previous)])

@@ -2,25 +2,57 @@
 
 The launch of the new page is found by the data (first pageview id of the
 page) and enters the plan as a scalar subquery, evaluated once by Spark; the
-result is not copied by hand.
+result is not copied by hand.  Pageviews are reduced to the cohort's sessions
+before they are grouped.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import key_count, key_count_when, ratio
+from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound, yearweek_sunday
-from sessionscope.operators.common import session_cohort, session_pageviews, sql_string
+from sessionscope.operators.common import cohort_pageviews, session_cohort, sql_string
 from sessionscope.operators.pages import landing_profile
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 HOME_PAGE, NEW_LANDER = "/home", "/lander-1"
 
 
+@dataclass(frozen=True)
+class LandingTest:
+    """A landing test: sessions of one campaign before ``end``, with pageviews
+    after the first one of ``launch_page``, landing on one of ``variants``."""
+
+    launch_page: str = NEW_LANDER
+    variants: tuple[str, ...] = (HOME_PAGE, NEW_LANDER)
+    utm_source: str = "gsearch"
+    utm_campaign: str = "nonbrand"
+    end: TimeBound = "2012-07-28"
+
+    def profile(self, sessions: DataFrame, pageviews: DataFrame) -> DataFrame:
+        """Per test session: first pageview id after the launch, its URL when it
+        is a variant, and the session's total pageviews."""
+        cohort = session_cohort(
+            sessions, utm_source=self.utm_source, utm_campaign=self.utm_campaign, end=self.end
+        )
+        launch = launch_pageview_id(pageviews, self.launch_page)
+        # the launch id is compared once per row
+        rows = cohort_pageviews(pageviews, cohort).select(
+            SESSION_ID,
+            PAGEVIEW_ID,
+            "pageview_url",
+            F.when(F.col(PAGEVIEW_ID) > launch, F.col(PAGEVIEW_ID)).alias("_after"),
+        )
+        return landing_profile(rows, self.variants, "_after").filter("first_pageview_id IS NOT NULL")
+
+    def landings(self, sessions: DataFrame, pageviews: DataFrame) -> DataFrame:
+        return self.profile(sessions, pageviews).filter("landing_page IS NOT NULL")
+
+
 def page_launch(pageviews: DataFrame, *, page: str = NEW_LANDER) -> DataFrame:
     """First time and first pageview id of a page.
 
@@ -42,157 +74,66 @@ def launch_pageview_id(pageviews: DataFrame, page: str = NEW_LANDER) -> Column:
     )
 
 
-def _test_profile(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    launch_page: str,
-    variants: tuple[str, ...],
-    utm_source: str,
-    utm_campaign: str,
-    end: TimeBound,
-    horizon: timedelta | None = None,
-) -> DataFrame:
-    """Per test session (cohort sessions with a pageview after the launch id):
-    first post-launch pageview id, its URL when it is a variant, and the
-    session's total pageviews.
-    """
-    after_launch = F.col(PAGEVIEW_ID) > launch_pageview_id(pageviews, launch_page)
-    cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    counted = session_pageviews(pageviews, end=end, horizon=horizon)
-    profile = landing_profile(counted, after_launch, variants).filter(
-        "first_pageview_id IS NOT NULL"
-    )
-    # semi join: only the cohort's ids are needed; both sides hold one row per session
-    return profile.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
-
-
-def test_first_pageviews(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    *,
-    launch_page: str = NEW_LANDER,
-    utm_source: str = "gsearch",
-    utm_campaign: str = "nonbrand",
-    end: TimeBound = "2012-07-28",
-    pageview_horizon: timedelta | None = None,
-) -> DataFrame:
-    """First pageview id after the launch, per cohort session.
+def test_first_pageviews(sessions: DataFrame, pageviews: DataFrame, **test) -> DataFrame:
+    """First pageview id after the launch, per cohort session (parameters: :class:`LandingTest`).
 
     Out: website_session_id, min_pageview_id.
     """
-    return _test_profile(
-        sessions, pageviews, launch_page, (), utm_source, utm_campaign, end, pageview_horizon
-    ).select(SESSION_ID, F.col("first_pageview_id").alias("min_pageview_id"))
+    profile = LandingTest(**{"variants": (), **test}).profile(sessions, pageviews)
+    return profile.select(SESSION_ID, F.col("first_pageview_id").alias("min_pageview_id"))
 
 
-def _test_landings(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    launch_page: str,
-    variants: tuple[str, ...],
-    utm_source: str,
-    utm_campaign: str,
-    end: TimeBound,
-    horizon: timedelta | None = None,
-) -> DataFrame:
-    profile = _test_profile(
-        sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, horizon
-    )
-    return profile.filter("landing_page IS NOT NULL")
-
-
-def test_landing_pages(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    *,
-    launch_page: str = NEW_LANDER,
-    variants: tuple[str, ...] = (HOME_PAGE, NEW_LANDER),
-    utm_source: str = "gsearch",
-    utm_campaign: str = "nonbrand",
-    end: TimeBound = "2012-07-28",
-    pageview_horizon: timedelta | None = None,
-) -> DataFrame:
-    """Test sessions that landed on one of the variants.
+def test_landing_pages(sessions: DataFrame, pageviews: DataFrame, **test) -> DataFrame:
+    """Test sessions that landed on one of the variants (parameters: :class:`LandingTest`).
 
     Out: website_session_id, landing_page.
     """
-    return _test_landings(
-        sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
-    ).select(SESSION_ID, "landing_page")
+    return LandingTest(**test).landings(sessions, pageviews).select(SESSION_ID, "landing_page")
 
 
-def test_bounced_sessions(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    *,
-    launch_page: str = NEW_LANDER,
-    variants: tuple[str, ...] = (HOME_PAGE, NEW_LANDER),
-    utm_source: str = "gsearch",
-    utm_campaign: str = "nonbrand",
-    end: TimeBound = "2012-07-28",
-    pageview_horizon: timedelta | None = None,
-) -> DataFrame:
-    """Test sessions with one pageview in total.
+def test_bounced_sessions(sessions: DataFrame, pageviews: DataFrame, **test) -> DataFrame:
+    """Test sessions with one pageview in total (parameters: :class:`LandingTest`).
 
     Out: website_session_id, landing_page, count_of_pages_viewed.
     """
     return (
-        _test_landings(
-            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
-        )
+        LandingTest(**test)
+        .landings(sessions, pageviews)
         .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
 
 
-def test_bounce_markers(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    *,
-    launch_page: str = NEW_LANDER,
-    variants: tuple[str, ...] = (HOME_PAGE, NEW_LANDER),
-    utm_source: str = "gsearch",
-    utm_campaign: str = "nonbrand",
-    end: TimeBound = "2012-07-28",
-    pageview_horizon: timedelta | None = None,
-) -> DataFrame:
-    """Every test session with its id again when it bounced, else NULL.
+def test_bounce_markers(sessions: DataFrame, pageviews: DataFrame, **test) -> DataFrame:
+    """Every test session with its id again when it bounced, else NULL (parameters: :class:`LandingTest`).
 
     Out: landing_page, website_session_id, bounced_website_session_id.
     """
-    landed = _test_landings(
-            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
+    return (
+        LandingTest(**test)
+        .landings(sessions, pageviews)
+        .selectExpr(
+            "landing_page",
+            SESSION_ID,
+            f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
         )
-    return landed.selectExpr(
-        "landing_page",
-        SESSION_ID,
-        f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
-    ).orderBy(SESSION_ID)
+        .orderBy(SESSION_ID)
+    )
 
 
-def bounce_rate_by_landing_page(
-    sessions: DataFrame,
-    pageviews: DataFrame,
-    *,
-    launch_page: str = NEW_LANDER,
-    variants: tuple[str, ...] = (HOME_PAGE, NEW_LANDER),
-    utm_source: str = "gsearch",
-    utm_campaign: str = "nonbrand",
-    end: TimeBound = "2012-07-28",
-    pageview_horizon: timedelta | None = None,
-) -> DataFrame:
-    """Sessions, bounced sessions and bounce rate per landing variant.
+def bounce_rate_by_landing_page(sessions: DataFrame, pageviews: DataFrame, **test) -> DataFrame:
+    """Sessions, bounced sessions and bounce rate per variant (parameters: :class:`LandingTest`).
 
     Out: landing_page, sessions, bounced_sessions, bounce_rate.
     """
-    landed = _test_landings(
-            sessions, pageviews, launch_page, variants, utm_source, utm_campaign, end, pageview_horizon
-        )
+    # one row per session, so plain counts are distinct counts
     return (
-        landed.groupBy("landing_page")
+        LandingTest(**test)
+        .landings(sessions, pageviews)
+        .groupBy("landing_page")
         .agg(
-            key_count().alias("sessions"),
-            key_count_when("count_of_pages_viewed = 1").alias("bounced_sessions"),
+            F.count(SESSION_ID).alias("sessions"),
+            F.count_if(F.col("count_of_pages_viewed") == 1).alias("bounced_sessions"),
         )
         .select(
             "landing_page",
@@ -204,20 +145,33 @@ def bounce_rate_by_landing_page(
 
 
 def _trend_cohort(sessions, utm_source, utm_campaign, start, end) -> DataFrame:
-    # start <= created_at <= end (the end day keeps only its midnight instant)
-    return session_cohort(
-        sessions,
-        utm_source=utm_source,
-        utm_campaign=utm_campaign,
-        start=start,
-        end=end,
-        end_inclusive=True,
-    ).select(SESSION_ID)
-
-
-def _with_pageview_stats(cohort: DataFrame, per_session: DataFrame) -> DataFrame:
-    """Attach one-row-per-session pageview stats; sessions without pageviews
-    keep NULL stats and a count of 0."""
+    # start <= created_at <= end (the end day keeps only its midnight instant); a session once
+    return (
+        session_cohort(
+            sessions,
+            utm_source=utm_source,
+            utm_campaign=utm_campaign,
+            start=start,
+            end=end,
+            end_inclusive=True,
+        )
+        .select(SESSION_ID)
+        .distinct()
+    )
+
+
+def _with_pageview_stats(cohort: DataFrame, pageviews: DataFrame, *stats: Column) -> DataFrame:
+    """First id, number and further ``stats`` of each cohort session's pageviews;
+    sessions without pageviews keep NULL stats and a count of 0."""
+    per_session = (
+        cohort_pageviews(pageviews, cohort)
+        .groupBy(SESSION_ID)
+        .agg(
+            F.min(PAGEVIEW_ID).alias("first_pageview_id"),
+            F.count(PAGEVIEW_ID).alias("count_pageviews"),
+            *stats,
+        )
+    )
     joined = cohort.join(per_session, SESSION_ID, "left")
     return joined.withColumn("count_pageviews", F.expr("coalesce(count_pageviews, CAST(0 AS BIGINT))"))
 
@@ -230,7 +184,6 @@ def session_first_pv_and_count(
     utm_campaign: str = "nonbrand",
     start: TimeBound = "2012-06-01",
     end: TimeBound = "2012-08-31",
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """First pageview id and pageview count of every cohort session
     (``start <= created_at <= end``); sessions without pageviews stay, with
@@ -238,15 +191,8 @@ def session_first_pv_and_count(
 
     Out: website_session_id, first_pageview_id, count_pageviews.
     """
-    counted = session_pageviews(pageviews, start, end, pageview_horizon)
-    per_session = counted.groupBy(SESSION_ID).agg(
-        F.min(PAGEVIEW_ID).alias("first_pageview_id"),
-        F.count(PAGEVIEW_ID).alias("count_pageviews"),
-    )
     cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
-    return _with_pageview_stats(cohort, per_session).select(
-        SESSION_ID, "first_pageview_id", "count_pageviews"
-    )
+    return _with_pageview_stats(cohort, pageviews).select(SESSION_ID, "first_pageview_id", "count_pageviews")
 
 
 def session_landing_details(
@@ -257,7 +203,6 @@ def session_landing_details(
     utm_campaign: str = "nonbrand",
     start: TimeBound = "2012-06-01",
     end: TimeBound = "2012-08-31",
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Cohort sessions with first pageview, count, landing URL and its time.
 
@@ -266,14 +211,9 @@ def session_landing_details(
     Out: website_session_id, first_pageview_id, count_pageviews, landing_page,
     session_created_at.
     """
-    counted = session_pageviews(pageviews, start, end, pageview_horizon)
-    per_session = counted.groupBy(SESSION_ID).agg(
-        F.min(PAGEVIEW_ID).alias("first_pageview_id"),
-        F.count(PAGEVIEW_ID).alias("count_pageviews"),
-        F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv"),
-    )
     cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
-    return _with_pageview_stats(cohort, per_session).select(
+    first = F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv")
+    return _with_pageview_stats(cohort, pageviews, first).select(
         SESSION_ID,
         "first_pageview_id",
         "count_pageviews",
@@ -292,7 +232,6 @@ def weekly_bounce_trend(
     end: TimeBound = "2012-08-31",
     pages: tuple[str, str] = (HOME_PAGE, NEW_LANDER),
     include_counts: bool = False,
-    pageview_horizon: timedelta | None = None,
 ) -> DataFrame:
     """Weekly (YEARWEEK of the landing time) bounce rate and sessions per
     landing page; sessions without pageviews form a NULL week.
@@ -303,26 +242,24 @@ def weekly_bounce_trend(
     Out: week_start_date, bounce_rate, home_sessions, lander_sessions
     (+ year_week, total_sessions, bounced_sessions with ``include_counts``).
     """
-    counted = session_pageviews(pageviews, start, end, pageview_horizon)
-    per_session = counted.groupBy(SESSION_ID).agg(
-        F.min(PAGEVIEW_ID).alias("first_pageview_id"),
-        F.count(PAGEVIEW_ID).alias("count_pageviews"),
+    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
+    details = _with_pageview_stats(
+        cohort,
+        pageviews,
         F.min_by(F.col("created_at"), F.col(PAGEVIEW_ID)).alias("session_created_at"),
         *[
-            F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {PAGEVIEW_ID} END)").alias(
-                f"_first_{i}"
-            )
+            F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {PAGEVIEW_ID} END)").alias(f"_first_{i}")
             for i, p in enumerate(pages)
         ],
     )
-    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
-    details = _with_pageview_stats(cohort, per_session)
+    # one row per session, so plain counts are distinct counts
+    landed_on = lambda i: F.count_if(F.col(f"_first_{i}") == F.col("first_pageview_id"))
     weekly = details.groupBy(yearweek_sunday("session_created_at").alias("year_week")).agg(
         F.min(F.to_date("session_created_at")).alias("week_start_date"),
-        key_count().alias("total_sessions"),
-        key_count_when("count_pageviews = 1").alias("bounced_sessions"),
-        key_count_when("_first_0 = first_pageview_id").alias("home_sessions"),
-        key_count_when("_first_1 = first_pageview_id").alias("lander_sessions"),
+        F.count(SESSION_ID).alias("total_sessions"),
+        F.count_if(F.col("count_pageviews") == 1).alias("bounced_sessions"),
+        landed_on(0).alias("home_sessions"),
+        landed_on(1).alias("lander_sessions"),
     )
     cols = ["week_start_date"]
     if include_counts:

@@ -3,57 +3,41 @@
 The landing page of a session is the URL of its smallest pageview id among the
 pageviews in the analysis window; a bounce is a session with exactly one
 pageview *in total* (all its pageviews count, also those outside the window).
-Both come from one per-session aggregation over pageviews, not from
-"MIN(id) per session, join back for the URL, join again to count":
-
-    wid = CASE WHEN in_window THEN id END
-    min(wid)                                   first pageview id in the window
-    min(CASE WHEN url = p THEN wid END)        first id on candidate page p
-    count(id)                                  pageviews of the session
-
-and the landing page is the candidate p whose first id equals min(wid) (ids
-are unique).  All buffers are fixed-width longs, so Spark plans a hash
-aggregate with a map-side partial step: no sort, and a session with a huge
-number of pageviews never reaches a task as raw rows.  When the landing URL
-itself is the output (any URL), ``min_by(url, id)`` is used instead; its
-string buffer makes Spark sort-aggregate, still one shuffle and spill-safe.
+
+Only the window's pageviews are grouped by session; the pageviews outside it are
+read for the landed sessions alone (a semi join before their grouping), and the
+two counts are added.  The landing page is the candidate whose first id equals
+the session's first id (ids are unique), so all buffers are fixed-width longs and
+Spark plans a hash aggregate with a map-side partial step.  When the landing URL
+itself is the output (any URL), ``min_by(url, id)`` is used instead; its string
+buffer makes Spark sort-aggregate, still one shuffle and spill-safe.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import key_count, key_count_when, ratio
+from sessionscope.functions.metrics import distinct_counts, ratio
 from sessionscope.functions.timebuckets import TimeBound, time_window, within
-from sessionscope.operators.common import session_pageviews, sql_string
+from sessionscope.operators.common import sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
-def landing_profile(
-    pageviews: DataFrame, in_window: Column, candidates: tuple[str, ...]
-) -> DataFrame:
-    """One row per session with pageviews: first pageview id within
-    ``in_window``, the landing page if it is one of ``candidates`` (else
-    NULL), and the session's total pageview count.
+def landing_profile(pageviews: DataFrame, candidates: tuple[str, ...], window_id: str = PAGEVIEW_ID) -> DataFrame:
+    """One row per session: first id, landing page if a candidate, pageviews.
+
+    ``window_id`` is the column that holds the pageview id of the rows that can be
+    the landing (NULL for others).
 
     Out: website_session_id, first_pageview_id, landing_page, count_of_pages_viewed.
     """
-    # the window predicate (it may hold a scalar subquery) is evaluated once per row
-    rows = pageviews.select(
-        SESSION_ID,
-        PAGEVIEW_ID,
-        "pageview_url",
-        F.when(in_window, F.col(PAGEVIEW_ID)).alias("_wid"),
-    )
     firsts = [
-        F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN _wid END)").alias(f"_first_{i}")
+        F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {window_id} END)").alias(f"_first_{i}")
         for i, p in enumerate(candidates)
     ]
-    profile = rows.groupBy(SESSION_ID).agg(
-        F.min("_wid").alias("first_pageview_id"),
+    profile = pageviews.groupBy(SESSION_ID).agg(
+        F.min(window_id).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"),
         *firsts,
     )
@@ -71,12 +55,8 @@ def landing_profile(
 
 def top_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-09") -> DataFrame:
     """Pageviews per URL, most viewed first.  Out: pageview_url, pvs."""
-    return (
-        within(pageviews, end=end)
-        .groupBy("pageview_url")
-        .agg(key_count(PAGEVIEW_ID).alias("pvs"))
-        .orderBy(F.desc("pvs"))
-    )
+    views = within(pageviews, end=end)
+    return distinct_counts(views, [F.col("pageview_url")], total="pvs", key=PAGEVIEW_ID).orderBy(F.desc("pvs"))
 
 
 def first_pageview_per_session(
@@ -106,84 +86,83 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
     )
     return (
         landing.groupBy("landing_page_url")
-        .agg(key_count().alias("sessions_hitting_page"))
+        .agg(F.count(SESSION_ID).alias("sessions_hitting_page"))
         .orderBy(F.desc("sessions_hitting_page"))
     )
 
 
-def _landed_sessions(
-    pageviews: DataFrame, end: TimeBound, landing_page: str, horizon: timedelta | None = None
-) -> DataFrame:
-    counted = session_pageviews(pageviews, end=end, horizon=horizon)
-    profile = landing_profile(counted, time_window("created_at", end=end), (landing_page,))
-    return profile.filter("landing_page IS NOT NULL")
+def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
+    landed = landing_profile(within(pageviews, end=end), (landing_page,)).filter("landing_page IS NOT NULL")
+    if end is None:
+        return landed
+    # the landed sessions' pageviews that the window leaves out
+    outside = pageviews.filter(~F.coalesce(time_window("created_at", end=end), F.lit(False)))
+    later = (
+        outside.join(landed.select(SESSION_ID), SESSION_ID, "left_semi")
+        .groupBy(SESSION_ID)
+        .agg(F.count(PAGEVIEW_ID).alias("_later"))
+    )
+    return landed.join(later, SESSION_ID, "left").select(
+        SESSION_ID,
+        "landing_page",
+        F.expr("count_of_pages_viewed + coalesce(_later, 0)").alias("count_of_pages_viewed"),
+    )
 
 
 def sessions_with_landing_page(
-    pageviews: DataFrame,
-    *,
-    end: TimeBound = "2012-06-14",
-    landing_page: str = "/home",
-    pageview_horizon: timedelta | None = None,
+    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
 ) -> DataFrame:
     """Sessions whose first pageview before ``end`` is ``landing_page``.
 
     Out: website_session_id, landing_page.
     """
-    return _landed_sessions(pageviews, end, landing_page, pageview_horizon).select(SESSION_ID, "landing_page")
+    return _landed_sessions(pageviews, end, landing_page).select(SESSION_ID, "landing_page")
 
 
 def bounced_sessions(
-    pageviews: DataFrame,
-    *,
-    end: TimeBound = "2012-06-14",
-    landing_page: str = "/home",
-    pageview_horizon: timedelta | None = None,
+    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
 ) -> DataFrame:
     """Landed sessions with exactly one pageview in total.
 
     Out: website_session_id, landing_page, count_of_pages_viewed.
     """
     return (
-        _landed_sessions(pageviews, end, landing_page, pageview_horizon)
+        _landed_sessions(pageviews, end, landing_page)
         .filter("count_of_pages_viewed = 1")
         .select(SESSION_ID, "landing_page", "count_of_pages_viewed")
     )
 
 
 def bounce_markers(
-    pageviews: DataFrame,
-    *,
-    end: TimeBound = "2012-06-14",
-    landing_page: str = "/home",
-    pageview_horizon: timedelta | None = None,
+    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
 ) -> DataFrame:
     """Every landed session with its id again when it bounced, else NULL.
 
     Out: website_session_id, bounced_website_session_id (ordered by session).
     """
-    landed = _landed_sessions(pageviews, end, landing_page, pageview_horizon)
-    return landed.selectExpr(
-        SESSION_ID,
-        f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
-    ).orderBy(SESSION_ID)
+    return (
+        _landed_sessions(pageviews, end, landing_page)
+        .selectExpr(
+            SESSION_ID,
+            f"CASE WHEN count_of_pages_viewed = 1 THEN {SESSION_ID} END AS bounced_website_session_id",
+        )
+        .orderBy(SESSION_ID)
+    )
 
 
 def bounce_rate(
-    pageviews: DataFrame,
-    *,
-    end: TimeBound = "2012-06-14",
-    landing_page: str = "/home",
-    pageview_horizon: timedelta | None = None,
+    pageviews: DataFrame, *, end: TimeBound = "2012-06-14", landing_page: str = "/home"
 ) -> DataFrame:
     """One row: landed sessions, bounced sessions, bounced / landed.
 
     Out: sessions, bounced_sessions, bounce_rate.
     """
-    landed = _landed_sessions(pageviews, end, landing_page, pageview_horizon)
-    return landed.agg(
-        key_count().alias("sessions"),
-        key_count_when("count_of_pages_viewed = 1").alias("bounced_sessions"),
-    ).select(
-        "sessions", "bounced_sessions", ratio("bounced_sessions", "sessions").alias("bounce_rate")
+    # one row per session, so plain counts are distinct counts
+    return (
+        _landed_sessions(pageviews, end, landing_page)
+        .agg(
+            F.count(SESSION_ID).alias("sessions"),
+            F.count_if(F.col("count_of_pages_viewed") == 1).alias("bounced_sessions"),
+        )
+        .select("sessions", "bounced_sessions", ratio("bounced_sessions", "sessions").alias("bounce_rate"))
     )

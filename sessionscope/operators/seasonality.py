@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import key_count, order_total, with_order_counts
+from sessionscope.functions.metrics import distinct_counts, order_total, with_order_counts
 from sessionscope.functions.timebuckets import TimeBound, week_sunday0, weekday_mon0, within
 from sessionscope.sources.schemas import SESSION_ID
 
@@ -20,13 +20,17 @@ def weekly_sessions_orders(
 
     Out: yr, wk, week_start, sessions, orders.
     """
-    cohort = within(sessions, end=end).select(SESSION_ID, "created_at")
+    cohort = (
+        within(sessions, end=end)
+        .groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"), SESSION_ID)
+        .agg(F.min(F.to_date("created_at")).alias("week_start"))
+    )
     return (
         with_order_counts(cohort, orders)
-        .groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"))
+        .groupBy("yr", "wk")
         .agg(
-            F.min(F.to_date("created_at")).alias("week_start"),
-            key_count().alias("sessions"),
+            F.min("week_start").alias("week_start"),
+            F.count(SESSION_ID).alias("sessions"),
             order_total().alias("orders"),
         )
         .orderBy("yr", "wk")
@@ -45,14 +49,14 @@ def hourly_weekday_profile(
     the (date, hour) cells that have sessions; an empty cell is not a zero.
     Out: hr, avg_sessions (1 decimal), mon, tues, wed, thurs, fri, sat, sun.
     """
-    cells = (
-        within(sessions, start, end, end_inclusive=True)
-        .groupBy(
-            F.to_date("created_at").alias("created_date"),
+    cells = distinct_counts(
+        within(sessions, start, end, end_inclusive=True),
+        [
+            F.to_date("created_at").alias("day"),
             weekday_mon0("created_at").alias("wkday"),
             F.hour("created_at").alias("hr"),
-        )
-        .agg(key_count().alias("website_sessions"))
+        ],
+        total="website_sessions",
     )
     per_day = [
         F.expr(f"avg(CASE WHEN wkday = {k} THEN website_sessions END)").alias(name)

@@ -9,13 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import (
-    key_count,
-    key_count_when,
-    order_total,
-    ratio,
-    with_order_counts,
-)
+from sessionscope.functions.metrics import distinct_counts, order_total, ratio, with_order_counts
 from sessionscope.functions.timebuckets import TimeBound, week_sunday0, within
 from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
@@ -27,11 +21,9 @@ def top_traffic_sources(sessions: DataFrame, *, end: TimeBound = "2012-04-12") -
     NULL attribute values form their own groups.
     Out: utm_source, utm_campaign, http_referer, number_of_sessions.
     """
-    return (
-        within(sessions, end=end)
-        .groupBy("utm_source", "utm_campaign", "http_referer")
-        .agg(key_count().alias("number_of_sessions"))
-        .orderBy(F.desc("number_of_sessions"))
+    groups = [F.col(c) for c in ("utm_source", "utm_campaign", "http_referer")]
+    return distinct_counts(within(sessions, end=end), groups, total="number_of_sessions").orderBy(
+        F.desc("number_of_sessions")
     )
 
 
@@ -48,8 +40,8 @@ def conversion_rate(
     Out: total_sessions, total_orders, conversion_rate (NULL without sessions).
     """
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    totals = with_order_counts(cohort.select(SESSION_ID), orders).agg(
-        key_count().alias("total_sessions"), order_total().alias("total_orders")
+    totals = with_order_counts(cohort.select(SESSION_ID).distinct(), orders).agg(
+        F.count(SESSION_ID).alias("total_sessions"), order_total().alias("total_orders")
     )
     return totals.select(
         "total_sessions",
@@ -73,11 +65,11 @@ def weekly_session_trend(
     Out: week_started_at, sessions (+ yr, wk first when ``include_week_keys``).
     """
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    weekly = cohort.groupBy(
-        F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk")
-    ).agg(
-        F.min(F.to_date("created_at")).alias("week_started_at"),
-        key_count().alias("sessions"),
+    weekly = distinct_counts(
+        cohort,
+        [F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk")],
+        total="sessions",
+        first={"week_started_at": F.to_date("created_at")},
     )
     cols = (["yr", "wk"] if include_week_keys else []) + ["week_started_at", "sessions"]
     return weekly.orderBy("week_started_at").select(*cols)
@@ -97,9 +89,9 @@ def conversion_by_device(
     """
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
     return (
-        with_order_counts(cohort.select(SESSION_ID, "device_type"), orders)
+        with_order_counts(cohort.select(SESSION_ID, "device_type").distinct(), orders)
         .groupBy("device_type")
-        .agg(key_count().alias("sessions"), order_total().alias("orders"))
+        .agg(F.count(SESSION_ID).alias("sessions"), order_total().alias("orders"))
         .select(
             "device_type",
             "sessions",
@@ -130,15 +122,12 @@ def weekly_sessions_by_device(
         end=end,
         start_exclusive=True,
     )
-    per_device = [
-        key_count_when(f"device_type = {sql_string(d)}").alias(f"{d}_sessions") for d in devices
-    ]
-    return (
-        cohort.groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"))
-        .agg(
-            F.min(F.to_date("created_at")).alias("week_start_date"),
-            *per_device,
-            key_count().alias("total_sessions"),
-        )
-        .orderBy("yr", "wk")
+    per_device = {f"{d}_sessions": f"device_type = {sql_string(d)}" for d in devices}
+    weekly = distinct_counts(
+        cohort,
+        [F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk")],
+        total="total_sessions",
+        when=per_device,
+        first={"week_start_date": F.to_date("created_at")},
     )
+    return weekly.select("yr", "wk", "week_start_date", *per_device, "total_sessions").orderBy("yr", "wk")

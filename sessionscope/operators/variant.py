@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import key_count, order_total, orders_per_session, ratio
+from sessionscope.functions.metrics import order_total, orders_per_session, ratio
 from sessionscope.functions.timebuckets import TimeBound, within
 from sessionscope.operators.common import sql_string
-from sessionscope.plans.joins import left_join_fanout
+from sessionscope.plans.joins import salted_left_join
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
 
 OLD_BILLING, NEW_BILLING = "/billing", "/billing-2"
@@ -50,7 +50,7 @@ def variant_sessions_orders(
     """
     views = _variant_views(pageviews, launch_page, end, variants)
     session_orders = orders.select(SESSION_ID, ORDER_ID)
-    return left_join_fanout(views, session_orders, SESSION_ID).select(
+    return salted_left_join(views, session_orders, SESSION_ID, row_id=ORDER_ID).select(
         SESSION_ID, "billing_version_seen", ORDER_ID
     )
 
@@ -72,9 +72,9 @@ def variant_conversion(
     """
     seen = _variant_views(pageviews, launch_page, end, variants).distinct()
     return (
-        seen.join(orders_per_session(orders), SESSION_ID, "left")
+        seen.join(orders_per_session(orders, seen), SESSION_ID, "left")
         .groupBy("billing_version_seen")
-        .agg(key_count().alias("sessions"), order_total().alias("orders"))
+        .agg(F.count(SESSION_ID).alias("sessions"), order_total().alias("orders"))
         .select(
             "billing_version_seen",
             "sessions",

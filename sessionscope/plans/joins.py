@@ -1,15 +1,4 @@
-"""Join shapes that stay balanced when one key holds a large share of rows.
-
-A left outer join whose *right* side fans out (one session, many pageviews or
-orders) cannot be split by AQE's skew-join handling: for LEFT OUTER only the
-left side may be split.  ``left_join_fanout`` computes the same rows as
-
-    left LEFT JOIN right USING (key)
-
-as ``(left INNER JOIN right) UNION ALL (left ANTI JOIN keys(right))``.  The
-inner join can be split on either side; the anti join sees one row per key on
-the right because ``keys(right)`` is a map-side-combined DISTINCT.
-"""
+"""Join shapes that stay balanced when one key holds a large share of rows."""
 
 from __future__ import annotations
 
@@ -17,18 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_fanout(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def salted_left_join(
+    left: DataFrame, right: DataFrame, key: str, *, row_id: str, salts: int = 16
+) -> DataFrame:
     """``left ⟕ right`` on ``key`` (any number of rows per key on either side).
 
-    Output columns: ``key``, the other ``left`` columns, then the ``right``
-    columns (NULL for left rows without a partner), as ``DataFrame.join`` with
-    ``how='left'`` orders them.
+    The right side's rows of a key are dealt to ``salts`` parts by a hash of their
+    own ``row_id``; each left row stands once in every part, so the inner join on
+    (key, part) gives the same pairs and a hot key is spread over that many tasks.
+    Left rows without a partner come from an anti join with the right side's keys,
+    reduced to keys that the left side has and to one row each before the join.
+
+    Output columns: ``key``, the other ``left`` columns, then the ``right`` columns
+    (NULL for left rows without a partner).  ``salts`` never changes the rows.
     """
     right_cols = [c for c in right.columns if c != key]
-    matched = left.join(right, key, "inner")
-    right_keys = right.select(key).distinct()
-    unmatched = left.join(right_keys, key, "left_anti")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part")
+    dealt = right.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    # rows of keys that the left side lacks leave before the shuffle where it is small enough
+    matched = left.select("*", parts).join(dealt, [key, "_part"]).drop("_part")
+    keys = right.select(key).join(left.select(key), key, "left_semi").distinct()
     fields = {f.name: f.dataType for f in right.schema.fields}
-    for c in right_cols:
-        unmatched = unmatched.withColumn(c, F.lit(None).cast(fields[c]))
-    return matched.unionByName(unmatched)
+    unmatched = left.join(keys, key, "left_anti").select(
+        "*", *[F.lit(None).cast(fields[c]).alias(c) for c in right_cols]
+    )
+    return matched.select(*left.columns, *right_cols).unionByName(unmatched)

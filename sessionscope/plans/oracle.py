@@ -16,16 +16,17 @@ _BASE_CTES = """
 ev AS (
     SELECT event_id, ts, user_id, event_type, value,
            dayofyear(ts) AS doy,
+           (user_id * 10000 + year(ts)) * 1000 + dayofyear(ts) AS session_id,
            TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
     FROM events
 ),
 session_base AS (
-    SELECT user_id * 1000 + doy AS website_session_id,
+    SELECT session_id AS website_session_id,
            MIN(ts) AS created_at,
            (user_id * 7 + doy) % 10 AS b,
            (user_id + doy) % 3 AS v
     FROM ev
-    GROUP BY user_id, doy
+    GROUP BY user_id, doy, session_id
 ),
 website_sessions AS (
     SELECT website_session_id, created_at,
@@ -44,7 +45,7 @@ website_sessions AS (
 website_pageviews AS (
     SELECT event_id AS website_pageview_id,
            ts AS created_at,
-           user_id * 1000 + doy AS website_session_id,
+           session_id AS website_session_id,
            CASE event_type
              WHEN 'view' THEN CASE WHEN ts >= TIMESTAMP '2024-01-08' AND k >= 50
                                    THEN '/lander-1' ELSE '/home' END
@@ -59,7 +60,7 @@ website_pageviews AS (
 ),
 shop_orders AS (
     SELECT event_id AS order_id, ts AS created_at,
-           user_id * 1000 + doy AS website_session_id, value AS price_usd
+           session_id AS website_session_id, value AS price_usd
     FROM ev
     WHERE event_type = 'purchase'
 )"""
@@ -166,7 +167,7 @@ test_landed AS (
 # landing trend: cohort sessions (closed window) with their pageview facts
 _TREND = f"""
 trend_cohort AS (
-    SELECT website_session_id FROM website_sessions
+    SELECT DISTINCT website_session_id FROM website_sessions
     WHERE {_PAID}
       AND created_at BETWEEN {_ts('2024-01-02')} AND {_ts('2024-01-29')}
 ),
@@ -250,14 +251,21 @@ FROM website_sessions
 WHERE {_PAID} AND created_at < {_ts('2024-01-31')}
 GROUP BY year(created_at), {_week0('created_at')}
 ORDER BY week_started_at"""),
-    "conversion_by_device": _q(f"""
-SELECT s.device_type,
-       count(DISTINCT s.website_session_id) AS sessions,
-       count(DISTINCT o.order_id) AS orders,
-       {_share("count(DISTINCT o.order_id)", "count(DISTINCT s.website_session_id)")} AS session_to_order_cvr
-FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
-WHERE s.{_PAID.replace(" AND ", " AND s.")} AND s.created_at < {_ts('2024-01-20')}
-GROUP BY s.device_type"""),
+    "conversion_by_device": _q(
+        f"""
+SELECT device_type, n AS sessions, coalesce(m, 0) AS orders, {_share("coalesce(m, 0)", "n")} AS session_to_order_cvr
+FROM of_sessions LEFT JOIN of_orders USING (device_type)""",
+        f"""
+members AS (
+    SELECT DISTINCT device_type, website_session_id FROM website_sessions
+    WHERE {_PAID} AND created_at < {_ts('2024-01-20')}
+),
+of_sessions AS (SELECT device_type, count(*) AS n FROM members GROUP BY ALL),
+of_orders AS (
+    SELECT device_type, count(DISTINCT order_id) AS m
+    FROM shop_orders JOIN members USING (website_session_id) GROUP BY ALL
+)""",
+    ),
     "weekly_sessions_by_device": _q(f"""
 SELECT CAST(year(created_at) AS INTEGER) AS yr,
        {_week0('created_at')} AS wk,
@@ -270,37 +278,53 @@ WHERE {_PAID} AND created_at > {_ts('2024-01-03')} AND created_at < {_ts('2024-0
 GROUP BY ALL
 ORDER BY yr, wk"""),
     # ------------------------------------------------------------ seasonality
-    "weekly_sessions_orders": _q(f"""
-SELECT CAST(year(s.created_at) AS INTEGER) AS yr,
-       {_week0('s.created_at')} AS wk,
-       min(CAST(s.created_at AS DATE)) AS week_start,
-       count(DISTINCT s.website_session_id) AS sessions,
-       count(DISTINCT o.order_id) AS orders
-FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
-WHERE s.created_at < {_ts('2024-01-31')}
-GROUP BY ALL
-ORDER BY yr, wk"""),
+    "weekly_sessions_orders": _q(
+        """
+SELECT yr, wk, week_start, sessions, coalesce(m, 0) AS orders
+FROM of_sessions LEFT JOIN of_orders USING (yr, wk)
+ORDER BY yr, wk""",
+        f"""
+members AS (
+    SELECT website_session_id, created_at, CAST(year(created_at) AS INTEGER) AS yr, {_week0('created_at')} AS wk
+    FROM website_sessions
+    WHERE created_at < {_ts('2024-01-31')}
+),
+of_sessions AS (
+    SELECT yr, wk, min(CAST(created_at AS DATE)) AS week_start, count(DISTINCT website_session_id) AS sessions
+    FROM members GROUP BY ALL
+),
+of_orders AS (
+    SELECT yr, wk, count(DISTINCT order_id) AS m FROM shop_orders JOIN members USING (website_session_id) GROUP BY ALL
+)""",
+    ),
+    "weekly_session_trend_keys": _q(f"""
+SELECT CAST(year(created_at) AS INTEGER) AS yr, {_week0('created_at')} AS wk,
+       min(CAST(created_at AS DATE)) AS week_started_at,
+       count(DISTINCT website_session_id) AS sessions
+FROM website_sessions
+WHERE {_PAID} AND created_at < {_ts('2024-01-31')}
+GROUP BY ALL"""),
     "hourly_weekday_profile": _q(
         """
-SELECT hr,
-       round(avg(n), 1) AS avg_sessions,
+SELECT hr, round(any_value(overall), 1) AS avg_sessions,
 """ + ",\n".join(
-            f"       avg(n) FILTER (WHERE wkday = {k}) AS {name}"
+            f"       max(mean) FILTER (WHERE wkday = {k}) AS {name}"
             for k, name in enumerate(["mon", "tues", "wed", "thurs", "fri", "sat", "sun"])
         ) + """
-FROM cells
+FROM by_weekday JOIN by_hour USING (hr)
 GROUP BY hr
 ORDER BY hr""",
         f"""
-cells AS (
-    SELECT CAST(created_at AS DATE) AS d,
-           CAST(isodow(created_at) - 1 AS INTEGER) AS wkday,
-           CAST(hour(created_at) AS INTEGER) AS hr,
-           count(DISTINCT website_session_id) AS n
+seen AS (
+    SELECT DISTINCT date_trunc('hour', created_at) AS moment, website_session_id
     FROM website_sessions
     WHERE created_at BETWEEN {_ts('2024-01-05')} AND {_ts('2024-01-25')}
-    GROUP BY ALL
-)""",
+),
+hours AS (
+    SELECT CAST(hour(moment) AS INTEGER) AS hr, isodow(moment) - 1 AS wkday, count(website_session_id) AS n FROM seen GROUP BY moment
+),
+by_weekday AS (SELECT hr, wkday, avg(n) AS mean FROM hours GROUP BY ALL),
+by_hour AS (SELECT hr, avg(n) AS overall FROM hours GROUP BY ALL)""",
     ),
     # -------------------------------------------------------- channel portfolio
     "weekly_sources": _q(f"""
@@ -323,35 +347,44 @@ FROM website_sessions
 WHERE utm_campaign = 'nonbrand' AND utm_source IN ('gsearch', 'bsearch')
   AND created_at >= {_ts('2024-01-05')} AND created_at < {_ts('2024-01-25')}
 GROUP BY utm_source"""),
-    "conversion_by_device_source": _q(f"""
-SELECT s.device_type, s.utm_source,
-       count(DISTINCT s.website_session_id) AS sessions,
-       count(DISTINCT o.order_id) AS orders,
-       {_share("count(DISTINCT o.order_id)", "count(DISTINCT s.website_session_id)")} AS conv_rate
-FROM website_sessions s LEFT JOIN shop_orders o USING (website_session_id)
-WHERE s.utm_campaign = 'nonbrand'
-  AND s.created_at >= {_ts('2024-01-05')} AND s.created_at < {_ts('2024-01-25')}
-GROUP BY ALL"""),
+    "conversion_by_device_source": _q(
+        f"""
+SELECT c.device_type, c.utm_source, count(*) AS sessions, coalesce(sum(o.n), 0)::BIGINT AS orders,
+       {_share("coalesce(sum(o.n), 0)", "count(*)")} AS conv_rate
+FROM members c LEFT JOIN per_session o USING (website_session_id)
+GROUP BY ALL""",
+        f"""
+members AS (
+    SELECT DISTINCT website_session_id, device_type, utm_source FROM website_sessions
+    WHERE utm_campaign = 'nonbrand'
+      AND created_at >= {_ts('2024-01-05')} AND created_at < {_ts('2024-01-25')}
+),
+per_session AS (
+    SELECT website_session_id, count(DISTINCT order_id) AS n FROM shop_orders GROUP BY ALL HAVING n > 0
+)""",
+    ),
     "weekly_source_device_ratio": _q(
         """
-SELECT year_week, week_start_date, g_dtop_sessions, b_dtop_sessions,
+SELECT year_week, any_value(week_start_date) AS week_start_date,
+       coalesce(max(n) FILTER (WHERE pair = 'gsearch/desktop'), 0) AS g_dtop_sessions,
+       coalesce(max(n) FILTER (WHERE pair = 'bsearch/desktop'), 0) AS b_dtop_sessions,
        """ + _share("b_dtop_sessions", "g_dtop_sessions") + """ AS b_pct_of_g_dtop,
-       g_mob_sessions, b_mob_sessions,
+       coalesce(max(n) FILTER (WHERE pair = 'gsearch/mobile'), 0) AS g_mob_sessions,
+       coalesce(max(n) FILTER (WHERE pair = 'bsearch/mobile'), 0) AS b_mob_sessions,
        """ + _share("b_mob_sessions", "g_mob_sessions") + """ AS b_pct_of_g_mob
-FROM weekly
+FROM weeks LEFT JOIN long USING (year_week)
+GROUP BY year_week
 ORDER BY week_start_date""",
         f"""
-weekly AS (
-    SELECT {_yearweek('created_at')} AS year_week,
-           min(CAST(created_at AS DATE)) AS week_start_date,
-           {_n_if("utm_source = 'gsearch' AND device_type = 'desktop'")} AS g_dtop_sessions,
-           {_n_if("utm_source = 'bsearch' AND device_type = 'desktop'")} AS b_dtop_sessions,
-           {_n_if("utm_source = 'gsearch' AND device_type = 'mobile'")} AS g_mob_sessions,
-           {_n_if("utm_source = 'bsearch' AND device_type = 'mobile'")} AS b_mob_sessions
-    FROM website_sessions
+members AS (
+    SELECT *, {_yearweek('created_at')} AS year_week FROM website_sessions
     WHERE utm_campaign = 'nonbrand'
       AND created_at >= {_ts('2024-01-01')} AND created_at < {_ts('2024-01-31')}
-    GROUP BY 1
+),
+weeks AS (SELECT year_week, min(CAST(created_at AS DATE)) AS week_start_date FROM members GROUP BY ALL),
+long AS (
+    SELECT year_week, utm_source || '/' || device_type AS pair, count(DISTINCT website_session_id) AS n
+    FROM members GROUP BY ALL
 )""",
     ),
     "classify_channel": _q(f"""
@@ -359,26 +392,25 @@ SELECT website_session_id, created_at, {_CHANNEL} AS channel_group
 FROM website_sessions"""),
     "monthly_channel_mix": _q(
         """
-SELECT yr, mo, nonbrand, brand, """ + _share("brand", "nonbrand") + """ AS brand_pct_of_nonbrand,
-       direct, """ + _share("direct", "nonbrand") + """ AS direct_pct_of_nonbrand,
-       organic, """ + _share("organic", "nonbrand") + """ AS organic_pct_of_nonbrand
-FROM monthly
+SELECT CAST(m.yr AS INTEGER) AS yr, CAST(m.mo AS INTEGER) AS mo,
+       """ + ",\n       ".join(
+            f"coalesce(max(n) FILTER (WHERE grp = '{label}'), 0) AS {name}"
+            + ("" if name == "nonbrand" else f", {_share(name, 'nonbrand')} AS {name}_pct_of_nonbrand")
+            for name, label in [
+                ("nonbrand", "paid_nonbrand"), ("brand", "paid_brand"),
+                ("direct", "direct_type_in"), ("organic", "organic_search"),
+            ]
+        ) + """
+FROM long m
+GROUP BY m.yr, m.mo
 ORDER BY yr, mo""",
         f"""
-grouped AS (
-    SELECT website_session_id, created_at, {_CHANNEL} AS grp
+long AS (
+    SELECT year(created_at) AS yr, month(created_at) AS mo, {_CHANNEL} AS grp,
+           count(DISTINCT website_session_id) AS n
     FROM website_sessions
     WHERE created_at < {_ts('2024-01-31')}
-),
-monthly AS (
-    SELECT CAST(year(created_at) AS INTEGER) AS yr,
-           CAST(month(created_at) AS INTEGER) AS mo,
-           {_n_if("grp = 'paid_nonbrand'")} AS nonbrand,
-           {_n_if("grp = 'paid_brand'")} AS brand,
-           {_n_if("grp = 'direct_type_in'")} AS direct,
-           {_n_if("grp = 'organic_search'")} AS organic
-    FROM grouped
-    GROUP BY 1, 2
+    GROUP BY ALL
 )""",
     ),
     # ------------------------------------------------------- pages and bounce
@@ -392,6 +424,11 @@ ORDER BY pvs DESC"""),
 SELECT website_session_id, min(website_pageview_id) AS first_pv
 FROM website_pageviews
 WHERE created_at < {_ts('2024-01-20')}
+GROUP BY website_session_id"""),
+    "min_pageview_per_session": _q(f"""
+SELECT website_session_id, min(website_pageview_id) AS min_pageview_id
+FROM website_pageviews
+WHERE created_at < {_ts('2024-01-22')}
 GROUP BY website_session_id"""),
     "top_entry_pages": _q(f"""
 SELECT landing_page_url, count(*) AS sessions_hitting_page
@@ -487,6 +524,20 @@ ORDER BY {_yearweek('session_created_at')}""",
         _PV_FACTS,
         _TREND,
     ),
+    "weekly_bounce_trend_counts": _q(
+        f"""
+SELECT {_yearweek('session_created_at')} AS year_week,
+       min(CAST(session_created_at AS DATE)) AS week_start_date,
+       count(*) AS total_sessions,
+       count(*) FILTER (WHERE count_pageviews = 1) AS bounced_sessions,
+       {_share("count(*) FILTER (WHERE count_pageviews = 1)", "count(*)")} AS bounce_rate,
+       count(*) FILTER (WHERE landing_page = '/home') AS home_sessions,
+       count(*) FILTER (WHERE landing_page = '/lander-1') AS lander_sessions
+FROM trend
+GROUP BY ALL""",
+        _PV_FACTS,
+        _TREND,
+    ),
     # ------------------------------------------------------------------ funnel
     "funnel_pageview_flags": _q(
         "SELECT c.website_session_id, p.pageview_url, p.created_at AS pageview_created_at,\n"
@@ -532,12 +583,13 @@ FROM billing_views v LEFT JOIN shop_orders o USING (website_session_id)""",
     ),
     "variant_conversion": _q(
         """
-SELECT v.billing_version_seen,
-       count(DISTINCT v.website_session_id) AS sessions,
-       count(DISTINCT o.order_id) AS orders,
-       """ + _share("count(DISTINCT o.order_id)", "count(DISTINCT v.website_session_id)") + """ AS billing_to_order_rt
-FROM billing_views v LEFT JOIN shop_orders o USING (website_session_id)
-GROUP BY v.billing_version_seen""",
+SELECT billing_version_seen, sessions, coalesce(m, 0) AS orders, """ + _share("coalesce(m, 0)", "sessions") + """ AS billing_to_order_rt
+FROM (SELECT billing_version_seen, count(DISTINCT website_session_id) AS sessions FROM billing_views GROUP BY ALL)
+LEFT JOIN (
+    SELECT billing_version_seen, count(DISTINCT order_id) AS m
+    FROM shop_orders o JOIN (SELECT DISTINCT * FROM billing_views) USING (website_session_id)
+    GROUP BY ALL
+) USING (billing_version_seen)""",
         _BILLING,
     ),
 }

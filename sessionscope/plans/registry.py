@@ -44,7 +44,7 @@ class Spec:
         return self.fn(*[getattr(shop, _TABLES[t]) for t in self.tables], **self.params)
 
     def __call__(self, spark: SparkSession, data_dir: str) -> DataFrame:
-        return self.on(ShopTables.for_session(spark, data_dir))
+        return self.on(ShopTables.from_events(spark, data_dir))
 
 
 def _s(fn, **kw) -> Spec:
@@ -77,6 +77,7 @@ QUERIES: dict[str, Spec] = {
     "top_traffic_sources": _s(ops.top_traffic_sources, end=END_0120),
     "conversion_rate": _so(ops.conversion_rate, **PAID, end=END_0120),
     "weekly_session_trend": _s(ops.weekly_session_trend, **PAID, end=END_0131),
+    "weekly_session_trend_keys": _s(ops.weekly_session_trend, **PAID, end=END_0131, include_week_keys=True),
     "conversion_by_device": _so(ops.conversion_by_device, **PAID, end=END_0120),
     "weekly_sessions_by_device": _s(ops.weekly_sessions_by_device, **PAID, start=T5_START, end=T5_END),
     # seasonality
@@ -92,6 +93,7 @@ QUERIES: dict[str, Spec] = {
     # pages, entry pages, bounce
     "top_pages": _p(ops.top_pages, end=END_0122),
     "first_pageview_per_session": _p(ops.first_pageview_per_session, end=END_0120),
+    "min_pageview_per_session": _p(ops.first_pageview_per_session, end=END_0122, id_alias="min_pageview_id"),
     "top_entry_pages": _p(ops.top_entry_pages, end=END_0120),
     "sessions_with_landing_page": _p(ops.sessions_with_landing_page, end=END_0122, landing_page="/home"),
     "bounced_sessions": _p(ops.bounced_sessions, end=END_0122, landing_page="/home"),
@@ -107,6 +109,7 @@ QUERIES: dict[str, Spec] = {
     "session_first_pv_and_count": _sp(ops.session_first_pv_and_count, **_LANDING_TREND),
     "session_landing_details": _sp(ops.session_landing_details, **_LANDING_TREND),
     "weekly_bounce_trend": _sp(ops.weekly_bounce_trend, **_LANDING_TREND),
+    "weekly_bounce_trend_counts": _sp(ops.weekly_bounce_trend, **_LANDING_TREND, include_counts=True),
     # funnel
     "funnel_pageview_flags": _sp(ops.funnel_pageview_flags, **_FUNNEL),
     "session_funnel_flags": _sp(ops.session_funnel_flags, **_FUNNEL),

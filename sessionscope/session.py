@@ -19,7 +19,13 @@ _BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a cohort too large to broadcast still filters the other side below its shuffle;
+    # the filter itself is bounded (32 MB)
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "32000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "268435456",
     "spark.sql.session.timeZone": "UTC",
     # compiled whole-stage code is cached per generated source; a session
     # running dozens of distinct operators needs more than the default 100
@@ -50,7 +56,6 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 

@@ -2,7 +2,7 @@
 
 ``events(event_id, ts, user_id, event_type, value, props)`` becomes
 
-* ``website_sessions``  one session = one user on one day of the year,
+* ``website_sessions``  one session = one user on one calendar day,
 * ``website_pageviews`` one pageview per event,
 * ``shop_orders``       one order per purchase event.
 
@@ -23,7 +23,8 @@ from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture derivation.  They must stay exactly as written.
 # ---------------------------------------------------------------------------
-SESSION_ID_STRIDE = 1000  # website_session_id = user_id * 1000 + day_of_year
+# website_session_id = (user_id * 10000 + year) * 1000 + day_of_year
+YEAR_STRIDE, DAY_STRIDE = 10_000, 1000
 
 # Traffic attributes by bucket b = (user_id * 7 + day_of_year) % 10, b = 0 … 9.
 UTM_SOURCE_BY_BUCKET = [
@@ -73,7 +74,7 @@ def _pick_sql(values: list[str | None], index_sql: str) -> str:
 
 # The expressions are written as SQL text: one JVM call builds each of them,
 # and Catalyst sees exactly the same expression trees as with Column methods.
-SESSION_ID_SQL = f"user_id * {SESSION_ID_STRIDE} + dayofyear(ts)"
+SESSION_ID_SQL = f"(user_id * {YEAR_STRIDE} + year(ts)) * {DAY_STRIDE} + dayofyear(ts)"
 
 
 def _page_url_sql() -> str:
@@ -94,8 +95,8 @@ def _page_url_sql() -> str:
 
 def session_attributes_sql() -> list[str]:
     """Projection from (website_session_id, created_at) to the session row."""
-    user = f"({SESSION_ID} div {SESSION_ID_STRIDE})"  # exact integer division
-    doy = f"({SESSION_ID} % {SESSION_ID_STRIDE})"
+    user = f"({SESSION_ID} div {YEAR_STRIDE * DAY_STRIDE})"  # exact integer division
+    doy = f"({SESSION_ID} % {DAY_STRIDE})"
     bucket = f"CAST(({user} * 7 + {doy}) % 10 AS INT)"
     return [
         SESSION_ID,
@@ -109,10 +110,29 @@ def session_attributes_sql() -> list[str]:
 
 
 def sessions_from_events(events: DataFrame) -> DataFrame:
+    """The sessions, with their events kept at hand for :func:`sessions_within`."""
     per_session = events.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(
         F.min("ts").alias("created_at")
     )
-    return per_session.selectExpr(*session_attributes_sql())
+    sessions = per_session.selectExpr(*session_attributes_sql())
+    sessions._session_events = events
+    return sessions
+
+
+def sessions_within(sessions: DataFrame, day_start_sql: str | None, end_sql: str | None) -> DataFrame:
+    """``sessions`` from the events that can decide a window of ``created_at``.
+
+    A session's ``created_at`` is the smallest ``ts`` of its day.  Events at or
+    after an upper bound cannot lower it below the bound, and events before the
+    first day of the window belong to sessions of earlier days, so both are left
+    out at the scan; sessions inside the window come out unchanged.  Frames that
+    were not derived here are returned as they are.
+    """
+    events = getattr(sessions, "_session_events", None)
+    bounds = " AND ".join(b for b in (day_start_sql, end_sql) if b)
+    if events is None or not bounds:
+        return sessions
+    return sessions_from_events(events.filter(bounds))
 
 
 def pageviews_from_events(events: DataFrame) -> DataFrame:

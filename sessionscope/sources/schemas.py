@@ -1,10 +1,9 @@
 """Declared schemas of the three shop tables.
 
-Keys: ``website_session_id`` is unique in sessions, ``website_pageview_id`` in
-pageviews and ``order_id`` in orders; an order belongs to one session and
-pageview ids rise with time.  The operators rely on these keys (distinct counts
-of a key become plain counts, which aggregate map-side); ``validate_keys``
-checks them on real data.
+Keys: ``website_session_id`` identifies a session, ``website_pageview_id`` a
+pageview and ``order_id`` an order; an order belongs to one session and pageview
+ids rise with time.  Repeated rows of a key count once where the analysis counts
+distinct keys; ``validate_keys`` reports whether keys are unique.
 """
 
 from __future__ import annotations
@@ -62,6 +61,9 @@ SCHEMAS = {
     "shop_orders": ORDERS_SCHEMA,
 }
 
+# What identifies a row of each table.
+ROW_IDS = {"website_sessions": SESSION_ID, "website_pageviews": PAGEVIEW_ID, "shop_orders": ORDER_ID}
+
 # Columns an operator may not run without (price_usd is carried, never read).
 REQUIRED_COLUMNS = {
     "website_sessions": [f.name for f in SESSIONS_SCHEMA.fields],

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import weakref
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionscope.functions.timebuckets import PARTITION_DATE
+from sessionscope.functions.timebuckets import PARTITION_DATE, mark_day_partition
 from sessionscope.sources.events import (
     orders_from_events,
     pageviews_from_events,
@@ -21,15 +21,12 @@ from sessionscope.sources.schemas import (
     ORDER_ID,
     PAGEVIEW_ID,
     REQUIRED_COLUMNS,
+    ROW_IDS,
     SCHEMAS,
     SESSION_ID,
 )
 
 
-# derived-table handles per Spark session (see ShopTables.for_session)
-_HANDLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
 class ShopTables:
     """``sessions``, ``pageviews`` and ``orders`` DataFrames.
 
@@ -90,26 +87,6 @@ class ShopTables:
             }
         )
 
-    @classmethod
-    def for_session(cls, spark: SparkSession, data_dir: str) -> "ShopTables":
-        """``from_events`` handles reused per Spark session and events file.
-
-        Only plan objects are reused (nothing is cached in memory); a changed
-        file (size or modification time) gets fresh handles.
-        """
-        path = os.path.join(data_dir, "events.parquet")
-        try:
-            st = os.stat(path)
-            stamp = (st.st_size, st.st_mtime_ns)
-        except OSError:  # remote storage: no reuse
-            return cls.from_events(spark, data_dir)
-        per_session = _HANDLES.setdefault(spark, {})
-        key = (os.path.abspath(data_dir), stamp)
-        if key not in per_session:
-            per_session.clear()
-            per_session[key] = cls.from_events(spark, data_dir)
-        return per_session[key]
-
     @classmethod
     def from_parquet(
         cls,
@@ -199,15 +176,17 @@ class ShopTables:
         The ``created_date`` partition column is kept: the operators' time
         windows add the implied day predicate, so scans prune directories.
         """
-
-        def read(name: str) -> DataFrame:
-            schema = T.StructType(SCHEMAS[name].fields + [T.StructField(PARTITION_DATE, T.DateType())])
-            return spark.read.schema(schema).parquet(os.path.join(root, name))
-
-        tables = cls(read("website_sessions"), read("website_pageviews"), read("shop_orders"))
+        tables = cls(*(cls.read_table(spark, root, n) for n in ("website_sessions", "website_pageviews", "shop_orders")))
         tables.check_columns()
         return tables
 
+    @staticmethod
+    def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+        """One table of the day-partitioned layout."""
+        schema = T.StructType(SCHEMAS[name].fields + [T.StructField(PARTITION_DATE, T.DateType())])
+        table = spark.read.schema(schema).parquet(os.path.join(root, name))
+        return mark_day_partition(table.select(schema.fieldNames()))
+
     # -- sink --------------------------------------------------------------
     def write(self, root: str, mode: str = "errorifexists") -> None:
         """Write the three tables as Parquet, partitioned by calendar day.
@@ -216,13 +195,15 @@ class ShopTables:
         directories; within a day, rows are clustered by session id so the
         per-session aggregations combine well map-side.  Range partitioning
         on (day, session) splits a large (or hot) day over several tasks and
-        files instead of sending a whole day to one task.
+        files instead of sending a whole day to one task, and the row's own id
+        behind them splits a hot session.
         """
         for name, df in self.named().items():
+            keys = list(dict.fromkeys([PARTITION_DATE, SESSION_ID, ROW_IDS[name]]))
             (
                 df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-                .repartitionByRange(PARTITION_DATE, SESSION_ID)
-                .sortWithinPartitions(PARTITION_DATE, SESSION_ID)
+                .repartitionByRange(*keys)
+                .sortWithinPartitions(*keys)
                 .write.mode(mode)
                 .partitionBy(PARTITION_DATE)
                 .parquet(os.path.join(root, name))
@@ -237,8 +218,9 @@ class ShopTables:
         Every per-session aggregation and every session-keyed join then reads
         an existing hash partitioning: Spark plans them without an Exchange,
         and the three tables are co-located bucket by bucket.  Rows are first
-        hash-partitioned by (day, bucket id), so each (day, bucket) is written
-        by one task as one file, and no task holds a bucket's whole history.
+        rebalanced by (day, bucket id): a (day, bucket) usually makes one file,
+        and one that is larger than the advisory partition size, as with a hot
+        session, is split over several tasks and files.
         """
         spark = self.sessions.sparkSession
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
@@ -246,8 +228,9 @@ class ShopTables:
         bucket_id = F.expr(f"pmod(hash({SESSION_ID}), {int(buckets)})")
         for name, df in self.named().items():
             (
-                df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-                .repartition(PARTITION_DATE, bucket_id)
+                df.withColumns({PARTITION_DATE: F.to_date("created_at"), "_bucket": bucket_id})
+                .hint("rebalance", PARTITION_DATE, "_bucket")
+                .drop("_bucket")
                 .write.mode(mode)
                 .partitionBy(PARTITION_DATE)
                 .bucketBy(buckets, SESSION_ID)
@@ -257,37 +240,38 @@ class ShopTables:
 
     @classmethod
     def from_tables(
-        cls, spark: SparkSession, database: str, *, bucketed_reads: bool = True
+        cls, spark: SparkSession, database: str, *, bucketed_reads: bool = False
     ) -> "ShopTables":
         """Catalog tables written by :meth:`save_as_tables`.
 
-        With ``bucketed_reads`` Spark uses the bucketing (no shuffle for
-        per-session work), but it reads each bucket in one task, so a bucket
-        that holds a hot session is one large task.  ``bucketed_reads=False``
-        reads the same files as a plain day-partitioned table: the per-session
-        steps then shuffle map-side partial aggregates, which spreads a hot
-        session over all map tasks.
+        They are read as plain day-partitioned files: the per-session steps shuffle
+        map-side partial aggregates, which spreads a hot session over all map
+        tasks.  With ``bucketed_reads`` Spark uses the bucketing instead (no
+        shuffle for per-session work), but each bucket is one task, so choose it
+        only where no session holds a large share of the rows.
         """
 
         def read(name: str) -> DataFrame:
             table = spark.table(f"{database}.{name}")
             if bucketed_reads:
-                return table
+                return mark_day_partition(table)
             location = (
                 spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}")
                 .filter("col_name = 'Location'")
                 .first()["data_type"]
             )
-            return spark.read.schema(table.schema).parquet(location)
+            return mark_day_partition(spark.read.schema(table.schema).parquet(location))
 
         tables = cls(read("website_sessions"), read("website_pageviews"), read("shop_orders"))
         tables.check_columns()
         return tables
 
-    def materialize(self, spark: SparkSession, name: str = "shop_tables") -> "ShopTables":
+    def materialize(self, spark: SparkSession, name: str | None = None) -> "ShopTables":
         """Write the tables once under the shared checkpoint folder and read
         them back in the day-partitioned layout.
 
+        Without a ``name`` the folder is new; an existing one is never overwritten.
+
         Cuts the lineage back to the source (a lost executor recomputes from
         the written files, not from the raw events) and lets every later
         operator prune day partitions.  The folder is the one the cluster
@@ -296,8 +280,8 @@ class ShopTables:
         """
         from sessionscope.session import ensure_checkpoint_dir
 
-        root = os.path.join(ensure_checkpoint_dir(spark), name)
-        self.write(root, mode="overwrite")
+        root = os.path.join(ensure_checkpoint_dir(spark), name or f"shop-tables-{uuid.uuid4().hex}")
+        self.write(root)
         return ShopTables.from_directory(spark, root)
 
     def named(self) -> dict[str, DataFrame]:

@@ -3,8 +3,9 @@
 from sessionscope.streaming.ingest import (
     ShopIngest,
     event_stream,
-    sessions_from_event_stream,
+    append_events,
+    sessions_from_pageviews,
     start_shop_ingest,
 )
 
-__all__ = ["ShopIngest", "event_stream", "sessions_from_event_stream", "start_shop_ingest"]
+__all__ = ["ShopIngest", "event_stream", "append_events", "sessions_from_pageviews", "start_shop_ingest"]

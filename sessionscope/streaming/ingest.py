@@ -1,22 +1,21 @@
 """Incremental upkeep of the shop tables from an event stream.
 
 The batch operators read ``website_sessions``, ``website_pageviews`` and
-``shop_orders``.  When events arrive continuously, these three streaming
-queries keep those tables current in the day-partitioned Parquet layout that
-:meth:`ShopTables.from_directory` reads:
-
-* pageviews and orders are row-level projections of each event (stateless,
-  appended as they arrive);
-* a session is one user on one calendar day, so it is an event-time
-  aggregation over a one-day tumbling window.  With a watermark the state of a
-  day is dropped once the watermark passes its end, and append mode writes each
-  session exactly once, when its day is closed.  Events later than the
-  watermark delay would be dropped, so the delay must cover the maximum
-  lateness of the source.
-
-Checkpoints (offsets and aggregation state) live under the checkpoint root,
-by default the shared folder the cluster names in ``spark.checkpoint.dir``,
-so a restarted query or a lost executor resumes without loss or duplicates.
+``shop_orders``.  When events arrive continuously, one streaming query keeps
+those tables current in the day-partitioned Parquet layout that
+:meth:`ShopTables.from_directory` reads.  For each micro-batch,
+
+* pageviews and orders are row-level projections of the events, written to a
+  folder of the batch's own, which a repeated batch overwrites;
+* the sessions of the days that the batch touches are derived again from all
+  pageviews of those days, and these days' partitions are replaced.
+
+A session is one user on one calendar day, so it depends on its day's pageviews
+only, and no event comes too late: a late one is in all three tables after its
+batch, as if it had come in time.  No watermark drops anything and no state grows.
+
+The query's checkpoint (offsets) lies beside the tables, so every target has its
+own, and a restarted query resumes without loss or duplicates.
 """
 
 from __future__ import annotations
@@ -29,14 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionscope.functions.timebuckets import PARTITION_DATE
-from sessionscope.session import ensure_checkpoint_dir
 from sessionscope.sources.events import (
-    SESSION_ID_SQL,
     orders_from_events,
     pageviews_from_events,
     session_attributes_sql,
 )
 from sessionscope.sources.schemas import EVENTS_SCHEMA, SESSION_ID
+from sessionscope.sources.tables import ShopTables
 
 
 def event_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -47,53 +45,47 @@ def event_stream(spark: SparkSession, source: str, max_files_per_trigger: int |
     return reader.parquet(source)
 
 
-def sessions_from_event_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Sessions (one per user and day) from a stream, emitted when the day closes.
-
-    Watermarks need an instant-typed event time; ``event_time`` is the
-    wall-clock ``ts`` read as UTC, so one-day windows (aligned to UTC days)
-    are exactly the calendar days of ``ts`` whatever the session time zone.
-    """
-    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    tz_sql = tz.replace("'", "")
-    per_session = (
-        events.withColumn("event_time", F.expr(f"to_utc_timestamp(CAST(ts AS TIMESTAMP), '{tz_sql}')"))
-        .withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", "1 day").alias("day"), F.expr(SESSION_ID_SQL).alias(SESSION_ID))
-        .agg(F.min("ts").alias("created_at"))
-    )
+def sessions_from_pageviews(pageviews: DataFrame) -> DataFrame:
+    """The sessions of pageviews that hold whole days."""
+    per_session = pageviews.groupBy(SESSION_ID).agg(F.min("created_at").alias("created_at"))
     return per_session.selectExpr(*session_attributes_sql())
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    return df.withColumn(PARTITION_DATE, F.to_date("created_at"))
+
+
+def append_events(events: DataFrame, batch_id: int, root: str) -> None:
+    """Bring the three tables under ``root`` up to date with one batch of events."""
+    spark = events.sparkSession
+    for name, rows in (
+        ("website_pageviews", pageviews_from_events(events)),
+        ("shop_orders", orders_from_events(events)),
+    ):
+        folder = os.path.join(root, name, f"batch={batch_id}")
+        _by_day(rows).write.mode("overwrite").partitionBy(PARTITION_DATE).parquet(folder)
+    days = [r[0] for r in events.select(F.to_date("ts")).where("ts IS NOT NULL").distinct().collect()]
+    if not days:
+        return
+    touched = ShopTables.read_table(spark, root, "website_pageviews").where(F.col(PARTITION_DATE).isin(days))
+    (
+        _by_day(sessions_from_pageviews(touched))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PARTITION_DATE)
+        .parquet(os.path.join(root, "website_sessions"))
+    )
+
+
 @dataclass
 class ShopIngest:
-    sessions: StreamingQuery
-    pageviews: StreamingQuery
-    orders: StreamingQuery
-
-    def queries(self) -> list[StreamingQuery]:
-        return [self.sessions, self.pageviews, self.orders]
+    query: StreamingQuery
 
     def process_all_available(self) -> None:
-        for q in self.queries():
-            q.processAllAvailable()
+        self.query.processAllAvailable()
 
     def stop(self) -> None:
-        for q in self.queries():
-            q.stop()
-
-
-def _sink(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    return (
-        df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(PARTITION_DATE)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+        self.query.stop()
 
 
 def start_shop_ingest(
@@ -101,32 +93,16 @@ def start_shop_ingest(
     source: str,
     target_root: str,
     *,
-    checkpoint_root: str | None = None,
-    watermark: str = "1 hour",
+    checkpoint: str | None = None,
     trigger: dict | None = None,
     max_files_per_trigger: int | None = None,
 ) -> ShopIngest:
-    """Start the three streaming queries; returns handles to wait on or stop."""
-    ckpt = checkpoint_root or os.path.join(ensure_checkpoint_dir(spark), "shop_ingest")
-    trig = trigger or {"processingTime": "1 minute"}
+    """Start the streaming query; returns a handle to wait on or stop."""
     events = event_stream(spark, source, max_files_per_trigger)
-    return ShopIngest(
-        sessions=_sink(
-            sessions_from_event_stream(events, watermark),
-            os.path.join(target_root, "website_sessions"),
-            os.path.join(ckpt, "website_sessions"),
-            trig,
-        ),
-        pageviews=_sink(
-            pageviews_from_events(events),
-            os.path.join(target_root, "website_pageviews"),
-            os.path.join(ckpt, "website_pageviews"),
-            trig,
-        ),
-        orders=_sink(
-            orders_from_events(events),
-            os.path.join(target_root, "shop_orders"),
-            os.path.join(ckpt, "shop_orders"),
-            trig,
-        ),
+    query = (
+        events.writeStream.foreachBatch(lambda batch, batch_id: append_events(batch, batch_id, target_root))
+        .option("checkpointLocation", checkpoint or os.path.join(target_root, "_ingest"))
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
     )
+    return ShopIngest(query)

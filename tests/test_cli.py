@@ -27,3 +27,11 @@ def test_run_on_saved_tables(spark, tmp_path):
     direct = main(["run", "funnel_counts", "--data", DATA_SMALL, "--out", str(tmp_path / "out_events")])
     assert direct == 0
     assert via_tables == spark.read.parquet(str(tmp_path / "out_events")).collect()
+
+
+def test_the_input_must_be_named(capsys):
+    import pytest
+
+    with pytest.raises(SystemExit):
+        main(["run", "weekly_sources", "--out", "/tmp/never"])
+    assert "--data" in capsys.readouterr().err

@@ -47,7 +47,7 @@ def _kind(t: str) -> str:
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) == 36
+    assert len(QUERIES) == 39
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

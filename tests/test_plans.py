@@ -1,16 +1,18 @@
 """Plan shapes: the operators stay JVM-side, never build Cartesian products,
 use no multi-distinct Expand, aggregate map-side, and push filters to the scan."""
 
-import re
+import datetime as dt
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionscope import operators as ops
 from sessionscope.plans.inspect import plan_summary
 from sessionscope.plans.registry import QUERIES
 from sessionscope.sources.tables import ShopTables
 from tests.conftest import DATA_SMALL
-
+from tests.helpers import rows
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -60,7 +62,7 @@ def test_bucketed_tables_co_locate_per_session_work(spark):
 
     derived = ShopTables.from_events(spark, DATA_ORACLE)
     derived.save_as_tables("shop_bucketed", buckets=8, mode="overwrite")
-    t = ShopTables.from_tables(spark, "shop_bucketed")
+    t = ShopTables.from_tables(spark, "shop_bucketed", bucketed_reads=True)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         cases = [
@@ -78,8 +80,8 @@ def test_bucketed_tables_co_locate_per_session_work(spark):
             # aggregation and the session join read the bucketing
             assert tree.count("Exchange") == 1, op.__name__
             assert rows(df) == rows(op(*derived_args, **kw)), op.__name__
-        # opting out of bucketed reads gives the shuffle (skew-spreading) plan, same rows
-        plain = ShopTables.from_tables(spark, "shop_bucketed", bucketed_reads=False)
+        # the default is the shuffle (skew-spreading) plan, same rows
+        plain = ShopTables.from_tables(spark, "shop_bucketed")
         df = ops.funnel_counts(plain.sessions, plain.pageviews, start="2024-01-05", end="2024-01-25")
         assert plan_summary(df)["text"].split("\n\n(")[0].count("Exchange") > 1
         assert rows(df) == rows(ops.funnel_counts(t.sessions, t.pageviews, start="2024-01-05", end="2024-01-25"))
@@ -87,32 +89,95 @@ def test_bucketed_tables_co_locate_per_session_work(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_pageview_horizon_prunes_days_and_keeps_results(spark, tmp_path):
-    import datetime as dt
+@pytest.mark.parametrize(
+    "name",
+    ["test_landing_pages", "bounce_rate_by_landing_page", "weekly_bounce_trend", "session_first_pv_and_count",
+     "session_landing_details", "session_funnel_flags", "bounce_rate"],
+)
+def test_cohort_filter_stands_below_the_grouping_by_session(spark, tmp_path, name):
+    root = str(tmp_path / "shop")
+    ShopTables.from_events(spark, DATA_SMALL).write(root)
+    tree = plan_summary(QUERIES[name].on(ShopTables.from_directory(spark, root)))["text"].split("\n\n(")[0]
+    lines = tree.splitlines()
+    depth = lambda i: len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    semi = [i for i, x in enumerate(lines) if "LeftSemi" in x]
+    assert semi, tree
+    # an aggregate stands above the semi join before the first exchange above it
+    above = next(
+        x for i in semi for x in reversed(lines[:i]) if ("Aggregate" in x or "Exchange hash" in x)
+    )
+    assert "Aggregate" in above, tree
+
+
+def test_a_pageview_months_later_still_counts(spark):
+    from tests.helpers import shop
+
+    t = shop(
+        spark,
+        sessions=[(1, "2024-01-10 00:00:00", "gsearch", "nonbrand", "desktop", None), (2, "2024-01-10 00:00:00", "gsearch", "nonbrand", "desktop", None)],
+        pageviews=[(1, "2024-01-10 00:00:00", 1, "/home"), (2, "2024-01-10 00:00:00", 2, "/home"), (3, "2024-05-10 00:00:00", 1, "/cart")],
+    )
+    assert ops.bounce_rate(t.pageviews, end="2024-01-22").first()["bounced_sessions"] == 1
+    kw = dict(start="2024-01-05", end="2024-01-25")
+    assert ops.funnel_counts(t.sessions, t.pageviews, **kw).first()["to_cart"] == 1
 
-    from tests.conftest import DATA_ORACLE
-    from tests.helpers import rows
 
-    root = str(tmp_path / "shop_days")
-    ShopTables.from_events(spark, DATA_ORACLE).write(root)
-    t = ShopTables.from_directory(spark, root)
-    day = dt.timedelta(days=1)  # fixture sessions are one user on one day
-    cases = [
-        (ops.bounce_rate, (t.pageviews,), dict(end="2024-01-22")),
-        (ops.bounce_rate_by_landing_page, (t.sessions, t.pageviews), dict(end="2024-01-28")),
-        (ops.weekly_bounce_trend, (t.sessions, t.pageviews), dict(start="2024-01-02", end="2024-01-29")),
-        (ops.funnel_counts, (t.sessions, t.pageviews), dict(start="2024-01-05", end="2024-01-25")),
-        (ops.funnel_pageview_flags, (t.sessions, t.pageviews), dict(start="2024-01-05", end="2024-01-25")),
+@pytest.mark.parametrize(
+    "name",
+    ["top_traffic_sources", "conversion_rate", "weekly_session_trend", "conversion_by_device", "weekly_sessions_by_device",
+     "weekly_sessions_orders", "hourly_weekday_profile", "weekly_sources", "source_mobile_share",
+     "conversion_by_device_source", "weekly_source_device_ratio", "monthly_channel_mix"],
+)
+def test_session_bounds_reach_the_event_scan(spark, name):
+    pushed = " ".join(plan_summary(QUERIES[name](spark, DATA_SMALL))["pushed_filters"])
+    assert "LessThan" in pushed and "(ts," in pushed
+
+
+def test_sessions_at_both_edges_of_the_window(spark):
+    t = dt.datetime
+    events = [
+        (1, t(2024, 1, 4, 23, 59, 59), 1, "view", 0.0, None),  # the day before the window
+        (2, t(2024, 1, 5, 0, 0, 0), 2, "view", 0.0, None),
+        (3, t(2024, 1, 5, 10, 0, 0), 3, "view", 0.0, None),
+        (4, t(2024, 1, 24, 23, 0, 0), 4, "view", 0.0, None),
+        (5, t(2024, 1, 25, 0, 0, 0), 5, "view", 0.0, None),  # at the upper bound
+        (6, t(2024, 1, 24, 1, 0, 0), 6, "view", 0.0, None),
+        (7, t(2024, 1, 24, 23, 59, 59), 6, "purchase", 1.0, None),
+        (8, t(2024, 1, 5, 0, 30, 0), 7, "view", 0.0, None),  # starts before a bound inside its day
+        (9, t(2024, 1, 5, 12, 0, 0), 7, "view", 0.0, None),
     ]
-    for op, args, kw in cases:
-        exact = op(*args, **kw)
-        bounded = op(*args, pageview_horizon=day, **kw)
-        # inspect the initial plan (the executed adaptive plan prints scans differently)
-        text = plan_summary(bounded)["text"]
-        assert rows(bounded) == rows(exact), op.__name__
-        scans = [blk for blk in text.split("Scan parquet") if "website_pageviews]" in blk.split("\n\n")[0]]
-        assert scans, op.__name__
-        # the per-session scan prunes days; a launch-id subquery, when present,
-        # still reads all days (the launch is defined over all pageviews)
-        heads = [blk.split("\n\n")[0] for blk in scans]
-        assert any(re.search(r"PartitionFilters: \[.*created_date#\d+ <= ", h) for h in heads), op.__name__
+    from sessionscope.functions.timebuckets import within
+    from sessionscope.sources.schemas import EVENTS_SCHEMA
+
+    derived = ShopTables.from_events_frame(spark.createDataFrame(events, EVENTS_SCHEMA)).sessions
+    plain = derived.select("*")  # a frame that carries no events
+    for kw in (
+        dict(start="2024-01-05", end="2024-01-25"),
+        dict(start="2024-01-05", end="2024-01-25", start_exclusive=True, end_inclusive=True),
+        dict(start="2024-01-05 01:00:00", end="2024-01-24 23:30:00"),
+        dict(end="2024-01-05"),
+    ):
+        assert rows(within(derived, **kw)) == rows(within(plain, **kw))
+
+
+def test_an_unrelated_created_date_prunes_nothing(spark):
+    t = ShopTables.from_events(spark, DATA_SMALL)
+    odd = t.sessions.withColumn("created_date", F.lit("2099-01-01").cast("date"))
+    assert rows(ops.top_traffic_sources(odd, end="2024-01-20")) == rows(ops.top_traffic_sources(t.sessions, end="2024-01-20"))
+
+
+def test_every_query_sees_a_file_added_to_a_partition_folder(spark, tmp_path):
+    root = tmp_path / "data" / "events.parquet"
+    (root / "d=1").mkdir(parents=True)
+    shutil.copy(f"{DATA_SMALL}/events.parquet", root / "d=1" / "a.parquet")
+    data = str(tmp_path / "data")
+    before = {name: rows(query(spark, data)) for name, query in QUERIES.items()}
+    more = spark.read.parquet(f"{DATA_SMALL}/events.parquet").withColumns(
+        {"event_id": F.col("event_id") + 1_000_000, "user_id": F.col("user_id") + 50_001}
+    )
+    more.coalesce(1).write.parquet(str(tmp_path / "more"))
+    shutil.copy(next((tmp_path / "more").glob("part-*.parquet")), root / "d=1" / "b.parquet")
+    fixed = {"page_launch", "variant_launch"}  # the first id stays the first
+    for name, query in QUERIES.items():
+        after = rows(query(spark, data))
+        assert name in fixed or after != before[name], name

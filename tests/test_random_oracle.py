@@ -38,7 +38,7 @@ URLS = [
 BOUNDS = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 5, 20, 22, 25, 28, 29, 31)]
 
 
-def random_shop_rows(seed: int, n_sessions: int = 400, hot_share: float = 0.0):
+def random_shop_rows(seed: int, n_sessions: int = 400, hot_share: float = 0.0, repeats: bool = False):
     """``hot_share`` > 0 gives one session that share of all pageviews and orders."""
     rng = np.random.default_rng(seed)
     start = dt.datetime(2023, 12, 30)
@@ -68,6 +68,12 @@ def random_shop_rows(seed: int, n_sessions: int = 400, hot_share: float = 0.0):
     raw_pvs.sort(key=lambda r: r[0])  # pageview ids rise with time
     pageviews = [(1 + k, t, sid, url) for k, (t, sid, url) in enumerate(raw_pvs)]
     orders = [(500_000 + k, t, sid, 10.0) for k, (t, sid) in enumerate(orders)]
+    if repeats:
+        # rows that were loaded twice
+        for table, share in ((sessions, 0.1), (orders, 0.2)):
+            table.extend([table[i] for i in rng.integers(0, len(table), int(len(table) * share))])
+        twice = [pageviews[i] for i in rng.integers(0, len(pageviews), len(pageviews) // 10)]
+        pageviews.extend(twice)
     return sessions, pageviews, orders
 
 
@@ -92,9 +98,11 @@ def _multiset(tbl, cols):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in tbl.to_pylist()), key=repr)
 
 
-@pytest.mark.parametrize("seed,hot_share", [(1, 0.0), (2, 0.0), (3, 0.0), (4, 1 / 3)])
-def test_all_queries_on_random_tables(spark, seed, hot_share):
-    s_rows, p_rows, o_rows = random_shop_rows(seed, hot_share=hot_share)
+@pytest.mark.parametrize(
+    "seed,hot_share,repeats", [(1, 0.0, False), (2, 0.0, False), (4, 1 / 3, False), (5, 0.0, True), (6, 1 / 3, True)]
+)
+def test_all_queries_on_random_tables(spark, seed, hot_share, repeats):
+    s_rows, p_rows, o_rows = random_shop_rows(seed, hot_share=hot_share, repeats=repeats)
     shop = ShopTables(
         spark.createDataFrame(s_rows, SESSIONS_SCHEMA),
         spark.createDataFrame(p_rows, PAGEVIEWS_SCHEMA),

@@ -20,3 +20,28 @@ def test_checkpoint_cuts_lineage(spark):
     assert cut.count() == 7
     plan = plan_text(cut, "simple")
     assert "ExistingRDD" in plan and "HashAggregate" not in plan
+
+
+def test_batch_jobs_need_no_checkpoint_folder(spark, monkeypatch):
+    """A cluster session is made without one; asking for it names what to set."""
+    import pytest
+
+    import sessionscope.session as session
+
+    class Master:
+        master = "spark://cluster:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        setLogLevel = staticmethod(lambda level: None)
+
+    class Fake:
+        sparkContext = Master()
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    class Builder:
+        appName = master = config = lambda self, *a: self
+        getOrCreate = lambda self: Fake()
+
+    monkeypatch.setattr(session, "SparkSession", type("S", (), {"builder": Builder()}))
+    assert session.build_session("spark://cluster:7077").sparkContext.master.startswith("spark")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Fake())

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionscope import operators as ops
-from sessionscope.plans.joins import left_join_fanout
+from sessionscope.plans.joins import salted_left_join
 from sessionscope.sources.schemas import SESSION_ID
 from sessionscope.sources.tables import ShopTables
 from tests.conftest import DATA_ORACLE
@@ -32,10 +32,11 @@ def skewed(spark):
     return ShopTables(sessions, pv, orders)
 
 
-def test_left_join_fanout_equals_left_join(skewed):
+@pytest.mark.parametrize("salts", [1, 7, 16])
+def test_salted_left_join_equals_left_join(skewed, salts):
     left = skewed.sessions.select(SESSION_ID, "device_type")
     right = skewed.pageviews.select(SESSION_ID, "website_pageview_id", "pageview_url")
-    a = left_join_fanout(left, right, SESSION_ID)
+    a = salted_left_join(left, right, SESSION_ID, row_id="website_pageview_id", salts=salts)
     b = left.join(right, SESSION_ID, "left").select(*a.columns)
     assert a.count() == b.count()
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -97,12 +98,33 @@ def test_bounce_rate_by_landing_page_matches_brute_force(spark, skewed):
     assert got == want
 
 
-def test_left_join_fanout_with_many_left_rows_per_key(skewed):
+def test_salted_left_join_with_many_left_rows_per_key(skewed):
     left = skewed.pageviews.filter("pageview_url IN ('/billing', '/billing-2')").select(
         SESSION_ID, "pageview_url"
     )
     right = skewed.orders.select(SESSION_ID, "order_id")
-    a = left_join_fanout(left, right, SESSION_ID)
+    a = salted_left_join(left, right, SESSION_ID, row_id="order_id")
     b = left.join(right, SESSION_ID, "left").select(*a.columns)
     assert a.count() == b.count()
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_a_hot_session_is_spread_over_the_salts(spark, skewed):
+    """Rows of the largest task of the joined pageviews, with the hot session holding a third."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        left = skewed.sessions.select(SESSION_ID)
+        right = skewed.pageviews.select(SESSION_ID, "website_pageview_id")
+        largest = {}
+        for salts in (1, 16):
+            joined = salted_left_join(left, right, SESSION_ID, row_id="website_pageview_id", salts=salts)
+            sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+            largest[salts] = sizes
+        assert largest[1] > right.count() / 3
+        assert largest[16] < largest[1] / 4
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

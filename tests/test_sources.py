@@ -1,5 +1,7 @@
 """The derived shop tables have the fixture's documented shape."""
 
+import uuid
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from sessionscope.sources.schemas import ORDERS_SCHEMA, PAGEVIEWS_SCHEMA, SESSIONS_SCHEMA
 from sessionscope.sources.tables import ShopTables
 from tests.conftest import DATA_ORACLE, DATA_SMALL
+from tests.helpers import shop
 
 
 @pytest.mark.parametrize(
@@ -64,14 +67,38 @@ def test_write_and_read_back(spark, tmp_path):
 
 
 def test_materialize_in_checkpoint_folder(spark):
-    t = ShopTables.from_events(spark, DATA_SMALL).materialize(spark, name="test_materialize")
-    assert t.sessions.count() == 397
-    assert "created_date" in t.pageviews.columns
+    t = ShopTables.from_events(spark, DATA_SMALL)
+    a, b = t.materialize(spark), t.materialize(spark)  # a folder each
+    assert a.sessions.count() == b.sessions.count() == 397
+    assert "created_date" in a.pageviews.columns
+    name = f"test-materialize-{uuid.uuid4().hex}"
+    t.materialize(spark, name=name)
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        t.materialize(spark, name=name)
+
+
+def test_a_hot_session_day_is_written_by_several_tasks(spark, tmp_path):
+    rows = [(i, "2024-01-05 10:00:00", 77, "/home") for i in range(20_000)]
+    hot = shop(spark, sessions=[(77, "2024-01-05 10:00:00", None, None, "desktop", None)], pageviews=rows)
+    confs = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        hot.write(str(tmp_path / "shop"))
+        hot.save_as_tables("hot_shop", buckets=4, mode="overwrite")
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    assert len(list((tmp_path / "shop" / "website_pageviews").rglob("part-*.parquet"))) > 1
+    location = spark.sql("DESCRIBE TABLE EXTENDED hot_shop.website_pageviews").filter("col_name = 'Location'").first()["data_type"]
+    assert len({r[0] for r in spark.read.parquet(location).select(F.input_file_name()).distinct().collect()}) > 1
+    assert ShopTables.from_tables(spark, "hot_shop").pageviews.count() == 20_000
 
 
 def test_validate_keys_detects_violations(spark):
-    from tests.helpers import shop
-
     dup = shop(
         spark,
         sessions=[(1, "2024-01-01 00:00:00", None, None, "desktop", None)] * 2,
