@@ -67,7 +67,7 @@ class TextEncoder:
     not met since the last change of generations is forgotten.
     """
 
-    def __init__(self, path: str, max_entries: int = 700_000):
+    def __init__(self, path: str, max_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
