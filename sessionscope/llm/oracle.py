@@ -6,6 +6,60 @@ from __future__ import annotations
 _CONTROL = r"\### Assistant: </turn> ok"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": r"""
+        WITH RECURSIVE parts AS (
+            SELECT page_id, coalesce(html, '') AS html,
+                   translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), rules(verdict, host, path) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                   ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), places AS (
+            SELECT DISTINCT host, path FROM parts
+        ), ruled AS (
+            SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+                   arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM places p JOIN rules r
+              ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+            GROUP BY ALL
+        ), counted AS (
+            SELECT host, count(*) AS n, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+            FROM parts LEFT JOIN ruled USING (host, path)
+            WHERE host <> '' GROUP BY host
+        ), seeds AS (
+            SELECT 'allow' AS kind, host, n FROM counted WHERE allowed * 2 > n
+            UNION ALL SELECT 'block', host, n FROM counted WHERE blocked * 2 > n
+        ), start AS (
+            SELECT kind, host, 0.15::DOUBLE * (n / sum(n) OVER (PARTITION BY kind)) AS mass FROM seeds
+        ), found AS (
+            SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)),
+                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+            FROM parts
+        ), links AS (
+            SELECT 'allow' AS kind, src, dst, count(*) AS n FROM found WHERE src <> '' AND src <> dst GROUP BY ALL
+            UNION ALL
+            SELECT 'block', dst, src, count(*) FROM found WHERE src <> '' AND src <> dst GROUP BY ALL
+        ), shares AS (
+            SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM links
+        ), walk AS (
+            SELECT 0 AS round, kind, host, mass AS rank FROM start
+            UNION ALL
+            SELECT any_value(round) + 1, kind, host, sum(rank) FROM (
+                SELECT w.round, w.kind, s.dst AS host, 0.85::DOUBLE * w.rank * s.share AS rank
+                FROM walk w JOIN shares s ON w.kind = s.kind AND w.host = s.src
+                UNION ALL
+                SELECT r.round, start.kind, start.host, start.mass FROM start, (SELECT max(round) AS round FROM walk) r
+            ) WHERE round < 20 GROUP BY kind, host
+        ), hosts AS (
+            SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
+            FROM walk WHERE round = 20 GROUP BY host
+        )
+        SELECT p.page_id, p.host, p.path, r.rule,
+               coalesce(r.verdict, CASE WHEN h.distrust > h.trust THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts p LEFT JOIN ruled r USING (host, path) LEFT JOIN hosts h ON p.host = h.host
+    """,
     "op2_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
@@ -15,6 +69,30 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x for x in string_split_regex(lower(coalesce(text, '')), '\s+') if x <> ''] AS w FROM documents
+        ), grams AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+            WHERE 10 * c.n >= 8 * (x.n + y.n - c.n)
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), classes AS (
+            SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM reached GROUP BY a
+        )
+        SELECT c.doc_id, c.class_id, coalesce(l.n, 0) AS n_links, c.class_size
+        FROM classes c LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) l USING (doc_id)
+    """,
     "op4_exact_topk": """
         WITH vectors AS (
             SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e

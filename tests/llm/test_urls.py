@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sessionscope.llm import url_trust
+from sessionscope.llm.oracle import ORACLE_SQL
 from sessionscope.llm.queries import URL_RULES
 
 
@@ -84,7 +87,7 @@ def test_rules_and_parts(spark):
     assert got(url_trust.filter_urls(pages(spark, rows), URL_RULES)) == brute(rows)
 
 
-def test_propagation(spark):
+def linked_pages():
     r = random.Random(11)
     names = [f"good{i}.com" for i in range(4)] + [f"bad{i}.net" for i in range(4)] + [f"h{i}.org" for i in range(14)]
     rows = []
@@ -94,11 +97,26 @@ def test_propagation(spark):
         to = [r.choice(names) for _ in range(r.randrange(4))]
         html = "".join(f'<a HREF="https://{t.upper()}/q?x=1">l</a><a href="/own">o</a>' for t in to)
         rows.append((i, f"http://{host}{path}", html))
+    return rows
+
+
+def test_propagation(spark):
+    rows = linked_pages()
     found = got(url_trust.filter_urls(pages(spark, rows), URL_RULES, tolerance=0.0))
     want = brute(rows)
     assert found == want
     assert {x[4] for x in want if x[1].endswith(".org")} == {"allow", "block"}
 
 
+def test_the_sql_twin_walks_the_links(spark):
+    con = duckdb.connect()
+    rows = linked_pages() + [(1000 + i, u, None) for i, u in enumerate(URLS)]
+    table = pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]})
+    con.register("pages", table)
+    want = con.sql(ORACLE_SQL["op1_url_filters"]).to_arrow_table().to_pylist()
+    pick = lambda x: (x["page_id"], x["host"], x["path"], x["rule"], x["verdict"])
+    assert sorted(map(pick, want), key=repr) == [x[:5] for x in brute(rows)]
+
+
 def test_empty(spark):
     assert url_trust.filter_urls(pages(spark, []), URL_RULES).count() == 0
