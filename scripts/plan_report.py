@@ -15,7 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import tempfile  # noqa: E402
 
-import __spark_entry__ as entry_mod  # noqa: E402
 from sessionscope.plans.registry import QUERIES  # noqa: E402
 from sessionscope.sources.tables import ShopTables  # noqa: E402
 from sessionscope.plans.inspect import plan_text  # noqa: E402
@@ -54,7 +53,7 @@ def main() -> None:
     print("## Over the tables derived from `events`\n")
     print("| query | " + " | ".join(cols) + " |")
     print("| --- " * (len(cols) + 1) + "|")
-    for name, fn in entry_mod.queries().items():
+    for name, fn in QUERIES.items():
         s = summarise(plan_text(fn(spark, data_dir)))
         print(f"| {name} | " + " | ".join(s[c] for c in cols) + " |")
 
