@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionscope.llm import chunk_dedup, ngram_join, packing, quality_cnn
-from sessionscope.llm.common import cut, table
+from sessionscope.llm.common import cut, show_package, table
 from sessionscope.llm.tokenization import vocabulary_path
 
 CAPACITY = 2048
@@ -46,6 +46,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
+    show_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 from sessionscope.session import ensure_checkpoint_dir
 
 
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    For a driver that was started elsewhere and put the package on its own path.
+    A cluster whose machines do not share that path gets the package as usual,
+    with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

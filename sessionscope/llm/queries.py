@@ -19,7 +19,7 @@ from sessionscope.llm import (
     url_trust,
     warc_index,
 )
-from sessionscope.llm.common import shared_dir, table
+from sessionscope.llm.common import shared_dir, show_package, table
 from sessionscope.llm.tokenization import vocabulary_path
 
 URL_RULES = [
@@ -110,7 +110,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shown(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        show_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_OPERATORS: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
@@ -122,3 +133,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_files": op10_token_files,
 }
+
+QUERIES: dict[str, Query] = {name: _shown(query) for name, query in _OPERATORS.items()}
