@@ -68,25 +68,29 @@ def chat_paths(messages: DataFrame, *, paths_per_root: int | None = 1) -> tuple[
         "replies",
     )
     state = links.select("id", F.col("id").alias("top"), "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
+    rooted = state.where("up is null")  # what has reached its root needs no further round
+    climbing = state.where("up is not null")
     jumps: list[DataFrame] = []
     rounds = links.count().bit_length()
     # a message that still has something above it after so many doublings answers itself
-    while len(jumps) <= rounds and not (open_ := state.where("up is not null").select("id", "up")).isEmpty():
-        jumps.append(open_)
-        above = state.select(
+    while len(jumps) <= rounds and not climbing.isEmpty():
+        jumps.append(climbing.select("id", "up"))
+        above = rooted.unionByName(climbing).select(
             F.col("id").alias("a_id"), F.col("top").alias("a_top"), F.col("up").alias("a_up"), F.col("total").alias("a_total"), F.col("depth").alias("a_depth")
         )
         state = cut(
-            state.join(above, F.col("up") == F.col("a_id"), "left").select(
+            climbing.join(above, F.col("up") == F.col("a_id")).select(
                 "id",
-                F.coalesce("a_top", "top").alias("top"),
+                F.col("a_top").alias("top"),
                 F.col("a_up").alias("up"),
-                (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
+                (F.col("total") + F.col("a_total")).alias("total"),
+                (F.col("depth") + F.col("a_depth")).alias("depth"),
             ),
             "ancestors",
         )
-    leaves = state.where("up is null").join(
+        rooted = rooted.unionByName(state.where("up is null"))
+        climbing = state.where("up is not null")
+    leaves = rooted.join(
         links.where("up is not null").select(F.col("up").alias("answered")), F.col("id") == F.col("answered"), "left_anti"
     )
     paths = leaves.select(F.col("id").alias("path"), F.col("top").alias("root"), "depth", (F.col("total") / F.col("depth")).alias("score"))
