@@ -28,18 +28,29 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# The week formulas, once; ``{d}`` is the day's SQL.  dayofweek: Sunday = 1 … Saturday = 7
+# The week formulas as SQL, used by name and by the SQL functions; ``{d}`` is the day.  dayofweek: Sunday = 1 … Saturday = 7
 WEEK_SQL = "CAST(floor((dayofyear({d}) + 7 - dayofweek({d})) / 7) AS INT)"
 _SUNDAY_SQL = "date_sub(to_date({d}), dayofweek({d}) - 1)"
 YEARWEEK_SQL = f"CAST(year({_SUNDAY_SQL}) * 100 + floor((dayofyear({_SUNDAY_SQL}) + 6) / 7) AS INT)"
 
 
-def week_sunday0(ts: str) -> Column:
-    return F.expr(WEEK_SQL.format(d=ts))
+def _int_div(numerator: Column, divisor: int) -> Column:
+    # operands are small positive ints (day numbers), so floor of the double is exact
+    return F.floor(numerator / F.lit(divisor)).cast("int")
 
 
-def yearweek_sunday(ts: str) -> Column:
-    return F.expr(YEARWEEK_SQL.format(d=ts))
+def week_sunday0(ts: str | Column) -> Column:
+    if isinstance(ts, str):
+        return F.expr(WEEK_SQL.format(d=ts))
+    return _int_div(F.dayofyear(ts) + 7 - F.dayofweek(ts), 7)
+
+
+def yearweek_sunday(ts: str | Column) -> Column:
+    if isinstance(ts, str):
+        return F.expr(YEARWEEK_SQL.format(d=ts))
+    sunday = F.date_sub(F.to_date(ts), F.dayofweek(ts) - 1)
+    # the week of a Sunday is the same number from either formula
+    return (F.year(sunday) * 100 + week_sunday0(sunday)).cast("int")
 
 
 def weekday_mon0(ts: str | Column) -> Column:
