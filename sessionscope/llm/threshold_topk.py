@@ -15,8 +15,6 @@ answer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,18 +65,18 @@ class SortedLists:
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows whose id is not ``own``."""
         n = len(self._ids)
-        dims = np.flatnonzero(query)
-        lists = self._rising[:, dims]
-        lists = np.where(query[dims] > 0, lists[::-1], lists)
-        values = np.take_along_axis(self._vectors[:, dims], lists, axis=0)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        rising = self._rising
         seen = np.zeros(n, bool)
         best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
         depth, step = 0, 8
         while depth < n:
             now = min(n, depth + step)
             met = np.zeros(n, bool)
-            met[lists[depth:now].ravel()] = True
-            if not len(dims):
+            # the next places of every list: from its top, or its bottom for a negative component
+            met[rising[n - now : n - depth, up]] = True
+            met[rising[depth:now, down]] = True
+            if not len(up) and not len(down):
                 met[:] = True  # a query of zeros scores every vector 0
             rows = np.flatnonzero(met & ~seen)
             seen |= met
@@ -91,7 +89,8 @@ class SortedLists:
             best_ids, best = ids[order], scores[order]
             if seen.all():
                 break
-            bound = int((values[now - 1] * query[dims]).sum())
+            bound = int(self._vectors[rising[n - now, up], up] @ query[up])
+            bound += int(self._vectors[rising[now - 1, down], down] @ query[down])
             if len(best) == k and bound < best[-1]:
                 break
             depth, step = now, step * 2
