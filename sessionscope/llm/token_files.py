@@ -69,7 +69,7 @@ def write_token_files(
     os.makedirs(path, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(lambda: TextEncoder(tokenizer), tokenizer)
+        encoder = per_process(lambda: TextEncoder(tokenizer, 800_000, keep_older=False), tokenizer)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         names = {kind: _own(path, kind, part) for kind in ("ids", "lengths", "docs")}

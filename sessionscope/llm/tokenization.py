@@ -63,11 +63,11 @@ class TextEncoder:
     """Ids of texts as little-endian unsigned integers, ``width`` bytes each.
 
     ``width`` is 2 for vocabularies of at most 65,536 ids, else 4.  About
-    ``max_entries`` parts are remembered, and as many older ones; a part that was
+    ``max_entries`` parts are remembered, and with ``keep_older`` as many older ones; a part that was
     not met since the last change of generations is forgotten.
     """
 
-    def __init__(self, path: str, max_entries: int = 700_000):
+    def __init__(self, path: str, max_entries: int = 700_000, keep_older: bool = True):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -84,7 +84,7 @@ class TextEncoder:
         self._kind = f"<u{self.width}"
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._max = max_entries
+        self._max, self._keep_older = max_entries, keep_older
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -116,7 +116,7 @@ class TextEncoder:
         cut = [None if split is None or _SEPARATORS.search(t) else split(t) for t in texts]
         known, missing = self._known, set().union(*(x for x in cut if x is not None))
         if len(known) > self._max:
-            self._older, self._known = known, {}
+            self._older, self._known = (known if self._keep_older else {}), {}
             known = self._known
         missing.difference_update(known)
         again = [p for p in missing if p in self._older]
