@@ -6,13 +6,13 @@ similarity of their sets reaches the threshold; a class is a connected
 component of links.
 
 1.  Equal sets collapse to one representative with a number of copies.
-2.  ``hashes`` MinHash values are computed per document.  Each tree of the forest
-    orders a choice of them of its own; a document's label in a tree is that
-    sequence, and the sorted labels form a prefix trie.  The matched prefix is
-    shortened, from the full label on, until a pair at the threshold meets in
-    some tree with the target recall (:func:`forest_depth`).  Documents under
-    one trie node at that depth are candidates.
-3.  Every candidate is tied to the smallest document of its node, never to all
+2.  Each tree of the forest draws MinHash values of its own; a document's label in
+    a tree is their sequence.  The matched prefix is shortened, from the full
+    label on, until a pair at the threshold meets in some tree with the target
+    recall (:func:`forest_depth`).  Documents with one prefix are candidates.
+3.  The pairs that no tree brings together are found by an exact prefix filter
+    (:func:`_prefix_ties`), so that every linked pair is tied.  Every candidate is
+    tied to the smallest document of its tree prefix or gram, never to all
     others; the connected components of these ties are the candidate groups.
 4.  A group is cut into blocks of bounded size, and each pair of blocks is one
     cell.  A cell computes the exact similarity of all its pairs from the texts
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.llm.common import components, cut, runs, text_or_empty, unused
@@ -85,18 +85,22 @@ def forest_depth(threshold: float, trees: int, longest: int, target: float) -> i
 
 
 class Forest:
-    """Trie nodes of a document: one 64-bit key for each tree at the chosen depth."""
+    """Prefix keys of a document: one 64-bit key for each tree at the chosen depth.
 
-    def __init__(self, hashes: int, trees: int, depth: int, seed: int = 5):
+    No two trees share a hash, so they meet independently, as :func:`forest_depth` counts.
+    """
+
+    def __init__(self, trees: int, depth: int, seed: int = 5):
         rng = np.random.default_rng(seed)
+        hashes = trees * depth
         self._factors = (rng.integers(0, 1 << 63, hashes, np.uint64) << np.uint64(1)) | np.uint64(1)
-        self._order = np.array([rng.permutation(hashes)[:depth] for _ in range(trees)])
+        self._order = np.arange(hashes).reshape(trees, depth)
         self._trees = _mix(np.arange(1, trees + 1, dtype=np.uint64))
 
     def signature(self, grams: np.ndarray) -> np.ndarray:
         least = np.full(len(self._factors), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(grams), 2048):
-            least = np.minimum(least, (self._factors[:, None] * grams[None, i : i + 2048]).min(axis=1))
+        for i in range(0, len(grams), 256):
+            least = np.minimum(least, (self._factors[:, None] * grams[None, i : i + 256]).min(axis=1))
         return least
 
     def nodes(self, signatures: np.ndarray) -> np.ndarray:
@@ -140,6 +144,159 @@ def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", "text").mapInArrow(sign, _SIGNED)
 
 
+_POSTINGS = 1_000_000  # postings of a bucket, and those a task holds before it sends them
+_DEALT = "bucket int, grams binary, ids binary, met binary, local binary, credits binary"
+
+
+def _common(size: Column, threshold: float) -> Column:
+    """Grams that a document of ``size`` grams shares with every linked one, at least."""
+    return F.greatest(F.lit(1), F.ceil(size * threshold - 1e-6)).cast("int")
+
+
+def _extra(common: Column, size: Column) -> Column:
+    """Shared grams asked for within the prefix; grows with the size."""
+    return F.least(common, (1 + F.floor(size / 10)).cast("int"))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], n: int, threshold: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings (gram, set id) of every text's prefix, dealt over buckets by gram.
+
+    The prefix are the smallest hashes.  A gram that several sets of this part
+    have is credited to them here and sent once, as met, so a gram of all
+    documents is not sent by all of them.
+    """
+    import hashlib
+
+    shingle = Shingler(n)
+    held: dict[int, np.ndarray] = {}
+    turn = 0
+
+    def send() -> pa.RecordBatch:
+        nonlocal turn
+        grams = np.concatenate(list(held.values()))
+        ids = np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])
+        own, place, seen = np.unique(grams, return_inverse=True, return_counts=True)
+        many = seen[place] > 1
+        local, credits = np.unique(ids[many], return_counts=True)
+        grams, ids, met = grams[~many], ids[~many], own[seen > 1]
+        at, met_at = _mix(grams) % np.uint64(buckets), _mix(met) % np.uint64(buckets)
+        order, met_order = np.argsort(at, kind="stable"), np.argsort(met_at, kind="stable")
+        grams, ids, met = grams[order], ids[order], met[met_order]
+        edges = np.arange(buckets + 1, dtype=np.uint64)
+        cuts, met_cuts = np.searchsorted(at[order], edges), np.searchsorted(met_at[met_order], edges)
+        rows = [b for b in range(buckets) if cuts[b] < cuts[b + 1] or met_cuts[b] < met_cuts[b + 1]]
+        part = lambda x, c: [x[c[b] : c[b + 1]].tobytes() for b in rows]
+        once = turn % len(rows)
+        turn += 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows, pa.int32()),
+                pa.array(part(grams, cuts), pa.binary()),
+                pa.array(part(ids, cuts), pa.binary()),
+                pa.array(part(met, met_cuts), pa.binary()),
+                pa.array([local.tobytes() if i == once else b"" for i in range(len(rows))], pa.binary()),
+                pa.array([credits.astype(np.int64).tobytes() if i == once else b"" for i in range(len(rows))], pa.binary()),
+            ],
+            names=["bucket", "grams", "ids", "met", "local", "credits"],
+        )
+
+    count = 0
+    for batch in batches:
+        for text in batch.column(0):
+            grams = shingle(text.as_py())
+            if not len(grams):
+                continue
+            key = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=16).digest()[:8], "big", signed=True)
+            if key in held:
+                continue
+            common = max(1, int(np.ceil(len(grams) * threshold - 1e-6)))
+            held[key] = grams[: len(grams) - common + min(common, 1 + len(grams) // 10)]
+            count += len(held[key])
+            if count >= _POSTINGS:
+                yield send()
+                held, count = {}, 0
+    if held:
+        yield send()
+
+
+def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set id, 1) for each of its prefix grams that another set's prefix has, and what was counted before."""
+    for _, part in runs(batches, ["bucket"]):
+        read = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
+        grams, ids, met = read("grams", np.uint64), read("ids", np.int64), np.unique(read("met", np.uint64))
+        order = np.lexsort((ids, grams))
+        grams, ids = grams[order], ids[order]
+        if len(grams):
+            new = np.ones(len(grams), bool)  # a set that came twice counts once
+            new[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
+            grams, ids = grams[new], ids[new]
+        _, place, seen = np.unique(grams, return_inverse=True, return_counts=True)
+        found = ids[(seen[place] > 1) | np.isin(grams, met)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([found, read("local", np.int64)])),
+                pa.array(np.concatenate([np.ones(len(found), np.int64), read("credits", np.int64)])),
+            ],
+            names=["id", "credits"],
+        )
+
+
+def _prefix_ties(texts: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Ties (a, b) that connect every pair of ``reps`` whose similarity reaches the threshold.
+
+    Of two linked sets, each has all but a few of its grams in common with the
+    other (:func:`_common`).  In any order that holds for all sets, therefore,
+    the first grams of both, as many as these few and k more, share at least k.
+
+    First in the order of hashes, which needs no counting: a set of which too few
+    prefix grams are met in any other prefix has no partner.  Then, among the
+    rest only, from the rarest gram on, so that boilerplate comes last: sets that
+    share one prefix gram are tied.  Nothing is sampled and no gram is dropped.
+    """
+    size = F.col("n_grams")
+    longest = size - _common(size, threshold) + _extra(_common(size, threshold), size)
+    total = reps.agg(F.sum(longest.cast("long"))).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _POSTINGS))
+    dealt = texts.select("text").mapInArrow(lambda batches: _deal(batches, n, threshold, buckets), _DEALT)
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    credits = dealt.mapInArrow(_credit, "id long, credits long").groupBy("id").agg(F.sum("credits").alias("credits"))
+    # a partner has _common grams at least, so both prefixes have the _extra of that size
+    least = _common(size, threshold)
+    met = reps.select("rep", "set_id", "doc_id", "text_hash", "n_grams").join(credits, F.col("set_id") == F.col("id"))
+    met = met.where(F.col("credits") >= _extra(_common(least, threshold), least)).drop("set_id", "id", "credits")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                grams = [shingle(text.as_py()).view(np.int64) for text in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(grams, pa.list_(pa.int64()))], names=["rep", "n_grams", "grams"]
+                )
+
+    wanted = texts.join(
+        met.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}),
+        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")),
+    )
+    # rows that repeat an id and its text are one document
+    wanted = wanted.select("rep", "n_grams", "text").dropDuplicates(["rep"])
+    sets = wanted.mapInArrow(shingled, "rep long, n_grams int, grams array<long>")
+    postings = cut(sets.select("rep", "n_grams", F.explode("grams").alias("gram")), "postings")
+    seen = postings.groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1")
+    shared = postings.join(seen, "gram")
+    # grams of one set only come first; they leave this many places to the others
+    both = Window.partitionBy("rep")
+    places = size - _common(size, threshold) + 1 - (size - F.count("*").over(both))
+    place = F.row_number().over(both.orderBy("seen", "gram"))
+    prefix = cut(
+        shared.withColumn("places", places).withColumn("place", place).where("place <= places").select("gram", "rep"),
+        "prefix",
+    )
+    least_rep = prefix.groupBy("gram").agg(F.min("rep").alias("least"))
+    return prefix.join(least_rep, "gram").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+
+
 def linked_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) of sets whose Jaccard similarity reaches the threshold.
 
@@ -220,7 +377,6 @@ def near_duplicates(
     n: int = 5,
     threshold: float = 0.8,
     target_recall: float = 0.998,
-    hashes: int = 128,
     trees: int = 48,
     longest_prefix: int = 16,
     block_docs: int = 256,
@@ -241,7 +397,7 @@ def near_duplicates(
     depth = forest_depth(threshold, trees, longest_prefix, target_recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    signed = cut(_signed(texts.withColumn("row", F.monotonically_increasing_id()), n, Forest(hashes, trees, depth)), "signed")
+    signed = cut(_signed(texts.withColumn("row", F.monotonically_increasing_id()), n, Forest(trees, depth)), "signed")
 
     sets = cut(
         signed.where("set_key is not null")
@@ -253,16 +409,18 @@ def near_duplicates(
         sets.select(F.col("set_key").alias("k"), "rep", "copies"),
         (F.col("set_key") == F.col("k")) & (F.col("row") == F.col("rep")),
     )
-    reps = cut(own.select("rep", "copies", "doc_id", "text_hash", "n_grams", "nodes"), "reps")
+    set_id = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
+    reps = cut(own.select("rep", set_id.alias("set_id"), "copies", "doc_id", "text_hash", "n_grams", "nodes"), "reps")
 
-    # candidates: each document with the smallest one of its trie node
+    # candidates: each document with the smallest one of its tree prefix, or of its gram
     nodes = reps.select("rep", F.explode("nodes").alias("node"))
     crowded = cut(
         nodes.groupBy("node").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "nodes"
     )
     ties = nodes.join(crowded, "node").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    ties = ties.unionByName(_prefix_ties(texts, reps, n, threshold)).distinct()
     grouped = components(ties).withColumnsRenamed({"node": "rep", "component": "group"})
-    candidates = cut(reps.drop("nodes").join(grouped, "rep"), "candidates")
+    candidates = cut(reps.drop("nodes", "set_id").join(grouped, "rep"), "candidates")
 
     # cells: pairs of blocks of a group
     blocks = F.greatest(

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,52 @@ def test_near_duplicates_hot_group_in_blocks(spark):
     assert found == want
 
 
+def isolated_pairs(pairs, seed=7):
+    """Pairs of texts at similarities from 0.80 to 0.85, each pair without a gram of any other."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(pairs):
+        both = r.choice([80, 81, 82])  # grams in common; the texts' ends differ
+        mine = 20 - 2 * (both - 80)
+        head = [f"p{i}w{k}" for k in range(both + 4)]
+        for side in (0, 1):
+            own = [f"p{i}s{side}k{k}" for k in range(mine // 2)]
+            rows.append((2 * i + side, " ".join(head + own)))
+    return rows
+
+
+def test_isolated_pairs_at_the_threshold_are_all_found(spark):
+    rows = isolated_pairs(2500)
+    sets = [grams(t) for _, t in rows]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(similar) == 0.8 and max(similar) < 0.85
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(edge.docs(spark, rows)).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
+
+
+def test_trees_meet_as_often_as_the_depth_counts_on():
+    depth = ngram_join.forest_depth(0.8, 48, 16, 0.998)
+    forest = ngram_join.Forest(48, depth)
+    r = np.random.default_rng(1)
+    missed = 0
+    for _ in range(8000):
+        g = r.integers(0, 1 << 64, 100, np.uint64)
+        a, b = forest.nodes(np.array([forest.signature(g[:90]), forest.signature(np.concatenate([g[:80], g[90:]]))]))
+        missed += not (a == b).any()
+    assert missed / 8000 <= 0.002
+
+
+def test_prefix_ties_connect_every_pair(spark):
+    """With boilerplate in every text, and one tree of the full depth, which meets almost never."""
+    r = random.Random(3)
+    note = " this very common line stands in each of these texts"
+    rows = [(i, t + note) for i, t in isolated_pairs(150)]
+    rows += [(1000 + i, " ".join(f"r{r.randrange(9)}" for _ in range(r.randrange(1, 30)))) for i in range(200)]
+    rows += [(2000 + i, rows[r.randrange(len(rows))][1] + r.choice(["", " x", " x y z"])) for i in range(100)]
+    got = ngram_join.near_duplicates(edge.docs(spark, rows), trees=1, target_recall=0.0)
+    assert near_got(got) == near_brute(rows)
+
+
 def test_keep_one_of_each(spark):
     out = ngram_join.keep_one_of_each(edge.docs(spark))
     ids = [r.doc_id for r in out.collect()]
