@@ -394,10 +394,42 @@ def near_duplicates(
     linked; a null id counts as larger than every other in ``class_id``; an empty
     table gives no rows; other columns of ``docs`` are not read.
     """
+    texts = _texts(docs, id_col, text_col)
+    signed, resolved = _resolved(
+        texts, texts.withColumn("row", F.monotonically_increasing_id()), n=n, threshold=threshold,
+        target_recall=target_recall, trees=trees, longest_prefix=longest_prefix, block_docs=block_docs, block_grams=block_grams,
+    )
+    return signed.select("doc_id", "set_key").join(resolved, "set_key", "left").select(
+        "doc_id",
+        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+    )
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *others)
+    return texts.withColumn("text_hash", F.xxhash64("text"))
+
+
+def _resolved(
+    texts: DataFrame,
+    tagged: DataFrame,
+    *,
+    n: int = 5,
+    threshold: float = 0.8,
+    target_recall: float = 0.998,
+    trees: int = 48,
+    longest_prefix: int = 16,
+    block_docs: int = 256,
+    block_grams: int = 400_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``tagged`` (``texts`` with a row tag) with the key of its gram set, and the classes of the sets.
+
+    The second: set_key, copies, links, component (the class), class_id, class_size.
+    """
     depth = forest_depth(threshold, trees, longest_prefix, target_recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    signed = cut(_signed(texts.withColumn("row", F.monotonically_increasing_id()), n, Forest(trees, depth)), "signed")
+    signed = cut(_signed(tagged, n, Forest(trees, depth)), "signed")
 
     sets = cut(
         signed.where("set_key is not null")
@@ -457,22 +489,23 @@ def near_duplicates(
     whole = cut(
         found.groupBy("component").agg(F.min("low_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes"
     )
-    resolved = cut(found.join(whole, "component").drop("component", "low_id", "rep"), "resolved")
-    return signed.select("doc_id", "set_key").join(resolved, "set_key", "left").select(
-        "doc_id",
-        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-    )
+    return signed, cut(found.join(whole, "component").drop("low_id", "rep"), "resolved")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, with all their columns.
+    """One row of ``docs`` of each class, that with the smallest id, with all its columns.
 
-    Rows whose id is null stay (no class can be told from them); of rows that
-    repeat the smallest id of their class, all stay if their texts differ.
+    Of rows of a class with one id, one stays; a null id counts as larger than
+    every other.  Rows are told apart by a written tag, not by their ids.  A text
+    without a word is in a class of its own, so all such rows stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    name = unused(docs, "_gone")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    tag = unused(docs, "_row")
+    tagged = cut(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    texts = _texts(tagged, id_col, text_col, F.col(tag).alias("row"))
+    signed, resolved = _resolved(texts.drop("row"), texts)
+    rows = signed.join(resolved.select("set_key", "component"), "set_key", "left").select("row", "doc_id", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    stay = rows.where("component is not null").groupBy("component").agg(first).select("first.row")
+    stays = unused(tagged, "_stays")
+    stay = stay.unionByName(rows.where("component is null").select("row")).withColumnRenamed("row", stays)
+    return tagged.join(stay, F.col(tag) == F.col(stays), "left_semi").drop(tag)

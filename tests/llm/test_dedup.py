@@ -178,6 +178,22 @@ def test_keep_one_of_each(spark):
     assert None in ids
 
 
+def test_keep_one_row_of_each_class_where_ids_repeat_or_are_null(spark):
+    near = edge.NEAR
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(3, edge.BASE), (5, near), (5, "a clean text that no other row of these has"), (7, edge.BASE)]
+    rows += [(8, other), (8, other + " tail"), (8, other)]  # one id, near copies
+    rows += [(None, "no id but a text of more than five words"), (None, "No id  but a text of more than five words")]
+    rows += [(None, near), (9, ""), (9, ""), (None, None)]
+    out = [(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(edge.docs(spark, rows)).collect()]
+    assert [t for i, t in out if i == 3] == [edge.BASE]
+    assert [t for i, t in out if i == 5] == ["a clean text that no other row of these has"]
+    assert sum(i == 8 for i, _ in out) == 1
+    assert sum(i is None and t is not None for i, t in out) == 1
+    assert sorted(str(i) for i, t in out if not t) == ["9", "9", "None"]
+    assert len(out) == 7
+
+
 def test_forest_depth_shortens_until_the_recall_is_met():
     depth = ngram_join.forest_depth(0.8, 48, 16, 0.998)
     assert 1 - (1 - 0.8**depth) ** 48 >= 0.998 > 1 - (1 - 0.8 ** (depth + 1)) ** 48
