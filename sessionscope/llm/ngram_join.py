@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest.
+"""N-gram Jaccard self-join: MinHash bands, an exact prefix filter, exact similarities.
 
 A document is the set of its word 5-grams (lower-cased words between white
 space; a shorter text is one gram).  Two documents are linked when the Jaccard
@@ -6,10 +6,12 @@ similarity of their sets reaches the threshold; a class is a connected
 component of links.
 
 1.  Equal sets collapse to one representative with a number of copies.
-2.  Each tree of the forest draws MinHash values of its own; a document's label in
-    a tree is their sequence.  The matched prefix is shortened, from the full
-    label on, until a pair at the threshold meets in some tree with the target
-    recall (:func:`forest_depth`).  Documents with one prefix are candidates.
+2.  Each tree draws MinHash values of its own, all trees as many.  Their number is
+    the largest at which a pair at the threshold meets in some tree with the
+    target recall (:func:`forest_depth`); it follows from the parameters, not
+    from the data.  This is banding at a fixed depth in place of an LSH forest:
+    no labels are sorted and no prefix is shortened by what the data show.
+    Documents with all values of one tree in common are candidates.
 3.  The pairs that no tree brings together are found by an exact prefix filter
     (:func:`_prefix_ties`), so that every linked pair is tied.  Every candidate is
     tied to the smallest document of its tree prefix or gram, never to all
@@ -144,7 +146,8 @@ def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", "text").mapInArrow(sign, _SIGNED)
 
 
-_POSTINGS = 1_000_000  # postings of a bucket, and those a task holds before it sends them
+_POSTINGS = 500_000  # postings of a bucket
+_HELD = 200_000  # postings that a task holds before it sends them
 _DEALT = "bucket int, grams binary, ids binary, met binary, local binary, credits binary"
 
 
@@ -212,7 +215,7 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, threshold: float, buckets:
             common = max(1, int(np.ceil(len(grams) * threshold - 1e-6)))
             held[key] = grams[: len(grams) - common + min(common, 1 + len(grams) // 10)]
             count += len(held[key])
-            if count >= _POSTINGS:
+            if count >= _HELD:
                 yield send()
                 held, count = {}, 0
     if held:
