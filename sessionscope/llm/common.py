@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,3 +158,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _print(edges: DataFrame) -> tuple:
     """Count and order-free fingerprint of an edge table."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", "v"))).first())
+
+
+def matrix(column: pa.Array, width: int, fill: int = 0, dtype: str = "int64") -> np.ndarray:
+    """A list column as rows of ``width`` numbers; missing trailing ones are ``fill``."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.full((len(lengths), width), fill, dtype)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out

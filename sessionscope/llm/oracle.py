@@ -5,7 +5,54 @@ from __future__ import annotations
 # the control conversation of op9, its text doubled as a SQL literal
 _CONTROL = r"\### Assistant: </turn> ok"
 
+_NEAREST = """
+            SELECT q.vec_id, q.label, q.p, q.v,
+                   min({{'d': (list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, b.c) + list_inner_product(b.c, b.c))::BIGINT,
+                        'e': b.e}}) AS best
+            FROM parts q JOIN {book} b USING (p) GROUP BY q.vec_id, q.label, q.p, q.v
+"""
+_MEANS = """
+            SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+            FROM {book} b LEFT JOIN (
+                SELECT p, e, list(mean ORDER BY i) AS c
+                FROM (SELECT p, best.e AS e, i, floor(sum(v[i]) / count(*)) AS mean
+                      FROM {near}, range(1, 17) AS r(i) GROUP BY ALL)
+                GROUP BY p, e) m USING (p, e)
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every round as a table of its own: nearest entries, then the floored means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"near{i} AS MATERIALIZED ({_NEAREST.format(book=f'book{i}')})")
+        if i < rounds:
+            steps.append(f"book{i + 1} AS MATERIALIZED ({_MEANS.format(book=f'book{i}', near=f'near{i}')})")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, label, p::INTEGER AS p, v[16 * p + 1 : 16 * p + 16] AS v FROM kept, range(4) AS r(p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, v AS c
+            FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256
+        ), {", ".join(steps)}, coded AS (
+            SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+            FROM near{rounds} GROUP BY vec_id, label
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string([x::BIGINT for x in c], ','), ',' ORDER BY p, e)) AS codebooks_sha256
+            FROM book{rounds}
+        )
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM coded, digest
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op1_url_filters": r"""
         WITH RECURSIVE parts AS (
             SELECT page_id, coalesce(html, '') AS html,

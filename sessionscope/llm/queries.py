@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.llm import (
+    bpe_replay,
+    chebyshev_whitening,
     chunk_dedup,
     ngram_join,
     packing,
+    pivot_codes,
     quality_cnn,
     reply_trees,
     sp_transducer,
@@ -20,7 +23,7 @@ from sessionscope.llm import (
     warc_index,
 )
 from sessionscope.llm.common import shared_dir, show_package, table
-from sessionscope.llm.tokenization import vocabulary_path
+from sessionscope.llm.tokenization import vocabulary_path, word_pattern
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -110,6 +113,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, folder)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return chebyshev_whitening.whiten(vectors, chebyshev_whitening.fit_whitening(vectors, components=16))
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_replay.encode_documents(table(spark, sf_dir, "documents"), vocabulary, word_pattern())
+    return bpe_replay.decode_documents(encoded, vocabulary).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = pivot_codes.compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, size=256, rounds=4)
+    return pivot_codes.with_label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")
+    )
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -132,6 +158,9 @@ _OPERATORS: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_byte_level_bpe": op12_byte_level_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 QUERIES: dict[str, Query] = {name: _shown(query) for name, query in _OPERATORS.items()}

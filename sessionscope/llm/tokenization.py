@@ -29,6 +29,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def word_pattern() -> str:
+    """The pattern by which the installed rank vocabularies cut texts into words."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _cuts_at(config: dict) -> str | None:
     """How texts may be cut: ``dropped`` (white space carries nothing),
     ``attached`` (it leads the next word) or None (not at all)."""
