@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from sessionscope.llm.common import per_process, text_or_empty
 
 _NONE = np.iinfo(np.int32).max
-_BLOCK = 1 << 24  # characters of a block of documents
-_KEPT = 1 << 25  # bytes of words and ids that are remembered between the blocks of a task
+_BLOCK = 1 << 23  # bytes of the texts of a block of documents
+_KEPT = 1 << 24  # bytes of words and ids that are remembered between the blocks of a task
 
 
 def read_ranks(text: bytes) -> dict[bytes, int]:
@@ -296,10 +296,18 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) of every whole text.
 
+    With ``decoded`` also the bytes that the ids decode to, from the same worker.
+
     ``vocabulary`` is the path of a rank vocabulary, ``pattern`` cuts texts into words;
     text between matches carries no ids.
 
@@ -309,24 +317,28 @@ def encode_documents(
     not read.
     """
     lines = read_vocabulary(vocabulary)
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the tables of the vocabulary stay with the worker, the words of a task do not
         encoder = Encoder(per_process(lambda: Merges(read_ranks(lines)), f"merges of {vocabulary}"), pattern)
+        tokens = per_process(lambda: Tokens(read_ranks(lines)), f"tokens of {vocabulary}") if decoded else None
         for batch in batches:
             for part in blocks_of(batch, 1):
                 ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                columns = [
+                    part.column(0),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([x.tobytes() for x in ids], pa.binary()),
+                ]
+                if tokens:
+                    columns.append(pa.array([tokens.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return texts.mapInArrow(
+        encode, "doc_id long, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
+    )
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -120,8 +120,8 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = vocabulary_path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_replay.encode_documents(table(spark, sf_dir, "documents"), vocabulary, word_pattern())
-    return bpe_replay.decode_documents(encoded, vocabulary).select(
+    encoded = bpe_replay.encode_documents(table(spark, sf_dir, "documents"), vocabulary, word_pattern(), decoded=True)
+    return encoded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -86,6 +86,8 @@ def test_whole_texts_in_spark(spark, library):
     got = sorted(((r.doc_id, bytes(r.decoded).decode(), np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens) for r in back), key=key)
     want = sorted(((i, t or "") for i, t in edge.ROWS), key=key)
     assert got == [(i, t, library.encode_ordinary(t), len(library.encode_ordinary(t))) for i, t in want]
+    both = bpe_replay.encode_documents(docs, PATH, word_pattern(), decoded=True).collect()
+    assert sorted(((r.doc_id, bytes(r.decoded).decode(), np.frombuffer(r.ids, "<u4").tolist(), r.n_tokens) for r in both), key=key) == got
     assert bpe_replay.encode_documents(edge.docs(spark, []), PATH, word_pattern()).count() == 0
 
 
