@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound
 from sessionscope.operators.common import cohort_pageviews, session_cohort, sql_string
-from sessionscope.plans.joins import salted_left_join
+from sessionscope.plans.joins import hot_key_left_join
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
@@ -71,7 +71,7 @@ def funnel_pageview_flags(
     pvs = pageviews.select(
         SESSION_ID, PAGEVIEW_ID, "pageview_url", F.col("created_at").alias("pageview_created_at")
     )
-    rows = salted_left_join(cohort, pvs, SESSION_ID, row_id=PAGEVIEW_ID)
+    rows = hot_key_left_join(cohort, pvs, SESSION_ID, right_id=PAGEVIEW_ID)
     flags = [
         f"CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END AS {s.page_flag}"
         for s in steps

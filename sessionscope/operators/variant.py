@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionscope.functions.metrics import order_total, orders_per_session, ratio
 from sessionscope.functions.timebuckets import TimeBound, within
 from sessionscope.operators.common import sql_string
-from sessionscope.plans.joins import salted_left_join
+from sessionscope.plans.joins import hot_key_left_join
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
 
 OLD_BILLING, NEW_BILLING = "/billing", "/billing-2"
@@ -30,7 +30,7 @@ def _variant_views(
     return (
         within(pageviews, end=end, extra_sql=in_variants)
         .filter(F.col(PAGEVIEW_ID) >= launch_id)
-        .selectExpr(SESSION_ID, "pageview_url AS billing_version_seen")
+        .selectExpr(SESSION_ID, PAGEVIEW_ID, "pageview_url AS billing_version_seen")
     )
 
 
@@ -50,9 +50,9 @@ def variant_sessions_orders(
     """
     views = _variant_views(pageviews, launch_page, end, variants)
     session_orders = orders.select(SESSION_ID, ORDER_ID)
-    return salted_left_join(views, session_orders, SESSION_ID, row_id=ORDER_ID).select(
-        SESSION_ID, "billing_version_seen", ORDER_ID
-    )
+    return hot_key_left_join(
+        views, session_orders, SESSION_ID, left_id=PAGEVIEW_ID, right_id=ORDER_ID
+    ).select(SESSION_ID, "billing_version_seen", ORDER_ID)
 
 
 def variant_conversion(
@@ -70,7 +70,7 @@ def variant_conversion(
     per-session order counts.
     Out: billing_version_seen, sessions, orders, billing_to_order_rt.
     """
-    seen = _variant_views(pageviews, launch_page, end, variants).distinct()
+    seen = _variant_views(pageviews, launch_page, end, variants).drop(PAGEVIEW_ID).distinct()
     return (
         seen.join(orders_per_session(orders, seen), SESSION_ID, "left")
         .groupBy("billing_version_seen")

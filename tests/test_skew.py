@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionscope import operators as ops
-from sessionscope.plans.joins import salted_left_join
+from sessionscope.plans.joins import dealt_sides, hot_key_left_join, hot_keys
 from sessionscope.sources.schemas import SESSION_ID
 from sessionscope.sources.tables import ShopTables
 from tests.conftest import DATA_ORACLE
@@ -32,16 +32,20 @@ def skewed(spark):
     return ShopTables(sessions, pv, orders)
 
 
-@pytest.mark.parametrize("salts", [1, 7, 16])
-def test_salted_left_join_equals_left_join(skewed, salts):
-    left = skewed.sessions.select(SESSION_ID, "device_type")
-    right = skewed.pageviews.select(SESSION_ID, "website_pageview_id", "pageview_url")
-    a = salted_left_join(left, right, SESSION_ID, row_id="website_pageview_id", salts=salts)
-    b = left.join(right, SESSION_ID, "left").select(*a.columns)
+def same(a, b):
+    assert a.columns == b.columns
     assert a.count() == b.count()
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+@pytest.mark.parametrize("task_rows", [1, 50, 1_000_000])
+def test_hot_key_left_join_equals_left_join(skewed, task_rows):
+    left = skewed.sessions.select(SESSION_ID, "device_type")
+    right = skewed.pageviews.select(SESSION_ID, "website_pageview_id", "pageview_url")
+    a = hot_key_left_join(left, right, SESSION_ID, right_id="website_pageview_id", task_rows=task_rows)
+    same(a, left.join(right, SESSION_ID, "left").select(*a.columns))
+
+
 def test_funnel_counts_match_brute_force(spark, skewed):
     skewed.register_views()
     kw = dict(start="2024-01-01", end="2024-01-31")
@@ -98,33 +102,93 @@ def test_bounce_rate_by_landing_page_matches_brute_force(spark, skewed):
     assert got == want
 
 
-def test_salted_left_join_with_many_left_rows_per_key(skewed):
+@pytest.mark.parametrize("task_rows", [1, 50, 1_000_000])
+def test_hot_key_left_join_with_many_left_rows_per_key(skewed, task_rows):
     left = skewed.pageviews.filter("pageview_url IN ('/billing', '/billing-2')").select(
-        SESSION_ID, "pageview_url"
+        SESSION_ID, "website_pageview_id", "pageview_url"
     )
     right = skewed.orders.select(SESSION_ID, "order_id")
-    a = salted_left_join(left, right, SESSION_ID, row_id="order_id")
-    b = left.join(right, SESSION_ID, "left").select(*a.columns)
-    assert a.count() == b.count()
-    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    a = hot_key_left_join(
+        left, right, SESSION_ID, left_id="website_pageview_id", right_id="order_id", task_rows=task_rows
+    )
+    same(a, left.join(right, SESSION_ID, "left").select(*a.columns))
+
+
+# left and right rows of each key: hot on the left, on the right, on both, on neither, on one side alone
+KEYS = {1: (6000, 3), 2: (3, 6000), 3: (300, 300), 4: (2, 2), 5: (5000, 0), 6: (0, 5000), 7: (1, 0), 8: (0, 1), None: (4000, 4000)}
+
+
+def two_sides(spark):
+    def side(n, extra):
+        rows = [(i * 1000 + (k or 0), k) for k, sizes in KEYS.items() for i in range(sizes[n])]
+        rows += [(10_000_000 + i, 100 + i) for i in range(extra)]
+        return spark.createDataFrame(rows, f"{'lr'[n]} long, k long").repartition(6)
 
+    return side(0, 6000), side(1, 4000)
 
-def test_a_hot_session_is_spread_over_the_salts(spark, skewed):
-    """Rows of the largest task of the joined pageviews, with the hot session holding a third."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+@pytest.mark.parametrize("task_rows", [10, 200, 100_000])
+def test_every_kind_of_key(spark, task_rows):
+    left, right = two_sides(spark)
+    a = hot_key_left_join(left, right, "k", left_id="l", right_id="r", task_rows=task_rows)
+    same(a, left.join(right, "k", "left").select("l", "k", "r"))
+
+
+def test_hot_keys_are_found_and_bounded(spark):
+    left, right = two_sides(spark)
+    found = {r.k: r.parts for r in hot_keys(left, "k", task_rows=200).collect()}
+    # the sketch counts at most a few rows more; rows without a key are no key
+    assert set(found) == {1, 3, 5} and 30 <= found[1] <= 34 and 25 <= found[5] <= 28 and found[3] == 2
+    assert hot_keys(left, "k", task_rows=100_000).count() == 0
+    assert hot_keys(left.limit(0), "k", task_rows=1).count() == 0
+    many = spark.range(600 * 40).selectExpr("id % 600 AS k")
+    assert hot_keys(many, "k", task_rows=1).count() <= 512
+
+
+def test_empty_sides(spark):
+    left, right = two_sides(spark)
+    kw = dict(left_id="l", right_id="r", task_rows=10)
+    assert hot_key_left_join(left.limit(0), right, "k", **kw).isEmpty()
+    a = hot_key_left_join(left, right.limit(0), "k", **kw)
+    assert a.count() == left.count() and a.where("r IS NOT NULL").isEmpty()
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """64 reducers, no help from adaptive execution or broadcasts of a side."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
     spark.conf.set("spark.sql.shuffle.partitions", "64")
-    try:
-        left = skewed.sessions.select(SESSION_ID)
-        right = skewed.pageviews.select(SESSION_ID, "website_pageview_id")
-        largest = {}
-        for salts in (1, 16):
-            joined = salted_left_join(left, right, SESSION_ID, row_id="website_pageview_id", salts=salts)
-            sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
-            largest[salts] = sizes
-        assert largest[1] > right.count() / 3
-        assert largest[16] < largest[1] / 4
-    finally:
-        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
-            spark.conf.unset(k)
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    for k in confs:
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_a_hot_key_of_either_side_is_split(spark, plain_shuffles):
+    """Rows of the fullest task where one key holds half of the left, or of the right, side."""
+    n = 40_000
+    hot = spark.range(n).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k", "id AS row")
+    few = spark.range(n // 10).selectExpr("id * 2 + 1 AS k", "id AS other").unionByName(
+        spark.createDataFrame([(7, -1), (7, -2)], "k long, other long")
+    )
+    for left, right, ids in ((hot, few, ("row", "other")), (few, hot, ("other", "row"))):
+        plain = left.join(right, "k", "left")
+        split = hot_key_left_join(left, right, "k", left_id=ids[0], right_id=ids[1], task_rows=500)
+        assert plain.count() == split.count()
+        assert largest_task(plain) >= n / 2
+        assert largest_task(split) < largest_task(plain) / 8
+
+
+def test_cold_rows_are_not_copied(spark):
+    left = spark.range(10_000).selectExpr("id AS k", "id AS l")
+    right = spark.range(5_000).selectExpr("CASE WHEN id < 2500 THEN 3 ELSE id END AS k", "id AS r")
+    a, b = dealt_sides(left, right, "k", left_id="l", right_id="r", task_rows=250)
+    copies = {r.k: r["count"] for r in a.groupBy("k").count().where("count > 1").collect()}
+    assert copies == {3: hot_keys(right, "k", task_rows=250).first()["parts"]} and copies[3] >= 10
+    assert b.count() == 5_000
