@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionscope.sources.events import sessions_within
+from sessionscope.sources.marks import CREATED, PARTITION_DATE, SESSION_DATE, day_partitioned, session_day_column
 
 TimeBound = str | _dt.datetime | _dt.date | None
 
@@ -66,7 +67,9 @@ def _ts_text(bound: TimeBound) -> str:
 
 
 def ts_literal_sql(bound: TimeBound) -> str:
-    text = _ts_text(bound).replace("'", "")
+    text = _ts_text(bound)
+    if "'" in text or "\\" in text:
+        raise ValueError(f"not a time: {text!r}")
     return f"CAST('{text}' AS TIMESTAMP_NTZ)"
 
 
@@ -95,24 +98,7 @@ def time_window_sql(
     return " AND ".join(parts) or "TRUE"
 
 
-PARTITION_DATE = "created_date"
-_DAY_OF = "sessionscope.day_of"
-
-
-def mark_day_partition(df):
-    """Say that ``created_date`` of ``df`` is the calendar day of ``created_at``.
-
-    Only tables that this library wrote are marked; a column that merely has the
-    name is never used to prune.
-    """
-    return df.withMetadata(PARTITION_DATE, {_DAY_OF: "created_at"})
-
-
-def _day_partitioned(df) -> bool:
-    return any(f.name == PARTITION_DATE and f.metadata.get(_DAY_OF) == "created_at" for f in df.schema.fields)
-
-
-def partition_window_sql(start: TimeBound = None, end: TimeBound = None) -> str:
+def partition_window_sql(start: TimeBound = None, end: TimeBound = None, column: str = PARTITION_DATE) -> str:
     """Day-partition predicate implied by a ``created_at`` window.
 
     It keeps every day that can hold a row of the window (a superset), so Spark
@@ -120,12 +106,34 @@ def partition_window_sql(start: TimeBound = None, end: TimeBound = None) -> str:
     """
     parts = []
     if start is not None:
-        parts.append(f"{PARTITION_DATE} >= to_date({ts_literal_sql(start)})")
+        parts.append(f"{column} >= to_date({ts_literal_sql(start)})")
     if end is not None:
-        parts.append(f"{PARTITION_DATE} <= to_date({ts_literal_sql(end)})")
+        parts.append(f"{column} <= to_date({ts_literal_sql(end)})")
     return " AND ".join(parts) or "TRUE"
 
 
+def of_session_days(pageviews, sessions, start: TimeBound = None, end: TimeBound = None):
+    """The pageviews of the sessions created on the window's days, whenever the views happened.
+
+    ``None`` where nothing tells the day of a pageview's session in ``sessions``.  On a
+    stored layout the predicate is one on its ``session_date`` partitions, so the scan
+    skips the days of other sessions; a NULL day (a session unknown when the rows were
+    written, or one with rows of several days) is always read.  Where sessions are days
+    by derivation it reaches the scan of the events.
+    """
+    column = session_day_column(pageviews, sessions)
+    if column is None or (start is None and end is None):
+        return pageviews if column else None
+    if column == SESSION_DATE:
+        return pageviews.filter(f"{SESSION_DATE} IS NULL OR ({partition_window_sql(start, end, SESSION_DATE)})")
+    parts = []
+    if start is not None:
+        parts.append(f"{CREATED} >= CAST(to_date({ts_literal_sql(start)}) AS TIMESTAMP_NTZ)")
+    if end is not None:
+        parts.append(f"{CREATED} < CAST(date_add(to_date({ts_literal_sql(end)}), 1) AS TIMESTAMP_NTZ)")
+    return pageviews.filter(" AND ".join(parts))
+
+
 def within(
     df,
     start: TimeBound = None,
@@ -152,7 +160,7 @@ def within(
             None if start is None else f"ts >= CAST(to_date({ts_literal_sql(start)}) AS TIMESTAMP_NTZ)",
             None if end is None else f"ts {'<=' if end_inclusive else '<'} {ts_literal_sql(end)}",
         )
-        if _day_partitioned(df):
+        if day_partitioned(df):
             pred = f"{pred} AND {partition_window_sql(start, end)}"
     return df.filter(pred)
 

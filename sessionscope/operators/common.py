@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.timebuckets import TimeBound, within
+from sessionscope.functions.timebuckets import TimeBound, of_session_days, within
 from sessionscope.sources.schemas import SESSION_ID
 
 
@@ -27,14 +27,39 @@ def campaign_filter(utm_source: str | None = None, utm_campaign: str | None = No
     return F.expr(campaign_filter_sql(utm_source, utm_campaign))
 
 
-def cohort_pageviews(pageviews: DataFrame, cohort: DataFrame) -> DataFrame:
-    """All pageviews of the cohort's sessions, whenever they happened.
+def cohort_pageviews(
+    pageviews: DataFrame, cohort: DataFrame, start: TimeBound = None, end: TimeBound = None
+) -> DataFrame:
+    """The pageviews among which are all those of the cohort's sessions, whenever they happened.
+
+    ``start`` and ``end`` are the cohort's window.  Where the pageviews know the day of
+    their session, those of the window's days, at the scan; otherwise exactly the cohort's,
+    by a semi join: with a cohort of a size that Spark broadcasts it filters the scan's
+    rows in place; for a larger one Spark adds a bloom filter of the cohort below the
+    shuffle (``session._BASE_CONF``).
+    """
+    near = of_session_days(pageviews, cohort, start, end)
+    return near if near is not None else pageviews.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
+
+
+def session_profile(
+    cohort: DataFrame, pageviews: DataFrame, stats: list[Column], start: TimeBound = None, end: TimeBound = None
+) -> DataFrame:
+    """One row per cohort session with ``stats``, aggregates over its pageviews.
 
-    A semi join below the grouping by session: with a cohort of a size that Spark
-    broadcasts it filters the scan's rows in place; for a larger one Spark adds a
-    bloom filter of the cohort below the shuffle (``session._BASE_CONF``).
+    Cohort rows and pageviews are one set of rows, grouped by session once; a cohort row
+    has NULL in the pageviews' columns.  Sessions without pageviews stay, with the value
+    that ``stats`` have of NULLs alone, pageviews of other sessions leave after the
+    grouping, and a session that is listed twice is one row.  Nothing is joined back.
     """
-    return pageviews.join(cohort.select(SESSION_ID), SESSION_ID, "left_semi")
+    views = cohort_pageviews(pageviews, cohort, start, end).where(f"{SESSION_ID} IS NOT NULL")
+    # the id under an alias on both sides: only then a union of bucketed scans stays bucketed
+    own = f"{SESSION_ID} AS {SESSION_ID}"
+    rest = [c for c in views.columns if c not in (SESSION_ID, "_in_cohort")]
+    views = views.selectExpr(own, *[f"`{c}`" for c in rest], "CAST(NULL AS BOOLEAN) AS _in_cohort")
+    members = cohort.selectExpr(own, "TRUE AS _in_cohort")
+    rows = views.unionByName(members, allowMissingColumns=True)
+    return rows.groupBy(SESSION_ID).agg(F.max("_in_cohort").alias("_in_cohort"), *stats).where("_in_cohort").drop("_in_cohort")
 
 
 def session_cohort(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound
-from sessionscope.operators.common import cohort_pageviews, session_cohort, sql_string
+from sessionscope.operators.common import cohort_pageviews, session_cohort, session_profile, sql_string
 from sessionscope.plans.joins import hot_key_left_join
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
@@ -48,7 +48,7 @@ def _cohort(sessions, utm_source, utm_campaign, start, end):
         start=start,
         end=end,
         start_exclusive=True,
-    ).select(SESSION_ID)
+    )
 
 
 def funnel_pageview_flags(
@@ -68,10 +68,10 @@ def funnel_pageview_flags(
     ordered by session and pageview time.
     """
     cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
-    pvs = pageviews.select(
+    pvs = cohort_pageviews(pageviews, cohort, start, end).select(
         SESSION_ID, PAGEVIEW_ID, "pageview_url", F.col("created_at").alias("pageview_created_at")
     )
-    rows = hot_key_left_join(cohort, pvs, SESSION_ID, right_id=PAGEVIEW_ID)
+    rows = hot_key_left_join(cohort.select(SESSION_ID), pvs, SESSION_ID, right_id=PAGEVIEW_ID)
     flags = [
         f"CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END AS {s.page_flag}"
         for s in steps
@@ -93,23 +93,15 @@ def session_funnel_flags(
 ) -> DataFrame:
     """Per cohort session, 1 when it saw each step's page, else 0.
 
-    The flags are max-aggregated per session over the cohort's pageviews (map-side
-    partial aggregation), then attached to the cohort, one row per session.
+    The flags are max-aggregated per session (map-side partial aggregation) over the
+    cohort's rows and the pageviews together.
     Out: website_session_id, <made_it>…
     """
-    cohort = _cohort(sessions, utm_source, utm_campaign, start, end).distinct()
-    reached = cohort_pageviews(pageviews, cohort).groupBy(SESSION_ID).agg(
-        *[
-            F.expr(f"max(CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END)").alias(
-                s.made_it
-            )
-            for s in steps
-        ]
-    )
-    joined = cohort.join(reached, SESSION_ID, "left")
-    return joined.selectExpr(
-        SESSION_ID, *[f"coalesce({s.made_it}, 0) AS {s.made_it}" for s in steps]
-    )
+    cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
+    reached = [
+        F.expr(f"max(CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END)").alias(s.made_it) for s in steps
+    ]
+    return session_profile(cohort, pageviews, reached, start, end)
 
 
 def funnel_counts(

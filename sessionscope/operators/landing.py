@@ -2,8 +2,8 @@
 
 The launch of the new page is found by the data (first pageview id of the
 page) and enters the plan as a scalar subquery, evaluated once by Spark; the
-result is not copied by hand.  Pageviews are reduced to the cohort's sessions
-before they are grouped.
+result is not copied by hand.  The cohort's rows and the pageviews are grouped by
+session together, so nothing is joined back.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound, yearweek_sunday
-from sessionscope.operators.common import cohort_pageviews, session_cohort, sql_string
-from sessionscope.operators.pages import landing_profile
+from sessionscope.operators.common import session_cohort, session_profile, sql_string
+from sessionscope.operators.pages import landing_stats, with_landing_page
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 HOME_PAGE, NEW_LANDER = "/home", "/lander-1"
@@ -41,13 +41,9 @@ class LandingTest:
         )
         launch = launch_pageview_id(pageviews, self.launch_page)
         # the launch id is compared once per row
-        rows = cohort_pageviews(pageviews, cohort).select(
-            SESSION_ID,
-            PAGEVIEW_ID,
-            "pageview_url",
-            F.when(F.col(PAGEVIEW_ID) > launch, F.col(PAGEVIEW_ID)).alias("_after"),
-        )
-        return landing_profile(rows, self.variants, "_after").filter("first_pageview_id IS NOT NULL")
+        rows = pageviews.withColumn("_after", F.when(F.col(PAGEVIEW_ID) > launch, F.col(PAGEVIEW_ID)))
+        profile = session_profile(cohort, rows, landing_stats(self.variants, "_after"), end=self.end)
+        return with_landing_page(profile, self.variants).filter("first_pageview_id IS NOT NULL")
 
     def landings(self, sessions: DataFrame, pageviews: DataFrame) -> DataFrame:
         return self.profile(sessions, pageviews).filter("landing_page IS NOT NULL")
@@ -144,36 +140,15 @@ def bounce_rate_by_landing_page(sessions: DataFrame, pageviews: DataFrame, **tes
     )
 
 
-def _trend_cohort(sessions, utm_source, utm_campaign, start, end) -> DataFrame:
-    # start <= created_at <= end (the end day keeps only its midnight instant); a session once
-    return (
-        session_cohort(
-            sessions,
-            utm_source=utm_source,
-            utm_campaign=utm_campaign,
-            start=start,
-            end=end,
-            end_inclusive=True,
-        )
-        .select(SESSION_ID)
-        .distinct()
-    )
-
-
-def _with_pageview_stats(cohort: DataFrame, pageviews: DataFrame, *stats: Column) -> DataFrame:
+def _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, *stats: Column) -> DataFrame:
     """First id, number and further ``stats`` of each cohort session's pageviews;
     sessions without pageviews keep NULL stats and a count of 0."""
-    per_session = (
-        cohort_pageviews(pageviews, cohort)
-        .groupBy(SESSION_ID)
-        .agg(
-            F.min(PAGEVIEW_ID).alias("first_pageview_id"),
-            F.count(PAGEVIEW_ID).alias("count_pageviews"),
-            *stats,
-        )
+    # start <= created_at <= end (the end day keeps only its midnight instant)
+    cohort = session_cohort(
+        sessions, utm_source=utm_source, utm_campaign=utm_campaign, start=start, end=end, end_inclusive=True
     )
-    joined = cohort.join(per_session, SESSION_ID, "left")
-    return joined.withColumn("count_pageviews", F.expr("coalesce(count_pageviews, CAST(0 AS BIGINT))"))
+    first = [F.min(PAGEVIEW_ID).alias("first_pageview_id"), F.count(PAGEVIEW_ID).alias("count_pageviews")]
+    return session_profile(cohort, pageviews, [*first, *stats], start, end)
 
 
 def session_first_pv_and_count(
@@ -191,8 +166,7 @@ def session_first_pv_and_count(
 
     Out: website_session_id, first_pageview_id, count_pageviews.
     """
-    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
-    return _with_pageview_stats(cohort, pageviews).select(SESSION_ID, "first_pageview_id", "count_pageviews")
+    return _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end)
 
 
 def session_landing_details(
@@ -211,9 +185,8 @@ def session_landing_details(
     Out: website_session_id, first_pageview_id, count_pageviews, landing_page,
     session_created_at.
     """
-    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
     first = F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv")
-    return _with_pageview_stats(cohort, pageviews, first).select(
+    return _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, first).select(
         SESSION_ID,
         "first_pageview_id",
         "count_pageviews",
@@ -242,10 +215,13 @@ def weekly_bounce_trend(
     Out: week_start_date, bounce_rate, home_sessions, lander_sessions
     (+ year_week, total_sessions, bounced_sessions with ``include_counts``).
     """
-    cohort = _trend_cohort(sessions, utm_source, utm_campaign, start, end)
-    details = _with_pageview_stats(
-        cohort,
+    details = _trend_profile(
+        sessions,
         pageviews,
+        utm_source,
+        utm_campaign,
+        start,
+        end,
         F.min_by(F.col("created_at"), F.col(PAGEVIEW_ID)).alias("session_created_at"),
         *[
             F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {PAGEVIEW_ID} END)").alias(f"_first_{i}")

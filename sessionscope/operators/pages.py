@@ -15,7 +15,7 @@ buffer makes Spark sort-aggregate, still one shuffle and spill-safe.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.metrics import distinct_counts, ratio
@@ -24,33 +24,34 @@ from sessionscope.operators.common import sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
 
-def landing_profile(pageviews: DataFrame, candidates: tuple[str, ...], window_id: str = PAGEVIEW_ID) -> DataFrame:
-    """One row per session: first id, landing page if a candidate, pageviews.
+def landing_stats(candidates: tuple[str, ...], window_id: str = PAGEVIEW_ID) -> list[Column]:
+    """Aggregates of a session's pageviews for :func:`with_landing_page`.
 
     ``window_id`` is the column that holds the pageview id of the rows that can be
     the landing (NULL for others).
-
-    Out: website_session_id, first_pageview_id, landing_page, count_of_pages_viewed.
     """
-    firsts = [
-        F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {window_id} END)").alias(f"_first_{i}")
-        for i, p in enumerate(candidates)
-    ]
-    profile = pageviews.groupBy(SESSION_ID).agg(
+    return [
         F.min(window_id).alias("first_pageview_id"),
         F.count(PAGEVIEW_ID).alias("count_of_pages_viewed"),
-        *firsts,
-    )
+        *[
+            F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {window_id} END)").alias(f"_first_{i}")
+            for i, p in enumerate(candidates)
+        ],
+    ]
+
+
+def with_landing_page(profile: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
+    """Out: website_session_id, first_pageview_id, landing_page (if a candidate), count_of_pages_viewed."""
     branches = " ".join(
         f"WHEN _first_{i} = first_pageview_id THEN {sql_string(p)}" for i, p in enumerate(candidates)
     )
     landing = f"CASE {branches} END" if candidates else "CAST(NULL AS STRING)"
-    return profile.selectExpr(
-        SESSION_ID,
-        "first_pageview_id",
-        f"{landing} AS landing_page",
-        "count_of_pages_viewed",
-    )
+    return profile.selectExpr(SESSION_ID, "first_pageview_id", f"{landing} AS landing_page", "count_of_pages_viewed")
+
+
+def landing_profile(pageviews: DataFrame, candidates: tuple[str, ...], window_id: str = PAGEVIEW_ID) -> DataFrame:
+    """One row per session of the pageviews, as :func:`with_landing_page` gives it."""
+    return with_landing_page(pageviews.groupBy(SESSION_ID).agg(*landing_stats(candidates, window_id)), candidates)
 
 
 def top_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-09") -> DataFrame:
@@ -92,7 +93,8 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
 
 
 def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
-    landed = landing_profile(within(pageviews, end=end), (landing_page,)).filter("landing_page IS NOT NULL")
+    views = within(pageviews, end=end, extra_sql=f"{SESSION_ID} IS NOT NULL")
+    landed = landing_profile(views, (landing_page,)).filter("landing_page IS NOT NULL")
     if end is None:
         return landed
     # the landed sessions' pageviews that the window leaves out

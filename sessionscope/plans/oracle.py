@@ -26,6 +26,7 @@ session_base AS (
            (user_id * 7 + doy) % 10 AS b,
            (user_id + doy) % 3 AS v
     FROM ev
+    WHERE session_id IS NOT NULL
     GROUP BY user_id, doy, session_id
 ),
 website_sessions AS (
@@ -431,7 +432,7 @@ FROM website_pageviews
 WHERE created_at < {_ts('2024-01-22')}
 GROUP BY website_session_id"""),
     "top_entry_pages": _q(f"""
-SELECT landing_page_url, count(*) AS sessions_hitting_page
+SELECT landing_page_url, count(website_session_id) AS sessions_hitting_page
 FROM (
     SELECT website_session_id, arg_min(pageview_url, website_pageview_id) AS landing_page_url
     FROM website_pageviews

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.sources.marks import mark_session_day, mark_sessions
 from sessionscope.sources.schemas import ORDER_ID, PAGEVIEW_ID, SESSION_ID
 
 # ---------------------------------------------------------------------------
@@ -109,13 +110,19 @@ def session_attributes_sql() -> list[str]:
     ]
 
 
-def sessions_from_events(events: DataFrame) -> DataFrame:
-    """The sessions, with their events kept at hand for :func:`sessions_within`."""
-    per_session = events.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(
-        F.min("ts").alias("created_at")
-    )
+def sessions_from_events(events: DataFrame, token: str | None = None) -> DataFrame:
+    """The sessions, with their events kept at hand for :func:`sessions_within`.
+
+    Events without a user or a time belong to no session; they stay pageviews (and
+    orders) without a session id.  ``token`` names the events, so that pageviews derived
+    from the same ones are known to lie on the day of their session.
+    """
+    known = events.where("user_id IS NOT NULL AND ts IS NOT NULL")
+    per_session = known.groupBy(F.expr(SESSION_ID_SQL).alias(SESSION_ID)).agg(F.min("ts").alias("created_at"))
     sessions = per_session.selectExpr(*session_attributes_sql())
-    sessions._session_events = events
+    if token is not None:
+        sessions = mark_sessions(sessions, token)
+    sessions._session_events = events, token
     return sessions
 
 
@@ -128,20 +135,22 @@ def sessions_within(sessions: DataFrame, day_start_sql: str | None, end_sql: str
     out at the scan; sessions inside the window come out unchanged.  Frames that
     were not derived here are returned as they are.
     """
-    events = getattr(sessions, "_session_events", None)
+    events, token = getattr(sessions, "_session_events", (None, None))
     bounds = " AND ".join(b for b in (day_start_sql, end_sql) if b)
     if events is None or not bounds:
         return sessions
-    return sessions_from_events(events.filter(bounds))
+    return sessions_from_events(events.filter(bounds), token)
 
 
-def pageviews_from_events(events: DataFrame) -> DataFrame:
-    return events.selectExpr(
+def pageviews_from_events(events: DataFrame, token: str | None = None) -> DataFrame:
+    pageviews = events.selectExpr(
         f"event_id AS {PAGEVIEW_ID}",
         "ts AS created_at",
         f"{SESSION_ID_SQL} AS {SESSION_ID}",
         f"{_page_url_sql()} AS pageview_url",
     )
+    # a session is one calendar day, so a pageview's own day is its session's
+    return pageviews if token is None else mark_session_day(pageviews, token, "created_at")
 
 
 def orders_from_events(events: DataFrame) -> DataFrame:

@@ -6,16 +6,27 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionscope.functions.timebuckets import PARTITION_DATE, mark_day_partition
+from sessionscope.plans.joins import hot_key_left_join
 from sessionscope.sources.events import (
     orders_from_events,
     pageviews_from_events,
     sessions_from_events,
 )
+from sessionscope.sources.marks import (
+    CREATED,
+    PARTITION_DATE,
+    SESSION_DATE,
+    mark_day_partition,
+    mark_session_day,
+    mark_sessions,
+    session_day_column,
+    unmarked,
+)
 from sessionscope.sources.schemas import (
     EVENTS_SCHEMA,
     ORDER_ID,
@@ -27,6 +38,39 @@ from sessionscope.sources.schemas import (
 )
 
 
+_LAYOUT = "layout"
+_APPENDED = "sessionscope.appended"
+
+
+def layout_tokens(spark: SparkSession, root: str) -> list[str]:
+    """Who wrote the layout below ``root``: one token for each write, none where nothing tells."""
+    try:
+        rows = spark.read.schema("token string").json(os.path.join(root, _LAYOUT)).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["token"] for r in rows)
+
+
+def write_layout(spark: SparkSession, root: str, tokens: list[str], mode: str) -> None:
+    """Add (or set) the tokens of the layout file."""
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string")
+    rows.coalesce(1).write.mode(mode).json(os.path.join(root, _LAYOUT))
+
+
+def _with_marks(table: DataFrame, name: str, tokens: list[str]) -> DataFrame:
+    """Marks of a table with day columns: its own days, and the sessions' where one writer made all."""
+    if not tokens:
+        return table
+    table = mark_day_partition(table, "+".join(tokens))
+    if len(tokens) == 1 and name == "website_sessions":
+        return mark_sessions(table, tokens[0])
+    if len(tokens) == 1 and name == "website_pageviews":
+        return mark_session_day(table, tokens[0])
+    return table
+
+
 class ShopTables:
     """``sessions``, ``pageviews`` and ``orders`` DataFrames.
 
@@ -79,10 +123,11 @@ class ShopTables:
 
     @classmethod
     def from_events_frame(cls, events: DataFrame) -> "ShopTables":
+        token = uuid.uuid4().hex
         return cls(
             derive={
-                "sessions": lambda: sessions_from_events(events),
-                "pageviews": lambda: pageviews_from_events(events),
+                "sessions": lambda: sessions_from_events(events, token),
+                "pageviews": lambda: pageviews_from_events(events, token),
                 "orders": lambda: orders_from_events(events),
             }
         )
@@ -173,41 +218,73 @@ class ShopTables:
     def from_directory(cls, spark: SparkSession, root: str) -> "ShopTables":
         """Read tables written by :meth:`write` (day-partitioned layout).
 
-        The ``created_date`` partition column is kept: the operators' time
-        windows add the implied day predicate, so scans prune directories.
+        The day columns are kept.  Where the layout file names one writer they are
+        marked (:mod:`sessionscope.sources.marks`), so the operators' time windows skip
+        whole days: of the rows' own days, and for windows on sessions of the days of
+        the pageviews' sessions.  After appends by several writers the rows' own days
+        still hold, those of the sessions may not; without a layout file nothing is
+        known and nothing is pruned.
         """
-        tables = cls(*(cls.read_table(spark, root, n) for n in ("website_sessions", "website_pageviews", "shop_orders")))
+        tokens = layout_tokens(spark, root)
+        tables = cls(*(cls.read_table(spark, root, n, tokens) for n in ("website_sessions", "website_pageviews", "shop_orders")))
         tables.check_columns()
         return tables
 
     @staticmethod
-    def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-        """One table of the day-partitioned layout."""
-        schema = T.StructType(SCHEMAS[name].fields + [T.StructField(PARTITION_DATE, T.DateType())])
-        table = spark.read.schema(schema).parquet(os.path.join(root, name))
-        return mark_day_partition(table.select(schema.fieldNames()))
+    def read_table(spark: SparkSession, root: str, name: str, tokens: list[str]) -> DataFrame:
+        """One table of the day-partitioned layout, marked as ``tokens`` allow."""
+        days = [PARTITION_DATE]
+        if tokens and name == "website_pageviews":
+            days.append(SESSION_DATE)
+        schema = T.StructType(SCHEMAS[name].fields + [T.StructField(d, T.DateType()) for d in days])
+        table = spark.read.schema(schema).parquet(os.path.join(root, name)).select(schema.fieldNames())
+        return _with_marks(table, name, tokens)
 
     # -- sink --------------------------------------------------------------
     def write(self, root: str, mode: str = "errorifexists") -> None:
         """Write the three tables as Parquet, partitioned by calendar day.
 
         Day partitions let the time windows of every operator prune whole
-        directories; within a day, rows are clustered by session id so the
-        per-session aggregations combine well map-side.  Range partitioning
-        on (day, session) splits a large (or hot) day over several tasks and
-        files instead of sending a whole day to one task, and the row's own id
-        behind them splits a hot session.
+        directories.  Pageviews are also partitioned by the day of their *session*
+        (``session_date``), so a window on sessions prunes the pageviews too and still
+        finds the views that a session made on later days.  Within a day, rows are
+        clustered by session id so the per-session aggregations combine well map-side.
+        Range partitioning on (days, session) splits a large (or hot) day over several
+        tasks and files instead of sending a whole day to one task, and the row's own
+        id behind them splits a hot session.  The layout file is written last.
         """
-        for name, df in self.named().items():
-            keys = list(dict.fromkeys([PARTITION_DATE, SESSION_ID, ROW_IDS[name]]))
+        if mode == "overwrite":
+            write_layout(self.sessions.sparkSession, root, [], mode)
+        for name, df in self._with_days().items():
+            days = [c for c in (SESSION_DATE, PARTITION_DATE) if c in df.columns]
+            keys = list(dict.fromkeys([*days, SESSION_ID, ROW_IDS[name]]))
             (
-                df.withColumn(PARTITION_DATE, F.to_date("created_at"))
-                .repartitionByRange(*keys)
+                df.repartitionByRange(*keys)
                 .sortWithinPartitions(*keys)
                 .write.mode(mode)
-                .partitionBy(PARTITION_DATE)
+                .partitionBy(*days)
                 .parquet(os.path.join(root, name))
             )
+        write_layout(self.sessions.sparkSession, root, [uuid.uuid4().hex], mode)
+
+    def _with_days(self) -> dict[str, DataFrame]:
+        """The tables with their day columns and without marks."""
+        frames = {name: unmarked(df).withColumn(PARTITION_DATE, F.to_date(CREATED)) for name, df in self.named().items()}
+        frames["website_pageviews"] = self._with_session_days(frames["website_pageviews"])
+        return frames
+
+    def _with_session_days(self, pageviews: DataFrame) -> DataFrame:
+        """Pageviews with the day of their session, NULL for an unknown session and for
+        one whose rows name several days."""
+        if session_day_column(self.pageviews, self.sessions) == CREATED:
+            return pageviews.withColumn(SESSION_DATE, F.to_date(CREATED))
+        days = (
+            self.sessions.groupBy(SESSION_ID)
+            .agg(F.min(F.to_date(CREATED)).alias("_from"), F.max(F.to_date(CREATED)).alias("_to"))
+            .select(SESSION_ID, F.expr(f"CASE WHEN _from = _to THEN _from END AS {SESSION_DATE}"))
+        )
+        rows = pageviews.drop(SESSION_DATE)
+        return hot_key_left_join(rows, days, SESSION_ID, left_id=PAGEVIEW_ID, right_id=SESSION_ID)
 
     def save_as_tables(
         self, database: str, buckets: int, mode: str = "errorifexists"
@@ -226,17 +303,23 @@ class ShopTables:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         # the bucket id Spark assigns: pmod(murmur3 hash(key), buckets)
         bucket_id = F.expr(f"pmod(hash({SESSION_ID}), {int(buckets)})")
-        for name, df in self.named().items():
+        token = uuid.uuid4().hex
+        for name, df in self._with_days().items():
+            days = [c for c in (SESSION_DATE, PARTITION_DATE) if c in df.columns]
             (
-                df.withColumns({PARTITION_DATE: F.to_date("created_at"), "_bucket": bucket_id})
-                .hint("rebalance", PARTITION_DATE, "_bucket")
+                # the catalog keeps the marks with the columns
+                _with_marks(df, name, [token])
+                .withColumn("_bucket", bucket_id)
+                .hint("rebalance", *days, "_bucket")
                 .drop("_bucket")
                 .write.mode(mode)
-                .partitionBy(PARTITION_DATE)
+                .partitionBy(*days)
                 .bucketBy(buckets, SESSION_ID)
                 .sortBy(SESSION_ID)
                 .saveAsTable(f"{database}.{name}")
             )
+            if mode == "append":  # a session may now have rows of several writers
+                spark.sql(f"ALTER TABLE {database}.{name} SET TBLPROPERTIES ('{_APPENDED}' = '{token}')")
 
     @classmethod
     def from_tables(
@@ -253,14 +336,19 @@ class ShopTables:
 
         def read(name: str) -> DataFrame:
             table = spark.table(f"{database}.{name}")
+            if not spark.sql(f"SHOW TBLPROPERTIES {database}.{name}").filter(F.col("key") == _APPENDED).isEmpty():
+                table = mark_day_partition(unmarked(table), "appended")
             if bucketed_reads:
-                return mark_day_partition(table)
+                return table
             location = (
                 spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}")
                 .filter("col_name = 'Location'")
                 .first()["data_type"]
             )
-            return mark_day_partition(spark.read.schema(table.schema).parquet(location))
+            files = spark.read.schema(table.schema).parquet(location).select(table.columns)
+            for f in table.schema.fields:
+                files = files.withMetadata(f.name, f.metadata) if f.metadata else files
+            return files
 
         tables = cls(read("website_sessions"), read("website_pageviews"), read("shop_orders"))
         tables.check_columns()
