@@ -20,7 +20,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionscope.sources.events import sessions_within
-from sessionscope.sources.marks import CREATED, PARTITION_DATE, SESSION_DATE, day_partitioned, session_day_column
+from sessionscope.sources.marks import (
+    CREATED,
+    PARTITION_DATE,
+    SESSION_DATE,
+    day_partitioned,
+    session_day_column,
+    slot_unit,
+)
 
 TimeBound = str | _dt.datetime | _dt.date | None
 
@@ -134,6 +141,17 @@ def of_session_days(pageviews, sessions, start: TimeBound = None, end: TimeBound
     return pageviews.filter(" AND ".join(parts))
 
 
+def _check_slots(df, *bounds: TimeBound) -> None:
+    """Stored sets answer windows that begin and end with a slot."""
+    unit = slot_unit(df)
+    if unit is None:
+        return
+    for bound in bounds:
+        at = None if bound is None else _dt.datetime.fromisoformat(_ts_text(bound))
+        if at is not None and at != at.replace(minute=0, second=0, microsecond=0, hour=at.hour if unit == "hour" else 0):
+            raise ValueError(f"sets by {unit} cannot be cut at {at}")
+
+
 def within(
     df,
     start: TimeBound = None,
@@ -155,6 +173,7 @@ def within(
     if extra_sql:
         pred = f"({extra_sql}) AND {pred}"
     if start is not None or end is not None:
+        _check_slots(df, start, end)
         df = sessions_within(
             df,
             None if start is None else f"ts >= CAST(to_date({ts_literal_sql(start)}) AS TIMESTAMP_NTZ)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import distinct_counts, order_total, ratio, with_order_counts
+from sessionscope.functions.metrics import conversion_counts, distinct_counts, ratio
 from sessionscope.functions.timebuckets import TimeBound, within, yearweek_sunday
 from sessionscope.operators.common import session_cohort, sql_string
 from sessionscope.sources.schemas import SESSION_ID
@@ -84,14 +84,8 @@ def conversion_by_device_source(
     Out: device_type, utm_source, sessions, orders, conv_rate.
     """
     cohort = session_cohort(sessions, utm_campaign=utm_campaign, start=start, end=end)
-    return (
-        with_order_counts(cohort.select(SESSION_ID, "device_type", "utm_source").distinct(), orders)
-        .groupBy("device_type", "utm_source")
-        .agg(F.count(SESSION_ID).alias("sessions"), order_total().alias("orders"))
-        .select(
-            "device_type", "utm_source", "sessions", "orders",
-            ratio("orders", "sessions").alias("conv_rate"),
-        )
+    return conversion_counts(cohort, orders, [F.col("device_type"), F.col("utm_source")]).select(
+        "device_type", "utm_source", "sessions", "orders", ratio("orders", "sessions").alias("conv_rate")
     )
 
 
@@ -177,7 +171,7 @@ def monthly_channel_mix(
     Out: yr, mo, nonbrand, brand, brand_pct_of_nonbrand, direct,
     direct_pct_of_nonbrand, organic, organic_pct_of_nonbrand.
     """
-    classified = classify_channel(sessions, organic_referers=organic_referers, end=end)
+    classified = within(sessions, end=end).withColumn("channel_group", channel_group(organic_referers))
     groups = {"nonbrand": PAID_NONBRAND, "brand": PAID_BRAND, "direct": DIRECT_TYPE_IN, "organic": ORGANIC_SEARCH}
     monthly = distinct_counts(
         classified,

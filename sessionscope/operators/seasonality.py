@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import distinct_counts, order_total, with_order_counts
+from sessionscope.functions.metrics import conversion_counts, distinct_counts
 from sessionscope.functions.timebuckets import TimeBound, week_sunday0, weekday_mon0, within
-from sessionscope.sources.schemas import SESSION_ID
 
 # Fixed output names, Monday = 0 … Sunday = 6.
 WEEKDAY_COLUMNS = ["mon", "tues", "wed", "thurs", "fri", "sat", "sun"]
@@ -20,21 +19,12 @@ def weekly_sessions_orders(
 
     Out: yr, wk, week_start, sessions, orders.
     """
-    cohort = (
-        within(sessions, end=end)
-        .groupBy(F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk"), SESSION_ID)
-        .agg(F.min(F.to_date("created_at")).alias("week_start"))
-    )
-    return (
-        with_order_counts(cohort, orders)
-        .groupBy("yr", "wk")
-        .agg(
-            F.min("week_start").alias("week_start"),
-            F.count(SESSION_ID).alias("sessions"),
-            order_total().alias("orders"),
-        )
-        .orderBy("yr", "wk")
-    )
+    return conversion_counts(
+        within(sessions, end=end),
+        orders,
+        [F.year("created_at").alias("yr"), week_sunday0("created_at").alias("wk")],
+        first={"week_start": F.to_date("created_at")},
+    ).orderBy("yr", "wk")
 
 
 def hourly_weekday_profile(

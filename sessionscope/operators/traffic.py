@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.metrics import distinct_counts, order_total, ratio, with_order_counts
+from sessionscope.functions.metrics import conversion_counts, distinct_counts, ratio
 from sessionscope.functions.timebuckets import TimeBound, week_sunday0, within
 from sessionscope.operators.common import session_cohort, sql_string
-from sessionscope.sources.schemas import SESSION_ID
 
 
 def top_traffic_sources(sessions: DataFrame, *, end: TimeBound = "2012-04-12") -> DataFrame:
@@ -40,9 +39,7 @@ def conversion_rate(
     Out: total_sessions, total_orders, conversion_rate (NULL without sessions).
     """
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    totals = with_order_counts(cohort.select(SESSION_ID).distinct(), orders).agg(
-        F.count(SESSION_ID).alias("total_sessions"), order_total().alias("total_orders")
-    )
+    totals = conversion_counts(cohort, orders, [], sessions="total_sessions", total="total_orders")
     return totals.select(
         "total_sessions",
         "total_orders",
@@ -88,16 +85,11 @@ def conversion_by_device(
     Out: device_type, sessions, orders, session_to_order_cvr.
     """
     cohort = session_cohort(sessions, utm_source=utm_source, utm_campaign=utm_campaign, end=end)
-    return (
-        with_order_counts(cohort.select(SESSION_ID, "device_type").distinct(), orders)
-        .groupBy("device_type")
-        .agg(F.count(SESSION_ID).alias("sessions"), order_total().alias("orders"))
-        .select(
-            "device_type",
-            "sessions",
-            "orders",
-            ratio("orders", "sessions").alias("session_to_order_cvr"),
-        )
+    return conversion_counts(cohort, orders, [F.col("device_type")]).select(
+        "device_type",
+        "sessions",
+        "orders",
+        ratio("orders", "sessions").alias("session_to_order_cvr"),
     )
 
 

@@ -8,11 +8,14 @@ whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionscope import operators as ops
+from sessionscope.rollups import build_session_sets, read_session_sets
+from sessionscope.session import ensure_checkpoint_dir
 from sessionscope.sources.tables import ShopTables
 
 # Fixed parameter windows for the January 2024 fixture.
@@ -121,4 +124,32 @@ QUERIES: dict[str, Spec] = {
     "variant_conversion": _po(ops.variant_conversion, **_VARIANT),
 }
 
+
+
+class OverSets:
+    """An operator's spec over stored sets of sessions, built from the tables first."""
+
+    def __init__(self, name: str, unit: str = "day") -> None:
+        self.spec, self.unit = QUERIES[name], unit
+
+    def on(self, shop: ShopTables) -> DataFrame:
+        spark = shop.sessions.sparkSession
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/session-sets-{uuid.uuid4().hex}"
+        build_session_sets(shop, root, self.unit)
+        sets = read_session_sets(spark, root, self.unit)
+        return self.spec.on(ShopTables(sessions=sets, orders=sets))
+
+    def __call__(self, spark: SparkSession, data_dir: str) -> DataFrame:
+        return self.on(ShopTables.from_events(spark, data_dir))
+
+
+# Operators that count sessions (and their orders), answered from stored sets.
+SET_QUERIES: dict[str, OverSets] = {
+    "sets_top_traffic_sources": OverSets("top_traffic_sources"),
+    "sets_weekly_sessions_by_device": OverSets("weekly_sessions_by_device"),
+    "sets_conversion_by_device_source": OverSets("conversion_by_device_source"),
+    "sets_monthly_channel_mix": OverSets("monthly_channel_mix"),
+    "sets_hourly_weekday_profile": OverSets("hourly_weekday_profile", unit="hour"),
+}
+
 FLAGSHIP = "bounce_rate_by_landing_page"

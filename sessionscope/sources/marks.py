@@ -11,6 +11,7 @@ Rows that a caller adds by ``union`` to marked tables must obey the same rules;
 
 * day: ``created_date`` is the calendar day of ``created_at``; both columns carry the
   same token.
+* slots: ``created_at`` stands for a whole day or hour (:mod:`sessionscope.rollups`).
 * sessions / session day: the session table's ``created_at`` carries a token, and so
   does the column that holds the day of the *session* of each pageview: a stored
   ``session_date``, or ``created_at`` itself where sessions are days by derivation.
@@ -24,6 +25,7 @@ CREATED = "created_at"
 PARTITION_DATE = "created_date"
 SESSION_DATE = "session_date"
 _DAY, _SESSIONS, _SESSION_DAY = "sessionscope.day", "sessionscope.sessions", "sessionscope.session_day"
+_SLOTS = "sessionscope.slots"
 
 
 def _put(df: DataFrame, column: str, **marks: str) -> DataFrame:
@@ -51,6 +53,15 @@ def mark_session_day(pageviews: DataFrame, token: str, column: str = SESSION_DAT
     return _put(pageviews, column, **{_SESSION_DAY: token})
 
 
+def mark_slots(sets: DataFrame, unit: str) -> DataFrame:
+    """Say that ``created_at`` stands for a whole ``day`` or ``hour``."""
+    return _put(sets, CREATED, **{_SLOTS: unit})
+
+
+def slot_unit(df: DataFrame) -> str | None:
+    return _get(df, CREATED, _SLOTS)
+
+
 def unmarked(df: DataFrame) -> DataFrame:
     """The same rows, of which nothing is known."""
     for column in (CREATED, PARTITION_DATE, SESSION_DATE):
