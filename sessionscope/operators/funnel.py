@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.functions.facts import each_session_once, first_on, holds_facts
 from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound
 from sessionscope.operators.common import cohort_pageviews, session_cohort, session_profile, sql_string
@@ -98,6 +99,9 @@ def session_funnel_flags(
     Out: website_session_id, <made_it>…
     """
     cohort = _cohort(sessions, utm_source, utm_campaign, start, end)
+    if holds_facts(cohort):
+        seen = [F.when(first_on(cohort, s.url).isNotNull(), 1).otherwise(0).alias(s.made_it) for s in steps]
+        return each_session_once(cohort).select(SESSION_ID, *seen)
     reached = [
         F.expr(f"max(CASE WHEN pageview_url = {sql_string(s.url)} THEN 1 ELSE 0 END)").alias(s.made_it) for s in steps
     ]

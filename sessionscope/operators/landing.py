@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.functions.facts import FACTS, each_session_once, first_after, first_on, holds_facts
 from sessionscope.functions.metrics import ratio
 from sessionscope.functions.timebuckets import TimeBound, yearweek_sunday
 from sessionscope.operators.common import session_cohort, session_profile, sql_string
@@ -39,6 +40,14 @@ class LandingTest:
         cohort = session_cohort(
             sessions, utm_source=self.utm_source, utm_campaign=self.utm_campaign, end=self.end
         )
+        if holds_facts(cohort):
+            first = first_after(cohort, self.launch_page)
+            return each_session_once(cohort).select(
+                SESSION_ID,
+                first.id.alias("first_pageview_id"),
+                F.when(first.url.isin(list(self.variants)), first.url).alias("landing_page"),
+                F.col(f"{FACTS}.n").alias("count_of_pages_viewed"),
+            ).filter("first_pageview_id IS NOT NULL")
         launch = launch_pageview_id(pageviews, self.launch_page)
         # the launch id is compared once per row
         rows = pageviews.withColumn("_after", F.when(F.col(PAGEVIEW_ID) > launch, F.col(PAGEVIEW_ID)))
@@ -140,13 +149,17 @@ def bounce_rate_by_landing_page(sessions: DataFrame, pageviews: DataFrame, **tes
     )
 
 
-def _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, *stats: Column) -> DataFrame:
+def _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, *stats: Column, stored=()) -> DataFrame:
     """First id, number and further ``stats`` of each cohort session's pageviews;
-    sessions without pageviews keep NULL stats and a count of 0."""
+    sessions without pageviews keep NULL stats and a count of 0.  ``stored`` are the
+    same further stats as stored facts have them."""
     # start <= created_at <= end (the end day keeps only its midnight instant)
     cohort = session_cohort(
         sessions, utm_source=utm_source, utm_campaign=utm_campaign, start=start, end=end, end_inclusive=True
     )
+    if holds_facts(cohort):
+        known = [F.col(f"{FACTS}.first.id").alias("first_pageview_id"), F.col(f"{FACTS}.n").alias("count_pageviews")]
+        return each_session_once(cohort).select(SESSION_ID, *known, *stored)
     first = [F.min(PAGEVIEW_ID).alias("first_pageview_id"), F.count(PAGEVIEW_ID).alias("count_pageviews")]
     return session_profile(cohort, pageviews, [*first, *stats], start, end)
 
@@ -186,7 +199,8 @@ def session_landing_details(
     session_created_at.
     """
     first = F.min_by(F.struct("pageview_url", "created_at"), F.col(PAGEVIEW_ID)).alias("first_pv")
-    return _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, first).select(
+    stored = [F.struct(F.col(f"{FACTS}.first.url").alias("pageview_url"), F.col(f"{FACTS}.first.at").alias("created_at")).alias("first_pv")]
+    return _trend_profile(sessions, pageviews, utm_source, utm_campaign, start, end, first, stored=stored).select(
         SESSION_ID,
         "first_pageview_id",
         "count_pageviews",
@@ -215,6 +229,8 @@ def weekly_bounce_trend(
     Out: week_start_date, bounce_rate, home_sessions, lander_sessions
     (+ year_week, total_sessions, bounced_sessions with ``include_counts``).
     """
+    stored = [F.col(f"{FACTS}.first.at").alias("session_created_at")] if holds_facts(sessions) else []
+    stored += [first_on(sessions, p).alias(f"_first_{i}") for i, p in enumerate(pages) if holds_facts(sessions)]
     details = _trend_profile(
         sessions,
         pageviews,
@@ -227,6 +243,7 @@ def weekly_bounce_trend(
             F.expr(f"min(CASE WHEN pageview_url = {sql_string(p)} THEN {PAGEVIEW_ID} END)").alias(f"_first_{i}")
             for i, p in enumerate(pages)
         ],
+        stored=stored,
     )
     # one row per session, so plain counts are distinct counts
     landed_on = lambda i: F.count_if(F.col(f"_first_{i}") == F.col("first_pageview_id"))

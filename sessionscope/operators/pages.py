@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.functions.facts import FACTS, VARIANT, holds_facts
 from sessionscope.functions.metrics import distinct_counts, ratio
-from sessionscope.functions.timebuckets import TimeBound, time_window, within
+from sessionscope.functions.timebuckets import TimeBound, time_window, time_window_sql, within
 from sessionscope.operators.common import sql_string
 from sessionscope.sources.schemas import PAGEVIEW_ID, SESSION_ID
 
@@ -93,6 +94,14 @@ def top_entry_pages(pageviews: DataFrame, *, end: TimeBound = "2012-06-12") -> D
 
 
 def _landed_sessions(pageviews: DataFrame, end: TimeBound, landing_page: str) -> DataFrame:
+    if holds_facts(pageviews):
+        # ids rise with time: the first view before ``end`` is the first one, or there is none
+        before = time_window_sql(f"{FACTS}.first.at", end=end)
+        return pageviews.filter(f"{VARIANT} = 1 AND {FACTS}.first.url = {sql_string(landing_page)} AND {before}").select(
+            SESSION_ID,
+            F.col(f"{FACTS}.first.url").alias("landing_page"),
+            F.col(f"{FACTS}.n").alias("count_of_pages_viewed"),
+        )
     views = within(pageviews, end=end, extra_sql=f"{SESSION_ID} IS NOT NULL")
     landed = landing_profile(views, (landing_page,)).filter("landing_page IS NOT NULL")
     if end is None:

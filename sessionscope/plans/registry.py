@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionscope import operators as ops
-from sessionscope.rollups import build_session_sets, read_session_sets
+from sessionscope.rollups import build_session_facts, build_session_sets, read_session_facts, read_session_sets
 from sessionscope.session import ensure_checkpoint_dir
 from sessionscope.sources.tables import ShopTables
 
@@ -152,4 +152,30 @@ SET_QUERIES: dict[str, OverSets] = {
     "sets_hourly_weekday_profile": OverSets("hourly_weekday_profile", unit="hour"),
 }
 
+FACT_PAGES = tuple(s.url for s in ops.DEFAULT_STEPS) + ("/home", "/lander-1")
+
+
+class OverFacts:
+    """An operator's spec over stored session facts, built from the tables first."""
+
+    def __init__(self, name: str) -> None:
+        self.spec = QUERIES[name]
+
+    def on(self, shop: ShopTables) -> DataFrame:
+        spark = shop.sessions.sparkSession
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/session-facts-{uuid.uuid4().hex}"
+        build_session_facts(shop, root, pages=FACT_PAGES, launches=("/lander-1",))
+        facts = read_session_facts(spark, root)
+        return self.spec.on(ShopTables(sessions=facts, pageviews=facts))
+
+    def __call__(self, spark: SparkSession, data_dir: str) -> DataFrame:
+        return self.on(ShopTables.from_events(spark, data_dir))
+
+
+# Operators on landings, bounces and funnel steps, answered from stored facts.
+FACT_QUERIES: dict[str, OverFacts] = {
+    f"facts_{name}": OverFacts(name)
+    for name in ("bounce_rate", "bounce_rate_by_landing_page", "weekly_bounce_trend_counts", "funnel_rates")
+}
+
 FLAGSHIP = "bounce_rate_by_landing_page"
