@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -115,6 +117,23 @@ def per_process(make: Callable[[], object], key: str) -> object:
 _MADE: dict[str, object] = {}
 
 
+def release() -> None:
+    """Forget what ``per_process`` made and give the memory back to the system.
+
+    Python workers outlive tasks.  Operators that make nothing of the kind call this in
+    their tasks, so that the vocabularies and remembered words of an earlier operator do
+    not stand beside what they need.
+    """
+    if not _MADE:
+        return
+    _MADE.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table of integer ids.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionscope.llm.common import components, cut, runs, text_or_empty, unused
+from sessionscope.llm.common import components, cut, release, runs, text_or_empty, unused
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -122,6 +122,7 @@ def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        release()
         shingle = Shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

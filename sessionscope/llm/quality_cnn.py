@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sessionscope.llm.common import text_or_empty
+from sessionscope.llm.common import release, text_or_empty
 
 CHUNK, STEP, BLOCK = 512, 448, 4
 EMBEDDING, FILTERS = 4, 16
@@ -217,6 +217,7 @@ def scorer(model: ByteCnn) -> Callable[[Column], Column]:
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(model.score([t or "" for t in texts]))
 
     return score
