@@ -20,6 +20,24 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 # a word with the space before it, or white space as the library's byte-level pattern cuts it
 _WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
 _LONG = 64
+# letters whose lower case and composed form are the same everywhere, then signs but the apostrophe
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_SIGNS = "!-&(-/:-@\\[-`{-~"
+_SHORT_TAIL = 3
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign by which byte-level vocabularies write each byte: itself where it can be seen, else from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
+def _as_byte_signs(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTE_SIGNS)
 
 
 def vocabulary_path(name: str) -> str:
@@ -89,10 +107,45 @@ class TextEncoder:
         self._mark = mark[0] if len(mark) == 1 else None
         self.width = id_width(self._tokenizer.get_vocab_size())
         self._kind = f"<u{self.width}"
+        # a run of letters and a run of signs after it: two pieces, which go to the merges as they are
+        self._lower = cut == "dropped"
+        self._word = re.compile(f"({'' if self._lower else ' ?'}[{_LETTERS}]+)([{_SIGNS}]*)").fullmatch if self._plain_runs(cut) else None
+        self._merges = self._tokenizer.model.tokenize
+        self._raw = [i.to_bytes(self.width, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._tails: dict[str, bytes] = {"": b""}
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._max, self._keep_older = max_entries, keep_older
 
+    def _plain_runs(self, cut: str | None) -> bool:
+        """Whether the library makes two pieces of every letter of ``_LETTERS`` and every sign of ``_SIGNS`` in a row."""
+        if cut is None:
+            return False
+        every = "".join(map(chr, range(256)))
+        letters, signs = ("".join(re.findall(f"[{x}]", every)) for x in (_LETTERS, _SIGNS))
+        lead = "" if cut == "dropped" else " "
+        text = lead + letters + signs
+        if self._tokenizer.normalizer is not None:
+            text = self._tokenizer.normalizer.normalize_str(text)
+        made = [piece for piece, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return made == [_as_byte_signs(lead + (letters.lower() if cut == "dropped" else letters)), signs]
+
+    def _merged(self, piece: str) -> bytes:
+        raw = self._raw
+        return b"".join([raw[t.id] for t in self._merges(piece)])
+
+    def _of_word(self, letters: str, tail: str) -> bytes:
+        """Ids of a run of letters and of the signs after it."""
+        if self._lower:
+            letters = letters.lower()
+        ids = self._merged(_as_byte_signs(letters))
+        found = self._tails.get(tail)
+        if found is None:
+            found = self._merged(tail)
+            if len(tail) <= _SHORT_TAIL:
+                self._tails[tail] = found
+        return ids + found
+
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -100,12 +153,18 @@ class TextEncoder:
         return [np.array(x, self._kind).tobytes() for x in self._ids(parts)]
 
     def _fresh(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts: those without the separator's sign in one call, joined by it."""
+        """Ids of parts: words go to the merges; of the rest, those without the separator's sign in one call, joined by it."""
+        found: dict[str, bytes] = {}
+        if self._word is not None:
+            words = [(p, self._word(p)) for p in parts]
+            found = {p: self._of_word(*m.groups()) for p, m in words if m}
+            parts = {p for p, m in words if not m}
         plain = [p for p in parts if self._sign not in p and not p.isspace()]
         other = [p for p in parts if self._sign in p or p.isspace()]
         if self._mark is None or len(plain) < 2:
             other, plain = list(parts), []
-        found = dict(zip(other, self._each(other), strict=True)) if other else {}
+        if other:
+            found.update(zip(other, self._each(other), strict=True))
         if plain:
             ids = np.array(self._ids([self._separator.join(plain)])[0], self._kind)
             ends = np.flatnonzero(ids == self._mark)
@@ -121,18 +180,19 @@ class TextEncoder:
         """The ids of every text."""
         split = self._split
         cut = [None if split is None or _SEPARATORS.search(t) else split(t) for t in texts]
-        known, missing = self._known, set().union(*(x for x in cut if x is not None))
-        if len(known) > self._max:
-            self._older, self._known = (known if self._keep_older else {}), {}
-            known = self._known
-        missing.difference_update(known)
-        again = [p for p in missing if p in self._older]
-        known.update((p, self._older[p]) for p in again)
+        if len(self._known) > self._max:
+            self._older, self._known = (self._known if self._keep_older else {}), {}
+        known, older = self._known, self._older
+        # asks for the parts of these texts, so its work does not grow with what is remembered
+        met = set().union(*(x for x in cut if x is not None))
+        missing = {p for p in met if p not in known}
+        again = [p for p in missing if p in older]
+        known.update((p, older[p]) for p in again)
         missing.difference_update(again)
         fresh = self._fresh(missing) if missing else {}
         long = [p for p in fresh if len(p) > _LONG]
         known.update(fresh)
-        out = [b"".join([known[p] for p in x]) if x is not None else self._each([t])[0] for x, t in zip(cut, texts, strict=True)]
+        out = [b"".join(map(known.__getitem__, x)) if x is not None else self._each([t])[0] for x, t in zip(cut, texts, strict=True)]
         for p in long:
             del known[p]
         return out
