@@ -20,10 +20,10 @@ driver.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from sessionscope.llm.common import cut, per_process, text_or_empty
 from sessionscope.llm.tokenization import TextEncoder, as_uint32, by_size
 
+_WIDTH = 4  # bytes of a stored id
 _PIECES = "id long, piece int, start long, length int, width int, ids binary, task long, nth long"
 
 
@@ -121,20 +122,20 @@ def token_pieces(
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(lambda: TextEncoder(tokenizer), tokenizer)
-        width, task = encoder.width, TaskContext.get().partitionId()
-        end, size, seen = np.array([end_id], f"<u{width}").tobytes(), capacity * width, {}
+        task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        size, seen = capacity * _WIDTH, {}
         for batch in batches:
             docs = iter(batch.column(0).to_pylist())
             for texts in by_size(t.as_py() for t in batch.column(1)):
                 rows = []
                 for ids in encoder.encode(texts):
-                    doc, ids = next(docs), ids + end
+                    doc, ids = next(docs), as_uint32(ids, encoder.width) + end
                     for piece, at in enumerate(range(0, len(ids), size)):
                         own = ids[at : at + size]
-                        length = len(own) // width
+                        length = len(own) // _WIDTH
                         nth = seen.get(length, 0)
                         seen[length] = nth + 1
-                        rows.append((doc, piece, at // width, length, width, own, task, nth))
+                        rows.append((doc, piece, at // _WIDTH, length, _WIDTH, own, task, nth))
                 yield _batch(rows, _ARROW)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -181,37 +182,26 @@ def pack_documents(
     # a window group has one row per task that wrote pieces of the length
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["task", "length"]).select(
-        F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "width", "ids", (F.col("base") + F.col("nth")).alias("rank")
-    )
+    ranked = pieces.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column(3).to_numpy(zero_copy_only=False)
-            bins, offsets = slots.place(length, batch.column(6).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:6], pa.array(bins), pa.array(offsets)],
-                names=["doc_id", "piece", "start", "length", "width", "ids", "sequence_id", "offset"],
-            )
-
-    return ranked.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, width int, ids binary, sequence_id long, offset long"
+    # lengths and ranks alone go through Python; the ids stay where they are
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        bins, offsets = slots.place(length.to_numpy(), rank.to_numpy())
+        return pd.DataFrame({"sequence_id": bins, "offset": offsets})
+
+    return ranked.withColumn("at", placed("length", "rank")).select(
+        F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "width", "ids",
+        "at.sequence_id", "at.offset",
     )
 
 
 def with_id_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the unsigned crc32 of their ids as 32-bit integers in place of the ids."""
+    """The pieces with the unsigned crc32 of their ids in place of the ids.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            widths = batch.column(4).to_pylist()
-            crc = [zlib.crc32(as_uint32(x.as_py(), w)) for x, w in zip(batch.column(5), widths, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(crc, pa.int64()), *batch.columns[6:]],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    columns = ["doc_id", "piece", "start", "length", "width", "ids", "sequence_id", "offset"]
-    return pieces.select(*columns).mapInArrow(
-        digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    Defined cases: null ids have a null crc32; repeated pieces are kept; an empty table gives
+    no rows; other columns are not read.
+    """
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
     )
