@@ -91,17 +91,22 @@ ORACLE_SQL: dict[str, str] = {
         ), shares AS (
             SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM links
         ), walk AS (
-            SELECT 0 AS round, kind, host, mass AS rank FROM start
+            SELECT 0 AS round, kind, host, mass AS rank, 1.0::DOUBLE AS change FROM start
             UNION ALL
-            SELECT any_value(round) + 1, kind, host, sum(rank) FROM (
-                SELECT w.round, w.kind, s.dst AS host, 0.85::DOUBLE * w.rank * s.share AS rank
-                FROM walk w JOIN shares s ON w.kind = s.kind AND w.host = s.src
-                UNION ALL
-                SELECT r.round, start.kind, start.host, start.mass FROM start, (SELECT max(round) AS round FROM walk) r
-            ) WHERE round < 20 GROUP BY kind, host
+            SELECT round + 1, kind, host, rank, max(abs(rank - was) / rank) OVER () FROM (
+                SELECT any_value(round) AS round, kind, host, sum(rank) AS rank, sum(was) AS was FROM (
+                    SELECT w.round, w.kind, s.dst AS host, 0.85::DOUBLE * w.rank * s.share AS rank, 0.0::DOUBLE AS was
+                    FROM walk w JOIN shares s ON w.kind = s.kind AND w.host = s.src WHERE w.change > 1e-6
+                    UNION ALL
+                    SELECT r.round, start.kind, start.host, start.mass, 0.0 FROM start, (SELECT max(round) AS round FROM walk WHERE change > 1e-6) r
+                    WHERE r.round IS NOT NULL
+                    UNION ALL
+                    SELECT round, kind, host, 0.0, rank FROM walk WHERE change > 1e-6
+                ) GROUP BY kind, host
+            )
         ), hosts AS (
             SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
-            FROM walk WHERE round = 20 GROUP BY host
+            FROM walk WHERE round = (SELECT max(round) FROM walk) GROUP BY host
         )
         SELECT p.page_id, p.host, p.path, r.rule,
                coalesce(r.verdict, CASE WHEN h.distrust > h.trust THEN 'block' ELSE 'allow' END) AS verdict

@@ -57,36 +57,39 @@ def host_links(pages: DataFrame, host: str, html_col: str) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank of every kind at once: (kind, host, rank).
 
     ``edges`` (kind, src, dst, share) hold the part of a host's rank that each of
     its links passes on, ``seeds`` (kind, host, mass) where walks start and start
     anew.  Rank at a host without links is not passed on.  Ends when no host's
-    rank changes by more than ``tolerance``, or after ``rounds`` rounds.
+    rank changes by more than ``tolerance`` of itself.  A host that a walk has just
+    reached changes by all of its rank, so every host that can be reached is, however
+    far from the seeds; then the changes shrink by ``damping`` a round, so the walk ends.
     """
+    if not 0 <= damping < 1 or tolerance <= 0:
+        raise ValueError("damping must be in [0, 1) and tolerance positive")
     edges, seeds = cut(edges, "links"), cut(seeds, "seeds")
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
     rank = start
-    for _ in range(rounds):
+    while True:
         passed = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")
         )
         new = passed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         was = rank.withColumnRenamed("rank", "was")
         new = cut(
-            new.join(was, ["kind", "host"], "left").withColumn("change", F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).drop("was"),
+            new.join(was, ["kind", "host"], "left").withColumn("change", F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) / F.col("rank")).drop("was"),
             "rank",
         )
         change = new.agg(F.max("change")).first()[0]
         rank = new.drop("change")
         if change is None or change <= tolerance:
-            break
-    return rank
+            return rank
 
 
 def host_verdicts(
-    pages: DataFrame, links: DataFrame, *, damping: float, rounds: int, tolerance: float, threshold: float
+    pages: DataFrame, links: DataFrame, *, damping: float, tolerance: float, threshold: float
 ) -> DataFrame:
     """host, trust, distrust, host_verdict; ``pages`` has host and ruled (allow, block or null)."""
     by_rule = lambda kind: F.count(F.when(F.col("ruled") == kind, 1))
@@ -103,7 +106,7 @@ def host_verdicts(
     )
     out = cut(both.groupBy("kind", "src").agg(F.sum("links").alias("out")), "out")
     edges = both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("out")).alias("share"))
-    rank = propagate(edges, seeds, damping=damping, rounds=rounds, tolerance=tolerance)
+    rank = propagate(edges, seeds, damping=damping, tolerance=tolerance)
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     both_ranks = rank.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
     blocked = F.col("distrust") > threshold * F.col("trust")
@@ -118,14 +121,13 @@ def filter_urls(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    rounds: int = 20,
-    tolerance: float = 1e-9,
+    tolerance: float = 1e-6,
     threshold: float = 1.0,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path,
-    fits no rule and is allowed; a host that no walk reaches has trust and
+    fits no rule and is allowed; a host that no walk reaches, however long, has trust and
     distrust 0 and is allowed; a null html has no links; repeated rows are judged
     each and count each as seeds; of rules of one length the alphabetically last
     wins; an empty table gives no rows; other columns are not read.
@@ -135,7 +137,7 @@ def filter_urls(
     judged = parts.select("page_id", "host", "path", matching_rule(F.col("host"), F.col("path"), rules).alias("r"))
     judged = judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     hosts = cut(
-        host_verdicts(judged, links, damping=damping, rounds=rounds, tolerance=tolerance, threshold=threshold), "hosts"
+        host_verdicts(judged, links, damping=damping, tolerance=tolerance, threshold=threshold), "hosts"
     )
     return judged.join(hosts, "host", "left").select(
         "page_id",
