@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: MinHash bands, an exact prefix filter, exact similarities.
+"""N-gram Jaccard self-join: an LSH forest, an exact prefix filter, exact similarities.
 
 A document is the set of its word 5-grams (lower-cased words between white
 space; a shorter text is one gram).  Two documents are linked when the Jaccard
@@ -6,16 +6,18 @@ similarity of their sets reaches the threshold; a class is a connected
 component of links.
 
 1.  Equal sets collapse to one representative with a number of copies.
-2.  Each tree draws MinHash values of its own, all trees as many.  Their number is
-    the largest at which a pair at the threshold meets in some tree with the
-    target recall (:func:`forest_depth`); it follows from the parameters, not
-    from the data.  This is banding at a fixed depth in place of an LSH forest:
-    no labels are sorted and no prefix is shortened by what the data show.
-    Documents with all values of one tree in common are candidates.
+2.  The forest: each tree has an ordered label per document, one byte of each of
+    ``longest_prefix`` MinHash values that no other tree uses.  Sorted labels are the
+    tree's prefix trie: documents that share a prefix stand side by side in it.
+    Matched prefixes are shortened, from whole labels on, until the target share of
+    the linked pairs in a sample meets in some tree (:func:`_depth`).  The shortest
+    prefix allowed is the one at which a pair at the threshold meets with the target
+    recall (:func:`shortest_prefix`).
 3.  The pairs that no tree brings together are found by an exact prefix filter
-    (:func:`_prefix_ties`), so that every linked pair is tied.  Every candidate is
-    tied to the smallest document of its tree prefix or gram, never to all
-    others; the connected components of these ties are the candidate groups.
+    (:func:`_prefix_ties`), so that every linked pair is tied.  A document is tied to
+    the smallest one of its label or gram, and a label to the one before it in its
+    trie, never to all others; the connected components of these ties are the
+    candidate groups.
 4.  A group is cut into blocks of bounded size, and each pair of blocks is one
     cell.  A cell computes the exact similarity of all its pairs from the texts
     and returns, per document, its number of links and a root, never the pairs.
@@ -78,7 +80,7 @@ class Shingler:
         return np.unique(_mix((sums[ends] - sums[starts]) * self._back[starts]))
 
 
-def forest_depth(threshold: float, trees: int, longest: int, target: float) -> int:
+def shortest_prefix(threshold: float, trees: int, longest: int, target: float) -> int:
     """The longest prefix at which a pair at ``threshold`` meets with the target recall."""
     depth = longest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
@@ -87,37 +89,30 @@ def forest_depth(threshold: float, trees: int, longest: int, target: float) -> i
 
 
 class Forest:
-    """Prefix keys of a document: one 64-bit key for each tree at the chosen depth.
+    """Labels of a document: for each tree one byte of every MinHash value, in the tree's order.
 
-    No two trees share a hash, so they meet independently, as :func:`forest_depth` counts.
+    No two trees share a hash, so they meet independently, as :func:`shortest_prefix`
+    counts.  One byte tells two unequal values apart in 255 of 256 cases; the others
+    make candidates, never links.
     """
 
-    def __init__(self, trees: int, depth: int, seed: int = 5):
+    def __init__(self, trees: int, longest: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        hashes = trees * depth
-        self._factors = (rng.integers(0, 1 << 63, hashes, np.uint64) << np.uint64(1)) | np.uint64(1)
-        self._order = np.arange(hashes).reshape(trees, depth)
-        self._trees = _mix(np.arange(1, trees + 1, dtype=np.uint64))
+        self._factors = (rng.integers(0, 1 << 63, trees * longest, np.uint64) << np.uint64(1)) | np.uint64(1)
 
-    def signature(self, grams: np.ndarray) -> np.ndarray:
+    def labels(self, grams: np.ndarray) -> bytes:
+        """The labels of all trees, one after the other."""
         least = np.full(len(self._factors), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(grams), 256):
             least = np.minimum(least, (self._factors[:, None] * grams[None, i : i + 256]).min(axis=1))
-        return least
+        return (_mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
-    def nodes(self, signatures: np.ndarray) -> np.ndarray:
-        """documents x trees; equal keys mean equal prefixes."""
-        keys = np.broadcast_to(self._trees, (len(signatures), len(self._trees))).copy()
-        for step in self._order.T:
-            keys = _mix(keys * _BASE + signatures[:, step])
-        return keys.view(np.int64)
 
-
-_SIGNED = "row long, doc_id long, text_hash long, n_grams int, set_key binary, nodes array<long>"
+_SIGNED = "row long, doc_id long, text_hash long, n_grams int, set_key binary, labels binary"
 
 
 def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
-    """Every document with the key of its gram set and its trie nodes."""
+    """Every document with the key of its gram set and its labels."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -127,26 +122,97 @@ def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, keys, signatures = [], [], []
+                sizes, keys, labels = [], [], []
                 for text in part.column(3):
                     grams = shingle(text.as_py())
                     sizes.append(len(grams))
                     keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                    signatures.append(forest.signature(grams))
-                nodes = forest.nodes(np.array(signatures)).tolist()
+                    labels.append(forest.labels(grams) if len(grams) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:3],
-                        pa.array(sizes, pa.int32()),
-                        pa.array(keys, pa.binary()),
-                        pa.array([x if s else [] for x, s in zip(nodes, sizes, strict=True)], pa.list_(pa.int64())),
-                    ],
-                    names=["row", "doc_id", "text_hash", "n_grams", "set_key", "nodes"],
+                    [*part.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())],
+                    names=["row", "doc_id", "text_hash", "n_grams", "set_key", "labels"],
                 )
 
     return docs.select("row", "doc_id", "text_hash", "text").mapInArrow(sign, _SIGNED)
 
 
+def _shared(a: Column, b: Column, longest: int) -> Column:
+    """Levels that two labels have in common from the first on."""
+    same = F.lit(0)
+    for level in range(longest, 0, -1):
+        same = F.when(F.substring(a, level, 1) == F.substring(b, level, 1), same + 1).otherwise(0)
+    return same
+
+
+def _forest_ties(texts: DataFrame, reps: DataFrame, n: int, threshold: float, trees: int, longest: int, target: float, sample: int) -> DataFrame:
+    """Ties (a, b) of documents whose labels share a prefix of the chosen length in some tree.
+
+    Only documents that share the shortest prefix with another are sorted into the
+    tries.  A label of several documents stands there once, and below one shortest
+    prefix there are at most 256 to the power of the levels left, so no run that a
+    task sorts grows with the table.
+    """
+    shortest = shortest_prefix(threshold, trees, longest, target)
+    label = lambda t: F.substring("labels", t * longest + 1, longest)
+    leaves = reps.select(
+        "rep",
+        F.inline(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring(label(t), 1, shortest)).alias("node"), label(t).alias("label")) for t in range(trees)])),
+    )
+    crowded = leaves.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    leaves = cut(leaves.join(cut(crowded.select("node"), "nodes"), "node"), "leaves")
+    trie = Window.partitionBy("node").orderBy("label")
+    sorted_labels = leaves.groupBy("node", "label").agg(F.min("rep").alias("least"))
+    sorted_labels = sorted_labels.withColumn("above", F.lag("least").over(trie)).withColumn("before", F.lag("label").over(trie))
+    sorted_labels = cut(
+        sorted_labels.select("node", "label", "least", "above", _shared(F.col("label"), F.col("before"), longest).alias("levels")), "trie"
+    )
+    same = leaves.join(sorted_labels.select("node", "label", "least"), ["node", "label"]).where("rep <> least")
+    beside = sorted_labels.where("above is not null")
+    ties = same.select(F.col("rep").alias("a"), F.col("least").alias("b"), F.lit(longest).alias("levels")).unionByName(
+        beside.select(F.greatest("least", "above").alias("a"), F.least("least", "above").alias("b"), "levels")
+    )
+    ties = cut(ties.groupBy("a", "b").agg(F.max("levels").alias("levels")), "ties")
+    depth = _depth(texts, reps, ties, n, threshold, trees, longest, shortest, target, sample)
+    return ties.where(F.col("levels") >= depth).select("a", "b")
+
+
+def _depth(
+    texts: DataFrame, reps: DataFrame, ties: DataFrame, n: int, threshold: float, trees: int, longest: int, shortest: int, target: float, sample: int
+) -> int:
+    """The longest prefix at which the target share of linked pairs meets in some tree.
+
+    The pairs are a sample: neighbours in the tries at the shortest prefix, those with
+    the ``sample`` smallest hashes, of which the linked ones count.  Without any, the
+    shortest prefix is taken.  The share is one of the pairs that the shortest prefix
+    finds; what it misses is left to the prefix filter.
+    """
+    pairs = cut(ties.orderBy(F.xxhash64("a", "b"), "a", "b").limit(sample).select("a", "b"), "sample")
+    ends = pairs.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("end")), F.struct(F.col("b").alias("end")))))
+    ends = ends.join(reps.select("rep", "doc_id", "text_hash", "labels"), F.col("end") == F.col("rep"))
+    # written, so that the planner knows that these few rows may be broadcast
+    ends = cut(ends.select("a", "b", "end", "labels", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "ends")
+    wanted = texts.join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    wanted = wanted.select("a", "b", "end", "labels", "text").repartition("a", "b").sortWithinPartitions("a", "b")
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for (a, b), pair in runs(batches, ["a", "b"]):
+            found = {r["end"]: r for r in pair.select(["end", "labels", "text"]).to_pylist()}  # repeated rows are one end
+            grams = [shingle(found[x]["text"]) for x in (a, b)]
+            common = len(np.intersect1d(*grams, assume_unique=True))
+            if common < threshold * (len(grams[0]) + len(grams[1]) - common) - 1e-6:
+                continue
+            equal = np.equal(*[np.frombuffer(found[x]["labels"], np.uint8).reshape(trees, longest) for x in (a, b)])
+            yield pa.RecordBatch.from_pydict({"levels": pa.array([int(equal.cumprod(axis=1).sum(axis=1).max())], pa.int32())})
+
+    # one row per number of levels
+    linked = {r["levels"]: r["pairs"] for r in wanted.mapInArrow(levels, "levels int").groupBy("levels").agg(F.count("*").alias("pairs")).collect()}
+    depth = longest
+    while depth > shortest and sum(k for x, k in linked.items() if x >= depth) < max(1, target * sum(linked.values())):
+        depth -= 1
+    return depth
+
+
 _POSTINGS = 1_000_000  # postings of a bucket, and those a task holds before it sends them
 _DEALT = "bucket int, grams binary, ids binary, met binary, local binary, credits binary"
 
@@ -379,9 +445,10 @@ def near_duplicates(
     text_col: str = "text",
     n: int = 5,
     threshold: float = 0.8,
-    target_recall: float = 0.998,
-    trees: int = 48,
-    longest_prefix: int = 16,
+    target_recall: float = 0.9,
+    trees: int = 16,
+    longest_prefix: int = 12,
+    sample_pairs: int = 2000,
     block_docs: int = 256,
     block_grams: int = 400_000,
 ) -> DataFrame:
@@ -396,11 +463,14 @@ def near_duplicates(
     words is one gram and linked to texts of the same words; repeated rows are
     linked; a null id counts as larger than every other in ``class_id``; an empty
     table gives no rows; other columns of ``docs`` are not read.
+
+    ``sample_pairs`` bounds the pairs by which the forest chooses how far prefixes
+    are shortened; no link depends on it.
     """
     texts = _texts(docs, id_col, text_col)
     signed, resolved = _resolved(
         texts, texts.withColumn("row", F.monotonically_increasing_id()), n=n, threshold=threshold,
-        target_recall=target_recall, trees=trees, longest_prefix=longest_prefix, block_docs=block_docs, block_grams=block_grams,
+        target_recall=target_recall, trees=trees, longest_prefix=longest_prefix, sample_pairs=sample_pairs, block_docs=block_docs, block_grams=block_grams,
     )
     return signed.select("doc_id", "set_key").join(resolved, "set_key", "left").select(
         "doc_id",
@@ -421,9 +491,10 @@ def _resolved(
     *,
     n: int = 5,
     threshold: float = 0.8,
-    target_recall: float = 0.998,
-    trees: int = 48,
-    longest_prefix: int = 16,
+    target_recall: float = 0.9,
+    trees: int = 16,
+    longest_prefix: int = 12,
+    sample_pairs: int = 2000,
     block_docs: int = 256,
     block_grams: int = 400_000,
 ) -> tuple[DataFrame, DataFrame]:
@@ -431,8 +502,7 @@ def _resolved(
 
     The second: set_key, copies, links, component (the class), class_id, class_size.
     """
-    depth = forest_depth(threshold, trees, longest_prefix, target_recall)
-    signed = cut(_signed(tagged, n, Forest(trees, depth)), "signed")
+    signed = cut(_signed(tagged, n, Forest(trees, longest_prefix)), "signed")
 
     sets = cut(
         signed.where("set_key is not null")
@@ -445,17 +515,13 @@ def _resolved(
         (F.col("set_key") == F.col("k")) & (F.col("row") == F.col("rep")),
     )
     set_id = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
-    reps = cut(own.select("rep", set_id.alias("set_id"), "copies", "doc_id", "text_hash", "n_grams", "nodes"), "reps")
+    reps = cut(own.select("rep", set_id.alias("set_id"), "copies", "doc_id", "text_hash", "n_grams", "labels"), "reps")
 
-    # candidates: each document with the smallest one of its tree prefix, or of its gram
-    nodes = reps.select("rep", F.explode("nodes").alias("node"))
-    crowded = cut(
-        nodes.groupBy("node").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "nodes"
-    )
-    ties = nodes.join(crowded, "node").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    # candidates: documents tied by the forest or by a gram
+    ties = _forest_ties(texts, reps, n, threshold, trees, longest_prefix, target_recall, sample_pairs)
     ties = ties.unionByName(_prefix_ties(texts, reps, n, threshold)).distinct()
     grouped = components(ties).withColumnsRenamed({"node": "rep", "component": "group"})
-    candidates = cut(reps.drop("nodes", "set_id").join(grouped, "rep"), "candidates")
+    candidates = cut(reps.drop("labels", "set_id").join(grouped, "rep"), "candidates")
 
     # cells: pairs of blocks of a group
     blocks = F.greatest(

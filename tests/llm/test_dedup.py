@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionscope.llm import chunk_dedup, ngram_join
-from sessionscope.llm.common import components
+from sessionscope.llm.common import components, cut
 from tests.llm import edge
 
 
@@ -147,16 +147,76 @@ def test_isolated_pairs_at_the_threshold_are_all_found(spark):
     assert got == {i: (i - i % 2, 1) for i, _ in rows}
 
 
-def test_trees_meet_as_often_as_the_depth_counts_on():
-    depth = ngram_join.forest_depth(0.8, 48, 16, 0.998)
-    forest = ngram_join.Forest(48, depth)
+def test_trees_meet_as_often_as_the_shortest_prefix_counts_on():
+    shortest = ngram_join.shortest_prefix(0.8, 16, 12, 0.9)
+    forest = ngram_join.Forest(16, 12)
     r = np.random.default_rng(1)
     missed = 0
-    for _ in range(8000):
+    for _ in range(4000):
         g = r.integers(0, 1 << 64, 100, np.uint64)
-        a, b = forest.nodes(np.array([forest.signature(g[:90]), forest.signature(np.concatenate([g[:80], g[90:]]))]))
-        missed += not (a == b).any()
-    assert missed / 8000 <= 0.002
+        pair = (g[:90], np.concatenate([g[:80], g[90:]]))
+        a, b = (np.frombuffer(forest.labels(x), np.uint8).reshape(16, 12)[:, :shortest] for x in pair)
+        missed += not (a == b).all(axis=1).any()
+    assert missed / 4000 <= 0.12
+
+
+def forest_pairs(spark, rows, **options):
+    """The forest's ties as pairs of ids, and the prefix that it chose."""
+    setting = {"trees": 16, "longest": 12, "target": 0.9, "sample": 2000} | options
+    texts = ngram_join._texts(edge.docs(spark, rows), "doc_id", "text")
+    signed = cut(ngram_join._signed(texts.withColumn("row", F.col("doc_id")), 5, ngram_join.Forest(setting["trees"], setting["longest"])), "signed")
+    reps = signed.withColumnRenamed("row", "rep").where("labels is not null")
+    chosen = []
+    depth = ngram_join._depth
+    ngram_join._depth = lambda *a: chosen.append(depth(*a)) or chosen[-1]
+    try:
+        ties = ngram_join._forest_ties(texts, reps, 5, 0.8, **setting)
+    finally:
+        ngram_join._depth = depth
+    labels = {x.doc_id: bytes(x.labels) for x in reps.collect()}
+    return {(x.b, x.a) for x in ties.collect()}, chosen[0], labels
+
+
+def test_prefixes_are_shortened_as_the_data_ask(spark):
+    """Pairs at the threshold need shorter prefixes; close ones meet at whole labels."""
+    at_threshold = isolated_pairs(200)
+    long = [[f"c{i}w{k}" for k in range(400)] for i in range(100)]
+    close = [(2 * i + s, " ".join([*w, f"end{s}"])) for i, w in enumerate(long) for s in (0, 1)]
+    far_ties, far, _ = forest_pairs(spark, at_threshold)
+    near_ties, near, _ = forest_pairs(spark, close)
+    assert ngram_join.shortest_prefix(0.8, 16, 12, 0.9) <= far < near == 12
+    assert all(b == a + 1 and a % 2 == 0 for a, b in far_ties | near_ties)
+    assert len(near_ties) >= 95 and len(far_ties) >= 0.7 * 200
+    none, depth, _ = forest_pairs(spark, [(1, "a b c d e f"), (2, "other words are in this text")])
+    assert not none and depth == ngram_join.shortest_prefix(0.8, 16, 12, 0.9)
+
+
+def test_the_tries_connect_what_shares_a_prefix(spark):
+    """Against groups of equal prefixes by brute force, many documents to a prefix."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    ties, depth, labels = forest_pairs(spark, rows, trees=2)
+
+    def groups(edges):
+        parent = {i: i for i in labels}
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+        return {i: top(i) for i in labels}
+
+    shares = lambda a, b: any(labels[a][t : t + depth] == labels[b][t : t + depth] for t in (0, 12))
+    assert groups(ties) == groups((a, b) for a in labels for b in labels if a < b and shares(a, b))
 
 
 def test_prefix_ties_connect_every_pair(spark):
@@ -194,9 +254,10 @@ def test_keep_one_row_of_each_class_where_ids_repeat_or_are_null(spark):
     assert len(out) == 7
 
 
-def test_forest_depth_shortens_until_the_recall_is_met():
-    depth = ngram_join.forest_depth(0.8, 48, 16, 0.998)
-    assert 1 - (1 - 0.8**depth) ** 48 >= 0.998 > 1 - (1 - 0.8 ** (depth + 1)) ** 48
+def test_shortest_prefix_meets_the_target_recall():
+    for trees, target in ((48, 0.998), (16, 0.9)):
+        shortest = ngram_join.shortest_prefix(0.8, trees, 16, target)
+        assert 1 - (1 - 0.8**shortest) ** trees >= target > 1 - (1 - 0.8 ** (shortest + 1)) ** trees
 
 
 def test_components(spark):
