@@ -1,15 +1,15 @@
 """Quality scores from a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes.  Overlapping chunks of 512 bytes, one every 448 and
-one at the end, cover it to the last byte.  Within a chunk every 8-byte window, one every 4
-bytes, meets 16 learned filters over learned byte embeddings; each filter keeps
+one at the end, cover it to the last byte.  Within a chunk the 8-byte window at every
+byte meets 16 learned filters over learned byte embeddings; each filter keeps
 its maximum, and a linear layer turns the 16 maxima into the chunk's logit.  The
 document's logit is the mean over its chunks, its score the sigmoid of that.
 
-The network is fitted on the driver on a bounded sample of labelled rows:
-at most ``sample_per_class`` documents of each class, of each at most
-``WINDOWS`` windows of ``WINDOW_CHARS`` characters, evenly spaced over the text.
-Classes weigh the same.  Scoring runs on the executors over whole texts.
+The network is fitted on the driver on a bounded sample of labelled rows: at most
+``sample_per_class`` documents of each class, none longer than ``longest_chars``,
+each with its whole text.  Classes weigh the same.  Scoring runs on the executors
+over whole texts of any length.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from sessionscope.llm.common import release, text_or_empty
 
 CHUNK, STEP, BLOCK = 512, 448, 4
 EMBEDDING, FILTERS = 4, 16
-WINDOWS, WINDOW_CHARS = 4, 1024
-_SLAB = 1024
+_SLAB = 256
 
 
 def chunked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +72,20 @@ class ByteCnn:
         return [self.embedding, self.filters, self.bias, self.out, self.offset]
 
     def responses(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embedded blocks (n x blocks x BLOCK*EMBEDDING) and filter responses without bias."""
+        """Embedded chunks (n x CHUNK x EMBEDDING) and the filters' responses at every byte, without bias.
+
+        The windows are met in BLOCK rounds, each of those that begin at one remainder.
+        """
         n = len(chunks)
-        blocks = self.embedding[chunks].reshape(n, CHUNK // BLOCK, BLOCK * EMBEDDING)
-        both = blocks.reshape(-1, BLOCK * EMBEDDING) @ np.concatenate(list(self.filters), axis=1)
-        both = both.reshape(n, CHUNK // BLOCK, 2 * FILTERS)
-        return blocks, both[:, :-1, :FILTERS] + both[:, 1:, FILTERS:]
+        embedded = self.embedding[chunks]
+        halves = np.concatenate(list(self.filters), axis=1)
+        found = np.empty((n, CHUNK - 2 * BLOCK + 1, FILTERS), np.float32)
+        for shift in range(BLOCK):
+            blocks = (CHUNK - shift) // BLOCK
+            both = embedded[:, shift : shift + blocks * BLOCK].reshape(-1, BLOCK * EMBEDDING) @ halves
+            both = both.reshape(n, blocks, 2 * FILTERS)
+            found[:, shift::BLOCK] = both[:, :-1, :FILTERS] + both[:, 1:, FILTERS:]
+        return embedded, found
 
     def chunk_logits(self, chunks: np.ndarray) -> np.ndarray:
         logits = np.empty(len(chunks), np.float64)
@@ -125,7 +132,7 @@ class ByteCnn:
         return self
 
     def _gradients(self, chunks, owner, counts, labels, share) -> list[np.ndarray]:
-        blocks, found = self.responses(chunks)
+        embedded, found = self.responses(chunks)
         best = found.argmax(axis=1)  # n x FILTERS
         n = np.arange(len(chunks))[:, None]
         pooled = np.maximum(found[n, best, np.arange(FILTERS)] + self.bias, 0)
@@ -133,16 +140,17 @@ class ByteCnn:
         error = (_sigmoid(logits) - labels) / share[labels] / len(labels)
         chunk_error = (error / counts)[owner].astype(np.float32)
         back = chunk_error[:, None] * self.out * (pooled > 0)  # n x FILTERS
-        early, late = blocks[n, best], blocks[n, best + 1]  # n x FILTERS x BLOCK*EMBEDDING
-        filters = np.stack([np.einsum("nf,nfd->df", back, x) for x in (early, late)])
+        filters = np.empty_like(self.filters)
         embedding = np.zeros_like(self.embedding)
-        codes = chunks.reshape(len(chunks), CHUNK // BLOCK, BLOCK)
-        for half, shift in ((0, 0), (1, 1)):
+        for half in (0, 1):
+            at = best[:, :, None] + half * BLOCK + np.arange(BLOCK)  # n x FILTERS x BLOCK
+            met = embedded[n[:, :, None], at].reshape(*best.shape, BLOCK * EMBEDDING)
+            filters[half] = np.einsum("nf,nfd->df", back, met)
             grad = back[:, :, None] * self.filters[half].T[None]  # n x FILTERS x BLOCK*EMBEDDING
-            np.add.at(embedding, codes[n, best + shift], grad.reshape(*best.shape, BLOCK, EMBEDDING))
+            np.add.at(embedding, chunks[n[:, :, None], at], grad.reshape(*best.shape, BLOCK, EMBEDDING))
         return [
             embedding,
-            filters.astype(np.float32),
+            filters,
             back.sum(axis=0),
             pooled.T @ chunk_error,
             np.array([error.sum()], np.float32),
@@ -166,6 +174,7 @@ def fit_quality(
     text_col: str = "text",
     label_col: str = "quality",
     sample_per_class: int = 800,
+    longest_chars: int = 32_768,
     epochs: int = 12,
     rate: float = 0.02,
     seed: int = 7,
@@ -173,8 +182,10 @@ def fit_quality(
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     The sample is the ``sample_per_class`` smallest hashed ids of each class, so
-    it is the same on every run.  Rows without an id, a label or a text do not
-    teach; an id with several labels counts as its largest.  With no row of one
+    it is the same on every run; of these, texts of more than ``longest_chars``
+    characters do not teach, the others teach whole.  Rows without an id, a label
+    or a text do not teach; an id with several labels counts as its largest, one
+    with several texts as the smallest of them.  With no row of one
     of the classes the network stays as it starts but for its offset: it scores
     every text as the class that is there (one half with no labels at all).
     """
@@ -190,20 +201,16 @@ def fit_quality(
     # at most 2 * sample_per_class rows of two numbers
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
     text = F.col(text_col).cast("string")
-    spread = F.greatest(F.length(text) - WINDOW_CHARS, F.lit(0))
-    windows = F.when(spread == 0, F.array(text)).otherwise(
-        F.array(*[F.substring(text, (spread * i / (WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW_CHARS)) for i in range(WINDOWS)])
-    )
     rows = (
-        docs.select(F.col(id_col).alias("id"), windows.alias("windows"))
+        docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        .where(F.length("text") <= longest_chars)
         .join(chosen, "id")
-        .where("windows[0] is not null")
         .groupBy("id", "label")
-        .agg(F.min("windows").alias("windows"))
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: r["id"])
-    texts, y = ["\n".join(r["windows"]) for r in rows], np.array([r["label"] for r in rows], np.int64)
+    texts, y = [r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64)
     model = ByteCnn.start(seed)
     if len(set(y.tolist())) < 2:
         model.out[:] = 0

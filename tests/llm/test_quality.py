@@ -83,3 +83,51 @@ def test_gradients():
             down = loss()
             flat[i] = was
             assert abs((up - down) / (2 * step) - found[i]) < 0.05 * max(0.02, abs(found[i])) + 2e-3
+
+
+def test_scores_equal_a_plain_network():
+    """Window by window and byte by byte, without any of the model's own steps."""
+    model = quality_cnn.ByteCnn.start(11)
+    model.out *= 20
+    whole = np.concatenate(list(model.filters)).astype(np.float64)  # 8 bytes x EMBEDDING, FILTERS
+
+    def plain(text):
+        raw = text.encode().ljust(512, b"\0")
+        starts = sorted({*range(0, len(raw) - 511, 448), len(raw) - 512})
+        logits = []
+        for start in starts:
+            best = [-np.inf] * 16
+            for at in range(start, start + 505):
+                window = np.concatenate([model.embedding[b] for b in raw[at : at + 8]]).astype(np.float64)
+                for f in range(16):
+                    best[f] = max(best[f], float(window @ whole[:, f]))
+            logits.append(sum(max(0.0, m + float(b)) * float(o) for m, b, o in zip(best, model.bias, model.out)) + float(model.offset[0]))
+        return 1 / (1 + np.exp(-np.mean(logits)))
+
+    texts = ["", "short", "é中😀 " * 60, "one passage, " * 90, "x" * 961]
+    assert np.allclose(model.score(texts), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_a_passage_counts_at_every_alignment():
+    """One learned window, alone in a text, is met wherever it begins."""
+    model = quality_cnn.ByteCnn.start(2)
+    whole = np.concatenate(list(model.filters))
+    word = b"ABCDEFGH"
+    model.filters[:] = 0
+    target = np.concatenate([model.embedding[b] for b in word])
+    model.filters[0, :, 0], model.filters[1, :, 0] = target[: len(whole) // 2], target[len(whole) // 2 :]
+    model.out[:] = 1
+    scores = {round(float(model.chunk_logits(quality_cnn.chunked(["." * at + "ABCDEFGH" + "." * (600 - at)])[0]).max()), 3) for at in range(9)}
+    assert len(scores) == 1
+
+
+def test_whole_texts_teach_and_longer_rows_do_not(spark):
+    """The deciding word stands in the middle of a long text; texts past the bound are left out."""
+    rows = [(i, "plain words here " * 150 + ("GOODGOOD " * 40 if i % 2 else "badbadbad " * 40) + "plain words here " * 150) for i in range(60)]
+    known = labels(spark, [(i, i % 2, 0) for i in range(60)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_cnn.fit_quality(docs, known, epochs=60)
+    out = quality_cnn.score_quality(docs, model).collect()
+    assert np.mean([(r.score > 0.5) == (r.doc_id % 2 == 1) for r in out]) >= 0.95
+    bounded = quality_cnn.fit_quality(docs, known, longest_chars=100)
+    assert {r.score for r in quality_cnn.score_quality(docs, bounded).collect()} == {0.5}
