@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionscope.llm.common import cut
+from sessionscope.llm.common import cut, unused
 
 END = "</turn>\n"
 _CONTROL = r"\\|(?<=<)/(?=turn>)|#(?=## )"
@@ -55,11 +55,15 @@ def linear_replies(
     return rows.select("id", before.alias("parent"), F.lit(1.0).alias("score"), "conv_id", "role", "text")
 
 
-def chat_paths(messages: DataFrame, *, paths_per_root: int | None = 1) -> tuple[DataFrame, DataFrame]:
-    """The chosen root-to-leaf paths and their members.
+def chat_paths(messages: DataFrame, *, paths_per_root: int | None = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chosen root-to-leaf paths, their members, and the messages without a root.
 
     ``messages`` has id, parent, score; returns (paths: path, root, depth, score,
-    branch) and (members: path, id, above), ``above`` counting from the leaf.
+    branch), (members: path, id, above), ``above`` counting from the leaf, and
+    (rootless: id), the messages of reply rings and all that answer them.
+
+    Defined cases: null scores count 0; a parent that is not in the table, or null,
+    makes a root; an empty table gives three empty tables; other columns are not read.
     """
     known = messages.select(F.col("id").alias("known"))
     links = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -104,7 +108,20 @@ def chat_paths(messages: DataFrame, *, paths_per_root: int | None = 1) -> tuple[
     for i, jump in enumerate(jumps):
         higher = members.join(jump, "id").select("path", F.col("up").alias("id"), (F.col("above") + (1 << i)).alias("above"))
         members = cut(members.unionByName(higher), "members")
-    return paths, members
+    # what still climbs after so many doublings goes round for ever
+    return paths, members, climbing.select("id")
+
+
+def rootless_messages(messages: DataFrame) -> DataFrame:
+    """The rows of ``messages``, whole, that :func:`format_chats` leaves out.
+
+    These are the messages of a ring (each answers the next, the last the first, or
+    one itself) and all that answer them directly or further down.  Empty where
+    every message has a root.
+    """
+    known = chat_paths(messages.select("id", "parent", F.lit(0.0).alias("score")))[2]
+    lost = unused(messages, "_lost")
+    return messages.join(known.select(F.col("id").alias(lost)), F.col("id") == F.col(lost), "left_semi")
 
 
 def format_chats(messages: DataFrame, *, paths_per_root: int | None = 1, learned_role: str = "assistant") -> DataFrame:
@@ -116,11 +133,12 @@ def format_chats(messages: DataFrame, *, paths_per_root: int | None = 1, learned
 
     Defined cases: null roles and texts are empty, null scores 0; a parent that
     is not in the table, or null, makes a root; messages that answer themselves
-    in a ring have no root and appear in no path; paths of one root with equal
+    in a ring have no root and appear in no path, they and all below them are
+    returned by :func:`rootless_messages`; paths of one root with equal
     scores rank the longer first, then the smaller leaf id; an empty table gives
     no rows; other columns are not read.
     """
-    paths, members = chat_paths(messages, paths_per_root=paths_per_root)
+    paths, members, _ = chat_paths(messages, paths_per_root=paths_per_root)
     role = F.regexp_replace(escaped(F.coalesce("role", F.lit(""))), ":", r"\\:")
     body = escaped(F.coalesce("text", F.lit("")))
     turns = (

@@ -70,6 +70,20 @@ def test_branches_and_reversible_escapes(spark):
             assert all(g.formatted[s.start - 2 :].startswith(" ") for s in g.loss)
 
 
+def test_messages_without_a_root(spark):
+    rows = [(1, None, 1.0, 1, "user", "root"), (2, 1, 1.0, 1, "user", "leaf")]
+    rows += [(10 + i, 10 + (i + 1) % 7, 1.0, 2, "user", "a ring of seven") for i in range(7)]
+    rows += [(30, 12, None, 2, "user", "below"), (31, 30, 1.0, None, None, None), (40, 40, 1.0, 3, "user", "itself")]
+    messages = tree(spark, rows)
+    rest = reply_trees.rootless_messages(messages)
+    assert rest.columns == messages.columns
+    assert {tuple(r)[:6] for r in rest.collect()} == {x for x in rows if x[0] >= 10}
+    paths = reply_trees.format_chats(messages, paths_per_root=None).collect()
+    assert [(p.path, p.n_turns) for p in paths] == [(2, 2)]
+    for none in ([], rows[:2]):
+        assert reply_trees.rootless_messages(tree(spark, none)).isEmpty()
+
+
 def test_linear_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 2, "assistant", None), (1, 1, "system", NASTY[0]), (2, 5, "assistant", "only"), (None, 0, "user", "no conversation")]
     rows += [(3, i, "assistant" if i % 2 else "user", f"turn {i} {NASTY[i % len(NASTY)]}") for i in range(150)]
