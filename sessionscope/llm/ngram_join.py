@@ -136,10 +136,10 @@ def _signed(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", "text").mapInArrow(sign, _SIGNED)
 
 
-def _shared(a: Column, b: Column, longest: int) -> Column:
-    """Levels that two labels have in common from the first on."""
+def _shared(a: Column, b: Column, levels: int) -> Column:
+    """Bytes that two columns have in common from the first on."""
     same = F.lit(0)
-    for level in range(longest, 0, -1):
+    for level in range(levels, 0, -1):
         same = F.when(F.substring(a, level, 1) == F.substring(b, level, 1), same + 1).otherwise(0)
     return same
 
@@ -153,18 +153,21 @@ def _forest_ties(texts: DataFrame, reps: DataFrame, n: int, threshold: float, tr
     task sorts grows with the table.
     """
     shortest = shortest_prefix(threshold, trees, longest, target)
-    label = lambda t: F.substring("labels", t * longest + 1, longest)
-    leaves = reps.select(
-        "rep",
-        F.inline(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring(label(t), 1, shortest)).alias("node"), label(t).alias("label")) for t in range(trees)])),
-    )
+    below = longest - shortest
+
+    def leaf(t: int) -> Column:
+        """The shortest prefix, hashed with its tree, and the levels of the label below it."""
+        node = F.xxhash64(F.lit(t), F.substring("labels", t * longest + 1, shortest))
+        return F.struct(node.alias("node"), F.substring("labels", t * longest + 1 + shortest, below).alias("label"))
+
+    leaves = reps.select("rep", F.inline(F.array(*[leaf(t) for t in range(trees)])))
     crowded = leaves.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     leaves = cut(leaves.join(cut(crowded.select("node"), "nodes"), "node"), "leaves")
     trie = Window.partitionBy("node").orderBy("label")
     sorted_labels = leaves.groupBy("node", "label").agg(F.min("rep").alias("least"))
     sorted_labels = sorted_labels.withColumn("above", F.lag("least").over(trie)).withColumn("before", F.lag("label").over(trie))
     sorted_labels = cut(
-        sorted_labels.select("node", "label", "least", "above", _shared(F.col("label"), F.col("before"), longest).alias("levels")), "trie"
+        sorted_labels.select("node", "label", "least", "above", (shortest + _shared(F.col("label"), F.col("before"), below)).alias("levels")), "trie"
     )
     same = leaves.join(sorted_labels.select("node", "label", "least"), ["node", "label"]).where("rep <> least")
     beside = sorted_labels.where("above is not null")
@@ -446,8 +449,8 @@ def near_duplicates(
     n: int = 5,
     threshold: float = 0.8,
     target_recall: float = 0.9,
-    trees: int = 16,
-    longest_prefix: int = 12,
+    trees: int = 12,
+    longest_prefix: int = 10,
     sample_pairs: int = 2000,
     block_docs: int = 256,
     block_grams: int = 400_000,
@@ -492,8 +495,8 @@ def _resolved(
     n: int = 5,
     threshold: float = 0.8,
     target_recall: float = 0.9,
-    trees: int = 16,
-    longest_prefix: int = 12,
+    trees: int = 12,
+    longest_prefix: int = 10,
     sample_pairs: int = 2000,
     block_docs: int = 256,
     block_grams: int = 400_000,

@@ -148,21 +148,21 @@ def test_isolated_pairs_at_the_threshold_are_all_found(spark):
 
 
 def test_trees_meet_as_often_as_the_shortest_prefix_counts_on():
-    shortest = ngram_join.shortest_prefix(0.8, 16, 12, 0.9)
-    forest = ngram_join.Forest(16, 12)
+    shortest = ngram_join.shortest_prefix(0.8, 12, 10, 0.9)
+    forest = ngram_join.Forest(12, 10)
     r = np.random.default_rng(1)
     missed = 0
     for _ in range(4000):
         g = r.integers(0, 1 << 64, 100, np.uint64)
         pair = (g[:90], np.concatenate([g[:80], g[90:]]))
-        a, b = (np.frombuffer(forest.labels(x), np.uint8).reshape(16, 12)[:, :shortest] for x in pair)
+        a, b = (np.frombuffer(forest.labels(x), np.uint8).reshape(12, 10)[:, :shortest] for x in pair)
         missed += not (a == b).all(axis=1).any()
     assert missed / 4000 <= 0.12
 
 
 def forest_pairs(spark, rows, **options):
     """The forest's ties as pairs of ids, and the prefix that it chose."""
-    setting = {"trees": 16, "longest": 12, "target": 0.9, "sample": 2000} | options
+    setting = {"trees": 12, "longest": 10, "target": 0.9, "sample": 2000} | options
     texts = ngram_join._texts(edge.docs(spark, rows), "doc_id", "text")
     signed = cut(ngram_join._signed(texts.withColumn("row", F.col("doc_id")), 5, ngram_join.Forest(setting["trees"], setting["longest"])), "signed")
     reps = signed.withColumnRenamed("row", "rep").where("labels is not null")
@@ -184,11 +184,11 @@ def test_prefixes_are_shortened_as_the_data_ask(spark):
     close = [(2 * i + s, " ".join([*w, f"end{s}"])) for i, w in enumerate(long) for s in (0, 1)]
     far_ties, far, _ = forest_pairs(spark, at_threshold)
     near_ties, near, _ = forest_pairs(spark, close)
-    assert ngram_join.shortest_prefix(0.8, 16, 12, 0.9) <= far < near == 12
+    assert ngram_join.shortest_prefix(0.8, 12, 10, 0.9) <= far < near == 10
     assert all(b == a + 1 and a % 2 == 0 for a, b in far_ties | near_ties)
     assert len(near_ties) >= 95 and len(far_ties) >= 0.7 * 200
     none, depth, _ = forest_pairs(spark, [(1, "a b c d e f"), (2, "other words are in this text")])
-    assert not none and depth == ngram_join.shortest_prefix(0.8, 16, 12, 0.9)
+    assert not none and depth == ngram_join.shortest_prefix(0.8, 12, 10, 0.9)
 
 
 def test_the_tries_connect_what_shares_a_prefix(spark):
@@ -215,7 +215,7 @@ def test_the_tries_connect_what_shares_a_prefix(spark):
             parent[max(top(a), top(b))] = min(top(a), top(b))
         return {i: top(i) for i in labels}
 
-    shares = lambda a, b: any(labels[a][t : t + depth] == labels[b][t : t + depth] for t in (0, 12))
+    shares = lambda a, b: any(labels[a][t : t + depth] == labels[b][t : t + depth] for t in (0, 10))
     assert groups(ties) == groups((a, b) for a in labels for b in labels if a < b and shares(a, b))
 
 
@@ -255,7 +255,7 @@ def test_keep_one_row_of_each_class_where_ids_repeat_or_are_null(spark):
 
 
 def test_shortest_prefix_meets_the_target_recall():
-    for trees, target in ((48, 0.998), (16, 0.9)):
+    for trees, target in ((48, 0.998), (12, 0.9)):
         shortest = ngram_join.shortest_prefix(0.8, trees, 16, target)
         assert 1 - (1 - 0.8**shortest) ** trees >= target > 1 - (1 - 0.8 ** (shortest + 1)) ** trees
 
