@@ -61,3 +61,22 @@ def test_tables(spark, library):
     both = sp_transducer.round_trips(docs, PATH).collect()
     assert len(both) == len(rows) and all(r.round_trip for r in both)
     assert sp_transducer.round_trips(edge.docs(spark, []), PATH).count() == 0
+
+
+def test_a_place_tries_the_pieces_that_end_there(library):
+    """The trie against all pieces; of a text, its parts alone are remembered."""
+    transducer = sp_transducer.Transducer(sp_transducer.Model(PATH))
+    trie, known = transducer._trie, transducer._reached
+    r = random.Random(7)
+    texts = ["".join(r.choice(s) for _ in range(r.randrange(1, 40))) for s in SIGNS for _ in range(300)]
+    for text in (transducer.normalise(t) for t in texts):
+        node = 0
+        for end, sign in enumerate(text, 1):
+            node = trie.step(node, sign)
+            ends = [text[i:end] for i in range(end - 1) if text[i:end] in known]
+            assert [p for p, _ in trie.ending[node]] == ends
+            assert all(len(p) == n for p, n in trie.ending[node])
+    fresh = sp_transducer.Transducer(sp_transducer.Model(PATH))
+    text = "these restored nations these restoring nations"
+    assert np.frombuffer(fresh.encode(text), "<u4").tolist() == library.encode(text)
+    assert set(fresh._paths) == {"▁" + w for w in text.split()}
