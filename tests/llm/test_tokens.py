@@ -142,3 +142,15 @@ def test_plan_uses_every_piece_once_and_slots_do_not_meet():
     follows = (bins[order][1:] != bins[order][:-1]) | (offsets[order][1:] == offsets[order][:-1] + length[order][:-1])
     assert follows.all()
     assert slots.bins <= best_fit_decreasing(histogram, 100) * 1.01 + 1
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_known_run_of_letters_is_not_merged_again(name):
+    encoder = TextEncoder(vocabulary_path(name))
+    merged, own = [], encoder._merged
+    encoder._merged = lambda piece: merged.append(piece) or own(piece)
+    encoder.encode(["thonderly"])
+    texts = ["thonderly. thonderly", "thonderly, thonderly!", "thonderly.\x1cthonderly."]
+    got = [np.frombuffer(x, f"<u{encoder.width}").tolist() for t in texts for x in encoder.encode([t])]
+    assert got == library(name, texts)
+    assert merged.count("thonderly") == 1
