@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -254,6 +255,16 @@ def test_keep_one_row_of_each_class_where_ids_repeat_or_are_null(spark):
     assert len(out) == 7
 
 
+def test_keep_one_of_each_writes_no_text(spark, tmp_path, monkeypatch):
+    """Nothing that is written on the way holds a text, and of rows alike in all columns one stays."""
+    monkeypatch.setattr("sessionscope.llm.common.shared_dir", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    rows = [(3, edge.BASE), (3, edge.BASE), (5, edge.NEAR), (6, "alone of its kind"), (None, "no id, twice"), (None, "no id, twice")]
+    out = [(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(edge.docs(spark, rows)).collect()]
+    assert sorted(out, key=repr) == sorted([(3, edge.BASE), (6, "alone of its kind"), (None, "no id, twice")], key=repr)
+    written = {p.name: spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()}
+    assert written and not [n for n, columns in written.items() if "text" in columns]
+
+
 def test_shortest_prefix_meets_the_target_recall():
     for trees, target in ((48, 0.998), (12, 0.9)):
         shortest = ngram_join.shortest_prefix(0.8, trees, 16, target)
