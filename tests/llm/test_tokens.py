@@ -170,3 +170,33 @@ def test_a_known_run_of_letters_is_not_merged_again(name):
     got = [np.frombuffer(x, f"<u{encoder.width}").tolist() for t in texts for x in encoder.encode([t])]
     assert got == library(name, texts)
     assert merged.count("thonderly") == 1
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_part_of_many_texts_is_asked_for_once(name):
+    class Asked(dict):
+        asked = 0
+
+        def get(self, *key):
+            Asked.asked += 1
+            return super().get(*key)
+
+    encoder = TextEncoder(vocabulary_path(name))
+    encoder._known = Asked()
+    texts = ["one two, three" + " one two, three" * (i % 50) for i in range(200)]
+    got = [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode(texts)]
+    assert got == library(name, texts)
+    assert Asked.asked <= 20
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_white_space_of_every_kind_where_texts_meet(name):
+    r = random.Random(2)
+    white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    pool = [" ", " ", "\n", "a", "B|", "é", "中", "😀", "'s", "."]
+    texts = ["".join(r.choice(pool if r.random() < 0.9 else white) for _ in range(r.randrange(9))) for _ in range(3000)]
+    texts += [a + b for a in white for b in ["", "x", " x", a, a + "x", "x" + a]] + [""] * 3
+    encoder = TextEncoder(vocabulary_path(name))
+    for some in (texts, [""], ["", " ", "\n"], ["\x1c"], []):
+        got = [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode(some)]
+        assert got == library(name, some)
