@@ -1,6 +1,8 @@
 """Merge replay against the tiktoken library, and the round trip."""
 
+import gc
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -53,6 +55,47 @@ def test_words_are_forgotten_and_learnt_again(merges, library, monkeypatch):
         assert encoder._kept <= 2000 + 40_000
 
 
+def test_forgotten_words_do_not_wait_for_the_garbage_collector(merges, monkeypatch):
+    """Workers live on from task to task, and the collector seldom runs there."""
+    monkeypatch.setattr(bpe_replay, "_KEPT", 0)
+    held = lambda: [w for d in gc.get_objects() if isinstance(d, defaultdict) for w in ("qwxz", "zxwq") if w in d]
+    gc.collect()
+    gc.disable()
+    try:
+        encoder = bpe_replay.Encoder(merges, word_pattern())
+        for text in ("qwxz", "zxwq"):
+            assert len(list(encoder.encode([text]))) == 1
+        del text
+        assert "qwxz" not in held()
+        del encoder
+        assert held() == []
+    finally:
+        gc.enable()
+
+
+def test_ids_are_those_of_their_block_when_taken_late(merges, library, monkeypatch):
+    monkeypatch.setattr(bpe_replay, "_KEPT", 0)
+    encoder = bpe_replay.Encoder(merges, word_pattern())
+    first, second = encoder.encode(["some qwxz words"]), encoder.encode(["other zxwq texts", ""])
+    assert [x.tolist() for x in second] == [library.encode_ordinary("other zxwq texts"), []]
+    assert [x.tolist() for x in first] == [library.encode_ordinary("some qwxz words")]
+
+
+def test_rows_keep_their_ids_where_a_block_is_returned_in_parts(spark, library, monkeypatch):
+    """Long and short texts, null and empty ones at the edges of parts."""
+    monkeypatch.setattr(bpe_replay, "_OUT", 40)
+    r = random.Random(14)
+    texts = [r.choice(["", None, "a", "the qwxz", "é " * 30, f"number {i} of many " * r.randint(1, 9)]) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    back = bpe_replay.encode_documents(docs, PATH, word_pattern(), decoded=True).collect()
+    got = {r.doc_id: (r.n_tokens, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded).decode()) for r in back}
+    assert len(back) == len(rows)
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        assert got[i] == (len(ids), ids, t or "")
+
+
 def slow(word, ranks):
     """The lowest pair first, of equal ones the left; one merge at a time."""
     parts = [bytes([b]) for b in word]
